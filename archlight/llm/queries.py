@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, telephony, token_counts
+from . import bpe, packing, quality_rules, sentence_spans, telephony, token_counts
 from .common import table
 
 #: Where the public tokenizers' files lie; None asks the installed package.
@@ -21,10 +21,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.measure(table(spark, sf_dir, "documents"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.read_media(telephony.store_bytes(table(spark, sf_dir, "documents")))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.report(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -38,10 +46,15 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_media_columns": op2_media_columns,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.ORACLE,
+    "op3_substring_dedup": sentence_spans.ORACLE,
+}
