@@ -156,10 +156,11 @@ def pieces(candidates: DataFrame, limit: int = HOT) -> DataFrame:
                 if not cold.all():
                     prefix, h, low, _ = winnow(data)
                     windows = grams(prefix, LENGTH)
-                    for at, key, count in zip(p[~cold].tolist(), a[~cold].tolist(), n[~cold].tolist()):
-                        lo = max(0, at - (LENGTH - GRAM))
-                        mine = np.flatnonzero(low[lo : at + 1] == h[at]) + lo
-                        warm.append((key, -(-count // SPLIT), windows[mine]))
+                    for key in np.unique(a[~cold]).tolist():
+                        own = p[a == key]
+                        # a window that holds its anchor twice is one window
+                        mine = np.unique(np.concatenate([np.flatnonzero(low[max(0, at - (LENGTH - GRAM)) : at + 1] == h[at]) + max(0, at - (LENGTH - GRAM)) for at in own.tolist()]))
+                        warm.append((key, -(-int(n[a == key][0]) // SPLIT), windows[mine]))
             if warm:
                 rows += packed(warm)
             yield batch(out, dict(zip(out.names, zip(*rows))) if rows else {k: [] for k in out.names})
