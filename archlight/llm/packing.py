@@ -7,7 +7,7 @@ of the squared number of open bins with that gap becomes smallest; a new bin is
 come longest first, ties by document and piece.
 
 White space never belongs to a token of the vocabulary, so ids are kept per run of other characters and only new runs
-are given to the library. Null text counts as empty (one piece with id 0). Repeated rows each get their own pieces.
+are given to the library, without the stops and commas at their end. Null text counts as empty (one piece with id 0). Repeated rows each get their own pieces.
 Documents with null ids are packed as well. Other columns are ignored.
 """
 
@@ -30,7 +30,11 @@ END = 0
 #: Pieces to a packing group.
 GROUP = 16_384
 #: Known runs of a Python worker are dropped beyond this number.
-KNOWN_RUNS = 1_000_000
+KNOWN_RUNS = 1_500_000
+#: The vocabulary writes lower case only; its special strings, which are told by this beginning, are matched before.
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+SPECIAL = b"<|"
+PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, copy long"
 
 
@@ -47,19 +51,29 @@ class Runs:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [t.encode().split() for t in texts]
+        raw = [t.encode() for t in texts]
+        cut = [(r if SPECIAL in r else r.translate(LOWER)).split() for r in raw]
         distinct = set().union(*cut)
         new = [r for r in distinct if r not in self.known]
         if len(self.known) + len(new) > KNOWN_RUNS:
             self.known.clear()
             new = list(distinct)
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            found = self.library.encode_batch_fast([r.decode() for r in some], add_special_tokens=False)
-            self.known.update((r, np.array(e.ids, "<u4").tobytes()) for r, e in zip(some, found))
+        self.learn(new)
         known = self.known
         return [b"".join(map(known.__getitem__, runs)) for runs in cut]
 
+    def learn(self, new: list[bytes]) -> None:
+        """Stops and commas behind a letter or digit are a word of their own, so a run with and without them shares its ids."""
+        bodies = [b if b and b[-1] in PLAIN else r for r in new for b in (r.rstrip(b".,"),)]
+        ends = {r[len(b) :] for r, b in zip(new, bodies)} - {b""}
+        known = self.known
+        asked = list({b for b in (*bodies, *ends) if b not in known})
+        for i in range(0, len(asked), 4096):
+            some = asked[i : i + 4096]
+            found = self.library.encode_batch_fast([r.decode() for r in some], add_special_tokens=False)
+            known.update((r, np.array(e.ids, "<u4").tobytes()) for r, e in zip(some, found))
+        known.update((r, known[b] + known[r[len(b) :]]) for r, b in zip(new, bodies) if len(b) < len(r))
+
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Runs:
