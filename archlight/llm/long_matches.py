@@ -363,8 +363,8 @@ def mark(cold: DataFrame) -> DataFrame:
 
 
 def cover(marked: DataFrame, full: bool) -> DataFrame:
-    """Applies the marks: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, in full, ``k1, k2`` and the ``kept`` bytes."""
-    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64())] * full)
+    """Applies the marks: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, in full, ``k1, k2`` and the ``kept`` text."""
+    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string()), ("k1", pa.int64()), ("k2", pa.int64())] * full)
 
     def one(text: str, pos: list[int], cold: list[bytes] | None, hot: list[bytes] | None) -> tuple:
         data = text.encode()
@@ -379,7 +379,7 @@ def cover(marked: DataFrame, full: bool) -> DataFrame:
             spans = join_spans(spans)
         edges = [0, *spans.reshape(-1).tolist(), len(data)]
         kept = b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2]))
-        return len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept
+        return len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -387,7 +387,7 @@ def cover(marked: DataFrame, full: bool) -> DataFrame:
             names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
             yield batch(out, {"doc_id": b.column(0), "k1": b.column(5), "k2": b.column(6)} | ({k: list(v) for k, v in zip(names, zip(*found))} if found else {k: [] for k in names}))
 
-    return map_arrow(marked.select("doc_id", "text", "pos", "cold", "hot", "k1", "k2"), work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, k1 long, k2 long" * full)
+    return map_arrow(marked.select("doc_id", "text", "pos", "cold", "hot", "k1", "k2"), work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, k1 long, k2 long" * full)
 
 
 def report(docs: DataFrame, limit: int = HOT) -> DataFrame:
@@ -435,10 +435,10 @@ def marks(found: DataFrame, limit: int = HOT) -> DataFrame:
 def remove(docs: DataFrame, limit: int = HOT) -> DataFrame:
     """All columns of ``docs`` with repeated bytes removed from ``text`` and ``n_chars`` counted anew where there is one.
 
-    A cut may fall inside a character; what is left of it is replaced as decoders do.
+    A cut may fall inside a character; what is left of it goes as well.
     """
     found = candidates(docs.select("doc_id", "text"))
-    cut = cover(marks(found, limit), True).where("n_removed > 0").select("k1", "k2", F.expr("decode(kept, 'UTF-8')").alias("_kept")).dropDuplicates(["k1", "k2"])
+    cut = cover(marks(found, limit), True).where("n_removed > 0").select("k1", "k2", F.col("kept").alias("_kept")).dropDuplicates(["k1", "k2"])
     own = docs.withColumns({"k1_": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "k2_": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
     cut = cut.select(F.col("k1").alias("k1_"), F.col("k2").alias("k2_"), "_kept")
     text = F.coalesce(F.col("_kept"), F.col("text"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, long_matches, near_dups, packing, quality_rules, sentence_spans, site_quality, telephony, token_counts
+from . import bpe, long_matches, near_dups, packing, page_text, quality_rules, sentence_spans, site_quality, telephony, token_counts
 from .common import table
 
 #: Where the public tokenizers' files lie; None asks the installed package.
@@ -33,6 +33,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.report(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_media_columns": op2_media_columns,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_html_extraction": op4_html_extraction,
     "op5_token_counts": op5_token_counts,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
