@@ -1,10 +1,10 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
-Every document's set of 5-word shingles gets a signature of ``COORDINATES`` minima. Equal sets are one class and only
-their first document goes on. A class is posted under the coordinate-value pairs of the first ``PREFIX`` coordinates:
-two sets of similarity 0.85 miss each other in all of them with probability 0.15 ** 12, under 2e-10. In a posting
-list the coordinates that two signatures share are counted, and pairs at or above ``MATCHES`` of 128 are candidates
-(a pair at similarity 0.85 falls below with probability under 2e-7). Candidates are confirmed on their full sets.
+Every document's set of 5-word shingles gets a signature of minima. Equal sets are one class and only their first
+document goes on. A class is posted under coordinate-value pairs of a prefix of ``PREFIX`` coordinates: two sets of
+similarity 0.85 miss each other in all of them with probability 0.15 ** 12, under 2e-10. In a posting list the
+coordinates that two signatures share are counted over all ``COORDINATES``, and pairs at or above ``MATCHES`` are
+candidates (a pair at similarity 0.85 falls below with probability under 1e-6). They are confirmed on their full sets.
 
 No list gives all its pairs. In the first round a list of g classes gives the at most g - 1 edges of a maximum
 spanning forest over the counted matches. Confirmed edges make components. In the second round only lists that still
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from .common import batch, map_arrow, settle, texts_of
 
 SHINGLE = 5
-COORDINATES = 128
+COORDINATES = 512
 PREFIX = 12
-MATCHES = 88
+MATCHES = 396
 PERCENT = 85
 LIST = 1024
 DEPTH = 3
@@ -43,7 +43,11 @@ KNOWN_WORDS = 500_000
 
 _drawn = np.random.default_rng(20_240_229)
 WEIGHTS = _drawn.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-FACTORS = _drawn.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+POSTED = _drawn.integers(1, 2**63, PREFIX, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: One half of the coordinates hashes the lower 32 bits of a shingle, the other half the upper ones.
+FACTORS = _drawn.integers(1, 2**31, (2, COORDINATES // 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+SHIFTS = _drawn.integers(0, 2**32, (2, COORDINATES // 2), dtype=np.uint32)
+FOLD = np.uint32(0x9E3779B1)
 
 
 class Words(dict):
@@ -81,18 +85,25 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(mix(total))
 
 
+def minima(found: np.ndarray) -> np.ndarray:
+    """The smallest 64-bit hash of every posted coordinate over a non-empty set."""
+    return np.array([(found * f).min() for f in POSTED], np.uint64)
+
+
 def signature(found: np.ndarray) -> np.ndarray:
-    """The minimum of every coordinate's hash over a non-empty set."""
-    low = np.full(COORDINATES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(found), 2048):
-        low = np.minimum(low, (found[at : at + 2048, None] * FACTORS).min(axis=0))
-    return low
+    """One byte of the smallest hash of every coordinate over a non-empty set."""
+    low = np.full((2, COORDINATES // 2), np.iinfo(np.uint32).max, dtype=np.uint32)
+    halves = found.view(np.uint32).reshape(-1, 2)
+    for at in range(0, len(found), 512):
+        for k in (0, 1):
+            part = np.ascontiguousarray(halves[at : at + 512, k])
+            low[k] = np.minimum(low[k], (part[:, None] * FACTORS[k] + SHIFTS[k]).min(axis=0))
+    return ((low.reshape(-1) * FOLD) >> np.uint32(24)).astype(np.uint8)
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, a, b, sig, keys``: set size, two set checksums, the signature in 16-bit words and the posted minima."""
+    """``doc_id, n, a, b, sig, keys``: set size, two set checksums, the signature, a byte for each coordinate, and the posted minima."""
     out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
-    fold = np.uint64(0x9E3779B97F4A7C15)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -102,9 +113,8 @@ def signed(docs: DataFrame) -> DataFrame:
                 if not len(s):
                     rows.append((doc_id, 0, 0, 0, None, None))
                     continue
-                low = signature(s)
                 sums = np.array([s.sum(), mix(s).sum()], np.uint64).view(np.int64).tolist()
-                rows.append((doc_id, len(s), *sums, ((low * fold) >> np.uint64(48)).astype("<u2").tobytes(), low[:PREFIX].view(np.int64).tolist()))
+                rows.append((doc_id, len(s), *sums, signature(s).tobytes(), minima(s).view(np.int64).tolist()))
             yield batch(out, dict(zip(out.names, zip(*rows))) if rows else {k: [] for k in out.names})
 
     return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), work, "doc_id long, n long, a long, b long, sig binary, keys array<long>")
@@ -127,10 +137,10 @@ def repeated(posts: DataFrame) -> DataFrame:
 
 
 def post(members: DataFrame) -> DataFrame:
-    """``h, j, c, keys, size``: lists of at most LIST classes, or dense ones of any length."""
+    """``h, first, j, c, keys, size``: lists of at most LIST classes, or dense ones of any length; ``first`` is the list's first coordinate."""
     probe = lambda j: F.get("keys", (j + 1) % PREFIX)
     first = members.select("c", "keys", F.posexplode("keys").alias("j", "v"))
-    level = repeated(first.select(F.xxhash64("j", "v").alias("h"), "j", "c", "keys", probe(F.col("j")).alias("probe")))
+    level = repeated(first.select(F.xxhash64("j", "v").alias("h"), F.col("j").alias("first"), "j", "c", "keys", probe(F.col("j")).alias("probe")))
     level = settle(level, "lists")
     done = []
     for _ in range(DEPTH - 1):
@@ -139,8 +149,8 @@ def post(members: DataFrame) -> DataFrame:
         again = level.where(loose)
         if again.isEmpty():
             return union(done)
-        further = again.select("h", "c", "keys", F.explode(F.sequence(F.col("j") + 1, F.lit(PREFIX - 1))).alias("j"))
-        level = settle(repeated(further.select(F.xxhash64("h", "j", F.get("keys", F.col("j"))).alias("h"), "j", "c", "keys", probe(F.col("j")).alias("probe"))), "lists")
+        further = again.select("h", "first", "c", "keys", F.explode(F.sequence(F.col("j") + 1, F.lit(PREFIX - 1))).alias("j"))
+        level = settle(repeated(further.select(F.xxhash64("h", "j", F.get("keys", F.col("j"))).alias("h"), "first", "j", "c", "keys", probe(F.col("j")).alias("probe"))), "lists")
     return union([*done, level])
 
 
@@ -152,12 +162,12 @@ def union(frames: list[DataFrame]) -> DataFrame:
 
 
 def parts(posts: DataFrame) -> DataFrame:
-    """``h, part, c, copy``: lists cut into parts of about LIST classes; the list's first class is in every part."""
+    """``h, first, part, c``: lists cut into parts of about LIST classes; the list's first class is in every part."""
     count = F.ceil(F.col("size") / LIST).cast("int")
-    cut = posts.select("h", "c", count.alias("of"), F.pmod(F.xxhash64("c"), count).cast("int").alias("part"))
+    cut = posts.select("h", "first", "c", count.alias("of"), F.pmod(F.xxhash64("c"), count).cast("int").alias("part"))
     long = cut.where("of > 1")
-    hubs = long.groupBy("h").agg(F.min("c").alias("c"), F.max("of").alias("of")).select("h", "c", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("part"))
-    return cut.select("h", "part", "c").unionByName(hubs.select("h", "part", "c"))
+    hubs = long.groupBy("h", "first").agg(F.min("c").alias("c"), F.max("of").alias("of")).select("h", "first", "c", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("part"))
+    return cut.select("h", "first", "part", "c").unionByName(hubs.select("h", "first", "part", "c"))
 
 
 def shared(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -184,22 +194,27 @@ def forest(sig: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def across(sig: np.ndarray, group: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
-    """All pairs between different groups at or above MATCHES, at least one of them at home in this part."""
+def across(sig: np.ndarray, group: np.ndarray, own: np.ndarray, before: np.ndarray) -> list[tuple[int, int]]:
+    """All pairs between different groups at or above MATCHES, at least one of them at home in this part.
+
+    ``before`` has the minima before the list's first coordinate: pairs that share one of them meet in an earlier list.
+    """
     edges = []
     for i in range(len(sig) - 1):
         m = shared(sig[i + 1 :], sig[i]) >= MATCHES
         m &= (group[i + 1 :] != group[i]) & (own[i + 1 :] | own[i])
+        if before.shape[1]:
+            m &= (before[i + 1 :] != before[i]).all(axis=1)
         edges += [(i, i + 1 + int(k)) for k in np.flatnonzero(m)]
     return edges
 
 
 def pairs(listed: DataFrame, every: bool) -> DataFrame:
-    """Candidate pairs ``a < b`` of the lists in ``h, part, c, sig, g, own``; in the first round a forest, then every pair across components."""
+    """Candidate pairs ``a < b`` of the lists in ``h, part, c, sig, g, own, first, keys``; in the first round a forest, then every pair across components."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def solve(ids: np.ndarray, sig: np.ndarray, group: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
-        found = across(sig, group, own) if every else forest(sig)
+    def solve(ids: np.ndarray, sig: np.ndarray, group: np.ndarray, own: np.ndarray, first: np.ndarray, keys: np.ndarray) -> list[tuple[int, int]]:
+        found = across(sig, group, own, keys[:, : int(first[0])]) if every else forest(sig)
         return [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i, j in found if ids[i] != ids[j]]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +227,7 @@ def pairs(listed: DataFrame, every: bool) -> DataFrame:
                 held = [tuple(np.concatenate(x) for x in zip(*held, new))] if held else [new]
             if not held:
                 continue
-            h, p, ids, sig, group, own = held[0]
+            h, p, ids, sig, group, own, first, keys = held[0]
             starts = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (p[1:] != p[:-1]))))
             ends = np.append(starts[1:], len(h))
             whole = len(starts) if part is None else len(starts) - 1  # the last list may go on in the next batch
@@ -222,7 +237,7 @@ def pairs(listed: DataFrame, every: bool) -> DataFrame:
             found = [np.stack((np.minimum(ids[hit], ids[hit + 1]), np.maximum(ids[hit], ids[hit + 1])), axis=1)]
             for i in np.flatnonzero(size[:whole] > 2):
                 s = slice(starts[i], ends[i])
-                if got := solve(ids[s], sig[s], group[s], own[s]):
+                if got := solve(ids[s], sig[s], group[s], own[s], first[s], keys[s]):
                     found.append(np.array(got, np.int64))
             edges = np.unique(np.concatenate(found), axis=0)
             at = ends[whole - 1] if whole else 0
@@ -230,7 +245,7 @@ def pairs(listed: DataFrame, every: bool) -> DataFrame:
             yield batch(out, {"a": edges[:, 0], "b": edges[:, 1]})
 
     dealt = listed.repartition(F.col("h"), F.col("part")).sortWithinPartitions("h", "part", "c")
-    return map_arrow(dealt.select("h", "part", "c", "sig", "g", "own"), work, "a long, b long")
+    return map_arrow(dealt.select("h", "part", "c", "sig", "g", "own", "first", "keys"), work, "a long, b long")
 
 
 def chain_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -239,9 +254,10 @@ def chain_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def columns(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    h, p, c, _, g, own = (part.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-    sig = np.frombuffer(b"".join(part.column(3).to_pylist()), "<u2").reshape(-1, COORDINATES)
-    return h, p, c, sig, g, own.astype(bool)
+    h, p, c, g, own, first = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5, 6))
+    keys = part.column(7).flatten().to_numpy().reshape(len(h), -1)
+    sig = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    return h, p, c, sig, g, own.astype(bool), first, keys
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -289,19 +305,21 @@ def link(docs: DataFrame) -> DataFrame:
     members = marked.where("c = doc_id").select("c", "sig", "keys")
     posts = settle(parts(post(members.select("c", "keys"))), "posts")
     sigs = members.select("c", "sig")
-    listed = posts.join(sigs, "c").select("h", "part", "c", "sig", F.col("c").alias("g"), F.lit(True).alias("own"))
+    unused = F.array().cast("array<long>").alias("keys")
+    listed = posts.join(sigs, "c").select("h", "part", "c", "sig", F.col("c").alias("g"), F.lit(True).alias("own"), "first", unused)
     tried = settle(pairs(listed, every=False).distinct(), "pairs")
     edges = settle(confirm(tried, docs), "links")
     found = components(edges)
     # second round: lists that still hold several components
-    named = posts.join(found, "c", "left").select("h", "part", "c", F.coalesce("g", "c").alias("g"))
+    named = posts.join(found, "c", "left").select("h", "first", "part", "c", F.coalesce("g", "c").alias("g"))
     mixed = named.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.max("part").alias("last")).where("low < high")
     open_ = settle(named.join(mixed.select("h", "last"), "h"), "open")
     big = open_.where("last > 0")
     sizes = big.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("h").agg(F.max(F.struct("n", "g")).alias("x")).select("h", F.col("x.g").alias("main"))
-    spread = big.join(main, "h").where("g <> main").select("h", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("part"), "c", "g", F.lit(False).alias("own"))
-    again = open_.select("h", "part", "c", "g", F.lit(True).alias("own")).unionByName(spread).join(sigs, "c").select("h", "part", "c", "sig", "g", "own")
+    spread = big.join(main, "h").where("g <> main").select("h", "first", F.col("part").alias("home"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("part"), "c", "g")
+    spread = spread.where("part <> home").select("h", "first", "part", "c", "g", F.lit(False).alias("own"))
+    again = open_.select("h", "first", "part", "c", "g", F.lit(True).alias("own")).unionByName(spread).join(members, "c").select("h", "part", "c", "sig", "g", "own", "first", "keys")
     rest = settle(pairs(again, every=True).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     more = settle(confirm(rest, docs), "links")
     if not more.isEmpty():
