@@ -1,0 +1 @@
+"""Incremental runs over arriving catalog files."""
