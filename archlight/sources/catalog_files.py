@@ -20,8 +20,7 @@ def hadoop(spark: SparkSession, path: str):
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of records as the typed catalog, in file order; records without a path are left out."""
     raw = spark.read.schema(S.loose_schema() + ", _corrupt_record string").option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
-    bad = raw.where("_corrupt_record is not null").limit(1).count()
-    if bad:
+    if raw.select("file_path", "_corrupt_record").where("_corrupt_record is not null and file_path is null").first():
         raise ValueError(f"no JSON array of records: {path}")
     return S.normalize(raw.withColumn("manifest_idx", F.monotonically_increasing_id())).where("file_path is not null")
 
