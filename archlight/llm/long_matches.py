@@ -2,15 +2,15 @@
 
 1. *Anchors.* Of the ``GRAM``-byte strings in every window the one with the smallest hash is an anchor (winnowing), so
    equal windows have the same anchor at the same place. Anchors are counted over all documents; those that occur
-   again go on, with the smallest id that holds them as their route.
+   again go on, with the first place that holds them as their route. Whole copies are found by hashes of their texts:
+   all of their bytes go, and one of them goes on for the sake of others.
 2. *Cold anchors* (at most ``limit`` occurrences). The bytes that windows with the anchor can reach are sent to the
    route. Strings that overlap in a document are joined, so that no byte meets itself. Each block of strings gets
    a run-compressed Burrows-Wheeler transform. At run ends the text position and the length of the match with the
    neighbour in suffix order are sampled; between samples a match shortens by one with every byte, so one stream over
    the text gives the matching statistics of all positions. Windows of 200 bytes and more are marked.
 3. *Hot anchors* would fill one block without bound, so the exact rest goes another way: hashes of their windows are
-   combined per batch, split by hash in proportion to the anchor's count, and counted; windows that occur again are
-   sent back to the documents that hold the anchor.
+   split in proportion to the anchor's count and counted; each document gets back those of its own that occur again.
 
 Null text counts as empty and loses nothing; so do texts under 200 bytes. Rows agreeing in id and text are two
 documents and lose everything from 200 bytes on. Rows that share only an id are different documents. A null id keeps
@@ -32,9 +32,9 @@ from .common import batch, keyed, map_arrow, settle
 
 LENGTH = 200
 GRAM = 100
-HOT = 256
-#: Window hashes that one group of a hot anchor is meant to hold, in occurrences of the anchor.
-SPLIT = 2048
+HOT = 1024
+#: Occurrences of a hot anchor to a group.
+SPLIT = 8192
 #: Bytes of a block of strings, unless a single route holds more.
 BLOCK = 1 << 20
 
@@ -135,18 +135,16 @@ def join_spans(spans: np.ndarray) -> np.ndarray:
 def pieces(candidates: DataFrame, limit: int = HOT) -> DataFrame:
     """What goes to routes and to hot anchors: ``hot, r, sub, k1, k2, start, data``.
 
-    Cold rows hold bytes of a document, hot ones window hashes of a batch with a mark for those seen twice in it.
+    Cold rows hold bytes of a document, hot ones hashes of its windows.
     """
     out = pa.schema([("hot", pa.bool_()), ("r", pa.int64()), ("sub", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64()), ("data", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, warm = [], []
+            rows = []
             for k1, k2, text, pos, a, n, route in zip(*(b.column(i).to_pylist() for i in range(7))):
                 data = text.encode()
-                p, first = np.unique(np.array(pos, np.int64), return_index=True)
-                if len(p) < len(pos):
-                    continue  # rows that agree in id and text: all of it goes, see cover
+                p, first = np.unique(np.array(pos, np.int64), return_index=True)  # rows that agree in all list their anchors together
                 a, n, route = (np.array(x, np.int64)[first] for x in (a, n, route))
                 cold = n <= limit
                 for r in np.unique(route[cold]).tolist():
@@ -160,31 +158,18 @@ def pieces(candidates: DataFrame, limit: int = HOT) -> DataFrame:
                         own = p[a == key]
                         # a window that holds its anchor twice is one window
                         mine = np.unique(np.concatenate([np.flatnonzero(low[max(0, at - (LENGTH - GRAM)) : at + 1] == h[at]) + max(0, at - (LENGTH - GRAM)) for at in own.tolist()]))
-                        warm.append((key, -(-int(n[a == key][0]) // SPLIT), windows[mine]))
-            if warm:
-                rows += packed(warm)
+                        rows += split(key, -(-int(n[a == key][0]) // SPLIT), k1, k2, windows[mine])
             yield batch(out, dict(zip(out.names, zip(*rows))) if rows else {k: [] for k in out.names})
 
     return map_arrow(candidates.select("k1", "k2", "text", "pos", "a", "n", "route"), work, "hot boolean, r long, sub int, k1 long, k2 long, start long, data binary")
 
 
-def packed(warm: list[tuple[int, int, np.ndarray]]) -> list[tuple]:
-    """Window hashes of a batch by hot anchor and split, each once; the lowest bit tells whether it was there twice."""
-    key = np.repeat(np.array([w[0] for w in warm], np.int64), [len(w[2]) for w in warm])
-    of = np.repeat(np.array([w[1] for w in warm], np.uint64), [len(w[2]) for w in warm])
-    h = np.concatenate([w[2] for w in warm]) | np.uint64(1)
-    order = np.lexsort((h, key))
-    key, of, h = key[order], of[order], h[order]
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])))
-    at = np.flatnonzero(new)
-    twice = np.diff(np.append(at, len(h))) > 1
-    key, of, h = key[at], of[at], h[at]
-    sub = ((h >> np.uint64(1)) % of).astype(np.int64)
-    h = np.where(twice, h, h ^ np.uint64(1))
-    order = np.lexsort((sub, key))
-    key, sub, h = key[order], sub[order], h[order]
-    cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1]))))
-    return [(True, int(key[i]), int(sub[i]), None, None, None, h[i:j].astype("<u8").tobytes()) for i, j in zip(cuts, np.append(cuts[1:], len(h)))]
+def split(key: int, of: int, k1: int, k2: int, h: np.ndarray) -> list[tuple]:
+    """Rows with a document's window hashes at a hot anchor, by their share of the anchor's groups."""
+    if of == 1:
+        return [(True, key, 0, k1, k2, None, h.astype("<u8").tobytes())]
+    sub = (h % np.uint64(of)).astype(np.int64)
+    return [(True, key, int(x), k1, k2, None, h[sub == x].astype("<u8").tobytes()) for x in np.unique(sub)]
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -201,19 +186,20 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
 
 
 def recount(hot: DataFrame) -> DataFrame:
-    """``r, data``: for each hot anchor the hashes of windows that occur again."""
-    out = pa.schema([("r", pa.int64()), ("data", pa.binary())])
+    """``k1, k2, data``: for each document the hashes of its windows at hot anchors that occur again."""
+    out = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("data", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, 2):
-            h = np.sort(np.concatenate([np.frombuffer(row[2], "<u8") for row in group]))
-            bare = h | np.uint64(1)
-            again = np.unique(np.concatenate((h[h & np.uint64(1) == 1], bare[1:][bare[1:] == bare[:-1]])))
-            if len(again):
-                yield batch(out, {"r": [group[0][0]], "data": [again.tobytes()]})
-
-    dealt = hot.select("r", "sub", "data").repartition(F.col("r"), F.col("sub")).sortWithinPartitions("r", "sub")
-    return map_arrow(dealt, work, "r long, data binary")
+            h = np.concatenate([np.frombuffer(row[4], "<u8") for row in group])
+            _, back, times = np.unique(h, return_inverse=True, return_counts=True)
+            hit, ends = times[back] > 1, np.cumsum([len(row[4]) // 8 for row in group])
+            rows = [(row[2], row[3], np.unique(h[i:j][hit[i:j]]).tobytes()) for row, i, j in zip(group, [0, *ends[:-1]], ends) if hit[i:j].any()]
+            if rows:
+                yield batch(out, dict(zip(out.names, zip(*rows))))
+
+    dealt = hot.select("r", "sub", "k1", "k2", "data").repartition(F.col("r"), F.col("sub")).sortWithinPartitions("r", "sub")
+    return map_arrow(dealt, work, "k1 long, k2 long, data binary")
 
 
 class RunLengthIndex:
@@ -366,46 +352,55 @@ def cover(marked: DataFrame, full: bool) -> DataFrame:
     """Applies the marks: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, in full, ``k1, k2`` and the ``kept`` text."""
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string()), ("k1", pa.int64()), ("k2", pa.int64())] * full)
 
-    def one(text: str, pos: list[int], cold: list[bytes] | None, hot: list[bytes] | None) -> tuple:
+    def one(text: str, cold: list[bytes] | None, hot: list[bytes] | None) -> tuple:
         data = text.encode()
-        if len(set(pos)) < len(pos):
-            spans = np.array([[0, len(data)]], np.int64)
-        else:
-            spans = np.frombuffer(b"".join(cold or []), "<i8").reshape(-1, 2)
-            if hot:
-                windows = grams(sums(data), LENGTH) | np.uint64(1)
-                starts = np.flatnonzero(np.isin(windows, np.frombuffer(b"".join(hot), "<u8")))
-                spans = np.concatenate((spans, spans_of(starts)))
-            spans = join_spans(spans)
+        spans = np.frombuffer(b"".join(cold or []), "<i8").reshape(-1, 2)
+        if hot:
+            windows = grams(sums(data), LENGTH)
+            starts = np.flatnonzero(np.isin(windows, np.frombuffer(b"".join(hot), "<u8")))
+            spans = np.concatenate((spans, spans_of(starts)))
+        spans = join_spans(spans)
         edges = [0, *spans.reshape(-1).tolist(), len(data)]
         kept = b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2]))
         return len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [one(*row) for row in zip(*(b.column(i).to_pylist() for i in range(1, 5)))]
+            found = [one(*row) for row in zip(*(b.column(i).to_pylist() for i in range(1, 4)))]
             names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-            yield batch(out, {"doc_id": b.column(0), "k1": b.column(5), "k2": b.column(6)} | ({k: list(v) for k, v in zip(names, zip(*found))} if found else {k: [] for k in names}))
+            yield batch(out, {"doc_id": b.column(0), "k1": b.column(4), "k2": b.column(5)} | ({k: list(v) for k, v in zip(names, zip(*found))} if found else {k: [] for k in names}))
 
-    return map_arrow(marked.select("doc_id", "text", "pos", "cold", "hot", "k1", "k2"), work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, k1 long, k2 long" * full)
+    return map_arrow(marked.select("doc_id", "text", "cold", "hot", "k1", "k2"), work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, k1 long, k2 long" * full)
 
 
 def report(docs: DataFrame, limit: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row."""
     found = candidates(docs.select("doc_id", "text"))
-    clean = found.where("text is null").select(
-        "doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256")
-    )
-    return cover(marks(found, limit), False).unionByName(clean)
+    whole = F.when(F.col("copies") > 1, 1).otherwise(0).cast("long")
+    sha = F.when(F.col("copies") > 1, F.sha2(F.lit(""), 256)).otherwise(F.col("sha"))
+    known = found.where("copies > 1 or text is null").select("doc_id", "n_bytes", (whole * F.col("n_bytes")).alias("n_removed"), whole.alias("n_spans"), sha.alias("kept_sha256"))
+    return cover(marks(found, limit), False).unionByName(known)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Every row; those with an anchor that occurs again keep their text and get ``pos, a, n, route`` of these anchors."""
+    """Every row with ``copies``, the number of rows that have its whole text, 1 for texts under LENGTH bytes.
+
+    Rows with an anchor that occurs again keep their text and get ``pos, a, n, route`` of these anchors; of copies only
+    those with the smallest id do, for the sake of other documents.
+    """
     keys = keyed(docs)
-    again = anchors(keys).groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("route")).where("n > 1")
+    # the route is the smallest place that holds the anchor: a document and a stretch of it
+    place = F.shiftleft("k1", 20) + F.least(F.shiftright("pos", 11), F.lit((1 << 20) - 1)).cast("long")
+    found = anchors(keys).withColumn("place", place)
+    count = F.when(F.min("k2") == F.max("k2"), 1).otherwise(F.count(F.lit(1)))  # of one text, as copies go on as one
+    again = found.groupBy("a").agg(F.count(F.lit(1)).alias("rows"), count.alias("n"), F.min("place").alias("route")).where("rows > 1").drop("rows")
     listed = anchors(keys).join(again, "a").groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "a", "n", "route")).alias("x"))
-    own = keyed(docs, "doc_id").join(listed, ["k1", "k2"], "left")
-    hit = F.col("x").isNotNull()
+    whole = ["k2", "crc", "n_bytes"]
+    marked = keys.select("k1", "k2", F.crc32("text").alias("crc"), F.octet_length("text").alias("n_bytes")).where(F.col("n_bytes") >= LENGTH)
+    groups = marked.groupBy(*whole).agg(F.count(F.lit(1)).alias("copies"), F.min("k1").alias("lead")).where("copies > 1")
+    copied = marked.join(groups, whole).groupBy("k1", "k2").agg(F.max("copies").alias("copies"), F.min("lead").alias("lead"))
+    own = keyed(docs, "doc_id").join(listed.join(copied, ["k1", "k2"], "left"), ["k1", "k2"], "left")
+    hit = F.col("x").isNotNull() & (F.coalesce("lead", "k1") == F.col("k1"))
     return settle(
         own.select(
             "k1",
@@ -413,23 +408,23 @@ def candidates(docs: DataFrame) -> DataFrame:
             F.col("doc_id").cast("long").alias("doc_id"),
             F.when(hit, F.col("text")).alias("text"),
             F.octet_length("text").cast("long").alias("n_bytes"),
-            F.when(~hit, F.sha2("text", 256)).alias("sha"),
-            *(F.col(f"x.{c}").alias(c) for c in ("pos", "a", "n", "route")),
+            F.coalesce("copies", F.lit(1)).alias("copies"),
+            F.when(~hit & F.col("copies").isNull(), F.sha2("text", 256)).alias("sha"),
+            *(F.when(hit, F.col(f"x.{c}")).alias(c) for c in ("pos", "a", "n", "route")),
         ),
         "candidates",
     )
 
 
 def marks(found: DataFrame, limit: int = HOT) -> DataFrame:
-    """Candidates with what was found repeated in them: ``cold`` spans and ``hot`` window hashes."""
+    """Candidates that are no copies, with what was found repeated in them: ``cold`` spans and ``hot`` window hashes."""
     some = found.where("text is not null")
     sent = settle(pieces(some, limit), "pieces")
-    again = settle(recount(sent.where("hot")), "hot")
-    holders = some.select("k1", "k2", F.explode(F.array_distinct(F.expr(f"transform(filter(arrays_zip(a, n), x -> x.n > {limit}), x -> x.a)"))).alias("r")).distinct()
-    hot = holders.join(again, "r").groupBy("k1", "k2").agg(F.collect_list("data").alias("hot"))
+    left = some.where("copies = 1")
+    hot = recount(sent.where("hot")).groupBy("k1", "k2").agg(F.collect_list("data").alias("hot"))
     cold = mark(sent.where("not hot")).groupBy("k1", "k2").agg(F.collect_list("data").alias("cold"))
     both = cold.join(hot, ["k1", "k2"], "full")
-    return some.select("k1", "k2", "doc_id", "text", "pos").join(both, ["k1", "k2"], "left")
+    return left.select("k1", "k2", "doc_id", "text").join(both, ["k1", "k2"], "left")
 
 
 def remove(docs: DataFrame, limit: int = HOT) -> DataFrame:
@@ -438,8 +433,9 @@ def remove(docs: DataFrame, limit: int = HOT) -> DataFrame:
     A cut may fall inside a character; what is left of it goes as well.
     """
     found = candidates(docs.select("doc_id", "text"))
-    cut = cover(marks(found, limit), True).where("n_removed > 0").select("k1", "k2", F.col("kept").alias("_kept")).dropDuplicates(["k1", "k2"])
-    own = docs.withColumns({"k1_": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "k2_": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    cut = cut.select(F.col("k1").alias("k1_"), F.col("k2").alias("k2_"), "_kept")
+    cut = cover(marks(found, limit), True).where("n_removed > 0").select("k1", "k2", F.col("kept").alias("_kept"))
+    cut = cut.unionByName(found.where("copies > 1").select("k1", "k2", F.lit("").alias("_kept"))).groupBy("k1", "k2").agg(F.min("_kept").alias("_kept"))
+    own = docs.withColumns({"_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_k2": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    cut = cut.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_kept")
     text = F.coalesce(F.col("_kept"), F.col("text"))
-    return own.join(cut, ["k1_", "k2_"], "left").select(*(text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    return own.join(cut, ["_k1", "_k2"], "left").select(*(text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
