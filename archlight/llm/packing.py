@@ -109,15 +109,14 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
     bins, offsets, used = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
     for i, size in enumerate(lengths.tolist()):
-        # half the change of the sum of squares if the piece goes to gap h: the count at h falls, that at h - size grows
-        left = open_bins[: capacity - size]
+        # the change of the sum of squares if the piece goes to gap h: the count at h falls, that at h - size grows
         gaps = open_bins[size:capacity]
-        change = np.where(gaps > 0, left - gaps + 1, np.iinfo(np.int64).max)
+        change = np.where(gaps > 0, 2 * (open_bins[: capacity - size] - gaps + 1), np.iinfo(np.int64).max)
         if len(change) and gaps[0] > 0:
-            change[0] = -gaps[0]  # a bin that becomes full is no longer counted
+            change[0] = 1 - 2 * gaps[0]  # a bin that becomes full is no longer counted
         best = int(change.argmin()) if len(change) else 0
-        fresh = int(open_bins[capacity - size]) if size < capacity else 0
-        if len(change) and change[best] < np.iinfo(np.int64).max and 2 * change[best] <= 2 * fresh + 1:
+        fresh = 2 * int(open_bins[capacity - size]) + 1 if size < capacity else 0
+        if len(change) and change[best] <= fresh and gaps[best] > 0:
             gap = size + best
             bin_ = stacks[gap].pop()
             open_bins[gap] -= 1
