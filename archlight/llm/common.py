@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. Texts may be long, so the row bound is low and a byte bound stands beside it.
@@ -74,3 +74,15 @@ def keyed(docs: DataFrame, *extra: str) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"), *extra)
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """All columns in one, ``row``, so that an operator's own names cannot clash with them."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def unboxed(df: DataFrame, columns: list[str], text: Column | None = None) -> DataFrame:
+    """The columns of a boxed frame again; with ``text`` that replaces the text and its length."""
+    row = F.col("row")
+    new = {"text": text, "n_chars": F.length(text).cast("long")} if text is not None else {}
+    return df.select(*(new.get(c, row[c]).alias(c) for c in columns))

@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, settle, texts_of
+from .common import batch, boxed, map_arrow, settle, texts_of, unboxed
 
 SHINGLE = 5
 COORDINATES = 512
@@ -336,8 +336,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """One document of each group, with all its columns; rows with null ids all stay, repeated rows of a kept id are one."""
-    kept: Column = F.col("component") == F.col("doc_id")
-    ids = link(docs).where(kept).select(F.col("doc_id").alias("_keep")).distinct()
-    own = docs.withColumn("_keep", F.col("doc_id").cast("long"))
-    one = own.where("_keep is not null").join(ids, "_keep", "left_semi").dropDuplicates(["_keep"])
-    return one.unionByName(own.where("_keep is null")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    ids = link(docs).where("component = doc_id").select(F.col("doc_id").alias("id")).distinct()
+    own = boxed(docs).withColumn("id", F.col("row")["doc_id"].cast("long"))
+    one = own.where("id is not null").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return unboxed(one.unionByName(own.where("id is null")), docs.columns)

@@ -16,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import boxed, unboxed
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 NO_SYMBOL = r"[^#*$%&|<>]+"
@@ -80,50 +82,49 @@ def line_fails(line: Column) -> Column:
     )
 
 
-def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and one struct ``_rules``: the counts, the verdicts and the cleaned text."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def judge(docs: DataFrame) -> DataFrame:
+    """``row``, all columns of ``docs``, and ``rules``: the counts, the verdicts and the cleaned text."""
+    text = F.col("row")["text"]
+    t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit(WORD)))
     good = F.filter(F.split(t, "\n"), lambda x: ~F.rlike(x, F.lit(WORD)) | ~line_fails(x))
-    counted = docs.withColumn(
-        "_rules",
+    counted = boxed(docs).select(
+        "row",
         F.struct(
             let(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias("w"),
             word_chars(t).cast("long").alias("word_chars"),
             symbols(t).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             F.array_join(good, "\n").alias("cleaned"),
-        ),
-    ).withColumn("_once", F.spark_partition_id())  # keeps the optimizer from computing the struct again in filters and later projections
-    r = F.col("_rules")
-    with_base = counted.withColumn(
-        "_rules",
-        F.struct(
-            r["w"]["n_words"].alias("n_words"),
-            r["word_chars"].alias("word_chars"),
-            r["n_symbols"].alias("n_symbols"),
-            r["n_dup_lines"].alias("n_dup_lines"),
-            r["w"]["n_repeat_words"].alias("n_repeat_words"),
-            ((r["w"]["n_words"] < MIN_WORDS) | (r["w"]["n_repeat_words"] * 100 > r["w"]["n_words"] * MAX_REPEAT_PERCENT)).alias("base_failed"),
-            (r["word_chars"] - word_chars(r["cleaned"])).cast("long").alias("lost_chars"),
-            F.when(F.col(text).isNotNull(), r["cleaned"]).alias("cleaned"),
-        ),
+        ).alias("r"),
+        F.spark_partition_id().alias("once"),  # keeps the optimizer from computing the struct again in filters and later projections
+    )
+    r = F.col("r")
+    base = (r["w"]["n_words"] < MIN_WORDS) | (r["w"]["n_repeat_words"] * 100 > r["w"]["n_words"] * MAX_REPEAT_PERCENT)
+    lost = (r["word_chars"] - word_chars(r["cleaned"])).cast("long")
+    rules = F.struct(
+        r["w"]["n_words"].alias("n_words"),
+        r["word_chars"].alias("word_chars"),
+        r["n_symbols"].alias("n_symbols"),
+        r["n_dup_lines"].alias("n_dup_lines"),
+        r["w"]["n_repeat_words"].alias("n_repeat_words"),
+        base.alias("base_failed"),
+        lost.alias("lost_chars"),
+        (~base & (lost * 100 <= r["word_chars"] * MAX_LOST_PERCENT)).alias("kept"),
+        F.when(text.isNotNull(), r["cleaned"]).alias("cleaned"),
     )
-    kept = ~r["base_failed"] & (r["lost_chars"] * 100 <= r["word_chars"] * MAX_LOST_PERCENT)
-    return with_base.drop("_once").withColumn("_rules", r.withField("kept", kept))
+    return counted.select("row", rules.alias("rules"))
 
 
 def measure(docs: DataFrame) -> DataFrame:
     """One row of counts and verdicts per document, without its text."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "kept")
-    return judge(docs.select("doc_id", "text")).select("doc_id", *(F.col("_rules")[n].alias(n) for n in names))
+    return judge(docs.select("doc_id", "text")).select(F.col("row")["doc_id"].alias("doc_id"), *(F.col("rules")[n].alias(n) for n in names))
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, with failing lines removed from ``text`` and ``n_chars`` counted anew."""
-    judged = judge(docs).where(F.col("_rules")["kept"])
-    text = F.col("_rules")["cleaned"]
-    return judged.select(*(text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    return unboxed(judge(docs).where(F.col("rules")["kept"]), docs.columns, F.col("rules")["cleaned"])
 
 
 _W = r"[^\x20\x09-\x0D]+"

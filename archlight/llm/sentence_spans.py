@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import boxed, keyed, unboxed
 
 SPAN = 3
 UNIT_WORDS = 16
@@ -61,30 +61,32 @@ def find(docs: DataFrame, span: int = SPAN) -> DataFrame:
     return hit.select("k1", "k2", F.sort_array(F.array_distinct(covered)).alias("gone")).where(F.size("gone") > 0)
 
 
-def remove(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """All columns of ``docs`` with ``text`` cleaned, and a struct ``_spans`` with ``n_sentences, n_removed, removed_chars``."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.withColumns({"_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_k2": F.xxhash64(t)})
-    found = find(docs, span).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("gone").alias("_gone"))
-    joined = own.join(found, ["_k1", "_k2"], "left")
-    units, gone = sentences(t), F.col("_gone")
+def applied(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """``row``, all columns of ``docs``, and ``n_sentences, n_removed, cleaned``."""
+    raw = F.col("row")["text"]
+    t = F.coalesce(raw, F.lit(""))
+    own = boxed(docs).select("row", F.coalesce(F.col("row")["doc_id"].cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(t).alias("k2"))
+    joined = own.join(find(docs, span), ["k1", "k2"], "left")
+    units, gone = sentences(t), F.col("gone")
 
     def kept(u: Column) -> Column:
         left = F.array_except(F.sequence(F.lit(0), F.size(u) - 1), gone)
         return F.array_join(F.transform(left, lambda i: F.get(u, i)), "")
 
-    text = F.when(gone.isNull(), F.col("text")).otherwise(F.get(F.transform(F.array(units), kept), F.lit(0)))
-    out = joined.withColumn("_spans", F.struct(F.size(units).cast("long").alias("n_sentences"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), text.alias("text")))
-    s = F.col("_spans")
-    columns = [s["text"].alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    removed = F.length(t) - F.length(F.coalesce(s["text"], F.lit("")))
-    return out.select(*columns, F.struct(s["n_sentences"].alias("n_sentences"), s["n_removed"].alias("n_removed"), removed.cast("long").alias("removed_chars")).alias("_spans"))
+    cleaned = F.when(gone.isNull(), raw).otherwise(F.get(F.transform(F.array(units), kept), F.lit(0)))
+    return joined.select("row", F.size(units).cast("long").alias("n_sentences"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), cleaned.alias("cleaned"))
+
+
+def remove(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """All columns of ``docs`` with repeated sentences removed from ``text`` and ``n_chars`` counted anew where there is one."""
+    return unboxed(applied(docs, span), docs.columns, F.col("cleaned"))
 
 
 def report(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """``doc_id, n_sentences, n_removed, removed_chars, text`` for every document."""
-    done = remove(docs.select("doc_id", "text"), span)
-    return done.select(F.col("doc_id").cast("long").alias("doc_id"), "_spans.*", "text")
+    t = F.coalesce(F.col("row")["text"], F.lit(""))
+    removed = F.length(t) - F.length(F.coalesce("cleaned", F.lit("")))
+    return applied(docs.select("doc_id", "text"), span).select(F.col("row")["doc_id"].cast("long").alias("doc_id"), "n_sentences", "n_removed", removed.cast("long").alias("removed_chars"), F.col("cleaned").alias("text"))
 
 
 ORACLE = rf"""

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import boxed, settle, unboxed
 from .quality_rules import WORD, let, symbols
 
 #: Labelled rows to fit on, at most.
@@ -95,16 +95,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def evidence(docs: DataFrame, model: Model, host: str = "source", path: str = "lang") -> DataFrame:
-    """All columns of ``docs`` and ``_host, _path, _words, _p``: the groups' keys and the document's own probability."""
+    """``row``, all columns of ``docs``, and ``_host, _path, _words, _p``: the groups' keys and the document's own probability."""
+    row = F.col("row")
 
     def key(c: str) -> Column:
-        value = F.col(f"`{c}`").cast("string")
+        value = row[c].cast("string")
         return F.when(value.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), value))
 
-    own = docs.select("*", key(host).alias("_host"), key(path).alias("_path"), features(F.col("text")).alias("_x"), F.spark_partition_id().alias("_once"))
-    logit = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), model.logit(F.col("_x"))))
-    # _once keeps projections and filters apart, so that features are computed once
-    return own.select(*(F.col(f"`{c}`") for c in docs.columns), "_host", "_path", F.col("_x")["n_words"].alias("_words"), (1 / (1 + F.exp(-logit))).alias("_p"))
+    # once keeps projections and filters apart, so that features are computed once
+    own = boxed(docs).select("row", key(host).alias("_host"), key(path).alias("_path"), features(row["text"]).alias("x"), F.spark_partition_id().alias("once"))
+    logit = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), model.logit(F.col("x"))))
+    return own.select("row", "_host", "_path", F.col("x")["n_words"].alias("_words"), (1 / (1 + F.exp(-logit))).alias("_p"))
 
 
 def strength(spread: float, mean: float) -> float:
@@ -149,7 +150,7 @@ def score(own: DataFrame, found: tuple[DataFrame, float, float, float]) -> DataF
 def report(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """``doc_id, n_words, p_document, host_posterior, path_posterior, p_quality, kept`` for every document."""
     model = train(docs, labels)
-    own = settle(evidence(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", host, path), model, host, path).select("doc_id", "_host", "_path", "_words", "_p"), "evidence")
+    own = settle(evidence(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", host, path), model, host, path).select(F.col("row")["doc_id"].alias("doc_id"), "_host", "_path", "_words", "_p"), "evidence")
     done = score(own, sites(own))
     names = {"_words": "n_words", "_p": "p_document", "_host_p": "host_posterior", "_path_p": "path_posterior", "_final": "p_quality", "_kept": "kept"}
     return done.select("doc_id", *(F.col(k).alias(v) for k, v in names.items()))
@@ -158,4 +159,4 @@ def report(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 def keep(docs: DataFrame, model: Model, host: str = "source", path: str = "lang") -> DataFrame:
     """The documents that the classifier keeps, with their own columns."""
     groups = sites(evidence(docs.select("text", host, path), model, host, path).select("_host", "_path", "_words", "_p"))
-    return score(evidence(docs, model, host, path), groups).where("_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return unboxed(score(evidence(docs, model, host, path), groups).where("_kept"), docs.columns)
