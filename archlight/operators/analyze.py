@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archlight.functions import predicates as P
 from archlight.functions import text as X
 
 from . import merging
@@ -49,3 +50,53 @@ def analyze_text(m: DataFrame, size: int = 1024, max_chunks: int = 0, model: Mod
     found = by_model(parts, model) if model else rules(parts)
     merged = merging.merge_text(found, "key")
     return some.select(F.col("manifest_idx").alias("key")).join(merged, "key", "left").select("key", F.coalesce("summary", F.lit(UNAVAILABLE)).alias("summary"), F.coalesce("people", F.array().cast("array<string>")).alias("people"))
+
+
+#: Categories of an estate and words that speak of them, for the default rules.
+ESTATE_WORDS = {"Legal": "will|trust|deed|attorney", "Financial": "account|bank|pension|stock", "Insurance": "insurance|policy", "Digital": "password|login|domain", "Medical": "hospital|doctor|prescription", "Personal": "letter|photo|diary"}
+RED_FLAGS = "unreported|offshore|late filing|penalty|overdue|shell company"
+
+
+def text_parts(m: DataFrame, gate: Column, size: int = 1024) -> DataFrame:
+    """Chunks of the texts that pass a cheap native gate; the costly step runs on these only."""
+    text = F.col("extracted_text")
+    pieces = F.when(F.octet_length(text) <= SINGLE_BYTES, F.array(text)).otherwise(X.chunks(text, size))
+    return m.where(P.has_text() & gate).select(F.col("manifest_idx").alias("key"), F.posexplode(pieces).alias("chunk", "chunk_text"))
+
+
+def with_all(m: DataFrame, found: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """A row for every file; those without text or behind the gate get the defaults."""
+    return m.select(F.col("manifest_idx").alias("key")).join(found, "key", "left").select("key", *(F.coalesce(F.col(c), d).alias(c) for c, d in defaults.items()))
+
+
+def analyze_passwords(m: DataFrame) -> DataFrame:
+    """``key, passwords, contains_password``: matches of the secret rules as entries; a text without any, and no text, is false."""
+    text = F.coalesce(F.col("extracted_text"), F.lit(""))
+    entry = lambda k: lambda s: F.struct(F.lit(k).alias("context"), s.alias("password"))
+    rules = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), entry(k)) for k, p in X.SECRET_RULES.items()]
+    found = m.select(F.col("manifest_idx").alias("key"), X.good_passwords(F.concat(*rules)).alias("passwords"))
+    return found.withColumn("contains_password", F.size("passwords") > 0)
+
+
+def analyze_financial(m: DataFrame) -> DataFrame:
+    """``key, red_flags, has_red_flags, confidence`` of files that speak of money; others have none."""
+    parts = text_parts(m, P.financial())
+    flags = F.array_distinct(F.regexp_extract_all(F.lower("chunk_text"), F.lit(f"({RED_FLAGS})"), F.lit(1)))
+    rated = parts.withColumns({"red_flags": flags, "items": F.array().cast("array<string>")}).withColumn("confidence", F.least(F.size("red_flags") * 20, F.lit(100)))
+    none = F.array().cast("array<string>")
+    return with_all(m, merging.merge_financial(rated, "key").drop("items"), {"red_flags": none, "has_red_flags": F.lit(False), "confidence": F.lit(0)})
+
+
+def analyze_estate(m: DataFrame) -> DataFrame:
+    """``key, category, items``: lines of relevant texts by category, each once."""
+    anything = F.rlike(F.lower("extracted_text"), F.lit(rf"\b({'|'.join(ESTATE_WORDS.values())})\b"))
+    parts = text_parts(m, F.coalesce(anything, F.lit(False)))
+    lines = lambda k, p: F.transform(F.filter(F.split("chunk_text", r"\n|(?<=[.!?])\s"), lambda s: F.rlike(F.lower(s), F.lit(rf"\b({p})\b"))), lambda s: F.struct(F.lit(k).alias("category"), F.trim(s).alias("item")))
+    return merging.merge_estate(parts.withColumn("entries", F.concat(*(lines(k, p) for k, p in ESTATE_WORDS.items()))), "key")
+
+
+def analyze_access(m: DataFrame, tables: DataFrame) -> DataFrame:
+    """``manifest_idx, extracted_text, summary``: the text of a file's tables behind its own, a summary from it if there is none; ``tables`` has ``manifest_idx, table_text``."""
+    joined = m.join(tables, "manifest_idx", "left")
+    text = X.append_unless_contained(F.col("extracted_text"), F.col("table_text"))
+    return joined.select("manifest_idx", text.alias("extracted_text"), F.when(F.coalesce(F.col("summary"), F.lit("")) == "", X.summary(F.col("table_text"))).otherwise(F.col("summary")).alias("summary"))

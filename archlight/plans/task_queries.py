@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from archlight.functions import predicates as P
 from archlight.functions import tasks as K
 from archlight.functions import text as X
 from archlight.operators import analyze, merging, metrics
@@ -135,6 +136,28 @@ def analyze_text(spark, sf):
     return analyze.analyze_text(manifest(spark, sf)).select("key", "summary", F.array_join("people", ",").alias("people"))
 
 
+@query(M + r"SELECT manifest_idx AS key, len(regexp_extract_all(coalesce(extracted_text, ''), '\b[0-9a-f]{40}\b')) + len(regexp_extract_all(coalesce(extracted_text, ''), '(?i)\bpass(?:word|wd)?\s*[:=]\s*\S+')) + len(regexp_extract_all(coalesce(extracted_text, ''), '-----BEGIN [A-Z ]*PRIVATE KEY-----')) AS n FROM m")
+def password_detection(spark, sf):
+    return analyze.analyze_passwords(manifest(spark, sf)).select("key", F.size("passwords").cast("long").alias("n"))
+
+
+@query(M + "SELECT manifest_idx AS key, CAST(NULL AS VARCHAR) AS flags, 0 AS confidence FROM m WHERE NOT (contains(lower(coalesce(extracted_text, '')), 'financial') OR contains(lower(coalesce(extracted_text, '')), 'account'))", name="financial_gate_closed")
+def financial_gate_closed(spark, sf):
+    m = manifest(spark, sf)
+    none = analyze.analyze_financial(m).where("size(red_flags) = 0").select("key", F.lit(None).cast("string").alias("flags"), "confidence")
+    return none.join(m.where(~P.financial()).select(F.col("manifest_idx").alias("key")), "key", "left_semi")
+
+
+@query()
+def financial_analysis(spark, sf):
+    return analyze.analyze_financial(manifest(spark, sf)).select("key", F.array_join("red_flags", ",").alias("red_flags"), "has_red_flags", "confidence")
+
+
+@query()
+def estate_analysis(spark, sf):
+    return analyze.analyze_estate(manifest(spark, sf))
+
+
 # JSON and normalisers
 
 @query("SELECT event_id, props AS reply FROM events")

@@ -82,3 +82,45 @@ def log_unprocessed(rows: DataFrame, path: str) -> None:
 def read_list(spark: SparkSession, path: str) -> DataFrame:
     """A reprocess list: a JSON array; entries without a path are left out."""
     return spark.read.schema("file_path string").option("multiLine", "true").json(path).where("file_path is not null").withColumn("list_idx", F.monotonically_increasing_id())
+
+
+def snapshot(spark: SparkSession, path: str, folder: str, stamp: str, tries: int = 100) -> str:
+    """A copy of a catalog file under a name that is not taken."""
+    fs, source = hadoop(spark, path)
+    _, target = hadoop(spark, folder)
+    fs.mkdirs(target)
+    for k in range(tries):
+        name = f"{folder}/catalog-{stamp}{f'-{k}' if k else ''}.json"
+        _, p = hadoop(spark, name)
+        if not fs.exists(p):
+            spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, fs, p, False, spark.sparkContext._jsc.hadoopConfiguration())
+            return name
+    raise RuntimeError(f"no free name in {folder}")
+
+
+def valid_snapshots(spark: SparkSession, folder: str, delete: bool = False) -> list[str]:
+    """Snapshots that can be read, the newest first; empty and broken ones are left out and, if asked for, deleted."""
+    fs, p = hadoop(spark, folder)
+    found = sorted(((s.getModificationTime(), s.getPath().toString(), s.getLen()) for s in fs.listStatus(p) if s.getPath().getName().endswith(".json")), reverse=True)
+    good = []
+    for _, path, size in found:
+        try:
+            if not size:
+                raise ValueError(path)
+            read_json(spark, path)
+            good.append(path)
+        except ValueError:
+            if delete:
+                fs.delete(hadoop(spark, path)[1], False)
+    return good
+
+
+def recover(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """The catalog; if it is broken, the newest snapshot that can be read."""
+    try:
+        return read_json(spark, path)
+    except ValueError:
+        good = valid_snapshots(spark, folder)
+        if not good:
+            raise RuntimeError(f"neither {path} nor a snapshot can be read") from None
+        return read_json(spark, good[0])

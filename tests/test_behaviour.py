@@ -330,3 +330,40 @@ def test_analyze(spark):
     got = {r["summary"][:5] for r in analyze.analyze_text(m).collect()}
     assert len(got) == 2
     assert {r["summary"] for r in analyze.analyze_text(m, model=lambda t: 1 / 0).collect()} == {analyze.UNAVAILABLE}
+
+
+def test_default_models(spark):
+    m = frame(spark, record(extracted_text="My bank account has a penalty. The will is with the attorney. password: hunter2"), record(extracted_text=None), record(extracted_text="plain"))
+    ids = [r["manifest_idx"] for r in m.orderBy("manifest_idx").collect()]
+    got = {r["key"]: r for r in analyze.analyze_passwords(m).collect()}
+    assert [got[i]["contains_password"] for i in ids] == [True, False, False] and got[ids[0]]["passwords"][0]["password"] == "password: hunter2"
+    money = {r["key"]: r for r in analyze.analyze_financial(m).collect()}
+    assert money[ids[0]]["red_flags"] == ["penalty"] and money[ids[0]]["confidence"] == 20 and not money[ids[1]]["has_red_flags"]
+    estate = {(r["category"], r["items"]) for r in analyze.analyze_estate(m).collect()}
+    assert ("Legal", "The will is with the attorney.") in estate and ("Financial", "My bank account has a penalty.") in estate
+    tables = m.select("manifest_idx", F.lit("A: 1 2").alias("table_text"))
+    assert {r["extracted_text"] for r in analyze.analyze_access(m, tables).collect()} == {"A: 1 2", "plain\n\nA: 1 2", "My bank account has a penalty. The will is with the attorney. password: hunter2\n\nA: 1 2"}
+
+
+def test_small_rules(spark):
+    assert X.adaptive_limit([5000], 8192, 8192) == 4096 and X.adaptive_limit([5000], 8192, 4096) == 2048 and X.adaptive_limit([5000], 200, 10) == 128
+    frames = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    assert one(spark, X.video_summary(frames(), F.lit(True))).startswith("No frames") and one(spark, X.video_summary(frames("a"), F.lit(False))) == "a" and one(spark, X.video_summary(frames("a", "b", "c", "d"), F.lit(True))) == "a b c"
+    assert one(spark, X.append_unless_contained(F.lit("abc"), F.lit("b"))) == "abc"
+    assert one(spark, retrieval.selected_frames(F.lit(3), F.lit(30.0), 1)) == [0] and one(spark, retrieval.any_frame_nsfw(frames("sfw"), F.lit(None).cast("boolean"))) is None
+
+
+def test_snapshots(spark, tmp_path):
+    path, folder = str(tmp_path / "m.json"), str(tmp_path / "snaps")
+    with open(path, "w") as f:
+        json.dump([record()], f)
+    first, second = (catalog_files.snapshot(spark, path, folder, "x") for _ in range(2))
+    assert first != second
+    with open(f"{folder}/empty.json", "w"), open(f"{folder}/broken.json", "w") as f:
+        f.write("{no")
+    assert len(catalog_files.valid_snapshots(spark, folder, delete=True)) == 2 and not os.path.exists(f"{folder}/empty.json")
+    with open(path, "w") as f:
+        f.write("{no")
+    assert catalog_files.recover(spark, path, folder).count() == 1
+    with pytest.raises(RuntimeError):
+        catalog_files.recover(spark, path, str(tmp_path))
