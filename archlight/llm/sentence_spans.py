@@ -1,8 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences: after stops that white space follows, at line ends, and, inside a longer sentence, after
-every ``UNIT_WORDS`` words. Every run of ``span`` consecutive sentences is hashed. Runs of fewer than ``MIN_CHARS``
-characters say too little and do not count. Hashes are counted over all documents, with partial
+every ``UNIT_WORDS`` words. Every run of ``span`` consecutive sentences is hashed. A run of fewer than ``MIN_CHARS``
+characters says too little: it is made longer by doubling, up to eight times, and does not count if that is not enough. Hashes are counted over all documents, with partial
 counts before the shuffle; a run that occurs again is *first* in the document with the smallest id, at its first place
 there. All sentences that any other occurrence of a repeated run covers are removed.
 
@@ -21,6 +21,8 @@ from .common import boxed, keyed, unboxed
 SPAN = 3
 UNIT_WORDS = 16
 MIN_CHARS = 40
+#: Where sentences are so short that a run has fewer characters, it is so many times as long.
+GROWTH = (1, 2, 4, 8)
 #: Where a sentence ends, and what lies between two ends: up to UNIT_WORDS words with the white space behind them.
 END_OF_SENTENCE = r"([.!?][\x20\x09-\x0D]+|\n)"
 UNIT = rf"(?:[^\x1e\x20\x09-\x0D]+[\x20\x09-\x0D]*){{1,{UNIT_WORDS}}}"
@@ -33,31 +35,36 @@ def sentences(text: Column) -> Column:
 
 
 def spans(units: Column, span: int) -> Column:
-    """``pos, h`` of every run of ``span`` sentences, without the white space between them; ``pos`` counts from 0."""
+    """``pos, k, h`` of the run that begins at every sentence, without the white space between; ``pos`` counts from 0."""
     bare = F.transform(units, lambda u: F.btrim(u, F.lit(BLANKS)))
 
     def runs(b: Column) -> Column:
-        made = F.transform(
-            F.slice(b, 1, F.greatest(F.size(b) - (span - 1), F.lit(0))),
-            lambda _, i: F.struct(i.alias("pos"), F.concat_ws("\n", *(F.get(b, i + k) for k in range(span))).alias("run")),
-        )
-        long = F.filter(made, lambda r: F.length(r["run"]) >= MIN_CHARS)
-        return F.transform(long, lambda r: F.struct(r["pos"].alias("pos"), F.xxhash64(r["run"]).alias("h")))
+        def begin(i: Column) -> Column:
+            """The shortest of the run lengths that gives enough characters and does not pass the text's end."""
+            found = None
+            for k in (span * x for x in GROWTH):
+                run = F.concat_ws("\n", F.slice(b, i + 1, k))
+                ok = (i + k <= F.size(b)) & (F.length(run) >= MIN_CHARS)
+                one = F.struct(i.alias("pos"), F.lit(k).alias("k"), F.xxhash64(run).alias("h"))
+                found = F.when(ok, one) if found is None else found.when(ok, one)
+            return found
+
+        return F.filter(F.transform(F.slice(b, 1, F.greatest(F.size(b) - (span - 1), F.lit(0))), lambda _, i: begin(i)), lambda r: r.isNotNull())
 
     return F.get(F.transform(F.array(bare), runs), F.lit(0))
 
 
 def find(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """``k1, k2, gone``: for each document that loses sentences, their positions in ascending order."""
-    posted = keyed(docs).select("k1", "k2", F.explode(spans(sentences(F.col("text")), span)).alias("s")).select("k1", "k2", "s.pos", "s.h")
+    posted = keyed(docs).select("k1", "k2", F.explode(spans(sentences(F.col("text")), span)).alias("s")).select("k1", "k2", "s.pos", "s.k", "s.h")
     again = posted.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("first")).where("n > 1").select("h", "first")
-    hit = posted.join(again, "h").groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("h", "pos", "first"))).alias("hits"))
+    hit = posted.join(again, "h").groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("h", "pos", "k", "first"))).alias("hits"))
     k1 = F.col("k1")
 
     def later(hits: Column) -> Column:
         return F.filter(hits, lambda x, i: (x["first"] != k1) | (i > 0) & (x["h"] == F.get(hits, F.greatest(i - 1, F.lit(0)))["h"]))
 
-    covered = F.flatten(F.transform(later(F.col("hits")), lambda x: F.sequence(x["pos"], x["pos"] + (span - 1))))
+    covered = F.flatten(F.transform(later(F.col("hits")), lambda x: F.sequence(x["pos"], x["pos"] + x["k"] - 1)))
     return hit.select("k1", "k2", F.sort_array(F.array_distinct(covered)).alias("gone")).where(F.size("gone") > 0)
 
 
@@ -99,12 +106,16 @@ WITH cut AS (
 ), bare AS (
   SELECT *, trim(unit, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS b FROM units
 ), runs AS (
-  SELECT doc_id, pos, b || chr(10) || lead(b, 1) OVER w || chr(10) || lead(b, 2) OVER w AS run FROM bare
-  WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+  SELECT doc_id, pos, k, string_agg(b, chr(10)) OVER w3 AS r3, string_agg(b, chr(10)) OVER w6 AS r6, string_agg(b, chr(10)) OVER w12 AS r12, string_agg(b, chr(10)) OVER w24 AS r24
+  FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) - pos AS k FROM bare)
+  WINDOW w3 AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), w6 AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING),
+    w12 AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING), w24 AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING)
+), chosen AS (
+  SELECT doc_id, pos, CASE WHEN k >= 3 AND length(r3) >= {MIN_CHARS} THEN 3 WHEN k >= 6 AND length(r6) >= {MIN_CHARS} THEN 6 WHEN k >= 12 AND length(r12) >= {MIN_CHARS} THEN 12 WHEN k >= 24 AND length(r24) >= {MIN_CHARS} THEN 24 END AS k, r3, r6, r12, r24 FROM runs
 ), ranked AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS r FROM runs WHERE length(run) >= {MIN_CHARS}
+  SELECT doc_id, pos, k, row_number() OVER (PARTITION BY CASE k WHEN 3 THEN r3 WHEN 6 THEN r6 WHEN 12 THEN r12 ELSE r24 END ORDER BY doc_id, pos) AS r FROM chosen WHERE k IS NOT NULL
 ), gone AS (
-  SELECT DISTINCT doc_id, pos + k AS pos FROM ranked, (SELECT unnest([0, 1, 2]) AS k) WHERE r > 1
+  SELECT DISTINCT doc_id, pos + d AS pos FROM ranked, (SELECT unnest(range(24)) AS d) WHERE r > 1 AND d < k
 ), kept AS (
   SELECT doc_id, count(*) AS n_sentences, count(g.pos) AS n_removed,
     coalesce(string_agg(CASE WHEN g.pos IS NULL THEN unit END, '' ORDER BY pos), '') AS left_text
