@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archlight.functions import schema as S
 
 DIMENSION = 768
 CHAT_K, CLI_K = 3, 5
@@ -101,4 +100,3 @@ def selected_frames(n: Column, fps: Column, every: int = 10) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1, step)).otherwise(F.array().cast("array<int>"))
 
 
-STATUS_DONE = S.COMPLETE
