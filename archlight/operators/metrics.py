@@ -91,4 +91,4 @@ def retain_tiered(snapshots: DataFrame, now: datetime, limit: int = TIERED) -> D
         part = part.sort_values(["modified", "name"], ascending=[False, True], ignore_index=True)
         return part.assign(kept=tiers([t.to_pydatetime() for t in part["modified"]], now, limit))[["archive", "name", "modified", "kept"]]
 
-    return snapshots.select("archive", "name", "modified").groupBy("archive").applyInPandas(work, "archive string, name string, modified timestamp, kept boolean")
+    return snapshots.select("archive", "name", "modified").groupBy("archive").applyInPandas(work, snapshots.select("archive", "name", "modified").schema.add("kept", "boolean"))

@@ -118,17 +118,17 @@ def search_term_fallback(spark, sf):
     return ids(P.search_with_fallback(manifest(spark, sf), "/77"))
 
 
-@query(M + "SELECT manifest_idx, file_path FROM m WHERE manifest_idx % 17 = 3")
+@query(M + "SELECT manifest_idx, file_path FROM m WHERE has_financial_red_flags")
 def reprocess_selection(spark, sf):
     m = manifest(spark, sf)
-    listed = m.where("manifest_idx % 17 = 3").select("file_path")
+    listed = m.where("has_financial_red_flags").select("file_path")
     return C.reprocess(listed, m).select("manifest_idx", "file_path")
 
 
-@query(M + "SELECT file_path || '.old' AS file_path FROM m WHERE manifest_idx % 17 = 3")
+@query(M + "SELECT file_path || '.old' AS file_path FROM m WHERE has_financial_red_flags")
 def reprocess_missing(spark, sf):
     m = manifest(spark, sf)
-    listed = m.where("manifest_idx % 17 = 3").select(F.explode(F.array("file_path", F.concat("file_path", F.lit(".old")))).alias("file_path"))
+    listed = m.where("has_financial_red_flags").select(F.explode(F.array("file_path", F.concat("file_path", F.lit(".old")))).alias("file_path"))
     return C.reprocess_missing(listed, m)
 
 

@@ -86,13 +86,14 @@ def context_packing(spark, sf):
 
 
 @query(
-    PACKED + f", x AS (SELECT string_agg(entry, chr(10) ORDER BY place) AS context FROM k WHERE source = 'src0'), h AS (SELECT conv_id, turn, text, {PAST} AS history FROM conversations) "
-    "SELECT conv_id, turn, CASE WHEN history <> '' THEN 'Earlier turns:' || chr(10) || history || chr(10) || chr(10) ELSE '' END || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || text AS prompt FROM h, x"
+    PACKED + f", x AS (SELECT source, string_agg(entry, chr(10) ORDER BY place) AS context FROM k GROUP BY source), h AS (SELECT conv_id, turn, text, 'src' || conv_id % 20 AS source, {PAST} AS history FROM conversations) "
+    "SELECT conv_id, turn, CASE WHEN history <> '' THEN 'Earlier turns:' || chr(10) || history || chr(10) || chr(10) ELSE '' END || 'Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || text AS prompt FROM h LEFT JOIN x USING (source)"
 )
 def rag_prompt(spark, sf):
-    packed = R.pack_context(ranked(spark, sf).where("source = 'src0'"), "source", "place", "entry")
-    context = packed.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "entry"))), lambda x: x["entry"]), "\n").alias("context"))  # one row of bounded length
-    return R.history(chat(spark, sf)).join(F.broadcast(context)).select("conv_id", "turn", R.prompt(F.col("text"), F.col("context"), F.col("history")).alias("prompt"))
+    packed = R.pack_context(ranked(spark, sf), "source", "place", "entry")
+    context = packed.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "entry"))), lambda x: x["entry"]), "\n").alias("context"))  # of bounded length
+    asked = R.history(chat(spark, sf)).withColumn("source", F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")))  # each conversation asks about one source
+    return asked.join(context, "source", "left").select("conv_id", "turn", R.prompt(F.col("text"), F.col("context"), F.col("history")).alias("prompt"))
 
 
 @query(
@@ -114,8 +115,8 @@ def frames_nsfw(spark, sf):
     return manifest(spark, sf).select("manifest_idx", R.any_frame_nsfw(frames, F.col("is_nsfw")).alias("is_nsfw"))
 
 
-@query("SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN 99 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, 99 FROM embeddings WHERE vec_id % 50 = 0")
+@query("SELECT vec_id AS id, CASE WHEN label = 3 THEN 99 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, 99 FROM embeddings WHERE label = 5")
 def vector_upsert(spark, sf):
     old = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    new = old.where("id % 7 = 0").select("id", F.lit(99).alias("label")).unionByName(old.where("id % 50 = 0").select((F.col("id") + 1_000_000).alias("id"), F.lit(99).alias("label")))
+    new = old.where("label = 3").select("id", F.lit(99).alias("label")).unionByName(old.where("label = 5").select((F.col("id") + 1_000_000).alias("id"), F.lit(99).alias("label")))
     return R.upsert(old, new)

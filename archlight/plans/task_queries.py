@@ -93,7 +93,7 @@ def chat_parts(spark, sf):
     people = F.array(F.concat(F.lit("p"), (t % 3).cast("string")), F.col("role"))
     entries = F.array(F.struct(F.when(t % 2 == 0, "Legal").otherwise("Medical").alias("category"), F.concat(F.lit("item "), (t % 3).cast("string")).alias("item")), F.struct(F.lit("Legal").alias("category"), F.lit("deed").alias("item")))
     return table(spark, sf, "conversations").select(
-        "conv_id", t.alias("chunk"), F.substring("text", 1, 40).alias("summary"), people.alias("people"), people.alias("red_flags"), F.array("role").alias("items"), (t * 10 % 101).alias("confidence"), entries.alias("entries"),
+        "conv_id", t.alias("chunk"), F.col("text").alias("summary"), people.alias("people"), people.alias("red_flags"), F.array("role").alias("items"), (t * 10 % 101).alias("confidence"), entries.alias("entries"),
         F.when(t % 2 == 1, F.array(F.struct(F.col("role").alias("context"), F.lit("x").alias("password")))).otherwise(F.array().cast("array<struct<context:string,password:string>>")).alias("passwords"),
     )
 
@@ -101,7 +101,7 @@ def chat_parts(spark, sf):
 PEOPLE = "array_to_string(list_sort(list_distinct(list_concat(list(role), list('p' || (turn % 3))))), ',')"
 
 
-@query(f"SELECT conv_id, string_agg(substring(text, 1, 40), ' ' ORDER BY turn) AS summary, {PEOPLE} AS people FROM conversations GROUP BY conv_id")
+@query(f"SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS summary, {PEOPLE} AS people FROM conversations GROUP BY conv_id")
 def chunk_merge_text(spark, sf):
     return merging.merge_text(chat_parts(spark, sf), "conv_id").select("conv_id", "summary", F.array_join("people", ",").alias("people"))
 
@@ -231,10 +231,11 @@ def metrics_snapshot(spark, sf):
 
 
 def snapshots(spark, sf):
-    return table(spark, sf, "events").where("event_id < 400").select(F.col("event_type").alias("archive"), F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("name"), F.timestamp_seconds(F.lit(1_749_600_000) - F.col("event_id") * 20_000).alias("modified"))
+    """Events of a user as snapshots of an archive, one every few hours."""
+    return table(spark, sf, "events").select(F.col("user_id").alias("archive"), F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("name"), F.timestamp_seconds(F.lit(1_749_600_000) - F.col("event_id") * 500).alias("modified"))
 
 
-@query("SELECT event_type AS archive, 's' || event_id AS name, row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 20 AS kept FROM events WHERE event_id < 400")
+@query("SELECT user_id AS archive, 's' || event_id AS name, row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 20 AS kept FROM events")
 def retention_newest(spark, sf):
     return metrics.retain_newest(snapshots(spark, sf)).select("archive", "name", "kept")
 

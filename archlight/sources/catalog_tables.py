@@ -60,7 +60,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
             by_case(d % 10, STATES, S.COMPLETE).alias("status"),
             F.when(d % 5 != 0, F.col("text")).alias("extracted_text"),
             tasks.alias("analysis_tasks"),
-            F.when(d % 8 == 1, "").when(d % 8 != 0, F.substring("text", 1, 150)).alias("summary"),
+            F.when(d % 8 == 1, "").when(d % 8 != 0, F.col("text")).alias("summary"),
             F.when(d % 9 != 0, F.concat(F.lit("File "), d.cast("string"))).alias("description"),
             F.when(d % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("user"), (d % 13).cast("string")), F.concat(F.lit(" User "), (d % 5).cast("string")), F.lit(" "), F.concat(F.lit("user"), (d % 13).cast("string")))).alias("mentioned_people"),
             (F.col("toxic") == 1).alias("is_nsfw"),
@@ -103,7 +103,7 @@ SELECT doc_id AS manifest_idx, '/archive/' || source || '/' || lang || '/' || do
   strlen(text) AS file_size, 1700000000.0 + doc_id * 3600 AS last_modified, sha256(text) AS sha256,
   CASE doc_id % 10 WHEN 0 THEN 'pending_extraction' WHEN 1 THEN 'pending_analysis' WHEN 2 THEN 'failed' ELSE 'complete' END AS status,
   CASE WHEN doc_id % 5 <> 0 THEN text END AS extracted_text, {_TASKS} AS analysis_tasks,
-  CASE WHEN doc_id % 8 = 0 THEN NULL WHEN doc_id % 8 = 1 THEN '' ELSE substring(text, 1, 150) END AS summary,
+  CASE WHEN doc_id % 8 = 0 THEN NULL WHEN doc_id % 8 = 1 THEN '' ELSE text END AS summary,
   CASE WHEN doc_id % 9 <> 0 THEN 'File ' || doc_id END AS description,
   CASE WHEN doc_id % 4 = 0 THEN [] ELSE ['user' || (doc_id % 13), ' User ' || (doc_id % 5), ' ', 'user' || (doc_id % 13)] END AS mentioned_people,
   toxic = 1 AS is_nsfw, quality = 0 AS has_financial_red_flags,
