@@ -97,8 +97,8 @@ def judge(docs: DataFrame) -> DataFrame:
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             F.array_join(good, "\n").alias("cleaned"),
         ).alias("r"),
-        F.spark_partition_id().alias("once"),  # keeps the optimizer from computing the struct again in filters and later projections
-    )
+        F.spark_partition_id().alias("once"),
+    ).where("once >= 0")  # no filter is pushed below this column, so the struct is computed once
     r = F.col("r")
     base = (r["w"]["n_words"] < MIN_WORDS) | (r["w"]["n_repeat_words"] * 100 > r["w"]["n_words"] * MAX_REPEAT_PERCENT)
     lost = (r["word_chars"] - word_chars(r["cleaned"])).cast("long")

@@ -102,8 +102,8 @@ def evidence(docs: DataFrame, model: Model, host: str = "source", path: str = "l
         value = row[c].cast("string")
         return F.when(value.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), value))
 
-    # once keeps projections and filters apart, so that features are computed once
-    own = boxed(docs).select("row", key(host).alias("_host"), key(path).alias("_path"), features(row["text"]).alias("x"), F.spark_partition_id().alias("once"))
+    # no filter is pushed below the column once, so features are computed once
+    own = boxed(docs).select("row", key(host).alias("_host"), key(path).alias("_path"), features(row["text"]).alias("x"), F.spark_partition_id().alias("once")).where("once >= 0")
     logit = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), model.logit(F.col("x"))))
     return own.select("row", "_host", "_path", F.col("x")["n_words"].alias("_words"), (1 / (1 + F.exp(-logit))).alias("_p"))
 
