@@ -1,7 +1,7 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
 A logistic model gives each document its own evidence. It is fitted on a sample of at most ``SAMPLE`` labelled rows
-(the smallest hashes of the ids); everything else covers all documents. The evidence is averaged per path and per host
+(of the smallest hashes of their ids); everything else covers all documents. The evidence is averaged per path and per host
 by grouped aggregation. A host's posterior shrinks toward the global mean, a path's toward its host, each by a prior
 strength that the spread of the groups gives (method of moments): sparse groups stay near their prior. A document's
 final odds are its own evidence times the odds of its path, relative to the global odds; its own share in its path and
@@ -87,7 +87,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on the bounded sample; ``docs`` are the documents that the labels speak of."""
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    drawn = [(r[0], r[1]) for r in known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample).collect()]
+    # hashes under a share of their range, a little more than the sample needs, so that tasks send no more than that
+    place, full = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), 1 << 30
+    share = min(full, int(full * 1.2 * sample / max(1, known.count())) + full // 1000)
+    drawn = [(r[0], r[1]) for r in known.where(place <= share).orderBy(place, "doc_id", "quality").limit(sample).collect()]
     chosen = F.broadcast(spark.createDataFrame(drawn, "doc_id long, quality int"))  # sample rows at most
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "quality", features(F.col("text")).alias("x"))
     got = x.select("doc_id", "quality", *(F.col("x")[n].alias(n) for n in NAMES)).toPandas().sort_values(["doc_id", *NAMES])
