@@ -9,14 +9,26 @@ there. All sentences that any other occurrence of a repeated run covers are remo
 Null text counts as empty and stays null. A null id counts as -1. Rows that share an id do not compete across each
 other (all belong to the document with that id); inside each of them later occurrences go. An empty table gives an
 empty result. Other columns are ignored by ``find``; ``remove`` gives them back unchanged.
+
+A sentence's 16-word grid counts from its start, so a copy that begins inside a sentence has other units. ``passages``
+therefore posts runs of ``RUN`` words as well. They begin at the smallest hash of three words among ``WINDOW``
+neighbours, which the words alone decide: every copy of ``RUN + WINDOW - 1`` = 51 words, wherever it stands, has such a
+beginning in its first ``WINDOW`` words and the whole run behind it. Up to ``WINDOW - 1`` words at either edge of a copy
+can stay.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, keyed, unboxed
+from .common import batch, boxed, keyed, map_arrow, settle, texts_of, unboxed
+from .near_dups import KNOWN, mix
 
 SPAN = 3
 UNIT_WORDS = 16
@@ -26,7 +38,12 @@ GROWTH = (1, 2, 4, 8)
 #: Where a sentence ends, and what lies between two ends: up to UNIT_WORDS words with the white space behind them.
 END_OF_SENTENCE = r"([.!?][\x20\x09-\x0D]+|\n)"
 UNIT = rf"(?:[^\x1e\x20\x09-\x0D]+[\x20\x09-\x0D]*){{1,{UNIT_WORDS}}}"
+UNITS = re.compile(UNIT)
 BLANKS = " \t\n\x0b\x0c\r"
+#: Words in a run that does not follow sentences, and how many neighbours a run's beginning is chosen from.
+RUN = 36
+WINDOW = 16
+WEIGHTS = np.random.default_rng(20_240_307).integers(1, 2**63, RUN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def sentences(text: Column) -> Column:
@@ -56,16 +73,27 @@ def spans(units: Column, span: int) -> Column:
 
 def find(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """``k1, k2, gone``: for each document that loses sentences, their positions in ascending order."""
-    posted = keyed(docs).select("k1", "k2", F.explode(spans(sentences(F.col("text")), span)).alias("s")).select("k1", "k2", "s.pos", "s.k", "s.h")
+    later = repeated(sentence_runs(docs, span))
+    return later.select("k1", "k2", covered(F.col("later")).alias("gone")).where(F.size("gone") > 0)
+
+
+def sentence_runs(docs: DataFrame, span: int) -> DataFrame:
+    """``k1, k2, pos, k, h`` of all runs of sentences."""
+    return keyed(docs).select("k1", "k2", F.explode(spans(sentences(F.col("text")), span)).alias("s")).select("k1", "k2", "s.pos", "s.k", "s.h")
+
+
+def repeated(posted: DataFrame) -> DataFrame:
+    """``k1, k2, later``: the runs of a document that are not the first occurrence."""
     again = posted.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("first")).where("n > 1").select("h", "first")
     hit = posted.join(again, "h").groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("h", "pos", "k", "first"))).alias("hits"))
-    k1 = F.col("k1")
+    k1, hits = F.col("k1"), F.col("hits")
+    later = F.filter(hits, lambda x, i: (x["first"] != k1) | (i > 0) & (x["h"] == F.get(hits, F.greatest(i - 1, F.lit(0)))["h"]))
+    return hit.select("k1", "k2", later.alias("later"))
 
-    def later(hits: Column) -> Column:
-        return F.filter(hits, lambda x, i: (x["first"] != k1) | (i > 0) & (x["h"] == F.get(hits, F.greatest(i - 1, F.lit(0)))["h"]))
 
-    covered = F.flatten(F.transform(later(F.col("hits")), lambda x: F.sequence(x["pos"], x["pos"] + x["k"] - 1)))
-    return hit.select("k1", "k2", F.sort_array(F.array_distinct(covered)).alias("gone")).where(F.size("gone") > 0)
+def covered(runs: Column) -> Column:
+    """Positions under the runs, in ascending order."""
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(runs, lambda x: F.sequence(x["pos"], x["pos"] + x["k"] - 1)))))
 
 
 def applied(docs: DataFrame, span: int = SPAN) -> DataFrame:
@@ -96,6 +124,70 @@ def report(docs: DataFrame, span: int = SPAN) -> DataFrame:
     return applied(docs.select("doc_id", "text"), span).select(F.col("row")["doc_id"].cast("long").alias("doc_id"), "n_sentences", "n_removed", removed.cast("long").alias("removed_chars"), F.col("cleaned").alias("text"))
 
 
+def beginnings(h: np.ndarray) -> np.ndarray:
+    """Where runs of RUN words begin, from the hashes of a text's words: the smallest three of every WINDOW neighbours."""
+    m = len(h) - RUN + 1
+    if m < WINDOW:
+        return np.zeros(0, np.int64)
+    three = mix(h[:m] * WEIGHTS[0] + h[1 : m + 1] * WEIGHTS[1] + h[2 : m + 2] * WEIGHTS[2])
+    view = np.lib.stride_tricks.sliding_window_view(three, WINDOW)
+    return np.unique(view.argmin(axis=1) + np.arange(len(view)))
+
+
+def word_runs(docs: DataFrame) -> DataFrame:
+    """``k1, k2, pos, k, h`` of the runs of words; ``pos`` counts words from 0."""
+    out = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int32()), ("k", pa.int32()), ("h", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            at, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for text in texts_of(part.column(2)):
+                h = np.frombuffer(b"".join(map(KNOWN.__getitem__, text.encode().split())), dtype=">u8").astype(np.uint64)
+                pos = beginnings(h)
+                run = np.zeros(len(pos), np.uint64)
+                for k in range(RUN):
+                    run += h[pos + k] * WEIGHTS[k]
+                at.append(pos)
+                found.append(mix(run))
+            size = [len(x) for x in at[1:]]
+            ids = (np.repeat(part.column(i).to_numpy(), size) for i in (0, 1))
+            pos = np.concatenate(at)
+            yield batch(out, dict(zip(out.names, (*ids, pos.astype(np.int32), np.full(len(pos), RUN, np.int32), np.concatenate(found).view(np.int64)))))
+
+    return map_arrow(keyed(docs), work, "k1 long, k2 long, pos int, k int, h long")
+
+
+def left_of(text: str, units: list[int], words: list[int]) -> str:
+    """The text without the given sentences and words and the white space behind them."""
+    gone = bytearray(len(text))
+    ends = [0, *(m.end() for m in re.finditer(END_OF_SENTENCE, text)), len(text)]
+    own = [m.span() for a, b in zip(ends, ends[1:]) for m in UNITS.finditer(text, a, b)]
+    starts = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)] + [len(text)]
+    for a, b in [*(own[i] for i in units), *((starts[i], starts[i + 1]) for i in words)]:
+        gone[a:b] = b"\1" * (b - a)
+    return "".join(c for c, g in zip(text, gone) if not g)
+
+
+def passages(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """``doc_id, n_sentences_removed, n_words_removed, removed_chars, text``: repeated runs of sentences go, and repeated runs of words whatever their place in a sentence."""
+    later = repeated(settle(sentence_runs(docs, span).unionByName(word_runs(docs)), "runs"))
+    ours = lambda word: covered(F.filter("later", lambda x: (x["k"] == RUN) == F.lit(word)))  # noqa: E731  runs of sentences have other lengths
+    gone = later.where(F.size("later") > 0).select("k1", "k2", ours(False).alias("units"), ours(True).alias("words"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    joined = keyed(own, "doc_id", F.col("text").alias("raw")).select("k1", "k2", "doc_id", "raw").join(gone, ["k1", "k2"], "left")
+    out = pa.schema([("doc_id", pa.int64()), ("n_sentences_removed", pa.int64()), ("n_words_removed", pa.int64()), ("removed_chars", pa.int64()), ("text", pa.string())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            rows = []
+            for doc_id, text, units, words in zip(*(part.column(i).to_pylist() for i in range(4))):
+                cut = left_of(text, units or [], words or []) if units or words else text
+                rows.append((doc_id, len(units or []), len(words or []), len(text or "") - len(cut or ""), cut))
+            yield batch(out, dict(zip(out.names, zip(*rows))) if rows else {k: [] for k in out.names})
+
+    return map_arrow(joined.select("doc_id", "raw", "units", "words"), work, "doc_id long, n_sentences_removed long, n_words_removed long, removed_chars long, text string")
+
+
 ORACLE = rf"""
 WITH cut AS (
   SELECT doc_id, coalesce(text, '') AS t,

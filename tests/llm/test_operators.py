@@ -143,6 +143,34 @@ def test_spans(spark):
     assert sentence_spans.remove(table(spark, rows)).columns == table(spark, rows).columns
 
 
+def test_passages_at_any_offset(spark):
+    rnd = random.Random(3)
+    own = lambda n: " ".join(f"w{rnd.randrange(10**9)}" for _ in range(n))
+    bare, short, three = own(400), own(51), f"{own(24)}. {own(23)}. {own(24)}"
+    rows = []
+    for p in (bare, short, three):
+        for before in (3, 2, 0, 17, 40):
+            rows.append((len(rows), f"{own(before)} {p} {own(before)}.".strip()))
+    edges = 2 * (sentence_spans.WINDOW - 1)
+    got = {r["doc_id"]: r for r in sentence_spans.passages(table(spark, [*rows, (90, None), (91, ""), (None, "nothing shared")])).collect()}
+    for i, (_, text) in enumerate(rows):
+        p = (bare, short, three)[i // 5]
+        if i % 5 == 0:
+            assert got[i]["text"] == text and got[i]["removed_chars"] == 0
+        else:
+            assert sum(w in set(p.split()) for w in got[i]["text"].split()) <= edges
+            assert [w for w in text.split() if w not in p] == [w for w in got[i]["text"].split() if w not in p]
+    assert got[90]["text"] is None and got[91]["text"] == "" and got[None]["removed_chars"] == 0
+
+
+def test_passages_keep_what_sentences_find(spark, docs):
+    old = {r["doc_id"]: r for r in sentence_spans.report(docs).collect()}
+    new = {r["doc_id"]: r for r in sentence_spans.passages(docs).collect()}
+    assert set(old) == set(new) and all(new[i]["n_sentences_removed"] == old[i]["n_removed"] for i in old)
+    assert all(len("".join(new[i]["text"].split())) <= len("".join(old[i]["text"].split())) for i in old if old[i]["text"] is not None)
+    assert sum(new[i]["n_words_removed"] for i in new) > 0
+
+
 # 4
 
 
