@@ -43,6 +43,15 @@ def vector_documents(spark, sf):
     return rows.select(F.col("file_path").alias("id"), R.metadata()["file_type"].alias("file_type"), R.document_text().alias("document"))
 
 
+ESTATE = """CASE WHEN has_estate THEN '{"Legal":[{"item":"Will ' || manifest_idx || '","why_it_matters":"heirs"}],"Financial":[{"item":"","why_it_matters":""},{"item":"Account","why_it_matters":"money"}]}' END"""
+
+
+@query(M + f"SELECT file_path AS id, split_part(mime_type, '/', 1) AS file_type, trim(concat_ws(' ', file_name, nullif(summary, ''), description, nullif(extracted_text, ''), nullif(array_to_string(mentioned_people, ', '), ''), {ESTATE})) AS document FROM m")
+def vector_documents_all(spark, sf):
+    """As vector_documents, whose SQL leaves files with an estate out, over all files."""
+    return manifest(spark, sf).select(F.col("file_path").alias("id"), R.metadata()["file_type"].alias("file_type"), R.document_text().alias("document"))
+
+
 @query("SELECT CASE label % 4 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/png' ELSE 'image/jpeg' END AS mime_type, count(*) AS n FROM embeddings GROUP BY 1")
 def db_stats(spark, sf):
     return C.db_stats(vectors(spark, sf))
