@@ -284,6 +284,15 @@ def test_decoders(spark):
     assert got["a"]["text"] == "x" and got["b"]["text"] is None and got["d"]["error"].startswith("BadZipFile")
 
 
+def test_secret_scan_keeps_all_of_a_line(spark, tmp_path):
+    from archlight.plans import registry
+
+    rows = [(1, "password: a password: b password: a\nnone"), (2, " ".join(x * 40 for x in "abc"))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in registry.QUERIES["secret_scan"](spark, str(tmp_path)).collect())
+    assert got == [(1, "password assignment_1_1", "password: a"), (1, "password assignment_1_2", "password: b"), *((2, f"hex token_1_{n}", x * 40) for n, x in enumerate("abc", 1))]
+
+
 def test_catalog_files(spark, tmp_path):
     path = str(tmp_path / "m.json")
     with open(path, "w") as f:
