@@ -26,7 +26,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.read_media(telephony.store_bytes(table(spark, sf_dir, "documents")))
+    return telephony.read_media(telephony.store_bytes(table(spark, sf_dir, "documents")), keep_pcm=True)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ file that is no WAV of a known kind gives a null payload and the feature ``unrea
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -150,6 +151,34 @@ def resample(x: np.ndarray, up: int = 2, half: int = 4) -> np.ndarray:
     return out.reshape(-1)
 
 
+def convert(x: np.ndarray, own: int, rate: int, half: int = 4) -> np.ndarray:
+    """Samples at ``own`` as samples at ``rate``, up or down by the reduced ratio; by ``resample`` where that is whole.
+
+    Sample n of the result lies at n * own / rate. Going down, the windowed sinc is as much wider as its band is narrower.
+    """
+    if rate % own == 0 or not len(x):
+        return resample(x, max(1, rate // own), half)
+    common = math.gcd(own, rate)
+    up, down = rate // common, own // common
+    wide = max(1.0, down / up)
+    reach = math.ceil(half * wide)
+    padded = np.pad(x.astype(np.int64), reach, mode="edge")
+    at = np.arange(-reach + 1, reach + 1)
+    n = -(-len(x) * up // down)
+    out = np.empty(n, np.int16)
+    step = max(1, (1 << 18) // len(at))
+    for begin in range(0, n, step):
+        base, phase = np.divmod(np.arange(begin, min(n, begin + step), dtype=np.int64) * down, up)
+        phases, which = np.unique(phase, return_inverse=True)
+        d = (at - (phases / up)[:, None]) / wide
+        taps = np.where(np.abs(d) < half, np.sinc(d) * np.cos(np.pi * d / (2 * half)) ** 2, 0)
+        taps = np.rint(taps / taps.sum(axis=1, keepdims=True) * 16384).astype(np.int64)
+        taps[:, reach - 1] += 16384 - taps.sum(axis=1)
+        total = (padded[base[:, None] + (reach + at)] * taps[which]).sum(axis=1)
+        out[begin : begin + step] = np.clip(total >> 14, -32768, 32767)
+    return out
+
+
 def features(kind: int, rate: int, pcm: np.ndarray) -> str:
     """Level, peak, sign changes and a checksum of PCM samples, in whole numbers."""
     wide = pcm.astype(np.int64)
@@ -186,8 +215,8 @@ def read_media(stored: DataFrame, rate: int = 16_000, keep_pcm: bool = False) ->
         if got is None:
             return None, None, None, None if media is None else len(media), None if media is None else hashlib.sha256(media).hexdigest(), "unreadable", None
         kind, own, align, data = got
-        pcm = resample(expand(kind, align, data), max(1, rate // own) if own else 1)
-        at = own * max(1, rate // own) if own else 0
+        pcm = convert(expand(kind, align, data), own, rate) if own else expand(kind, align, data)
+        at = rate if own else 0
         return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), features(kind, at, pcm), wav(PCM, at, pcm.astype("<i2").tobytes(), 16, 2) if keep_pcm else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

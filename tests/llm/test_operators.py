@@ -107,6 +107,24 @@ def test_companding():
     assert len(telephony.decode_adpcm(b"", 256)) == 0 and len(telephony.resample(np.zeros(0, np.int16))) == 0
 
 
+@pytest.mark.parametrize("own", [8000, 11025, 22050, 44100, 48000])
+def test_media_at_the_rate_asked(spark, own):
+    tone = lambda rate: np.sin(2 * np.pi * 440 * np.arange(rate // 2) / rate) * 9000
+    media = telephony.wav(telephony.PCM, own, np.rint(tone(own)).astype("<i2").tobytes(), 16, 2)
+    rows = spark.createDataFrame([(1, 1, bytearray(media))], "doc_id long, n_bytes long, media binary")
+    r = telephony.read_media(rows, keep_pcm=True).first()
+    _, rate, _, data = telephony.parse(r["pcm"])
+    pcm, want = np.frombuffer(data, "<i2"), tone(16_000)
+    assert rate == 16_000 and "rate=16000;samples=8000;" in r["feature"] and len(pcm) == 8000
+    assert np.abs(pcm - want)[100:-100].max() < 90
+    high = np.rint(np.sin(2 * np.pi * 11_000 * np.arange(4410) / 44_100) * 9000).astype(np.int16)
+    assert np.abs(telephony.convert(high, 44_100, 16_000)[50:-50]).max() < 900  # above the new band
+
+
+def test_media_query_stores_pcm(spark, sf):
+    assert "pcm" in queries.QUERIES["op2_media_columns"](spark, sf).columns
+
+
 def adpcm_slow(data, align):
     """One sample after another."""
     out = []
