@@ -25,7 +25,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays: links are at a similarity of 0.85 or more, as in ``op7``."""
     return near_dups.keep(docs)
 
 
