@@ -5,7 +5,8 @@ A logistic model gives each document its own evidence. It is fitted on a sample
 by grouped aggregation. A host's posterior shrinks toward the global mean, a path's toward its host, each by a prior
 strength that the spread of the groups gives (method of moments): sparse groups stay near their prior. A document's
 final odds are its own evidence times the odds of its path, relative to the global odds; its own share in its path and
-its host is left out, so no evidence counts twice.
+its host is left out, so no evidence counts twice. ``documents`` has no URL: by default ``source`` stands for the host
+and ``lang`` for the path.
 
 Null text counts as empty; a document without words is rejected. A null host or path is a group of its own. A null id
 keeps its row. Rows keep their multiplicity. Without labelled rows of both kinds the evidence is neutral and every
