@@ -13,7 +13,10 @@ tried; so every link that could join two components is tried, and lists skip wha
 
 Lists beyond ``LIST`` classes are split. Loose ones, whose members differ in the next coordinate, are posted again
 under pairs of coordinates. Others are cut into parts which all hold the list's first class; in the second round the
-classes outside the list's largest component go to every part, so that no pair is lost.
+classes outside the list's largest component go to every part, so that no pair of such a list is lost. Splitting loose
+lists does lose pairs: one that shares only that coordinate, or only the two of a list split again, meets nowhere. So at
+similarity 0.85 a pair is missed with probability below 2e-10 where its lists are unsplit, 9e-9 after one split and 3e-7
+after two (at most one or two of 12 shared), which is the last depth.
 
 Words are runs of other than the six ASCII white-space characters, A-Z lower-cased. Fewer than five words are one
 shingle; no words give the empty set, which is linked with nothing. Null text counts as empty. A null id keeps its
