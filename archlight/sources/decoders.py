@@ -93,7 +93,7 @@ def svg(data: bytes) -> str:
     return "\n".join(t.strip() for e in root.iter() for t in (e.text or "",) if t.strip())
 
 
-#: Decoder of each kind; callers may add optional ones (PDF, images, video).
+#: Decoder of each kind; callers may add those left out (PDF, XLS, Access, images, video).
 DECODERS: dict[str, Callable[[bytes], str]] = {
     "application/vnd.openxmlformats-officedocument.wordprocessingml.document": docx,
     "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": xlsx,
@@ -114,13 +114,15 @@ def pdf_page(digital: str, ocr: Callable[[], str] | None) -> str:
 
 
 def extract(files: DataFrame, more: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """``path, mime_type, content`` to ``path, text, error``: by the type's decoder, ``text/*`` as plain text; a failure is told, not raised."""
+    """``path, mime_type, content`` to ``path, text, error``: by the type's decoder, ``text/*`` as plain text; a failure and a type without a decoder are told, not raised."""
     known = DECODERS | (more or {})
 
     def one(kind: str | None, data: bytes | None) -> tuple[str | None, str | None]:
         decoder = known.get(kind or "") or (plain if (kind or "").startswith("text/") else None)
-        if decoder is None or data is None:
+        if data is None:
             return None, None
+        if decoder is None:
+            return None, f"no decoder for {kind or 'an unknown type'}"
         try:
             return decoder(bytes(data)), None
         except Exception as e:  # noqa: BLE001  broken files must not end the job

@@ -284,6 +284,15 @@ def test_decoders(spark):
     assert got["a"]["text"] == "x" and got["b"]["text"] is None and got["d"]["error"].startswith("BadZipFile")
 
 
+def test_extract_tells_types_without_decoder(spark):
+    kinds = ["application/vnd.ms-excel", "application/pdf", "application/x-msaccess", None]
+    df = spark.createDataFrame([(str(i), k, bytearray(b"x")) for i, k in enumerate(kinds)], "path string, mime_type string, content binary")
+    got = {r["path"]: r for r in decoders.extract(df).collect()}
+    assert all(got[str(i)]["text"] is None and got[str(i)]["error"] == f"no decoder for {k or 'an unknown type'}" for i, k in enumerate(kinds))
+    plugged = {r["path"]: r for r in decoders.extract(df, {"application/pdf": lambda data: "read"}).collect()}
+    assert plugged["1"]["text"] == "read" and plugged["1"]["error"] is None
+
+
 def test_secret_scan_keeps_all_of_a_line(spark, tmp_path):
     from archlight.plans import registry
 
