@@ -1,31 +1,38 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
-Every document's set of 5-word shingles gets a signature of minima. Equal sets are one class and only their first
-document goes on. A class is posted under coordinate-value pairs of a prefix of ``PREFIX`` coordinates: two sets of
-similarity 0.85 miss each other in all of them with probability 0.15 ** 12, under 2e-10. In a posting list the
-coordinates that two signatures share are counted over all ``COORDINATES``, and pairs at or above ``MATCHES`` are
-candidates (a pair at similarity 0.85 falls below with probability under 1e-6). They are confirmed on their full sets.
+Every document's set of 5-word shingles gets a signature of ``COORDINATES`` minima. Equal sets are one class and only
+their first document goes on. All coordinates are stored as one byte each; the first ``PREFIX`` are posted as well, by
+their whole 64-bit value: two sets of similarity 0.85 share none of them with probability 0.15 ** 12, under 2e-10. In a
+posting list the collisions of two signatures are counted block by block of coordinates; a pair that can no longer
+reach the threshold is skipped, as is one whose set sizes alone exclude the similarity, or that shares an earlier
+posted coordinate and so meets in that list. Pairs at or above ``least(percent)`` collisions are candidates (a pair at
+the similarity asked falls below with probability about 1e-6). All links are confirmed on full sets.
 
 No list gives all its pairs. In the first round a list of g classes gives the at most g - 1 edges of a maximum
-spanning forest over the counted matches. Confirmed edges make components. In the second round only lists that still
-hold several components are read again, and they give all candidates between different components that were not
-tried; so every link that could join two components is tried, and lists skip what is joined already.
-
-Lists beyond ``LIST`` classes are split. Loose ones, whose members differ in the next coordinate, are posted again
-under pairs of coordinates. Others are cut into parts which all hold the list's first class; in the second round the
-classes outside the list's largest component go to every part, so that no pair of such a list is lost. Splitting loose
-lists does lose pairs: one that shares only that coordinate, or only the two of a list split again, meets nowhere. So at
-similarity 0.85 a pair is missed with probability below 2e-10 where its lists are unsplit, 9e-9 after one split and 3e-7
-after two (at most one or two of 12 shared), which is the last depth.
+spanning forest over the counted collisions. Confirmed edges make components. In the second round only lists that
+still hold several components are read again. A list is cut into blocks of about ``LIST`` classes and ``WEIGHT``
+shingles, those of its largest component apart from the others, and pairs of blocks are tiles. A tile first tells
+which of its classes are in a candidate pair across components; only these get their sets, once for a tile. There the
+intersections of a set with all others come from merging the postings of its shingles, components are united as links
+are found, and a tile gives at most one link for each union. So every link that could join two components is tried, a
+tile's memory is bounded, and no pairs are written but confirmed ones.
+
+Lists beyond ``LIST`` classes whose members differ in the next coordinate are posted again under pairs of coordinates,
+and once more under triples. Such a list is not read itself, so a pair that shares only that coordinate, or only the
+two of a list split again, meets nowhere. At similarity 0.85 a pair is missed with probability below 2e-10 where its
+lists are unsplit, 9e-9 after one split and 3e-7 after two (at most one or two of 12 shared), which is the last depth:
+at any size below the 1e-6 of the threshold.
 
 Words are runs of other than the six ASCII white-space characters, A-Z lower-cased. Fewer than five words are one
 shingle; no words give the empty set, which is linked with nothing. Null text counts as empty. A null id keeps its
-row with a null component and is linked with nothing. Rows that share an id are one node. Other columns are ignored.
+row with a null component and is linked with nothing. Rows that share an id are one node. A text may be of any length:
+its signature is taken in blocks. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +44,25 @@ from .common import batch, boxed, map_arrow, settle, texts_of, unboxed
 SHINGLE = 5
 COORDINATES = 512
 PREFIX = 12
-MATCHES = 396
 PERCENT = 85
 LIST = 1024
+#: Shingles in a block of a list: 4 MB of sets.
+WEIGHT = 1 << 19
 DEPTH = 3
+#: Coordinates counted before pairs that cannot reach the threshold any more are skipped.
+STEPS = (64, 128, 256, 512)
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 KNOWN_WORDS = 500_000
 
 _drawn = np.random.default_rng(20_240_229)
 WEIGHTS = _drawn.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 POSTED = _drawn.integers(1, 2**63, PREFIX, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: One half of the coordinates hashes the lower 32 bits of a shingle, the other half the upper ones.
-FACTORS = _drawn.integers(1, 2**31, (2, COORDINATES // 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-SHIFTS = _drawn.integers(0, 2**32, (2, COORDINATES // 2), dtype=np.uint32)
+#: Of the coordinates that are not posted one half hashes the lower 32 bits of a shingle, the other half the upper ones.
+HALF = (COORDINATES - PREFIX) // 2
+FACTORS = _drawn.integers(1, 2**31, (2, HALF), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+SHIFTS = _drawn.integers(0, 2**32, (2, HALF), dtype=np.uint32)
 FOLD = np.uint32(0x9E3779B1)
+WIDE_FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Words(dict):
@@ -93,15 +105,21 @@ def minima(found: np.ndarray) -> np.ndarray:
     return np.array([(found * f).min() for f in POSTED], np.uint64)
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """One byte of the smallest hash of every coordinate over a non-empty set."""
-    low = np.full((2, COORDINATES // 2), np.iinfo(np.uint32).max, dtype=np.uint32)
+def signature(found: np.ndarray, posted: np.ndarray) -> np.ndarray:
+    """One byte of the smallest hash of every coordinate over a non-empty set, the posted ones first."""
+    low = np.full((2, HALF), np.iinfo(np.uint32).max, dtype=np.uint32)
     halves = found.view(np.uint32).reshape(-1, 2)
     for at in range(0, len(found), 512):
         for k in (0, 1):
             part = np.ascontiguousarray(halves[at : at + 512, k])
             low[k] = np.minimum(low[k], (part[:, None] * FACTORS[k] + SHIFTS[k]).min(axis=0))
-    return ((low.reshape(-1) * FOLD) >> np.uint32(24)).astype(np.uint8)
+    return np.concatenate(((posted * WIDE_FOLD) >> np.uint64(56), (low.reshape(-1) * FOLD) >> np.uint32(24))).astype(np.uint8)
+
+
+def least(percent: int) -> int:
+    """Collisions that a pair at the similarity has but in one of a million cases: 4.9 standard deviations below the mean."""
+    p = percent / 100 + (1 - percent / 100) / 256
+    return round(COORDINATES * p - 4.9 * math.sqrt(COORDINATES * p * (1 - p)))
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -116,27 +134,28 @@ def signed(docs: DataFrame) -> DataFrame:
                 if not len(s):
                     rows.append((doc_id, 0, 0, 0, None, None))
                     continue
-                sums = np.array([s.sum(), mix(s).sum()], np.uint64).view(np.int64).tolist()
-                rows.append((doc_id, len(s), *sums, signature(s).tobytes(), minima(s).view(np.int64).tolist()))
+                sums, posted = np.array([s.sum(), mix(s).sum()], np.uint64).view(np.int64).tolist(), minima(s)
+                rows.append((doc_id, len(s), *sums, signature(s, posted).tobytes(), posted.view(np.int64).tolist()))
             yield batch(out, dict(zip(out.names, zip(*rows))) if rows else {k: [] for k in out.names})
 
     return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), work, "doc_id long, n long, a long, b long, sig binary, keys array<long>")
 
 
-def with_classes(marked: DataFrame) -> DataFrame:
-    """Adds ``c``, the smallest id that has the same set; null for empty sets and null ids."""
-    linked = F.col("n").isNotNull() & (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    classes = marked.where(linked).groupBy("a", "b", "n").agg(F.min("doc_id").alias("c"))
-    own = marked.withColumn("linked", linked)
-    joined = own.where("linked").join(classes, ["a", "b", "n"]).select("doc_id", "n", "sig", "keys", "c")
-    alone = own.where("not linked").select("doc_id", "n", "sig", "keys", F.lit(None).cast("long").alias("c"))
-    return joined.unionByName(alone)
+def classes(rows: DataFrame) -> DataFrame:
+    """``doc_id, n, a, b, c`` of all rows: ``c`` is the smallest id that has the same set, null for empty sets and null ids.
+
+    Sets that occur again are few and written, so that the join meets two fresh sides and a large group can be split.
+    """
+    own = rows.select("doc_id", "n", "a", "b")
+    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    again = own.where(linked).groupBy("a", "b", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return own.join(settle(again.drop("rows"), "copies"), ["a", "b", "n"], "left").select("doc_id", "n", "a", "b", F.when(linked, F.coalesce("first", "doc_id")).alias("c"))
 
 
 def repeated(posts: DataFrame) -> DataFrame:
     """Postings in lists of two classes or more, with the list's size and how its members spread in the next coordinate."""
     lists = posts.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.approx_count_distinct("probe", 0.1).alias("spread")).where("size > 1")
-    return posts.join(lists, "h")
+    return posts.join(settle(lists, "sizes"), "h")
 
 
 def post(members: DataFrame) -> DataFrame:
@@ -165,102 +184,202 @@ def union(frames: list[DataFrame]) -> DataFrame:
 
 
 def parts(posts: DataFrame) -> DataFrame:
-    """``h, first, part, c``: lists cut into parts of about LIST classes; the list's first class is in every part."""
+    """``h, first, part, c, own``: lists cut into parts of about LIST classes; the list's first class is in every part, its ``own`` and others."""
     count = F.ceil(F.col("size") / LIST).cast("int")
-    cut = posts.select("h", "first", "c", count.alias("of"), F.pmod(F.xxhash64("c"), count).cast("int").alias("part"))
-    long = cut.where("of > 1")
-    hubs = long.groupBy("h", "first").agg(F.min("c").alias("c"), F.max("of").alias("of")).select("h", "first", "c", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("part"))
-    return cut.select("h", "first", "part", "c").unionByName(hubs.select("h", "first", "part", "c"))
-
-
-def shared(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return (sig == one).sum(axis=1)
-
-
-def forest(sig: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a maximum spanning forest over matches at or above MATCHES, grown from the first row."""
+    home = lambda of: F.pmod(F.xxhash64("c"), of).cast("int")
+    cut = posts.select("h", "first", "c", count.alias("of"), home(count).alias("part"))
+    hubs = cut.where("of > 1").groupBy("h", "first").agg(F.min("c").alias("c"), F.max("of").alias("of"))
+    guests = hubs.select("h", "first", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("part"), "c", home(F.col("of")).alias("home")).where("part <> home")
+    return cut.select("h", "first", "part", "c", F.lit(True).alias("own")).unionByName(guests.select("h", "first", "part", "c", F.lit(False).alias("own")))
+
+
+def collisions(sig: np.ndarray, one: np.ndarray, threshold: int) -> np.ndarray:
+    """Collisions of a signature with each row, 0 where they are under the threshold; pairs that cannot reach it are skipped."""
+    total, live, at = np.zeros(len(sig), np.int64), np.arange(len(sig)), 0
+    for end in STEPS:
+        total[live] += (sig[live, at:end] == one[at:end]).sum(axis=1)
+        live, at = live[total[live] + (COORDINATES - end) >= threshold], end
+        if not len(live):
+            break
+    found = np.zeros(len(sig), np.int64)
+    found[live] = total[live]
+    return found
+
+
+def forest(sig: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Edges of a maximum spanning forest over the collisions at or above the threshold, grown from the first row."""
     n = len(sig)
     left = np.arange(1, n)
-    rest = sig[1:]
     best, parent, edges, at = np.zeros(n - 1, np.int64), np.zeros(n - 1, np.int64), [], 0
-    one = sig[0]
     while len(left):
-        m = shared(rest, one)
+        m = collisions(sig[left], sig[at], threshold)
         better = m > best
-        best = np.where(better, m, best)
-        parent = np.where(better, at, parent)
+        best, parent = np.where(better, m, best), np.where(better, at, parent)
         k = int(best.argmax())
-        at, one = int(left[k]), rest[k]
-        if best[k] >= MATCHES:
+        at = int(left[k])
+        if best[k]:
             edges.append((int(parent[k]), at))
-        left, rest, best, parent = (np.delete(x, k, axis=0) for x in (left, rest, best, parent))
+        left, best, parent = (np.delete(x, k) for x in (left, best, parent))
     return edges
 
 
-def across(sig: np.ndarray, group: np.ndarray, own: np.ndarray, before: np.ndarray) -> list[tuple[int, int]]:
-    """All pairs between different groups at or above MATCHES, at least one of them at home in this part.
+def grouped(batches: Iterator[pa.RecordBatch], keys: int, read: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of the rows that agree in the leading columns, from batches in that order."""
+    held: tuple[np.ndarray, ...] | None = None
+    for part in chain_end(batches):
+        if part is not None and not part.num_rows:
+            continue
+        if part is not None:
+            new = read(part)
+            held = tuple(np.concatenate(x) for x in zip(held, new)) if held else new
+        if held is None:
+            return
+        other = np.zeros(len(held[0]) - 1, bool)
+        for x in held[:keys]:
+            other |= x[1:] != x[:-1]
+        starts = np.concatenate(([0], np.flatnonzero(other) + 1, [len(held[0])]))
+        whole = len(starts) - (1 if part is None else 2)  # the last group may go on in the next batch
+        for i, j in zip(starts[:whole], starts[1 : whole + 1]):
+            yield tuple(x[i:j] for x in held)
+        held = tuple(x[starts[whole] :].copy() for x in held) if part is not None else None
 
-    ``before`` has the minima before the list's first coordinate: pairs that share one of them meet in an earlier list.
-    """
-    edges = []
-    for i in range(len(sig) - 1):
-        m = shared(sig[i + 1 :], sig[i]) >= MATCHES
-        m &= (group[i + 1 :] != group[i]) & (own[i + 1 :] | own[i])
-        if before.shape[1]:
-            m &= (before[i + 1 :] != before[i]).all(axis=1)
-        edges += [(i, i + 1 + int(k)) for k in np.flatnonzero(m)]
-    return edges
+
+def chain_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
-def pairs(listed: DataFrame, every: bool) -> DataFrame:
-    """Candidate pairs ``a < b`` of the lists in ``h, part, c, sig, g, own, first, keys``; in the first round a forest, then every pair across components."""
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def signatures_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
 
-    def solve(ids: np.ndarray, sig: np.ndarray, group: np.ndarray, own: np.ndarray, first: np.ndarray, keys: np.ndarray) -> list[tuple[int, int]]:
-        found = across(sig, group, own, keys[:, : int(first[0])]) if every else forest(sig)
-        return [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i, j in found if ids[i] != ids[j]]
+
+def first_pairs(listed: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs ``a < b``: a forest of every list in ``h, part, c, sig``."""
+    out, threshold = pa.schema([("a", pa.int64()), ("b", pa.int64())]), least(percent)
+
+    def read(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        return (*(part.column(i).to_numpy() for i in range(3)), signatures_of(part.column(3)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for part in chain_end(batches):
-            if part is not None and not part.num_rows:
-                continue
-            new = columns(part) if part is not None else None
-            if new is not None:
-                held = [tuple(np.concatenate(x) for x in zip(*held, new))] if held else [new]
-            if not held:
-                continue
-            h, p, ids, sig, group, own, first, keys = held[0]
-            starts = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (p[1:] != p[:-1]))))
-            ends = np.append(starts[1:], len(h))
-            whole = len(starts) if part is None else len(starts) - 1  # the last list may go on in the next batch
-            size = ends - starts
-            two = starts[:whole][size[:whole] == 2]
-            hit = two[((sig[two] == sig[two + 1]).sum(axis=1) >= MATCHES) & (ids[two] != ids[two + 1]) & (~np.bool_(every) | (group[two] != group[two + 1]))]
-            found = [np.stack((np.minimum(ids[hit], ids[hit + 1]), np.maximum(ids[hit], ids[hit + 1])), axis=1)]
-            for i in np.flatnonzero(size[:whole] > 2):
-                s = slice(starts[i], ends[i])
-                if got := solve(ids[s], sig[s], group[s], own[s], first[s], keys[s]):
-                    found.append(np.array(got, np.int64))
-            edges = np.unique(np.concatenate(found), axis=0)
-            at = ends[whole - 1] if whole else 0
-            held = [tuple(x[at:] for x in held[0])] if at < len(h) else []
-            yield batch(out, {"a": edges[:, 0], "b": edges[:, 1]})
+        found: list[np.ndarray] = []
+        for _, _, c, sig in grouped(batches, 2, read):
+            got = forest(sig, threshold) if len(c) > 2 else [(0, 1)] if len(c) == 2 and collisions(sig[:1], sig[1], threshold)[0] else []
+            if got:
+                found.append(np.sort(c[np.array(got)], axis=1))
+            if sum(map(len, found)) > 4096:
+                edges = np.unique(np.concatenate(found), axis=0)
+                yield batch(out, {"a": edges[:, 0], "b": edges[:, 1]})
+                found = []
+        edges = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        yield batch(out, {"a": edges[:, 0], "b": edges[:, 1]})
 
     dealt = listed.repartition(F.col("h"), F.col("part")).sortWithinPartitions("h", "part", "c")
-    return map_arrow(dealt.select("h", "part", "c", "sig", "g", "own", "first", "keys"), work, "a long, b long")
+    return map_arrow(dealt.select("h", "part", "c", "sig"), work, "a long, b long").where("a < b")
 
 
-def chain_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+def tiles(named: DataFrame) -> DataFrame:
+    """``h, x, y, block, first, c, g`` of the lists in ``h, first, c, g, n`` that hold several components.
+
+    A list of at most LIST classes and WEIGHT shingles is one tile. Otherwise the classes of its largest component are
+    cut into blocks and the others into further ones, and every pair of blocks that can hold a link across components
+    is a tile.
+    """
+    mixed = named.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("low < high")
+    open_ = settle(named.join(settle(mixed.select("h", "size", "weight"), "mixed"), "h"), "open")
+    small = (F.col("size") <= LIST) & (F.col("weight") <= WEIGHT)
+    one = open_.where(small).select("h", *(F.lit(0).alias(k) for k in ("x", "y", "block")), "first", "c", "g")
+    big = open_.where(~small)
+    if big.isEmpty():
+        return one
+    own = big.groupBy("h", "g").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
+    main = own.groupBy("h").agg(F.max(F.struct("size", "g", "weight")).alias("m"), F.sum("size").alias("size"), F.sum("weight").alias("weight"))
+    blocks = lambda size, weight: F.ceil(F.greatest(size / LIST, weight / WEIGHT)).cast("int")
+    cut = settle(main.select("h", F.col("m.g").alias("main"), blocks(F.col("m.size"), F.col("m.weight")).alias("inner"), blocks(F.col("size") - F.col("m.size"), F.col("weight") - F.col("m.weight")).alias("outer")), "cut")
+    inner, outer, block = F.col("inner"), F.col("outer"), F.col("block")
+    dealt = big.join(cut, "h").withColumn("block", F.when(F.col("g") == F.col("main"), F.pmod(F.xxhash64("c"), inner)).otherwise(inner + F.pmod(F.xxhash64("c"), outer)).cast("int"))
+    # a tile is a pair of blocks of which the larger number is not of the main component
+    lower = dealt.where(block >= inner).withColumn("x", F.explode(F.sequence(F.lit(0), block))).withColumn("y", block)
+    upper = dealt.withColumn("y", F.explode(F.filter(F.sequence(F.lit(0), inner + outer - 1), lambda y: (y > block) & (y >= inner)))).withColumn("x", block)
+    return union([one, *(t.select("h", "x", "y", "block", "first", "c", "g") for t in (lower, upper))])
+
+
+def meetings(tiled: DataFrame, percent: int) -> DataFrame:
+    """``h, x, y, c``: the classes of the tiles ``h, x, y, block, c, n, sig, g, first, keys`` that are in a candidate pair across components."""
+    names = ["h", "x", "y", "block", "c", "n", "g", "first"]
+    out, threshold = pa.schema([("h", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("c", pa.int64())]), least(percent)
+
+    def read(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        return (*(part.column(i).to_numpy() for i in range(8)), signatures_of(part.column(8)), part.column(9).flatten().to_numpy().reshape(part.num_rows, -1))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, x, y, block, c, n, g, first, sig, keys in grouped(batches, 3, read):
+            by = np.argsort(n, kind="stable")
+            block, n, g, sig, keys = (v[by] for v in (block, n, g, sig, keys))
+            before, apart, met = keys[:, : int(first[0])], x[0] != y[0], np.zeros(len(c), bool)
+            ends = np.searchsorted(n, n * 100 // percent, side="right")
+            for i, end in enumerate(ends.tolist()):
+                ok = g[i + 1 : end] != g[i]
+                if apart:
+                    ok &= block[i + 1 : end] != block[i]
+                if before.shape[1]:
+                    ok &= (before[i + 1 : end] != before[i]).all(axis=1)
+                near = i + 1 + np.flatnonzero(ok)
+                near = near[collisions(sig[near], sig[i], threshold) > 0] if len(near) else near
+                if len(near):
+                    met[near] = met[i] = True
+            k = by[met]
+            if len(k):
+                yield batch(out, {"h": h[k], "x": x[k], "y": y[k], "c": c[k]})
+
+    dealt = tiled.repartition(F.col("h"), F.col("x"), F.col("y")).sortWithinPartitions("h", "x", "y", "c")
+    return map_arrow(dealt.select(*names, "sig", "keys"), work, "h long, x int, y int, c long")
+
+
+def unions(sets: list[np.ndarray], group: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A link for each union of two groups, by full sets: intersections are counted by merging the postings of a set's shingles."""
+    sizes = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, which = np.unique(np.concatenate(sets), return_inverse=True)
+    listed = row[np.argsort(which, kind="stable")]
+    length = np.bincount(which)
+    begin, at = np.cumsum(length) - length, np.concatenate(([0], np.cumsum(sizes)))
+    root, links = np.unique(group, return_inverse=True)[1].copy(), []
+    for i in range(len(sets) - 1):
+        if (root == root[i]).all():
+            break
+        own = which[at[i] : at[i + 1]]
+        own = own[length[own] > 1]
+        many = length[own]
+        places = np.arange(many.sum()) + np.repeat(begin[own] - (np.cumsum(many) - many), many)
+        both = np.bincount(listed[places], minlength=len(sets))
+        hit = np.flatnonzero(both * 100 >= (sizes + sizes[i] - both) * percent)
+        for k in hit[(hit > i) & (root[hit] != root[i])].tolist():
+            if root[k] != root[i]:
+                links.append((i, k))
+                root[root == root[k]] = root[i]
+    return links
+
+
+def tile_links(met: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` that unite components, from ``h, x, y, c, g, s`` with the sets of the classes."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def read(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        s = part.column(5)
+        ends, values = s.offsets.to_numpy(), s.values.to_numpy()
+        sets = np.empty(part.num_rows, object)
+        for i in range(part.num_rows):
+            sets[i] = values[ends[i] : ends[i + 1]].copy()
+        return (*(part.column(i).to_numpy() for i in range(5)), sets)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, c, g, sets in grouped(batches, 3, read):
+            if links := unions(list(sets), g, percent):
+                k = np.sort(c[np.array(links)], axis=1)
+                yield batch(out, {"a": k[:, 0], "b": k[:, 1]})
 
-def columns(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    h, p, c, g, own, first = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5, 6))
-    keys = part.column(7).flatten().to_numpy().reshape(len(h), -1)
-    sig = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(-1, COORDINATES)
-    return h, p, c, sig, g, own.astype(bool), first, keys
+    dealt = met.repartition(F.col("h"), F.col("x"), F.col("y")).sortWithinPartitions("h", "x", "y", "c")
+    return map_arrow(dealt.select("h", "x", "y", "c", "g", "s"), work, "a long, b long")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -274,14 +393,18 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("c", "text"), work, "c long, s array<long>")
 
 
-def confirm(candidates: DataFrame, docs: DataFrame) -> DataFrame:
-    """The candidate pairs whose full sets are similar enough."""
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+def sets_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """``c, s``: the full sets of the classes ``c``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("c"), "text").where("c is not null and text is not null")
-    sets = settle(shingle_sets(texts.join(wanted, "c", "left_semi")), "sets")
+    return settle(shingle_sets(texts.join(wanted.select("c").distinct(), "c", "left_semi")), "sets")
+
+
+def confirm(candidates: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs whose full sets are similar enough."""
+    sets = sets_of(candidates.select(F.explode(F.array("a", "b")).alias("c")), docs)
     left, right = sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return candidates.join(left, "a").join(right, "b").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * PERCENT).select("a", "b").distinct()
+    return candidates.join(left, "a").join(right, "b").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -302,44 +425,37 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("c", "g")
 
 
-def link(docs: DataFrame) -> DataFrame:
+def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n, component`` for every row of ``docs``."""
-    marked = settle(with_classes(settle(signed(docs), "signed")), "classes")
-    members = marked.where("c = doc_id").select("c", "sig", "keys")
+    marked = settle(signed(docs), "signed")
+    ranked = settle(classes(marked), "classes")
+    later = ranked.where("c is null or c <> doc_id").select("doc_id", "a", "b", "n").where("doc_id is not null").distinct()
+    alone = marked.where("doc_id is not null and n > 0").join(later, ["doc_id", "a", "b", "n"], "left_anti")
+    members = settle(alone.select(F.col("doc_id").alias("c"), "n", "sig", "keys"), "members")
     posts = settle(parts(post(members.select("c", "keys"))), "posts")
-    sigs = members.select("c", "sig")
-    unused = F.array().cast("array<long>").alias("keys")
-    listed = posts.join(sigs, "c").select("h", "part", "c", "sig", F.col("c").alias("g"), F.lit(True).alias("own"), "first", unused)
-    tried = settle(pairs(listed, every=False).distinct(), "pairs")
-    edges = settle(confirm(tried, docs), "links")
+    tried = settle(first_pairs(posts.select("h", "part", "c").join(members.select("c", "sig"), "c"), percent).distinct(), "pairs")
+    edges = settle(confirm(tried, docs, percent), "links")
     found = components(edges)
     # second round: lists that still hold several components
-    named = posts.join(found, "c", "left").select("h", "first", "part", "c", F.coalesce("g", "c").alias("g"))
-    mixed = named.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.max("part").alias("last")).where("low < high")
-    open_ = settle(named.join(mixed.select("h", "last"), "h"), "open")
-    big = open_.where("last > 0")
-    sizes = big.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("h").agg(F.max(F.struct("n", "g")).alias("x")).select("h", F.col("x.g").alias("main"))
-    spread = big.join(main, "h").where("g <> main").select("h", "first", F.col("part").alias("home"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("part"), "c", "g")
-    spread = spread.where("part <> home").select("h", "first", "part", "c", "g", F.lit(False).alias("own"))
-    again = open_.select("h", "first", "part", "c", "g", F.lit(True).alias("own")).unionByName(spread).join(members, "c").select("h", "part", "c", "sig", "g", "own", "first", "keys")
-    rest = settle(pairs(again, every=True).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = settle(confirm(rest, docs), "links")
+    named = posts.where("own").join(found, "c", "left").join(members.select("c", "n"), "c").select("h", "first", "c", F.coalesce("g", "c").alias("g"), "n")
+    tiled = settle(tiles(named), "tiles")
+    met = settle(meetings(tiled.join(members, "c"), percent), "met")
+    grown = met.join(tiled.select("h", "x", "y", "c", "g"), ["h", "x", "y", "c"]).join(sets_of(met, docs), "c")
+    more = settle(tile_links(grown, percent).distinct(), "links")
     if not more.isEmpty():
         found = components(edges.unionByName(more))
-    named_all = marked.select("doc_id", "n", "c").join(found, "c", "left")
-    return named_all.select("doc_id", "n", F.coalesce("g", "c", "doc_id").alias("component"))
+    return ranked.select("doc_id", "n", "c").join(found, "c", "left").select("doc_id", "n", F.coalesce("g", "c", "doc_id").alias("component"))
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row."""
-    found = link(docs)
+    found = link(docs, percent)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
-def keep(docs: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each group, with all its columns; rows with null ids all stay, repeated rows of a kept id are one."""
-    ids = link(docs).where("component = doc_id").select(F.col("doc_id").alias("id")).distinct()
+    ids = link(docs, percent).where("component = doc_id").select(F.col("doc_id").alias("id")).distinct()
     own = boxed(docs).withColumn("id", F.col("row")["doc_id"].cast("long"))
     one = own.where("id is not null").join(ids, "id", "left_semi").dropDuplicates(["id"])
     return unboxed(one.unionByName(own.where("id is null")), docs.columns)

@@ -18,7 +18,7 @@ def shingle_set(text):
     return frozenset([tuple(w)]) if 0 < len(w) < 5 else frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
 
 
-def components(rows):
+def components(rows, percent=85):
     """doc_id -> (set size, smallest reachable id), by comparing all pairs."""
     sets = [(i, shingle_set(t)) for i, t in rows if i is not None]
     root = {i: i for i, _ in sets}
@@ -30,7 +30,7 @@ def components(rows):
 
     for (a, s), (b, t) in combinations(sets, 2):
         both = len(s & t)
-        if s and t and 100 * both >= 85 * (len(s) + len(t) - both):
+        if s and t and 100 * both >= percent * (len(s) + len(t) - both):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return {i: (len(s), find(i)) for i, s in sets}

@@ -309,6 +309,38 @@ def test_near_dups_tables(spark, docs, texts):
     assert near_dups.report(table(spark, [(1, "only one text here and no other")])).first()["kept"]
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_dups_across_tiles(spark, monkeypatch, percent):
+    """Near copies of one text around the threshold: many components in the same lists, cut into many tiles."""
+    monkeypatch.setattr(near_dups, "LIST", 16)
+    monkeypatch.setattr(near_dups, "WEIGHT", 4000)
+    draw, rows = random.Random(11), []
+    base = [f"w{i}" for i in range(300)]
+    for i in range(150):
+        w = list(base)
+        for k in draw.sample(range(300), draw.choice((2, 4, 5, 6, 7))):
+            w[k] = f"x{draw.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    want = brute.components(rows, percent)
+    assert len({c for _, c in want.values()}) > 1
+    assert {r["doc_id"]: (r["n"], r["component"]) for r in near_dups.link(table(spark, rows), percent).collect()} == want
+
+
+def test_near_dups_tiles_are_bounded():
+    """2,000 documents all a little under the threshold of each other, and then all above it: links are a forest at most."""
+    draw = np.random.default_rng(4)
+    common = draw.integers(0, 2**62, 270, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((common, draw.integers(0, 2**62, 30, dtype=np.uint64)))) for _ in range(2000)]
+    assert near_dups.unions(sets, np.arange(2000), 85) == []  # 270 of 330
+    links = near_dups.unions(sets, np.arange(2000), 80)
+    assert len(links) == 1999 and len(near_dups.unions(sets, np.arange(2000) // 1000, 80)) == 1
+    posted = [near_dups.minima(s) for s in sets[:300]]
+    sig = np.stack([near_dups.signature(s, k) for s, k in zip(sets, posted)])
+    exact = (sig == sig[0]).sum(axis=1)
+    assert np.array_equal(near_dups.collisions(sig, sig[0], 396), np.where(exact >= 396, exact, 0))
+    assert len(near_dups.forest(sig, 300)) == 299
+
+
 # 8
 
 
