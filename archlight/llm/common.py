@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,15 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def bound_arrow(spark: SparkSession) -> None:
-    """Keeps the batches that go to Python workers small whatever the length of a row."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)}
 
 
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with bounded batches."""
-    bound_arrow(df.sparkSession)
+    """``mapInArrow`` with bounded batches, whatever the length of a row.
+
+    The bounds are settings of the session that a plan reads where it runs, so they are set where a frame is made and
+    only lowered: a caller's smaller batches stay.
+    """
+    conf = df.sparkSession.conf
+    for name, most in BOUNDS.items():
+        own = conf.get(name, most)
+        if not own.isdigit() or not 0 < int(own) <= int(most):
+            conf.set(name, most)
     return df.mapInArrow(work, schema)
 
 
@@ -41,10 +47,12 @@ def texts_of(column: pa.Array) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only on one machine, where the session names none."""
     conf = spark.sparkContext.getConf()
     found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="archlight-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -55,15 +63,16 @@ def settle(df: DataFrame, name: str = "part") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/archlight-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
 
 
-def forget(df: DataFrame) -> None:
-    """Removes the files of a settled frame that is no longer read."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = jvm.org.apache.hadoop.fs.Path(path)
+def forget(*frames: DataFrame) -> None:
+    """Removes the files of settled frames that are read no more."""
+    for df in frames:
+        spark = df.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._settled)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 

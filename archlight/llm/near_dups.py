@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, boxed, map_arrow, settle, texts_of, unboxed
+from .common import batch, boxed, forget, map_arrow, settle, texts_of, unboxed
 
 SHINGLE = 5
 COORDINATES = 512
@@ -141,29 +141,34 @@ def signed(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), work, "doc_id long, n long, a long, b long, sig binary, keys array<long>")
 
 
-def classes(rows: DataFrame) -> DataFrame:
-    """``doc_id, n, a, b, c`` of all rows: ``c`` is the smallest id that has the same set, null for empty sets and null ids.
+def leaders(rows: DataFrame) -> DataFrame:
+    """``c, n, sig, keys, a, b, rows`` of every class: the row with the smallest id and how many rows have its set; copies meet before the shuffle."""
+    linked = rows.where("n > 0 and doc_id is not null")
+    first = linked.groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "sig", "keys")).alias("m"), F.count(F.lit(1)).alias("rows"))
+    return first.select(F.col("m.doc_id").alias("c"), "n", "m.sig", "m.keys", "a", "b", "rows")
+
+
+def classes(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """``doc_id, n, c`` of all rows: ``c`` is the smallest id that has the same set, null for empty sets and null ids.
 
     Sets that occur again are few and written, so that the join meets two fresh sides and a large group can be split.
     """
-    own = rows.select("doc_id", "n", "a", "b")
+    again = settle(members.where("rows > 1").select("a", "b", "n", "c"), "copies")
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    again = own.where(linked).groupBy("a", "b", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    return own.join(settle(again.drop("rows"), "copies"), ["a", "b", "n"], "left").select("doc_id", "n", "a", "b", F.when(linked, F.coalesce("first", "doc_id")).alias("c"))
+    return rows.select("doc_id", "n", "a", "b").join(again, ["a", "b", "n"], "left").select("doc_id", "n", F.when(linked, F.coalesce("c", "doc_id")).alias("c"))
 
 
 def repeated(posts: DataFrame) -> DataFrame:
     """Postings in lists of two classes or more, with the list's size and how its members spread in the next coordinate."""
     lists = posts.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.approx_count_distinct("probe", 0.1).alias("spread")).where("size > 1")
-    return posts.join(settle(lists, "sizes"), "h")
+    return settle(posts.join(settle(lists, "sizes"), "h").drop("probe"), "lists")
 
 
 def post(members: DataFrame) -> DataFrame:
-    """``h, first, j, c, keys, size``: lists of at most LIST classes, or dense ones of any length; ``first`` is the list's first coordinate."""
+    """``h, first, j, c, n, size``: lists of at most LIST classes, or dense ones of any length; ``first`` is the list's first coordinate."""
     probe = lambda j: F.get("keys", (j + 1) % PREFIX)
-    first = members.select("c", "keys", F.posexplode("keys").alias("j", "v"))
-    level = repeated(first.select(F.xxhash64("j", "v").alias("h"), F.col("j").alias("first"), "j", "c", "keys", probe(F.col("j")).alias("probe")))
-    level = settle(level, "lists")
+    first = members.select("c", "n", "keys", F.posexplode("keys").alias("j", "v"))
+    level = repeated(first.select(F.xxhash64("j", "v").alias("h"), F.col("j").alias("first"), "j", "c", "n", probe(F.col("j")).alias("probe")))
     done = []
     for _ in range(DEPTH - 1):
         loose = (F.col("size") > LIST) & (F.col("spread") * 4 > F.col("size")) & (F.col("j") < PREFIX - 1)
@@ -171,8 +176,8 @@ def post(members: DataFrame) -> DataFrame:
         again = level.where(loose)
         if again.isEmpty():
             return union(done)
-        further = again.select("h", "first", "c", "keys", F.explode(F.sequence(F.col("j") + 1, F.lit(PREFIX - 1))).alias("j"))
-        level = settle(repeated(further.select(F.xxhash64("h", "j", F.get("keys", F.col("j"))).alias("h"), "first", "j", "c", "keys", probe(F.col("j")).alias("probe"))), "lists")
+        further = again.join(members.select("c", "keys"), "c").select("h", "first", "c", "n", "keys", F.explode(F.sequence(F.col("j") + 1, F.lit(PREFIX - 1))).alias("j"))
+        level = repeated(further.select(F.xxhash64("h", "j", F.get("keys", F.col("j"))).alias("h"), "first", "j", "c", "n", probe(F.col("j")).alias("probe")))
     return union([*done, level])
 
 
@@ -184,13 +189,13 @@ def union(frames: list[DataFrame]) -> DataFrame:
 
 
 def parts(posts: DataFrame) -> DataFrame:
-    """``h, first, part, c, own``: lists cut into parts of about LIST classes; the list's first class is in every part, its ``own`` and others."""
+    """``h, first, part, c, n, own``: lists cut into parts of about LIST classes; the list's first class is in every part, its ``own`` and others."""
     count = F.ceil(F.col("size") / LIST).cast("int")
     home = lambda of: F.pmod(F.xxhash64("c"), of).cast("int")
-    cut = posts.select("h", "first", "c", count.alias("of"), home(count).alias("part"))
-    hubs = cut.where("of > 1").groupBy("h", "first").agg(F.min("c").alias("c"), F.max("of").alias("of"))
-    guests = hubs.select("h", "first", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("part"), "c", home(F.col("of")).alias("home")).where("part <> home")
-    return cut.select("h", "first", "part", "c", F.lit(True).alias("own")).unionByName(guests.select("h", "first", "part", "c", F.lit(False).alias("own")))
+    cut = posts.select("h", "first", "c", "n", count.alias("of"), home(count).alias("part"))
+    hubs = cut.where("of > 1").groupBy("h", "first").agg(F.min(F.struct("c", "n")).alias("m"), F.max("of").alias("of"))
+    guests = hubs.select("h", "first", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("part"), F.col("m.c").alias("c"), F.col("m.n").alias("n"), "of").where(F.col("part") != home(F.col("of")))
+    return union([x.select("h", "first", "part", "c", "n", F.lit(own).alias("own")) for x, own in ((cut, True), (guests, False))])
 
 
 def collisions(sig: np.ndarray, one: np.ndarray, threshold: int) -> np.ndarray:
@@ -420,31 +425,33 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(near, "c").select("c", F.col("g").alias("was"), F.least("g", "m").alias("g"))
         jump = labels.select(F.col("c").alias("g"), F.col("g").alias("far"))
         new = settle(lower.join(jump, "g", "left").select("c", "was", F.least("g", F.coalesce("far", "g")).alias("g")), "labels")
+        forget(labels)
         if new.where("g <> was").isEmpty():
+            forget(both)
             return new.select("c", "g")
-        labels = new.select("c", "g")
+        labels = new
 
 
 def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n, component`` for every row of ``docs``."""
     marked = settle(signed(docs), "signed")
-    ranked = settle(classes(marked), "classes")
-    later = ranked.where("c is null or c <> doc_id").select("doc_id", "a", "b", "n").where("doc_id is not null").distinct()
-    alone = marked.where("doc_id is not null and n > 0").join(later, ["doc_id", "a", "b", "n"], "left_anti")
-    members = settle(alone.select(F.col("doc_id").alias("c"), "n", "sig", "keys"), "members")
-    posts = settle(parts(post(members.select("c", "keys"))), "posts")
+    members = settle(leaders(marked), "members")
+    ranked = settle(classes(marked, members), "classes")
+    forget(marked)
+    posts = settle(parts(post(members)), "posts")
     tried = settle(first_pairs(posts.select("h", "part", "c").join(members.select("c", "sig"), "c"), percent).distinct(), "pairs")
     edges = settle(confirm(tried, docs, percent), "links")
     found = components(edges)
     # second round: lists that still hold several components
-    named = posts.where("own").join(found, "c", "left").join(members.select("c", "n"), "c").select("h", "first", "c", F.coalesce("g", "c").alias("g"), "n")
+    named = posts.where("own").join(found, "c", "left").select("h", "first", "c", F.coalesce("g", "c").alias("g"), "n")
     tiled = settle(tiles(named), "tiles")
     met = settle(meetings(tiled.join(members, "c"), percent), "met")
     grown = met.join(tiled.select("h", "x", "y", "c", "g"), ["h", "x", "y", "c"]).join(sets_of(met, docs), "c")
     more = settle(tile_links(grown, percent).distinct(), "links")
     if not more.isEmpty():
         found = components(edges.unionByName(more))
-    return ranked.select("doc_id", "n", "c").join(found, "c", "left").select("doc_id", "n", F.coalesce("g", "c", "doc_id").alias("component"))
+    forget(members, posts, tried, edges, tiled, met, more)
+    return ranked.join(found, "c", "left").select("doc_id", "n", F.coalesce("g", "c", "doc_id").alias("component"))
 
 
 def report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
