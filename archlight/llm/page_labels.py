@@ -78,14 +78,17 @@ def page(draw: random.Random) -> tuple[str, list[tuple[str, bool]]]:
 
     def comments() -> None:
         box = draw.choice(("section", "div"))
-        out.append(f"<{box}{named('comments', 'comment-list', 'discussion', 'respond', 'replies')}>")
-        say(draw.choice(("Comments", f"{draw.randint(2, 90)} comments", "Discussion", "Replies")), False, "<h3>", "</h3>")
+        out.append(f"<{box}{named('comments', 'comment-list', 'comments-area', 'discussion', 'respond', 'replies')}>")
+        title = draw.choice(("Comments", f"{draw.randint(2, 90)} comments", "Discussion", "Replies", f"{draw.randint(1, 9)} thoughts on “{words(2, 6)}”", f"What do you think of {words(1, 4)}?"))
+        say(title, False, *draw.choice((("<h3>", "</h3>"), ('<h2 class="comments-title">', "</h2>"), ("<h2>", "</h2>"))))
         for _ in range(draw.randint(1, 6)):
-            out.append(draw.choice(("<div class=\"comment\">", "<div>", "<li>", "<div class=\"comment\">", "<article class='comment'>")))
+            out.append(draw.choice(('<div class="comment">', "<div>", "<li>", '<li class="comment">', "<article class='comment'>")))
             kind = out[-1].strip("<>").split(" ")[0]
             if chance(0.6):
                 say(words(1, 2).title() + draw.choice(("", " says:", ", 3 days ago")), False, "<div>", "</div>")
-            say(" ".join(sentence() for _ in range(draw.randint(1, 4))), False, "<p>", "</p>")
+            say(" ".join(sentence() for _ in range(draw.randint(1, 4))), False, *draw.choice((("<p>", "</p>"), ('<div class="comment-content"><p>', "</p></div>"), ('<div class="comment-body">', "</div>"))))
+            if chance(0.3):
+                say("Reply", False, '<div><a class="comment-reply-link" href="#">', "</a></div>")
             out.append(f"</{kind}>")
         out.append(f"</{box}>")
 
@@ -166,12 +169,18 @@ def page(draw: random.Random) -> tuple[str, list[tuple[str, bool]]]:
             if chance(0.3):
                 out.append(f"<!-- {word()} -->")
             extra()
+    around = draw.choice(("main", "div")) if chance(0.35) else ""
+    if around:
+        # all but the page's own head and foot lies in one container
+        out.append(f"<{around}{named('content', 'main', 'container', 'site-content', 'page')}>")
     if chance(0.2):
         listing(("breadcrumb", "breadcrumbs"), "div")
     article()
     for extra, p in ((comments, 0.4), (sidebar, 0.35), (advert, 0.3), (form, 0.25), (notice, 0.2)):
         if chance(p):
             extra()
+    if around:
+        out.append(f"</{around}>")
     if chance(0.9):
         box = draw.choice(("footer", "footer", "div"))
         out.append(f"<{box}{named('footer', 'foot', 'copyright') if box == 'div' else attribute('footer')}>")

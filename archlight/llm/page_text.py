@@ -4,8 +4,9 @@ Blocks carry ancestor-tag and text features (``page_blocks``). A two-label chain
 (``page_labels``) by maximum likelihood with forward-backward sums, all pages at once, and decoded by Viterbi. Blocks
 that the best path calls main text are joined in page order by one space; nothing is capped.
 
-Null html counts as empty and gives an empty text. Rows keep their multiplicity; ids and urls may be null. Other columns
-are ignored.
+Null html counts as empty and gives an empty text. A page may be of any length and nesting: it is read in time linear in
+its length. Rows keep their multiplicity, equal pages give equal texts; ids and urls may be null. On a tie between labels
+a block is not main text. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from archlight.llm import bpe, long_matches, near_dups, packing, page_blocks, page_labels, page_text, quality_rules, queries, sentence_spans, site_quality, telephony, token_counts
 
 from ..conftest import duck, rows_of
-from . import brute
+from . import brute, foreign
 
 SP = public_tokenizers.path("piece_bpe_32k.model")
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -206,7 +208,7 @@ def test_viterbi():
     chain = page_text.Chain({"a": 1.3, "b": -0.4, "c": -2.0}, [[0.5, -0.7], [-0.3, 0.6]])
     draw = random.Random(1)
     for _ in range(60):
-        found = [page_blocks.Block("x", (), (), 0, [draw.choice("abc")]) for _ in range(draw.randint(1, 7))]
+        found = [page_blocks.Block("x", frozenset(), frozenset(), 0, [draw.choice("abc")]) for _ in range(draw.randint(1, 7))]
         score = lambda labels: sum(chain.weights[b.features[0]] * x for b, x in zip(found, labels)) + sum(chain.turn[x][y] for x, y in zip(labels, labels[1:]))  # noqa: E731, B023
         best = max(score([k >> i & 1 for i in range(len(found))]) for k in range(2 ** len(found)))
         assert abs(score(list(map(int, chain.decode(found)))) - best) < 1e-9
@@ -224,6 +226,34 @@ def test_pages(spark):
     assert [b.text for b in page_blocks.blocks("<DIV>a<p>b<p>c</div>d<!-- x --><style>p{}</style>e<br>f")] == ["a", "b", "c", "d", "e f"]
 
 
+def test_pages_of_other_hands():
+    """Word precision and recall on pages that no generator of ours made."""
+    chain = page_text.trained()
+    for page, want in foreign.PAGES:
+        got, want = Counter(page_text.main_text(page, chain)[0].split()), Counter(want.split())
+        both = (got & want).total()
+        assert both >= 0.95 * got.total() and both >= 0.95 * want.total()
+
+
+@pytest.mark.parametrize(
+    "page",
+    ['<a "' * 250_000, '<a ">"' * 150_000, "<div>x" * 150_000, "<h1>x" * 170_000, "<b>" + "<div>" * 80_000 + "</b>" * 150_000, "<b><div>" + "<i>" * 100_000 + "</b>" * 150_000, "<!" * 500_000, "<li>x<td>y" * 100_000, "<head>" * 100_000 + "<body>" * 100_000, "x " * 500_000],
+    ids=lambda p: p[:12],
+)
+def test_pages_in_linear_time(page):
+    began = time.process_time()
+    page_text.main_text(page, page_text.Chain({}, [[0.0, 0.0], [0.0, 0.0]]))
+    assert time.process_time() - began < 8
+
+
+def test_pages_tied_and_repeated(spark):
+    long = "<p>" + "A very long paragraph of one article goes on and on here. " * 20_000 + "</p>"
+    rows = spark.createDataFrame([(1, "u", f"<article>{long}</article>"), (1, "u", f"<article>{long}</article>"), (None, None, "<p>x</p>")], "page_id long, url string, html string")
+    got = page_text.extract(rows).collect()
+    assert len(got) == 3 and len({r["text"] for r in got if r["page_id"] == 1}) == 1
+    assert next(r["n_chars"] for r in got if r["page_id"] == 1) == len(long) - 8
+
+
 # 5
 
 
