@@ -9,12 +9,13 @@
    a run-compressed Burrows-Wheeler transform. At run ends the text position and the length of the match with the
    neighbour in suffix order are sampled; between samples a match shortens by one with every byte, so one stream over
    the text gives the matching statistics of all positions. Windows of 200 bytes and more are marked.
-3. *Hot anchors* would fill one block without bound, so the exact rest goes another way: hashes of their windows are
-   split in proportion to the anchor's count and counted; each document gets back those of its own that occur again.
+3. *Hot anchors* would fill one block without bound, so the exact rest goes another way: 128-bit hashes of their windows
+   are split in proportion to the anchor's count and counted; each document gets back those of its own that occur again.
 
 Null text counts as empty and loses nothing; so do texts under 200 bytes. Rows agreeing in id and text are two
-documents and lose everything from 200 bytes on. Rows that share only an id are different documents. A null id keeps
-its row. An empty table gives an empty result. Other columns are ignored by ``report`` and given back by ``remove``.
+documents and lose everything from 200 bytes on; their anchors count once. Rows that share only an id are different
+documents. A null id keeps its row. A text may be of any length. An empty table gives an empty result. Other columns
+are ignored by ``report`` and given back by ``remove``.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, keyed, map_arrow, settle
+from .common import batch, boxed, keyed, map_arrow, settle, unboxed
 
 LENGTH = 200
 GRAM = 100
@@ -41,7 +42,10 @@ BLOCK = 1 << 20
 _drawn = np.random.default_rng(77_003_141)
 VALUES = _drawn.integers(0, 2**64, 256, dtype=np.uint64)
 BASE = int(_drawn.integers(1, 2**63)) * 2 + 1
-INVERSE = pow(BASE, -1, 2**64)
+#: For the second half of a window's hash.
+OTHER_VALUES = _drawn.integers(0, 2**64, 256, dtype=np.uint64)
+OTHER_BASE = int(_drawn.integers(1, 2**63)) * 2 + 1
+WIDE = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
 @lru_cache(maxsize=8)
@@ -56,18 +60,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sums(data: bytes) -> np.ndarray:
+def sums(data: bytes, values: np.ndarray = VALUES, base: int = BASE) -> np.ndarray:
     """Prefix sums of the bytes' values times the powers of the base."""
     room = 1 << max(12, len(data).bit_length())
-    terms = VALUES[np.frombuffer(data, np.uint8)] * powers(BASE, room)[: len(data)]
+    terms = values[np.frombuffer(data, np.uint8)] * powers(base, room)[: len(data)]
     return np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
 
 
-def grams(prefix: np.ndarray, size: int) -> np.ndarray:
+def grams(prefix: np.ndarray, size: int, base: int = BASE) -> np.ndarray:
     """Hashes of all strings of ``size`` bytes."""
     n = len(prefix) - size
     room = 1 << max(12, (len(prefix) - 1).bit_length())
-    return mix((prefix[size:] - prefix[:n]) * powers(INVERSE, room)[:n])
+    return mix((prefix[size:] - prefix[:n]) * powers(pow(base, -1, 2**64), room)[:n])
+
+
+def windows_of(data: bytes) -> np.ndarray:
+    """Both halves of the hash of every window."""
+    out = np.empty(len(data) - LENGTH + 1, WIDE)
+    out["a"] = grams(sums(data), LENGTH)
+    out["b"] = grams(sums(data, OTHER_VALUES, OTHER_BASE), LENGTH, OTHER_BASE)
+    return out
+
+
+def wide(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), WIDE)
 
 
 def sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -144,7 +160,7 @@ def pieces(candidates: DataFrame, limit: int = HOT) -> DataFrame:
             rows = []
             for k1, k2, text, pos, a, n, route in zip(*(b.column(i).to_pylist() for i in range(7))):
                 data = text.encode()
-                p, first = np.unique(np.array(pos, np.int64), return_index=True)  # rows that agree in all list their anchors together
+                p, first = np.unique(np.array(pos, np.int64), return_index=True)
                 a, n, route = (np.array(x, np.int64)[first] for x in (a, n, route))
                 cold = n <= limit
                 for r in np.unique(route[cold]).tolist():
@@ -152,8 +168,8 @@ def pieces(candidates: DataFrame, limit: int = HOT) -> DataFrame:
                     reach = np.stack((np.maximum(at - (LENGTH - GRAM), 0), np.minimum(at + LENGTH, len(data))), axis=1)
                     rows += [(False, r, 0, k1, k2, i, data[i:j]) for i, j in join_spans(reach).tolist()]
                 if not cold.all():
-                    prefix, h, low, _ = winnow(data)
-                    windows = grams(prefix, LENGTH)
+                    _, h, low, _ = winnow(data)
+                    windows = windows_of(data)
                     for key in np.unique(a[~cold]).tolist():
                         own = p[a == key]
                         # a window that holds its anchor twice is one window
@@ -167,9 +183,9 @@ def pieces(candidates: DataFrame, limit: int = HOT) -> DataFrame:
 def split(key: int, of: int, k1: int, k2: int, h: np.ndarray) -> list[tuple]:
     """Rows with a document's window hashes at a hot anchor, by their share of the anchor's groups."""
     if of == 1:
-        return [(True, key, 0, k1, k2, None, h.astype("<u8").tobytes())]
-    sub = (h % np.uint64(of)).astype(np.int64)
-    return [(True, key, int(x), k1, k2, None, h[sub == x].astype("<u8").tobytes()) for x in np.unique(sub)]
+        return [(True, key, 0, k1, k2, None, h.tobytes())]
+    sub = (h["a"] % np.uint64(of)).astype(np.int64)
+    return [(True, key, int(x), k1, k2, None, h[sub == x].tobytes()) for x in np.unique(sub)]
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -191,9 +207,13 @@ def recount(hot: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, 2):
-            h = np.concatenate([np.frombuffer(row[4], "<u8") for row in group])
-            _, back, times = np.unique(h, return_inverse=True, return_counts=True)
-            hit, ends = times[back] > 1, np.cumsum([len(row[4]) // 8 for row in group])
+            h = wide([row[4] for row in group])
+            by = np.lexsort((h["b"], h["a"]))
+            equal = h[by][1:] == h[by][:-1]
+            hit = np.zeros(len(h), bool)
+            hit[by[1:]] |= equal
+            hit[by[:-1]] |= equal
+            ends = np.cumsum([len(row[4]) // WIDE.itemsize for row in group])
             rows = [(row[2], row[3], np.unique(h[i:j][hit[i:j]]).tobytes()) for row, i, j in zip(group, [0, *ends[:-1]], ends) if hit[i:j].any()]
             if rows:
                 yield batch(out, dict(zip(out.names, zip(*rows))))
@@ -356,8 +376,9 @@ def cover(marked: DataFrame, full: bool) -> DataFrame:
         data = text.encode()
         spans = np.frombuffer(b"".join(cold or []), "<i8").reshape(-1, 2)
         if hot:
-            windows = grams(sums(data), LENGTH)
-            starts = np.flatnonzero(np.isin(windows, np.frombuffer(b"".join(hot), "<u8")))
+            windows, found = windows_of(data), wide(hot)
+            some = np.flatnonzero(np.isin(windows["a"], found["a"]))
+            starts = some[np.isin(windows[some], found)]
             spans = np.concatenate((spans, spans_of(starts)))
         spans = join_spans(spans)
         edges = [0, *spans.reshape(-1).tolist(), len(data)]
@@ -394,7 +415,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     found = anchors(keys).withColumn("place", place)
     count = F.when(F.min("k2") == F.max("k2"), 1).otherwise(F.count(F.lit(1)))  # of one text, as copies go on as one
     again = found.groupBy("a").agg(F.count(F.lit(1)).alias("rows"), count.alias("n"), F.min("place").alias("route")).where("rows > 1").drop("rows")
-    listed = anchors(keys).join(again, "a").groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "a", "n", "route")).alias("x"))
+    # written, so that the join meets two fresh sides and a frequent anchor can be split; rows that agree in id and text list their anchors once
+    listed = anchors(keys).join(settle(again, "again"), "a").groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "a", "n", "route")).alias("x"))
     whole = ["k2", "crc", "n_bytes"]
     marked = keys.select("k1", "k2", F.crc32("text").alias("crc"), F.octet_length("text").alias("n_bytes")).where(F.col("n_bytes") >= LENGTH)
     groups = marked.groupBy(*whole).agg(F.count(F.lit(1)).alias("copies"), F.min("k1").alias("lead")).where("copies > 1")
@@ -433,9 +455,8 @@ def remove(docs: DataFrame, limit: int = HOT) -> DataFrame:
     A cut may fall inside a character; what is left of it goes as well.
     """
     found = candidates(docs.select("doc_id", "text"))
-    cut = cover(marks(found, limit), True).where("n_removed > 0").select("k1", "k2", F.col("kept").alias("_kept"))
-    cut = cut.unionByName(found.where("copies > 1").select("k1", "k2", F.lit("").alias("_kept"))).groupBy("k1", "k2").agg(F.min("_kept").alias("_kept"))
-    own = docs.withColumns({"_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_k2": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    cut = cut.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_kept")
-    text = F.coalesce(F.col("_kept"), F.col("text"))
-    return own.join(cut, ["_k1", "_k2"], "left").select(*(text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    cut = cover(marks(found, limit), True).where("n_removed > 0").select("k1", "k2", "kept")
+    cut = cut.unionByName(found.where("copies > 1").select("k1", "k2", F.lit("").alias("kept"))).groupBy("k1", "k2").agg(F.min("kept").alias("kept"))
+    row = F.col("row")
+    own = boxed(docs).select("row", F.coalesce(row["doc_id"].cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(F.coalesce(row["text"], F.lit(""))).alias("k2"))
+    return unboxed(own.join(cut, ["k1", "k2"], "left"), docs.columns, F.coalesce(F.col("kept"), row["text"]))

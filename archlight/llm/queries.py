@@ -33,10 +33,6 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.report(table(spark, sf_dir, "documents"))
 
 
-def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_spans.passages(table(spark, sf_dir, "documents"))
-
-
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract(table(spark, sf_dir, "pages"))
 
@@ -69,7 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_media_columns": op2_media_columns,
     "op3_substring_dedup": op3_substring_dedup,
-    "op3_passage_dedup": op3_passage_dedup,
     "op4_html_extraction": op4_html_extraction,
     "op5_token_counts": op5_token_counts,
     "op6_bpe_round_trip": op6_bpe_round_trip,

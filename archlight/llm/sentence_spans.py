@@ -1,220 +1,295 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences: after stops that white space follows, at line ends, and, inside a longer sentence, after
-every ``UNIT_WORDS`` words. Every run of ``span`` consecutive sentences is hashed. A run of fewer than ``MIN_CHARS``
-characters says too little: it is made longer by doubling, up to eight times, and does not count if that is not enough. Hashes are counted over all documents, with partial
-counts before the shuffle; a run that occurs again is *first* in the document with the smallest id, at its first place
-there. All sentences that any other occurrence of a repeated run covers are removed.
-
-Null text counts as empty and stays null. A null id counts as -1. Rows that share an id do not compete across each
-other (all belong to the document with that id); inside each of them later occurrences go. An empty table gives an
-empty result. Other columns are ignored by ``find``; ``remove`` gives them back unchanged.
-
-A sentence's 16-word grid counts from its start, so a copy that begins inside a sentence has other units. ``passages``
-therefore posts runs of ``RUN`` words as well. They begin at the smallest hash of three words among ``WINDOW``
-neighbours, which the words alone decide: every copy of ``RUN + WINDOW - 1`` = 51 words, wherever it stands, has such a
-beginning in its first ``WINDOW`` words and the whole run behind it. Up to ``WINDOW - 1`` words at either edge of a copy
-can stay.
+Sentences end after stops that white space follows and at line ends. A sentence of more than ``WINDOW`` words is cut
+further, at words that the words alone choose: of every ``WINDOW`` neighbours inside the sentence a cut stands before
+the one with the smallest hash, the first of equal ones. So cuts fall alike in every copy of a passage, whatever stands
+before it and wherever in a sentence it begins, but for its first and last ``WINDOW`` - 1 words. Every run of ``SPAN``
+consecutive pieces is hashed; a run of fewer than ``LEAST`` words goes on to the piece that gives them, and a shorter
+text is one run if it has ``SPAN`` pieces. Any 51 words hold a whole run: a cut that all copies share lies in the first
+15, and three pieces have 24 words at most, 39 in all, before the last 7.
+
+Runs are posted under 128 bits. A task sorts its own posts and sends on only the first occurrence of each run in some
+hundred thousand of them; the others are not first anywhere and stay. So a run that very many documents hold meets in
+one task only once for each such part. A run occurs *first* in the row with the smallest ``(k1, k2)`` and there at its
+smallest place, where ``k1`` is the id (null: -1) and ``k2`` comes from the text's hash. All pieces that any other
+occurrence of a repeated run covers are removed, each with the white space behind it.
+
+Null text counts as empty and stays null. Rows that share an id are different documents, in the order of ``k2``; rows
+that agree in id and text are one document and keep or lose the same. An empty table gives an empty result. A text may
+be of any length. Other columns are ignored by ``find`` and ``report``; ``remove`` gives them back unchanged.
 """
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, boxed, keyed, map_arrow, settle, texts_of, unboxed
-from .near_dups import KNOWN, mix
+from .common import boxed, map_arrow, texts_of
 
 SPAN = 3
-UNIT_WORDS = 16
-MIN_CHARS = 40
-#: Where sentences are so short that a run has fewer characters, it is so many times as long.
-GROWTH = (1, 2, 4, 8)
-#: Where a sentence ends, and what lies between two ends: up to UNIT_WORDS words with the white space behind them.
-END_OF_SENTENCE = r"([.!?][\x20\x09-\x0D]+|\n)"
-UNIT = rf"(?:[^\x1e\x20\x09-\x0D]+[\x20\x09-\x0D]*){{1,{UNIT_WORDS}}}"
-UNITS = re.compile(UNIT)
-BLANKS = " \t\n\x0b\x0c\r"
-#: Words in a run that does not follow sentences, and how many neighbours a run's beginning is chosen from.
-RUN = 36
-WINDOW = 16
-WEIGHTS = np.random.default_rng(20_240_307).integers(1, 2**63, RUN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def sentences(text: Column) -> Column:
-    """Sentences with the white space behind them."""
-    return F.regexp_extract_all(F.regexp_replace(text, END_OF_SENTENCE, "$1\x1e"), F.lit(UNIT), F.lit(0))
-
-
-def spans(units: Column, span: int) -> Column:
-    """``pos, k, h`` of the run that begins at every sentence, without the white space between; ``pos`` counts from 0."""
-    bare = F.transform(units, lambda u: F.btrim(u, F.lit(BLANKS)))
-
-    def runs(b: Column) -> Column:
-        def begin(i: Column) -> Column:
-            """The shortest of the run lengths that gives enough characters and does not pass the text's end."""
-            found = None
-            for k in (span * x for x in GROWTH):
-                run = F.concat_ws("\n", F.slice(b, i + 1, k))
-                ok = (i + k <= F.size(b)) & (F.length(run) >= MIN_CHARS)
-                one = F.struct(i.alias("pos"), F.lit(k).alias("k"), F.xxhash64(run).alias("h"))
-                found = F.when(ok, one) if found is None else found.when(ok, one)
-            return found
-
-        return F.filter(F.transform(F.slice(b, 1, F.greatest(F.size(b) - (span - 1), F.lit(0))), lambda _, i: begin(i)), lambda r: r.isNotNull())
-
-    return F.get(F.transform(F.array(bare), runs), F.lit(0))
+LEAST = 8
+WINDOW = 8
+#: Posts that a task sorts at once.
+PART = 400_000
+KNOWN_WORDS = 300_000
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+STOPS = np.frombuffer(b".!?", np.uint8)
+BASES = [int(x) * 2 + 1 for x in np.random.default_rng(20_240_307).integers(1, 2**62, 2)]
+
+
+class Words(dict):
+    """The hash of a word, 16 bytes."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        found = self[word] = hashlib.md5(word, usedforsecurity=False).digest()
+        return found
+
+
+KNOWN = Words()
+
+
+@lru_cache(maxsize=8)
+def powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base, np.uint64))))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Pieces:
+    """A text's words and the pieces they make: ``cuts`` are the words that pieces begin with, and the number of words."""
+
+    def __init__(self, data: bytes) -> None:
+        blank = BLANK[np.frombuffer(data, np.uint8)]
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
+        self.begin, stop = edge[::2], edge[1::2]
+        n = len(self.begin)
+        self.hashes = np.frombuffer(b"".join(map(KNOWN.__getitem__, data.split())), ">u8").reshape(-1, 2).astype(np.uint64)
+        if not n:
+            self.cuts = np.zeros(1, np.int64)
+            return
+        raw = np.frombuffer(data, np.uint8)
+        lines = np.concatenate(([0], np.cumsum(raw == 10)))
+        starts = np.ones(n, bool)
+        starts[1:] = np.isin(raw[stop[:-1] - 1], STOPS) | (lines[self.begin[1:]] > lines[stop[:-1]])
+        if n > WINDOW:
+            sentence = np.cumsum(starts)
+            view = np.lib.stride_tricks.sliding_window_view(self.hashes[:, 0], WINDOW)
+            inside = np.flatnonzero(sentence[WINDOW - 1 :] == sentence[: n - WINDOW + 1])
+            # a sentence of WINDOW words is one piece
+            inside = inside[np.bincount(sentence)[sentence[inside]] > WINDOW]
+            starts[inside + view[inside].argmin(axis=1)] = True
+        self.cuts = np.append(np.flatnonzero(starts), n)
+
+    def runs(self, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """First pieces of the runs and the pieces behind their last ones."""
+        count = len(self.cuts) - 1
+        if count < span:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        first = np.arange(count - span + 1)
+        end = np.maximum(first + span, np.searchsorted(self.cuts, self.cuts[first] + LEAST))
+        whole = end <= count
+        return (first[whole], end[whole]) if whole.any() else (np.zeros(1, np.int64), np.full(1, count))
+
+    def digests(self, first: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """Both halves of the runs' hashes."""
+        a, b = self.cuts[first], self.cuts[end]
+        room = 1 << max(12, len(self.hashes).bit_length())
+        out = []
+        for k, base in enumerate(BASES):
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.hashes[:, k] * powers(base, room)[: len(self.hashes)], dtype=np.uint64)))
+            out.append(mix((sums[b] - sums[a]) * powers(pow(base, -1, 2**64), room)[a] + (b - a).astype(np.uint64)).view(np.int64))
+        return out
+
+
+def identity(docs: DataFrame, *more: str) -> DataFrame:
+    """``k1, k2, text``: the order of rows, also of those with null and repeated ids."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    k2 = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), k2.alias("k2"), text.alias("text"), *more)
+
+
+POST = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int32()), ("end", pa.int32()), ("later", pa.bool_())])
+POSTS = "h1 long, h2 long, k1 long, k2 long, pos int, end int, later boolean"
+
+
+def ordered(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Posts by run and place, and which of them another place of their run stands before."""
+    by = np.lexsort(columns[4::-1])
+    columns = [c[by] for c in columns]
+    same = np.ones(len(by), bool)
+    same[:1] = False
+    same[1:] = (columns[0][1:] == columns[0][:-1]) & (columns[1][1:] == columns[1][:-1])
+    begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))
+    # rows that agree in id and text are one place
+    later = np.zeros(len(by), bool)
+    for c in columns[2:5]:
+        later |= c != c[begin]
+    return columns, later
+
+
+def posts(docs: DataFrame, span: int) -> DataFrame:
+    """``h1, h2, k1, k2, pos, end, later``: runs that are first in their part of a task; those that are not, as later, go by their document, not by their run."""
+
+    def told(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns, later = ordered([np.concatenate(c) for c in zip(*held)])
+        columns[0][later] = mix((columns[2][later] ^ columns[3][later]).view(np.uint64)).view(np.int64)
+        columns[1][later] = 0
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, later], POST)], schema=POST)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in batches:
+            for k1, k2, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
+                pieces = Pieces(text.encode())
+                first, end = pieces.runs(span)
+                if len(first):
+                    held.append([*pieces.digests(first, end), np.full(len(first), k1), np.full(len(first), k2), first.astype(np.int32), end.astype(np.int32)])
+                    size += len(first)
+                if size >= PART:
+                    yield told(held)
+                    held, size = [], 0
+        if held:
+            yield told(held)
 
-def find(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """``k1, k2, gone``: for each document that loses sentences, their positions in ascending order."""
-    later = repeated(sentence_runs(docs, span))
-    return later.select("k1", "k2", covered(F.col("later")).alias("gone")).where(F.size("gone") > 0)
-
+    return map_arrow(identity(docs).select("k1", "k2", "text"), work, POSTS)
 
-def sentence_runs(docs: DataFrame, span: int) -> DataFrame:
-    """``k1, k2, pos, k, h`` of all runs of sentences."""
-    return keyed(docs).select("k1", "k2", F.explode(spans(sentences(F.col("text")), span)).alias("s")).select("k1", "k2", "s.pos", "s.k", "s.h")
 
+def not_first(posted: DataFrame) -> DataFrame:
+    """``k1, k2, pos, end`` of the posts that are not the first of their run, by one shuffle."""
+    out = pa.schema([POST.field(k) for k in ("k1", "k2", "pos", "end")])
 
-def repeated(posted: DataFrame) -> DataFrame:
-    """``k1, k2, later``: the runs of a document that are not the first occurrence."""
-    again = posted.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("first")).where("n > 1").select("h", "first")
-    hit = posted.join(again, "h").groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("h", "pos", "k", "first"))).alias("hits"))
-    k1, hits = F.col("k1"), F.col("hits")
-    later = F.filter(hits, lambda x, i: (x["first"] != k1) | (i > 0) & (x["h"] == F.get(hits, F.greatest(i - 1, F.lit(0)))["h"]))
-    return hit.select("k1", "k2", later.alias("later"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: tuple | None = None
+        for part in batches:
+            if not part.num_rows:
+                continue
+            columns = [part.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            later = columns[6].copy()  # these come last
+            n = int(len(later) - later.sum())
+            if n:
+                h1, h2 = columns[0][:n], columns[1][:n]
+                new = np.ones(n, bool)
+                new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+                if head is not None:
+                    new[0] = (h1[0], h2[0]) != head[:2]
+                begin = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+                for c, own in zip(columns[2:5], head[2:] if head else (0, 0, 0)):
+                    later[:n] |= c[:n] != np.where(begin < 0, own, c[np.maximum(begin, 0)])
+                last = int(begin[-1])
+                head = tuple(c[last] for c in columns[:5]) if last >= 0 else head
+            yield pa.RecordBatch.from_arrays([pa.array(c[later], f.type) for c, f in zip(columns[2:6], out)], schema=out)
+
+    dealt = posted.repartition("h1", "h2").sortWithinPartitions("later", "h1", "h2", "k1", "k2", "pos")
+    return map_arrow(dealt.select(*POST.names), work, "k1 long, k2 long, pos int, end int")
 
 
-def covered(runs: Column) -> Column:
-    """Positions under the runs, in ascending order."""
-    return F.sort_array(F.array_distinct(F.flatten(F.transform(runs, lambda x: F.sequence(x["pos"], x["pos"] + x["k"] - 1)))))
+def find(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """``k1, k2, gone``: for each document that loses pieces, the runs that cover them as ``pos, end``."""
+    return not_first(posts(docs, span)).groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "end")).alias("gone"))
+
+
+def left_of(text: str, gone: list[dict] | None) -> tuple[int, int, str]:
+    """Pieces, pieces removed, and the text without them and the white space behind them."""
+    data = text.encode()
+    pieces = Pieces(data)
+    count = len(pieces.cuts) - 1
+    if not gone:
+        return count, 0, text
+    change = np.zeros(count + 1, np.int64)
+    np.add.at(change, [g["pos"] for g in gone], 1)
+    np.add.at(change, [g["end"] for g in gone], -1)
+    out = np.cumsum(change[:-1]) > 0
+    at = np.append(pieces.begin[pieces.cuts[:-1]], len(data))
+    kept = [data[: at[0]], *(data[i:j] for i, j, x in zip(at[:-1].tolist(), at[1:].tolist(), out.tolist()) if not x)]
+    return count, int(out.sum()), b"".join(kept).decode()
 
 
 def applied(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """``row``, all columns of ``docs``, and ``n_sentences, n_removed, cleaned``."""
-    raw = F.col("row")["text"]
-    t = F.coalesce(raw, F.lit(""))
-    own = boxed(docs).select("row", F.coalesce(F.col("row")["doc_id"].cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(t).alias("k2"))
+    """``row, text, n_sentences, n_removed, cleaned`` for every row of the frame ``docs`` of ``row, doc_id, text``."""
+    own = identity(docs, "row", F.col("text").isNull().alias("none"))
     joined = own.join(find(docs, span), ["k1", "k2"], "left")
-    units, gone = sentences(t), F.col("gone")
+    kind = dict(docs.dtypes)["row"]
+    out = pa.schema([("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("removed_chars", pa.int64()), ("cleaned", pa.string())])
 
-    def kept(u: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(u) - 1), gone)
-        return F.array_join(F.transform(left, lambda i: F.get(u, i)), "")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            rows = []
+            for text, none, gone in zip(texts_of(part.column(1)), part.column(2).to_pylist(), part.column(3).to_pylist()):
+                count, lost, left = left_of(text, gone)
+                rows.append((count, lost, len(text) - len(left), None if none else left))
+            told = list(zip(*rows)) or [[]] * len(out)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(told, out))], names=["row", *out.names])
 
-    cleaned = F.when(gone.isNull(), raw).otherwise(F.get(F.transform(F.array(units), kept), F.lit(0)))
-    return joined.select("row", F.size(units).cast("long").alias("n_sentences"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), cleaned.alias("cleaned"))
+    return map_arrow(joined.select("row", "text", "none", "gone"), work, f"row {kind}, n_sentences long, n_removed long, removed_chars long, cleaned string")
 
 
 def remove(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """All columns of ``docs`` with repeated sentences removed from ``text`` and ``n_chars`` counted anew where there is one."""
-    return unboxed(applied(docs, span), docs.columns, F.col("cleaned"))
+    """All columns of ``docs`` with repeated pieces removed from ``text`` and ``n_chars`` counted anew where there is one."""
+    row = F.col("row")
+    own = boxed(docs).select("row", row["doc_id"].alias("doc_id"), row["text"].alias("text"))
+    new = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
+    return applied(own, span).select(*(new.get(c, row[c]).alias(c) for c in docs.columns))
 
 
 def report(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """``doc_id, n_sentences, n_removed, removed_chars, text`` for every document."""
-    t = F.coalesce(F.col("row")["text"], F.lit(""))
-    removed = F.length(t) - F.length(F.coalesce("cleaned", F.lit("")))
-    return applied(docs.select("doc_id", "text"), span).select(F.col("row")["doc_id"].cast("long").alias("doc_id"), "n_sentences", "n_removed", removed.cast("long").alias("removed_chars"), F.col("cleaned").alias("text"))
-
-
-def beginnings(h: np.ndarray) -> np.ndarray:
-    """Where runs of RUN words begin, from the hashes of a text's words: the smallest three of every WINDOW neighbours."""
-    m = len(h) - RUN + 1
-    if m < WINDOW:
-        return np.zeros(0, np.int64)
-    three = mix(h[:m] * WEIGHTS[0] + h[1 : m + 1] * WEIGHTS[1] + h[2 : m + 2] * WEIGHTS[2])
-    view = np.lib.stride_tricks.sliding_window_view(three, WINDOW)
-    return np.unique(view.argmin(axis=1) + np.arange(len(view)))
-
-
-def word_runs(docs: DataFrame) -> DataFrame:
-    """``k1, k2, pos, k, h`` of the runs of words; ``pos`` counts words from 0."""
-    out = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int32()), ("k", pa.int32()), ("h", pa.int64())])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            at, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            for text in texts_of(part.column(2)):
-                h = np.frombuffer(b"".join(map(KNOWN.__getitem__, text.encode().split())), dtype=">u8").astype(np.uint64)
-                pos = beginnings(h)
-                run = np.zeros(len(pos), np.uint64)
-                for k in range(RUN):
-                    run += h[pos + k] * WEIGHTS[k]
-                at.append(pos)
-                found.append(mix(run))
-            size = [len(x) for x in at[1:]]
-            ids = (np.repeat(part.column(i).to_numpy(), size) for i in (0, 1))
-            pos = np.concatenate(at)
-            yield batch(out, dict(zip(out.names, (*ids, pos.astype(np.int32), np.full(len(pos), RUN, np.int32), np.concatenate(found).view(np.int64)))))
-
-    return map_arrow(keyed(docs), work, "k1 long, k2 long, pos int, k int, h long")
-
-
-def left_of(text: str, units: list[int], words: list[int]) -> str:
-    """The text without the given sentences and words and the white space behind them."""
-    gone = bytearray(len(text))
-    ends = [0, *(m.end() for m in re.finditer(END_OF_SENTENCE, text)), len(text)]
-    own = [m.span() for a, b in zip(ends, ends[1:]) for m in UNITS.finditer(text, a, b)]
-    starts = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)] + [len(text)]
-    for a, b in [*(own[i] for i in units), *((starts[i], starts[i + 1]) for i in words)]:
-        gone[a:b] = b"\1" * (b - a)
-    return "".join(c for c, g in zip(text, gone) if not g)
-
-
-def passages(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """``doc_id, n_sentences_removed, n_words_removed, removed_chars, text``: repeated runs of sentences go, and repeated runs of words whatever their place in a sentence."""
-    later = repeated(settle(sentence_runs(docs, span).unionByName(word_runs(docs)), "runs"))
-    ours = lambda word: covered(F.filter("later", lambda x: (x["k"] == RUN) == F.lit(word)))  # noqa: E731  runs of sentences have other lengths
-    gone = later.where(F.size("later") > 0).select("k1", "k2", ours(False).alias("units"), ours(True).alias("words"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = keyed(own, "doc_id", F.col("text").alias("raw")).select("k1", "k2", "doc_id", "raw").join(gone, ["k1", "k2"], "left")
-    out = pa.schema([("doc_id", pa.int64()), ("n_sentences_removed", pa.int64()), ("n_words_removed", pa.int64()), ("removed_chars", pa.int64()), ("text", pa.string())])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            rows = []
-            for doc_id, text, units, words in zip(*(part.column(i).to_pylist() for i in range(4))):
-                cut = left_of(text, units or [], words or []) if units or words else text
-                rows.append((doc_id, len(units or []), len(words or []), len(text or "") - len(cut or ""), cut))
-            yield batch(out, dict(zip(out.names, zip(*rows))) if rows else {k: [] for k in out.names})
-
-    return map_arrow(joined.select("doc_id", "raw", "units", "words"), work, "doc_id long, n_sentences_removed long, n_words_removed long, removed_chars long, text string")
+    own = docs.select(F.col("doc_id").cast("long").alias("row"), "doc_id", "text")
+    return applied(own, span).select(F.col("row").alias("doc_id"), "n_sentences", "n_removed", "removed_chars", F.col("cleaned").alias("text"))
 
 
+SPACE = r"[\x20\x09-\x0D]"
+WORD = r"[^\x20\x09-\x0D]+"
 ORACLE = rf"""
-WITH cut AS (
-  SELECT doc_id, coalesce(text, '') AS t,
-    regexp_extract_all(regexp_replace(coalesce(text, ''), '([.!?][\x20\x09-\x0D]+|\n)', '\1' || chr(30), 'g'), '{UNIT}') AS u
-  FROM documents
-), units AS (
-  SELECT doc_id, unnest(u) AS unit, generate_subscripts(u, 1) - 1 AS pos FROM cut
-), bare AS (
-  SELECT *, trim(unit, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS b FROM units
+WITH d AS (
+  SELECT doc_id, text, coalesce(text, '') AS t, row_number() OVER (ORDER BY coalesce(doc_id, -1), CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT)) AS r,
+    dense_rank() OVER (ORDER BY coalesce(doc_id, -1), CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT), coalesce(text, '')) AS o FROM documents
+), g AS (
+  SELECT r, o, regexp_extract_all(t, '{WORD}{SPACE}*') AS gs FROM d
+), w AS (
+  SELECT r, o, unnest(gs) AS g, generate_subscripts(gs, 1) - 1 AS i FROM g
+), s AS (
+  SELECT *, regexp_extract(g, '{WORD}') AS word, CASE WHEN i = 0 OR regexp_matches(lag(g) OVER p, '[.!?]{SPACE}+$|\n') THEN 1 ELSE 0 END AS start FROM w WINDOW p AS (PARTITION BY r ORDER BY i)
+), n AS (
+  SELECT *, sum(start) OVER (PARTITION BY r ORDER BY i) AS sentence FROM s
+), k AS (
+  SELECT *, count(*) OVER (PARTITION BY r, sentence) AS size, count(*) OVER b AS many, min(substr(md5(word), 1, 16) || lpad(i::VARCHAR, 9, '0')) OVER b AS low
+  FROM n WINDOW b AS (PARTITION BY r, sentence ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)
+), c AS (
+  SELECT r, i FROM k WHERE start = 1 UNION SELECT r, substr(low, 17)::BIGINT FROM k WHERE many = {WINDOW} AND size > {WINDOW}
+), p AS (
+  SELECT r, i AS a, row_number() OVER v - 1 AS pos, count(*) OVER (PARTITION BY r) AS pieces, lead(i) OVER v AS b FROM c WINDOW v AS (PARTITION BY r ORDER BY i)
+), q AS (
+  SELECT p.r, g.o, a, pos, pieces, coalesce(b, len(gs)) AS b, array_to_string(gs[a + 1 : coalesce(b, len(gs))], '') AS piece, gs FROM p JOIN g USING (r)
+), e AS (
+  SELECT x.r, x.o, x.a, x.pos, x.pieces, x.gs, min(y.pos) AS last FROM q x JOIN q y ON x.r = y.r AND y.pos BETWEEN x.pos + {SPAN - 1} AND x.pos + {LEAST} AND y.b - x.a >= {LEAST} GROUP BY ALL
 ), runs AS (
-  SELECT doc_id, pos, k, string_agg(b, chr(10)) OVER w3 AS r3, string_agg(b, chr(10)) OVER w6 AS r6, string_agg(b, chr(10)) OVER w12 AS r12, string_agg(b, chr(10)) OVER w24 AS r24
-  FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) - pos AS k FROM bare)
-  WINDOW w3 AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), w6 AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING),
-    w12 AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING), w24 AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING)
-), chosen AS (
-  SELECT doc_id, pos, CASE WHEN k >= 3 AND length(r3) >= {MIN_CHARS} THEN 3 WHEN k >= 6 AND length(r6) >= {MIN_CHARS} THEN 6 WHEN k >= 12 AND length(r12) >= {MIN_CHARS} THEN 12 WHEN k >= 24 AND length(r24) >= {MIN_CHARS} THEN 24 END AS k, r3, r6, r12, r24 FROM runs
-), ranked AS (
-  SELECT doc_id, pos, k, row_number() OVER (PARTITION BY CASE k WHEN 3 THEN r3 WHEN 6 THEN r6 WHEN 12 THEN r12 ELSE r24 END ORDER BY doc_id, pos) AS r FROM chosen WHERE k IS NOT NULL
+  SELECT e.r, e.o, e.pos, e.last, e.a, q.b, e.gs FROM e JOIN q ON q.r = e.r AND q.pos = e.last
+  UNION ALL SELECT q.r, q.o, 0, pieces - 1, 0, len(gs), gs FROM q WHERE pos = 0 AND pieces >= {SPAN} AND r NOT IN (SELECT r FROM e)
+), h AS (
+  SELECT *, array_to_string(list_transform(gs[a + 1 : b], lambda x: regexp_extract(x, '{WORD}')), ' ') AS run FROM runs
+), z AS (
+  SELECT r, pos, last, (o, pos) <> min((o, pos)) OVER (PARTITION BY run) AS later FROM h
 ), gone AS (
-  SELECT DISTINCT doc_id, pos + d AS pos FROM ranked, (SELECT unnest(range(24)) AS d) WHERE r > 1 AND d < k
+  SELECT DISTINCT q.r, q.pos FROM q JOIN z ON q.r = z.r AND later AND q.pos BETWEEN z.pos AND z.last
 ), kept AS (
-  SELECT doc_id, count(*) AS n_sentences, count(g.pos) AS n_removed,
-    coalesce(string_agg(CASE WHEN g.pos IS NULL THEN unit END, '' ORDER BY pos), '') AS left_text
-  FROM units LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id
+  SELECT q.r, count(*) AS n, count(gone.pos) AS lost, string_agg(CASE WHEN gone.pos IS NULL THEN piece ELSE '' END, '' ORDER BY q.pos) AS rest FROM q LEFT JOIN gone USING (r, pos) GROUP BY q.r
 )
-SELECT CAST(c.doc_id AS BIGINT) AS doc_id, CAST(coalesce(n_sentences, 0) AS BIGINT) AS n_sentences, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
-  CAST(CASE WHEN coalesce(n_removed, 0) > 0 THEN length(t) - length(left_text) ELSE 0 END AS BIGINT) AS removed_chars,
-  CASE WHEN coalesce(n_removed, 0) > 0 THEN left_text ELSE t END AS text
-FROM cut c LEFT JOIN kept USING (doc_id)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, CAST(coalesce(lost, 0) AS BIGINT) AS n_removed,
+  CAST(CASE WHEN lost > 0 THEN length(t) - length(regexp_extract(t, '^{SPACE}*')) - length(rest) ELSE 0 END AS BIGINT) AS removed_chars,
+  CASE WHEN lost > 0 THEN regexp_extract(t, '^{SPACE}*') || rest ELSE text END AS text
+FROM d LEFT JOIN kept USING (r)
 """

@@ -50,3 +50,59 @@ def long_matches(rows, length=200):
         spans = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
         out.append((i, len(d), sum(gone), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
     return sorted(out, key=lambda r: (r[0] is None, r[0] or 0, r[4]))
+
+
+def pieces(text, window=8):
+    """Words with the white space behind them, in pieces; a sentence is cut before the smallest hash of every window."""
+    import re
+
+    found = re.findall(rb"[^ \t-\r]+[ \t-\r]*", (text or "").encode())
+    sentences = []
+    for i, g in enumerate(found):
+        if i == 0 or b"\n" in found[i - 1] or re.search(rb"[.!?][ \t-\r]+$", found[i - 1]):
+            sentences.append([])
+        sentences[-1].append(g)
+    out = []
+    for s in sentences:
+        key = [hashlib.md5(g.strip(BLANKS)).digest()[:8] for g in s]
+        cuts = {0, len(s)}
+        if len(s) > window:
+            cuts |= {min(range(i, i + window), key=lambda k: (key[k], k)) for i in range(len(s) - window + 1)}
+        cuts = sorted(cuts)
+        out += [s[i:j] for i, j in zip(cuts, cuts[1:])]
+    return out
+
+
+def spans(rows, span=3, least=8):
+    """Sorted (doc_id, pieces, removed, text): every run that is not the first of its words goes."""
+    def place(i, t):
+        return (-1 if i is None else i, int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16))
+
+    runs = {}
+    cut = {place(i, t): pieces(t) for i, t in rows}
+    for p, ps in cut.items():
+        own = []
+        for a in range(len(ps) - span + 1):
+            b = a + span
+            while b <= len(ps) and sum(map(len, ps[a:b])) < least:
+                b += 1
+            if b <= len(ps):
+                own.append((a, b))
+        if not own and len(ps) >= span:
+            own = [(0, len(ps))]
+        for a, b in own:
+            runs.setdefault(tuple(g.strip(BLANKS) for x in ps[a:b] for g in x), []).append((p, a, b))
+    gone = {p: set() for p in cut}
+    for places in runs.values():
+        first = min((p, a) for p, a, _ in places)
+        for p, a, b in places:
+            if (p, a) != first:
+                gone[p] |= set(range(a, b))
+    out = []
+    for i, t in rows:
+        p = place(i, t)
+        lead = (t or "").encode()
+        lead = lead[: len(lead) - len(lead.lstrip(BLANKS))]
+        left = (lead + b"".join(b"".join(x) for k, x in enumerate(cut[p]) if k not in gone[p])).decode() if gone[p] else t
+        out.append((i, len(cut[p]), len(gone[p]), left))
+    return sorted(out, key=repr)

@@ -29,7 +29,8 @@ def table(spark, rows, **extra):
     """Documents with ids from 0, the given texts and clashing extra columns."""
     data = [(i, t, "en" if (i or 0) % 2 else None, f"src{(i or 0) % 3}", len(t or "")) for i, t in rows]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
-    return df.withColumns({c: F.lit(1) for c in ("kept", "n_words", "k1", "c", "h", "_once", "copies", "piece")} | extra)
+    clashing = ("kept", "_kept", "n_words", "k1", "_k1", "_k2", "c", "h", "_once", "once", "copies", "piece", "row", "cleaned", "gone", "_host", "x")
+    return df.withColumns({c: F.lit(1) for c in clashing} | extra)
 
 
 @pytest.fixture(scope="module")
@@ -156,39 +157,57 @@ def test_spans(spark):
     assert got[3]["n_removed"] == 0 and got[3]["text"] == one  # the smallest id is first
     assert got[5]["text"] == "Other opening words of two.\nOther ending words." and got[5]["n_removed"] == 3
     assert got[9]["text"] == "" and got[14]["text"] == ""
-    assert got[10]["text"] is None and got[11]["text"] == "" and got[13]["n_removed"] == 0 and got[None]["n_removed"] == 0
+    assert got[10]["text"] is None and got[11]["text"] == "" and got[None]["n_removed"] == 0
+    assert got[12]["n_removed"] == 0 and got[13]["text"] == ""  # short sentences are a run as well
     inside = {r["doc_id"]: r for r in sentence_spans.report(table(spark, [(1, shared + "Between. " + shared)])).collect()}
     assert inside[1]["text"] == shared + "Between. "
     assert sentence_spans.report(table(spark, rows).limit(0)).count() == 0
-    assert sentence_spans.remove(table(spark, rows)).columns == table(spark, rows).columns
+    left = sentence_spans.remove(table(spark, rows))
+    assert left.columns == table(spark, rows).columns and {r["doc_id"]: r["n_chars"] for r in left.collect()}[5] == len("Other opening words of two.\nOther ending words.")
+
+
+def span_rows(seed):
+    """Texts of few words and sentences, so that runs repeat; null and repeated ids, repeated rows."""
+    draw = random.Random(seed)
+    said = [" ".join(draw.choice("ab cd ef gh ij kl mn op qr st é".split()) for _ in range(draw.choice((1, 2, 4, 9, 20, 40)))) for _ in range(14)]
+    text = lambda: draw.choice(("", " ", "\n\n")) + "".join(draw.choice(said) + draw.choice((". ", ". ", "!\n", "\n", " ", "?  ")) for _ in range(draw.randint(0, 9)))
+    rows = [(draw.choice((None, *range(12))), draw.choice((None, "", text(), text(), text()))) for _ in range(40)]
+    return rows + draw.sample(rows, 6)
+
+
+@pytest.mark.parametrize("seed, part", [(1, 400_000), (2, 5), (3, 60)])
+def test_spans_against_brute_force(spark, monkeypatch, seed, part, tmp_path):
+    monkeypatch.setattr(sentence_spans, "PART", part)
+    rows = span_rows(seed)
+    want = brute.spans(rows)
+    got = sorted(((r["doc_id"], r["n_sentences"], r["n_removed"], r["text"]) for r in sentence_spans.report(table(spark, rows)).collect()), key=repr)
+    assert got == want and sum(r[2] for r in want) > 20
+    table(spark, rows).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    twin = duck(str(tmp_path)).sql(sentence_spans.ORACLE).fetchall()
+    assert sorted(((r[0], r[1], r[2], r[4]) for r in twin), key=repr) == want
 
 
 def test_passages_at_any_offset(spark):
+    """51 words are found wherever they begin in a sentence, but for a few at their edges."""
     rnd = random.Random(3)
     own = lambda n: " ".join(f"w{rnd.randrange(10**9)}" for _ in range(n))
-    bare, short, three = own(400), own(51), f"{own(24)}. {own(23)}. {own(24)}"
-    rows = []
-    for p in (bare, short, three):
-        for before in (3, 2, 0, 17, 40):
-            rows.append((len(rows), f"{own(before)} {p} {own(before)}.".strip()))
-    edges = 2 * (sentence_spans.WINDOW - 1)
-    got = {r["doc_id"]: r for r in sentence_spans.passages(table(spark, [*rows, (90, None), (91, ""), (None, "nothing shared")])).collect()}
-    for i, (_, text) in enumerate(rows):
-        p = (bare, short, three)[i // 5]
-        if i % 5 == 0:
+    found = [own(400), *(own(51) for _ in range(20)), *(f"{own(24)}. {own(23)}. {own(24)}" for _ in range(5))]
+    rows = [(len(found) * k + i, f"{own(before)} {p} {own(before)}.".strip()) for k, before in enumerate((3, 2, 0, 17, 40)) for i, p in enumerate(found)]
+    edges = 4 * sentence_spans.WINDOW
+    got = {r["doc_id"]: r for r in sentence_spans.report(table(spark, rows)).collect()}
+    for i, text in rows:
+        p = found[i % len(found)]
+        if i < len(found):
             assert got[i]["text"] == text and got[i]["removed_chars"] == 0
         else:
             assert sum(w in set(p.split()) for w in got[i]["text"].split()) <= edges
             assert [w for w in text.split() if w not in p] == [w for w in got[i]["text"].split() if w not in p]
-    assert got[90]["text"] is None and got[91]["text"] == "" and got[None]["removed_chars"] == 0
 
 
-def test_passages_keep_what_sentences_find(spark, docs):
-    old = {r["doc_id"]: r for r in sentence_spans.report(docs).collect()}
-    new = {r["doc_id"]: r for r in sentence_spans.passages(docs).collect()}
-    assert set(old) == set(new) and all(new[i]["n_sentences_removed"] == old[i]["n_removed"] for i in old)
-    assert all(len("".join(new[i]["text"].split())) <= len("".join(old[i]["text"].split())) for i in old if old[i]["text"] is not None)
-    assert sum(new[i]["n_words_removed"] for i in new) > 0
+def test_spans_of_a_very_long_text(spark):
+    long = " ".join(f"word{i}" for i in range(200_000))
+    got = {r["doc_id"]: r for r in sentence_spans.report(table(spark, [(1, long), (2, "x " + long), (3, "short text")])).collect()}
+    assert got[1]["n_removed"] == 0 and len(got[2]["text"]) < 200 and got[3]["text"] == "short text"
 
 
 # 4
@@ -482,6 +501,27 @@ def test_long_matches_tables(spark, docs, texts):
     assert long_matches.report(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1024, 2])
+def test_long_matches_of_equal_rows(spark, limit):
+    """Equal rows without an id, in a number that anchors of all of them for each would square."""
+    words = " ".join(f"w{i * 7919 % 1009}" for i in range(80))
+    rows = [(None, words)] * 500 + [(1, "before " + words), (2, "other")]
+    docs = table(spark, rows)
+    found = long_matches.candidates(docs.select("doc_id", "text"))
+    per = len(long_matches.winnow(words.encode())[3])
+    assert found.where("x is not null" if "x" in found.columns else "pos is not null").select(F.max(F.size("pos"))).first()[0] <= per + 3
+    got = long_matches.report(docs, limit).groupBy("doc_id").agg(F.count("*"), F.min("n_removed"), F.max("n_removed")).collect()
+    n = len(words.encode())
+    assert sorted(tuple(r) for r in got if r[0]) == [(1, 1, n, n), (2, 1, 0, 0)] and [tuple(r) for r in got if r[0] is None] == [(None, 500, n, n)]
+    assert {len(r["text"]) for r in long_matches.remove(docs, limit).where("doc_id is null").collect()} == {0}
+
+
+def test_long_matches_of_a_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(150_000))
+    got = {r["doc_id"]: r for r in long_matches.report(table(spark, [(1, long), (2, long[500_000:500_600]), (3, "y" * 100 + long[700_000:700_250])])).collect()}
+    assert (got[1]["n_removed"], got[1]["n_spans"], got[2]["n_removed"], got[3]["n_removed"]) == (850, 2, 600, 250)
+
+
 def test_run_length_index(monkeypatch):
     draw = random.Random(9)
     for length in (3, 5, 12):
