@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, long_matches, near_dups, packing, page_text, quality_rules, sentence_spans, site_quality, telephony, token_counts
-from .common import table
+from .common import settle, table
 
 #: Where the public tokenizers' files lie; None asks the installed package.
 VOCABULARIES: str | None = None
@@ -26,7 +26,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.read_media(telephony.store_bytes(table(spark, sf_dir, "documents")), keep_pcm=True)
+    return telephony.read_media(settle(telephony.store_bytes(table(spark, sf_dir, "documents")), "media"), keep_pcm=True)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ final odds are its own evidence times the odds of its path, relative to the glob
 its host is left out, so no evidence counts twice. ``documents`` has no URL: by default ``source`` stands for the host
 and ``lang`` for the path.
 
-Null text counts as empty; a document without words is rejected. A null host or path is a group of its own. A null id
-keeps its row. Rows keep their multiplicity. Without labelled rows of both kinds the evidence is neutral and every
+Null text counts as empty; a document without words is rejected and is no evidence for its site. A null host or path is a
+group of its own. A null id keeps its row. Rows keep their multiplicity: each of several equal rows is evidence for the
+others, and all get the same verdict. A probability of exactly the threshold is kept. A text may be of any length. Without labelled rows of both kinds the evidence is neutral and every
 document with words is kept. An empty table gives an empty result. Extra columns pass through ``keep`` unchanged.
 """
 
@@ -122,10 +123,10 @@ def sites(own: DataFrame) -> tuple[DataFrame, float, float, float]:
 
     Documents without words are no evidence.
     """
-    paths = own.where("_words > 0").groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("_n"), F.sum("_p").alias("_s"))
+    paths = own.groupBy("_host", "_path").agg(F.count_if(F.col("_words") > 0).alias("_n"), F.sum(F.when(F.col("_words") > 0, F.col("_p")).otherwise(0.0)).alias("_s"))
     hosts = paths.groupBy("_host").agg(F.sum("_n").alias("_host_n"), F.sum("_s").alias("_host_s"))
     both = settle(paths.join(hosts, "_host"), "sites")  # its size is then known: Spark broadcasts it only where it is small
-    row = both.agg(
+    row = both.where("_n > 0").agg(
         F.sum("_n").alias("n"),
         F.sum("_s").alias("s"),
         F.sum(F.col("_n") * F.pow(F.col("_s") / F.col("_n") - F.col("_host_s") / F.col("_host_n"), 2)).alias("within"),

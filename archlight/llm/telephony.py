@@ -1,13 +1,16 @@
 """Telephony audio: mu-law, A-law and IMA ADPCM in WAV containers, expanded to resampled PCM.
 
 Companded samples are expanded by 256-entry lookup tables, which a rule builds. ADPCM blocks are decoded with numpy
-across all blocks of a file: the loop runs over the samples of a block, each step handles one sample of every block.
-Resampling is by a windowed-sinc interpolator with fixed integer taps, so that results are the same on every machine.
-
-``store_bytes`` keeps any payload losslessly as 8-bit mu-law samples; ``read_media`` parses the stored file, gives the
-payload back and computes features from the resampled PCM. Null text counts as empty and still gives 64 samples. A
-file that is no WAV of a known kind gives a null payload and the feature ``unreadable``. Rows keep their multiplicity,
-``doc_id`` may be null and other columns are ignored.
+across all blocks of a batch of files: the loop runs over the samples of a block, each step handles one sample of every
+block. Resampling is by a windowed-sinc interpolator with fixed integer taps, so that results are the same on every
+machine.
+
+``store_bytes`` keeps any payload losslessly as 8-bit samples of one of three forms, which a checksum of the payload
+chooses: mu-law, A-law, or the codes of ADPCM blocks of ``BLOCK`` bytes behind blank block heads. ``read_media`` parses
+stored files, gives the payload back and computes features from the resampled PCM. Null text counts as empty and still
+gives 64 samples; equal texts give equal files. A text may be of any length. A file that is no WAV of a known kind
+gives a null payload and the feature ``unreadable``. Rows keep their multiplicity, ``doc_id`` may be null and other
+columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import batch, map_arrow, texts_of
@@ -28,6 +32,11 @@ BLOCK = 64
 RATE = 8_000
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 0x11
 NAMES = {PCM: "pcm", ALAW: "alaw", MULAW: "mulaw", ADPCM: "adpcm"}
+FORMS = (MULAW, ALAW, ADPCM)
+#: A block's head: its first sample and step index, both 0 where a payload is stored.
+HEAD = b"\0" * 4
+#: Bytes of media that a task expands at once; their PCM is up to eight times as long.
+AT_ONCE = 1 << 20
 #: Fixed values of IMA ADPCM: index changes for the low three bits of a code; step sizes grow by a tenth from 7 and are listed in the standard.
 INDEX_CHANGE = np.array([-1, -1, -1, -1, 2, 4, 6, 8], dtype=np.int64)
 STEPS = np.array(
@@ -131,6 +140,26 @@ def expand(kind: int, align: int, data: bytes) -> np.ndarray:
     return np.frombuffer(data[: len(data) // 2 * 2], "<i2")
 
 
+def expand_all(parsed: list[tuple[int, int, int, bytes] | None]) -> list[np.ndarray | None]:
+    """The samples of several files; ADPCM blocks of one size are decoded across all of them."""
+    out = [None if p is None or p[0] == ADPCM else expand(p[0], p[2], p[3]) for p in parsed]
+    for align in {p[2] for p in parsed if p and p[0] == ADPCM}:
+        own = [i for i, p in enumerate(parsed) if p and p[0] == ADPCM and p[2] == align]
+        whole = [parsed[i][3][: len(parsed[i][3]) // max(align, 1) * align] for i in own]
+        samples, at = decode_adpcm(b"".join(whole), align), 0
+        for i, data in zip(own, whole):
+            n = len(data) // align * (2 * (align - 4) + 1) if align > 4 else 0
+            out[i], at = samples[at : at + n], at + n
+    return out
+
+
+def payload_in(kind: int, align: int, data: bytes) -> bytes:
+    """The bytes that a file stores: its samples, or the codes of its blocks without their heads."""
+    if kind != ADPCM or align <= 4:
+        return data
+    return np.frombuffer(data[: len(data) // align * align], np.uint8).reshape(-1, align)[:, 4:].tobytes()
+
+
 def resample(x: np.ndarray, up: int = 2, half: int = 4) -> np.ndarray:
     """``up`` times as many samples; the given ones stay, those between come from a windowed sinc with integer taps."""
     if up == 1 or not len(x):
@@ -193,37 +222,58 @@ def payload_of(text: str) -> tuple[int, bytes]:
     return len(raw), raw + b"\0" * (BLOCK if not raw else -len(raw) % BLOCK)
 
 
+def stored(payload: bytes, kind: int | None = None) -> bytes:
+    """A payload as a file, of the form that its checksum chooses if none is asked for."""
+    kind = FORMS[zlib.crc32(payload) % len(FORMS)] if kind is None else kind
+    if kind != ADPCM:
+        return wav(kind, RATE, payload)
+    blocks = np.frombuffer(payload, np.uint8).reshape(-1, BLOCK)
+    heads = np.zeros((len(blocks), len(HEAD)), np.uint8)
+    return wav(ADPCM, RATE, np.hstack((heads, blocks)).tobytes(), 4, BLOCK + len(HEAD), struct.pack("<H", 2 * BLOCK + 1))
+
+
 def store_bytes(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, media``: each text's bytes, filled up to whole blocks, as the samples of a mu-law WAV file."""
+    """``doc_id, n_bytes, media``: each text's bytes, filled up to whole blocks, as the samples of a WAV file."""
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [payload_of(t) for t in texts_of(b.column(1))]
-            yield batch(out, {"doc_id": b.column(0), "n_bytes": [n for n, _ in found], "media": [wav(MULAW, RATE, p) for _, p in found]})
+            yield batch(out, {"doc_id": b.column(0), "n_bytes": [n for n, _ in found], "media": [stored(p) for _, p in found]})
 
     return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), work, "doc_id long, n_bytes long, media binary")
 
 
-def read_media(stored: DataFrame, rate: int = 16_000, keep_pcm: bool = False) -> DataFrame:
+def read_media(files: DataFrame, rate: int = 16_000, keep_pcm: bool = False) -> DataFrame:
     """The stored samples read back, and features of their PCM at ``rate``; with ``keep_pcm`` that PCM as a WAV file too."""
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
     out = pa.schema(fields + [("pcm", pa.binary())] * keep_pcm)
 
-    def read(media: bytes | None) -> tuple:
-        got = parse(media) if media is not None else None
+    def read(media: bytes | None, got: tuple | None, samples: np.ndarray | None) -> tuple:
         if got is None:
             return None, None, None, None if media is None else len(media), None if media is None else hashlib.sha256(media).hexdigest(), "unreadable", None
         kind, own, align, data = got
-        pcm = convert(expand(kind, align, data), own, rate) if own else expand(kind, align, data)
-        at = rate if own else 0
-        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), features(kind, at, pcm), wav(PCM, at, pcm.astype("<i2").tobytes(), 16, 2) if keep_pcm else None
+        pcm, at, payload = convert(samples, own, rate) if own else samples, rate if own else 0, payload_in(kind, align, data)
+        kept = wav(PCM, at, pcm.astype("<i2").tobytes(), 16, 2) if keep_pcm else None
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), features(kind, at, pcm), kept
+
+    def parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        begin, size = 0, 0
+        for i, n in enumerate(pc.binary_length(b.column(2)).to_pylist()):
+            if size + (n or 0) > AT_ONCE and i > begin:
+                yield b.slice(begin, i - begin)
+                begin, size = i, 0
+            size += n or 0
+        yield b.slice(begin)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = list(zip(*map(read, b.column(2).to_pylist()))) or [[]] * 7
-            names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm")
-            yield batch(out, {"doc_id": b.column(0), "n_bytes": b.column(1)} | {k: list(v) for k, v in zip(names, found)})
+        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm")
+        for whole in batches:
+            for b in parts(whole):
+                media = b.column(2).to_pylist()
+                parsed = [parse(m) if m is not None else None for m in media]
+                found = list(zip(*map(read, media, parsed, expand_all(parsed)))) or [[]] * 7
+                yield batch(out, {"doc_id": b.column(0), "n_bytes": b.column(1)} | {k: list(v) for k, v in zip(names, found)})
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_arrow(stored.select("doc_id", "n_bytes", "media"), work, schema + ", pcm binary" * keep_pcm)
+    return map_arrow(files.select("doc_id", "n_bytes", "media"), work, schema + ", pcm binary" * keep_pcm)

@@ -79,23 +79,45 @@ def test_quality_lines(spark):
 # 2
 
 
+def told(rows, *columns):
+    """Rows as a multiset of what is checked, so that null and repeated ids count as well."""
+    return Counter(tuple(r[c] for c in columns) for r in rows)
+
+
 def test_media(spark, odd):
     rows = telephony.read_media(telephony.store_bytes(odd), keep_pcm=True).collect()
-    assert len(rows) == odd.count()
-    for r in rows:
-        if r["doc_id"] in (None, 7):
-            continue
-        raw = (ODD[r["doc_id"]] or "").encode()
+    want, kinds = Counter(), set()
+    for doc_id, text in odd.select("doc_id", "text").collect():
+        raw = (text or "").encode()
         full = raw + b"\0" * (64 if not raw else -len(raw) % 64)
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
-        stored = telephony.wav(telephony.MULAW, 8000, full)
-        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
-        kind, rate, align, data = telephony.parse(bytes(r["pcm"]))
-        assert (kind, rate, len(data)) == (telephony.PCM, 16000, len(full) * 4)
-        assert np.array_equal(np.frombuffer(data, "<i2")[::2], telephony.MULAW_PCM[np.frombuffer(full, np.uint8)])
-    assert len({r["feature"] for r in rows if r["doc_id"] in (7, 8)}) == 1
+        media = telephony.stored(full)
+        kind, rate, align, data = telephony.parse(media)
+        kinds.add(kind)
+        if kind == telephony.ADPCM:
+            own = adpcm_slow(data, align) if len(data) < 9000 else telephony.decode_adpcm(data, align)
+        else:
+            own = np.array([(telephony.MULAW_PCM if kind == telephony.MULAW else telephony.ALAW_PCM)[x] for x in full], np.int16)
+        pcm = telephony.resample(own)
+        assert np.array_equal(pcm[::2], own) and (rate, len(pcm)) == (8000, 2 * len(own))
+        kept = telephony.wav(telephony.PCM, 16000, pcm.astype("<i2").tobytes(), 16, 2)
+        want[doc_id, len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]), len(media), hashlib.sha256(media).hexdigest(), telephony.features(kind, 16000, pcm), kept] += 1
+    assert kinds == set(telephony.FORMS)
+    assert told([r.asDict() | {"pcm": bytes(r["pcm"])} for r in rows], "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm") == want
     broken = spark.createDataFrame([(1, 3, bytearray(b"RIFFxxxxWAVE")), (2, 3, None)], "doc_id long, n_bytes long, media binary")
     assert [r["feature"] for r in telephony.read_media(broken).collect()] == ["unreadable"] * 2
+    assert telephony.read_media(telephony.store_bytes(odd.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("kind", telephony.FORMS)
+def test_media_forms(kind):
+    draw = random.Random(kind)
+    payload = draw.randbytes(64 * 9)
+    media = telephony.stored(payload, kind)
+    got, _, align, data = telephony.parse(media)
+    assert got == kind and telephony.payload_in(kind, align, data) == payload
+    if kind == telephony.ADPCM:
+        both = telephony.expand_all([telephony.parse(media), None, telephony.parse(telephony.stored(payload[:64], kind))])
+        assert np.array_equal(both[0], adpcm_slow(data, align)) and both[1] is None and np.array_equal(both[2], adpcm_slow(data[:68], align))
 
 
 def test_companding():
@@ -280,10 +302,9 @@ def test_token_counts(spark, odd, texts):
     model = token_counts.load(SP)
     rows = [r for r in token_counts.count_tokens(odd, SP, limit=100, chunk=700, overlap=20).collect()]
     assert len(rows) == odd.count()
-    for r in rows:
-        if r["doc_id"] not in (None, 7):
-            t = ODD[r["doc_id"]] or ""
-            assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), len(model.encode(t)), len(model.encode(t)) > 100)
+    given = [(r[0], r[1] or "") for r in odd.select("doc_id", "text").collect()]
+    assert told(rows, "doc_id", "n_bytes", "n_tokens", "over_limit") == Counter((i, len(t.encode()), len(model.encode(t)), len(model.encode(t)) > 100) for i, t in given)
+    assert token_counts.count_tokens(odd.limit(0), SP).count() == 0
     assert max(r["n_chunks"] for r in rows) > 10
     draw = random.Random(2)
     for k in range(400):
@@ -306,11 +327,12 @@ def test_bpe(spark, odd, texts):
         assert ids.tolist() == library.encode(s, add_special_tokens=False).ids and vocabulary.decode(ids) == s
     rows = bpe.encode_decode(odd, BYTE, keep_ids=True).collect()
     assert len(rows) == odd.count()
-    for r in rows:
-        if r["doc_id"] not in (None, 7):
-            t = ODD[r["doc_id"]] or ""
-            ids = np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-            assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    want = Counter()
+    for i, t in ((r[0], r[1] or "") for r in odd.select("doc_id", "text").collect()):
+        ids = np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        want[i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += 1
+    assert told(rows, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+    assert bpe.encode_decode(odd.limit(0), BYTE).count() == 0
 
 
 # 7
@@ -398,26 +420,21 @@ def test_packing(spark, odd):
 
     library = Tokenizer.from_file(WORD)
     got = packing.pack_documents(odd, WORD, capacity=64, group=10).collect()
-    by_doc, by_bin = {}, {}
+    by_bin, want = {}, Counter()
     for r in got:
-        by_doc.setdefault(r["doc_id"], []).append(r)
         by_bin.setdefault(r["sequence_id"], []).append(r)
-    for i, pieces in by_doc.items():
-        if i in (None, 7):
-            continue
-        ids = library.encode(ODD[i] or "", add_special_tokens=False).ids + [0]
-        pieces.sort(key=lambda r: r["piece"])
-        assert [r["piece"] for r in pieces] == list(range(-(-len(ids) // 64)))
-        for r in pieces:
-            part = ids[r["start"] : r["start"] + r["length"]]
-            assert len(part) == r["length"] and r["start"] == 64 * r["piece"] and zlib.crc32(np.array(part, "<u4").tobytes()) == r["ids_crc32"]
+    for i, t in ((r[0], r[1] or "") for r in odd.select("doc_id", "text").collect()):
+        ids = library.encode(t, add_special_tokens=False).ids + [0]
+        for k in range(0, len(ids), 64):
+            want[i, k // 64, k, len(ids[k : k + 64]), zlib.crc32(np.array(ids[k : k + 64], "<u4").tobytes())] += 1
+    assert told(got, "doc_id", "piece", "start", "length", "ids_crc32") == want
     for pieces in by_bin.values():
         at = 0
         for r in sorted(pieces, key=lambda r: r["offset"]):
             assert r["offset"] == at
             at += r["length"]
         assert at <= 64
-    assert len(by_doc[7]) == 4 and packing.pack_documents(odd.limit(0), WORD).count() == 0
+    assert packing.pack_documents(odd.limit(0), WORD).count() == 0
 
 
 def test_sum_of_squares():
@@ -459,6 +476,39 @@ def test_classifier_odd(spark, odd):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 3
 
 
+def test_posteriors_against_brute_force(spark, sf, docs):
+    """Host and path posteriors, prior strengths and leave-one-out terms, recomputed document by document."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    extra = spark.createDataFrame([(None, None, None, None), (1, "x y z. " * 20, None, "en"), (1, "x y z. " * 20, None, "en"), (2, "", "src1", None)], "doc_id long, text string, source string, lang string")
+    rows = docs.select("doc_id", "text", "source", "lang").unionByName(extra)
+    own = site_quality.evidence(rows, site_quality.train(docs, labels))
+    known = [(r["row"]["doc_id"], r["_host"], r["_path"], r["_words"], r["_p"]) for r in own.collect()]
+    words = [x for x in known if x[3] > 0]
+
+    def total(keep):
+        some = [x[4] for x in words if keep(x)]
+        return len(some), sum(some)
+
+    n, s = total(lambda x: True)
+    mean = s / n
+    hosts = {h: total(lambda x, h=h: x[1] == h) for h in {x[1] for x in words}}
+    paths = {k: total(lambda x, k=k: x[1:3] == k) for k in {x[1:3] for x in words}}
+    spread = sum(c * (t / c - mean) ** 2 for c, t in hosts.values()) / n
+    within = sum(c * (t / c - hosts[h][1] / hosts[h][0]) ** 2 for (h, _), (c, t) in paths.items()) / n
+    of_host, of_path = (min(max(mean * (1 - mean) / v - 1, site_quality.WEAKEST), site_quality.STRONGEST) for v in (spread, within))
+    want = []
+    for i, h, k, count, p in known:
+        one, share = (1, p) if count else (0, 0.0)
+        (hn, hs), (pn, ps) = hosts.get(h, (0, 0.0)), paths.get((h, k), (0, 0.0))
+        host = (hs - share + of_host * mean) / (hn - one + of_host)
+        path = (ps - share + of_path * host) / (pn - one + of_path)
+        logit = lambda x: np.log(x / (1 - x))
+        final = 1 / (1 + np.exp(-(logit(p) + logit(path) - logit(mean))))
+        want.append((i or -1, round(host, 6), round(path, 6), round(final, 6), bool(count and final >= 0.5)))
+    got = [(r["row"]["doc_id"] or -1, round(r["_host_p"], 6), round(r["_path_p"], 6), round(r["_final"], 6), r["_kept"]) for r in site_quality.score(own, site_quality.sites(own)).collect()]
+    assert np.allclose(np.array(sorted(got), float), np.array(sorted(want), float), atol=3e-6)
+
+
 def test_shrinking(spark):
     rows = [(i, "x " * 60, "good" if i < 200 else "bad", "p") for i in range(400)] + [(999, "x " * 60, "rare", "p")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
