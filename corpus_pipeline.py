@@ -2,6 +2,11 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a frame that is written as Parquet and read again as the next
 stage's ``docs``. All stages but the last return the columns of ``documents``; the last returns packed pieces.
+
+Null and empty texts have no words and go in the first stage; a null source or language is a site of its own; rows with
+null ids stay as far as their text does, rows that agree in id and text are near duplicates of each other by their id
+and one of them stays. Texts may be of any length. On a tie the smaller id stays. An empty table gives empty results.
+Extra columns of any name pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -9,9 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from archlight.llm import long_matches, near_dups, packing, quality_rules, site_quality
-from archlight.llm.common import settle, table
+from archlight.llm.common import forget, settle, table
 from archlight.llm.queries import vocabulary
 
+#: Of the near-dedup stage; the query ``op7`` has a threshold of its own.
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, and with them the documents that lose too much text or fail the base rules."""
@@ -25,8 +33,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: links are at a similarity of 0.85 or more, as in ``op7``."""
-    return near_dups.keep(docs)
+    """One document of each near-duplicate group stays: links are at a similarity of 0.8 or more."""
+    return near_dups.keep(docs, NEAR_PERCENT)
 
 
 def long_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +58,13 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole ``documents`` table."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = settle(docs, "stage")
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), "stage")
+        if before is not None:
+            forget(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: Similarity joins, long matches and packing cannot be told in SQL; the stages are tested against brute force.
