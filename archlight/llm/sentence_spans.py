@@ -8,7 +8,7 @@ consecutive pieces is hashed; a run of fewer than ``LEAST`` words goes on to the
 text is one run if it has ``SPAN`` pieces. Any 51 words hold a whole run: a cut that all copies share lies in the first
 15, and three pieces have 24 words at most, 39 in all, before the last 7.
 
-Runs are posted under 128 bits. A task sorts its own posts and sends on only the first occurrence of each run in some
+Runs are posted under 96 bits. A task sorts its own posts and sends on only the first occurrence of each run in some
 hundred thousand of them; the others are not first anywhere and stay. So a run that very many documents hold meets in
 one task only once for each such part. A run occurs *first* in the row with the smallest ``(k1, k2)`` and there at its
 smallest place, where ``k1`` is the id (null: -1) and ``k2`` comes from the text's hash. All pieces that any other
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, map_arrow, texts_of
+from .common import boxed, map_arrow
 
 SPAN = 3
 LEAST = 8
@@ -122,30 +122,38 @@ def identity(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), k2.alias("k2"), text.alias("text"), *more)
 
 
-POST = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int32()), ("end", pa.int32()), ("later", pa.bool_())])
-POSTS = "h1 long, h2 long, k1 long, k2 long, pos int, end int, later boolean"
-
-
-def ordered(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Posts by run and place, and which of them another place of their run stands before."""
-    by = np.lexsort(columns[4::-1])
-    columns = [c[by] for c in columns]
-    same = np.ones(len(by), bool)
-    same[:1] = False
-    same[1:] = (columns[0][1:] == columns[0][:-1]) & (columns[1][1:] == columns[1][:-1])
-    begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))
-    # rows that agree in id and text are one place
+#: A run's first piece and its number of pieces in one number.
+BITS = 10
+POST = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int64()), ("later", pa.bool_())])
+POSTS = "h1 long, h2 int, k1 long, k2 long, at long, later boolean"
+MARK = pa.schema([POST.field(k) for k in ("k1", "k2", "at")])
+
+
+def not_first_here(columns: list[np.ndarray]) -> np.ndarray:
+    """Which posts another place of their run stands before; rows that agree in id and text are one place."""
+    by = np.argsort(columns[0], kind="stable")
+    h = columns[0][by]
+    twice = np.zeros(len(by), bool)
+    twice[1:] = h[1:] == h[:-1]
+    twice[:-1] |= twice[1:]
+    some = by[twice]
+    some = some[np.lexsort([c[some] for c in columns[4::-1]])]
+    h1, h2, *place = (c[some] for c in columns)
+    same = np.zeros(len(some), bool)
+    same[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+    begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(some))))
     later = np.zeros(len(by), bool)
-    for c in columns[2:5]:
-        later |= c != c[begin]
-    return columns, later
+    for c in place:
+        later[some] |= c != c[begin]
+    return later
 
 
 def posts(docs: DataFrame, span: int) -> DataFrame:
-    """``h1, h2, k1, k2, pos, end, later``: runs that are first in their part of a task; those that are not, as later, go by their document, not by their run."""
+    """``h1, h2, k1, k2, at, later``: runs that are first in their part of a task; those that are not, as later, go by their document, not by their run."""
 
     def told(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        columns, later = ordered([np.concatenate(c) for c in zip(*held)])
+        columns = [np.concatenate(c) for c in zip(*held)]
+        later = not_first_here(columns)
         columns[0][later] = mix((columns[2][later] ^ columns[3][later]).view(np.uint64)).view(np.int64)
         columns[1][later] = 0
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, later], POST)], schema=POST)
@@ -157,7 +165,8 @@ def posts(docs: DataFrame, span: int) -> DataFrame:
                 pieces = Pieces(text.encode())
                 first, end = pieces.runs(span)
                 if len(first):
-                    held.append([*pieces.digests(first, end), np.full(len(first), k1), np.full(len(first), k2), first.astype(np.int32), end.astype(np.int32)])
+                    h1, h2 = pieces.digests(first, end)
+                    held.append([h1, (h2 >> 32).astype(np.int32), np.full(len(first), k1), np.full(len(first), k2), first << BITS | end - first])
                     size += len(first)
                 if size >= PART:
                     yield told(held)
@@ -169,16 +178,15 @@ def posts(docs: DataFrame, span: int) -> DataFrame:
 
 
 def not_first(posted: DataFrame) -> DataFrame:
-    """``k1, k2, pos, end`` of the posts that are not the first of their run, by one shuffle."""
-    out = pa.schema([POST.field(k) for k in ("k1", "k2", "pos", "end")])
+    """``k1, k2, at`` of the posts that are not the first of their run, by one shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: tuple | None = None
         for part in batches:
             if not part.num_rows:
                 continue
-            columns = [part.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-            later = columns[6].copy()  # these come last
+            columns = [part.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            later = columns[5].copy()  # these come last
             n = int(len(later) - later.sum())
             if n:
                 h1, h2 = columns[0][:n], columns[1][:n]
@@ -191,50 +199,50 @@ def not_first(posted: DataFrame) -> DataFrame:
                     later[:n] |= c[:n] != np.where(begin < 0, own, c[np.maximum(begin, 0)])
                 last = int(begin[-1])
                 head = tuple(c[last] for c in columns[:5]) if last >= 0 else head
-            yield pa.RecordBatch.from_arrays([pa.array(c[later], f.type) for c, f in zip(columns[2:6], out)], schema=out)
+            yield pa.RecordBatch.from_arrays([pa.array(c[later], f.type) for c, f in zip(columns[2:5], MARK)], schema=MARK)
 
-    dealt = posted.repartition("h1", "h2").sortWithinPartitions("later", "h1", "h2", "k1", "k2", "pos")
-    return map_arrow(dealt.select(*POST.names), work, "k1 long, k2 long, pos int, end int")
+    dealt = posted.repartition("h1", "h2").sortWithinPartitions("later", "h1", "h2", "k1", "k2", "at")
+    return map_arrow(dealt.select(*POST.names), work, "k1 long, k2 long, at long")
 
 
 def find(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """``k1, k2, gone``: for each document that loses pieces, the runs that cover them as ``pos, end``."""
-    return not_first(posts(docs, span)).groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "end")).alias("gone"))
+    """``k1, k2, gone``: for each document that loses pieces, the runs that cover them: first pieces and numbers of pieces."""
+    return not_first(posts(docs, span)).groupBy("k1", "k2").agg(F.collect_set("at").alias("gone"))
 
 
-def left_of(text: str, gone: list[dict] | None) -> tuple[int, int, str]:
-    """Pieces, pieces removed, and the text without them and the white space behind them."""
+def left_of(text: str, gone: np.ndarray) -> tuple[int, str]:
+    """Pieces removed, and the text without them and the white space behind them."""
     data = text.encode()
     pieces = Pieces(data)
-    count = len(pieces.cuts) - 1
-    if not gone:
-        return count, 0, text
-    change = np.zeros(count + 1, np.int64)
-    np.add.at(change, [g["pos"] for g in gone], 1)
-    np.add.at(change, [g["end"] for g in gone], -1)
+    change = np.zeros(len(pieces.cuts), np.int64)
+    first = gone >> BITS
+    np.add.at(change, first, 1)
+    np.add.at(change, first + (gone & (1 << BITS) - 1), -1)
     out = np.cumsum(change[:-1]) > 0
     at = np.append(pieces.begin[pieces.cuts[:-1]], len(data))
     kept = [data[: at[0]], *(data[i:j] for i, j, x in zip(at[:-1].tolist(), at[1:].tolist(), out.tolist()) if not x)]
-    return count, int(out.sum()), b"".join(kept).decode()
+    return int(out.sum()), b"".join(kept).decode()
 
 
 def applied(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """``row, text, n_sentences, n_removed, cleaned`` for every row of the frame ``docs`` of ``row, doc_id, text``."""
+    """``row, n_removed, removed_chars, cleaned`` for every row of the frame ``docs`` of ``row, doc_id, text``."""
     own = identity(docs, "row", F.col("text").isNull().alias("none"))
     joined = own.join(find(docs, span), ["k1", "k2"], "left")
     kind = dict(docs.dtypes)["row"]
-    out = pa.schema([("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("removed_chars", pa.int64()), ("cleaned", pa.string())])
+    out = pa.schema([("n_removed", pa.int64()), ("removed_chars", pa.int64()), ("cleaned", pa.string())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
+            gone = part.column(3)
+            ends, values, any_ = gone.offsets.to_numpy(), gone.values.to_numpy(), gone.is_valid().to_numpy(zero_copy_only=False)
             rows = []
-            for text, none, gone in zip(texts_of(part.column(1)), part.column(2).to_pylist(), part.column(3).to_pylist()):
-                count, lost, left = left_of(text, gone)
-                rows.append((count, lost, len(text) - len(left), None if none else left))
+            for i, (text, none) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                lost, left = left_of(text, values[ends[i] : ends[i + 1]]) if any_[i] else (0, text)
+                rows.append((lost, len(text) - len(left), None if none else left))
             told = list(zip(*rows)) or [[]] * len(out)
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(told, out))], names=["row", *out.names])
 
-    return map_arrow(joined.select("row", "text", "none", "gone"), work, f"row {kind}, n_sentences long, n_removed long, removed_chars long, cleaned string")
+    return map_arrow(joined.select("row", "text", "none", "gone"), work, f"row {kind}, n_removed long, removed_chars long, cleaned string")
 
 
 def remove(docs: DataFrame, span: int = SPAN) -> DataFrame:
@@ -246,9 +254,9 @@ def remove(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
 
 def report(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """``doc_id, n_sentences, n_removed, removed_chars, text`` for every document."""
+    """``doc_id, n_removed, removed_chars, text`` for every document; ``n_removed`` counts pieces."""
     own = docs.select(F.col("doc_id").cast("long").alias("row"), "doc_id", "text")
-    return applied(own, span).select(F.col("row").alias("doc_id"), "n_sentences", "n_removed", "removed_chars", F.col("cleaned").alias("text"))
+    return applied(own, span).select(F.col("row").alias("doc_id"), "n_removed", "removed_chars", F.col("cleaned").alias("text"))
 
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -286,9 +294,9 @@ WITH d AS (
 ), gone AS (
   SELECT DISTINCT q.r, q.pos FROM q JOIN z ON q.r = z.r AND later AND q.pos BETWEEN z.pos AND z.last
 ), kept AS (
-  SELECT q.r, count(*) AS n, count(gone.pos) AS lost, string_agg(CASE WHEN gone.pos IS NULL THEN piece ELSE '' END, '' ORDER BY q.pos) AS rest FROM q LEFT JOIN gone USING (r, pos) GROUP BY q.r
+  SELECT q.r, count(gone.pos) AS lost, string_agg(CASE WHEN gone.pos IS NULL THEN piece ELSE '' END, '' ORDER BY q.pos) AS rest FROM q LEFT JOIN gone USING (r, pos) GROUP BY q.r
 )
-SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, CAST(coalesce(lost, 0) AS BIGINT) AS n_removed,
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(coalesce(lost, 0) AS BIGINT) AS n_removed,
   CAST(CASE WHEN lost > 0 THEN length(t) - length(regexp_extract(t, '^{SPACE}*')) - length(rest) ELSE 0 END AS BIGINT) AS removed_chars,
   CASE WHEN lost > 0 THEN regexp_extract(t, '^{SPACE}*') || rest ELSE text END AS text
 FROM d LEFT JOIN kept USING (r)

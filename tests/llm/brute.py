@@ -74,7 +74,7 @@ def pieces(text, window=8):
 
 
 def spans(rows, span=3, least=8):
-    """Sorted (doc_id, pieces, removed, text): every run that is not the first of its words goes."""
+    """Sorted (doc_id, removed, text): every run that is not the first of its words goes."""
     def place(i, t):
         return (-1 if i is None else i, int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16))
 
@@ -104,5 +104,5 @@ def spans(rows, span=3, least=8):
         lead = (t or "").encode()
         lead = lead[: len(lead) - len(lead.lstrip(BLANKS))]
         left = (lead + b"".join(b"".join(x) for k, x in enumerate(cut[p]) if k not in gone[p])).decode() if gone[p] else t
-        out.append((i, len(cut[p]), len(gone[p]), left))
+        out.append((i, len(gone[p]), left))
     return sorted(out, key=repr)
