@@ -93,6 +93,16 @@ def model_of() -> Column:
     return F.when(text, "text").when(m.startswith("image/"), "image").when(m.startswith("video/") & ~F.lower("file_path").endswith(".asx"), "video")
 
 
+#: Which tasks each kind of model does.
+MODEL_TASKS = {"text": ("text_analysis", "people_analysis", "estate_analysis", "password_detection", "financial_analysis", "access_db_analysis"), "image": ("image_description", "nsfw_classification"), "video": ("video_summary", "nsfw_classification")}
+
+
+def pending_tasks(model: str | None = None, name: str | None = None) -> Column:
+    """A file's pending tasks, of one kind of model and of one name if asked for."""
+    wanted = lambda t: both([t["status"] == S.TASK_PENDING, *([t["name"].isin(*MODEL_TASKS[model])] if model else []), *([t["name"] == name] if name else [])])
+    return F.filter("analysis_tasks", wanted)
+
+
 def financial() -> Column:
     t = F.lower("extracted_text")
     return F.coalesce(F.contains(t, F.lit("financial")) | F.contains(t, F.lit("account")), F.lit(False))

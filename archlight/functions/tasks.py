@@ -84,9 +84,17 @@ def count(status: str) -> Column:
     return F.size(F.filter("analysis_tasks", lambda t: t["status"] == status))
 
 
-def file_status() -> Column:
-    """Pending or failed tasks make a file failed, else it is complete."""
-    return F.when((count(S.TASK_PENDING) > 0) | (count(S.TASK_ERROR) > 0), S.FAILED).otherwise(S.COMPLETE)
+def file_status(filtered: bool = False) -> Column:
+    """Pending or failed tasks make a file failed, else it is complete, or pending under a filter on tasks."""
+    return F.when((count(S.TASK_PENDING) > 0) | (count(S.TASK_ERROR) > 0), S.FAILED).otherwise(S.PENDING_ANALYSIS if filtered else S.COMPLETE)
+
+
+def file_reason() -> Column:
+    """``reason, info`` of a failed file: its pending tasks, else its failed ones with their errors."""
+    of = lambda status, show: F.array_join(F.transform(F.filter("analysis_tasks", lambda t: t["status"] == status), show), ", ")
+    waiting, broken = of(S.TASK_PENDING, lambda t: t["name"]), of(S.TASK_ERROR, lambda t: F.concat(t["name"], F.lit(": "), F.coalesce(t["error_message"], F.lit("unknown error"))))
+    reason = F.when(count(S.TASK_PENDING) > 0, "analysis_tasks_incomplete").when(count(S.TASK_ERROR) > 0, "analysis_task_failed")
+    return F.struct(reason.alias("reason"), F.when(count(S.TASK_PENDING) > 0, waiting).when(count(S.TASK_ERROR) > 0, broken).alias("info"))
 
 
 def incomplete(manifest: DataFrame) -> DataFrame:

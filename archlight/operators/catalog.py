@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +20,15 @@ def display_name() -> Column:
     return F.lower(F.coalesce(F.nullif("file_name", F.lit("")), F.regexp_extract("file_path", r"([^/]*)$", 1), F.lit("")))
 
 
-def file_list() -> Column:
-    """Paths of a group, sorted by display name, then by position in the catalog."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(display_name().alias("d"), F.col("manifest_idx").alias("i"), F.col("file_path").alias("p")))), lambda x: x["p"]), "|")
+def listed(m: DataFrame, *group: str) -> DataFrame:
+    """A row for each group and file, with what a list is sorted by: display name, then position in the catalog."""
+    return m.select(*group, display_name().alias("display"), "manifest_idx", "file_path")
+
+
+def page(index: DataFrame, condition: Column, n: int, after: tuple[str, int] | None = None) -> DataFrame:
+    """The next ``n`` files of a group in display order; each task keeps its own n, so no group is gathered."""
+    rest = condition & (F.struct("display", "manifest_idx") > F.struct(F.lit(after[0]).alias("display"), F.lit(after[1]).cast("long").alias("manifest_idx"))) if after else condition
+    return index.where(rest).orderBy("display", "manifest_idx").limit(n)
 
 
 # statistics
@@ -74,8 +84,15 @@ def headline(m: DataFrame) -> DataFrame:
 
 
 def db_stats(vectors: DataFrame) -> DataFrame:
-    """Rows of the vector table by MIME type."""
-    return vectors.groupBy(F.col("metadata.mime_type").alias("mime_type")).agg(F.count(F.lit(1)).alias("n"))
+    """Rows of the vector table by MIME type, with the total of all types."""
+    counts = vectors.groupBy(F.col("metadata.mime_type").alias("mime_type")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))  # a few types
+
+
+def db_files(vectors: DataFrame, m: DataFrame) -> DataFrame:
+    """Files of the vector table with their flags and the summary to show."""
+    flags = vectors.select(F.col("metadata.file_path").alias("file_path"), "metadata.is_nsfw", "metadata.has_financial_red_flags")
+    return with_summaries(vectors, m).join(flags, "file_path")
 
 
 def last_by_path(m: DataFrame) -> DataFrame:
@@ -94,24 +111,30 @@ def with_summaries(vectors: DataFrame, m: DataFrame) -> DataFrame:
 
 
 def mime_index(m: DataFrame) -> DataFrame:
-    mime = F.coalesce(F.nullif("mime_type", F.lit("")), F.lit(UNKNOWN_MIME))
-    return m.groupBy(mime.alias("mime")).agg(F.count(F.lit(1)).alias("n"), file_list().alias("files"))
+    """``mime, display, manifest_idx, file_path`` of every file."""
+    return listed(m.withColumn("mime", F.coalesce(F.nullif("mime_type", F.lit("")), F.lit(UNKNOWN_MIME))), "mime")
 
 
 def people_index(m: DataFrame) -> DataFrame:
+    """A row for each mention: a person twice in a file is there twice."""
     people = m.withColumn("person", F.explode("mentioned_people")).withColumn("person", F.trim("person")).where("person <> ''")
-    return people.groupBy("person").agg(F.count(F.lit(1)).alias("n"), file_list().alias("files"))
+    return listed(people, "person")
 
 
 def flagged(m: DataFrame, condition: Column) -> DataFrame:
-    return m.where(condition).agg(F.count(F.lit(1)).alias("n"), F.coalesce(file_list(), F.lit("")).alias("files"))
+    return listed(m.where(condition))
 
 
 def estate_index(m: DataFrame) -> DataFrame:
-    """Files and usable items of each category."""
-    rows = m.select("manifest_idx", "file_path", "file_name", F.explode("estate_information").alias("category", "items"))
-    usable = F.size(F.filter("items", P.valid_estate_item)).cast("long")
-    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n_files"), F.sum(usable).alias("n_items"), file_list().alias("files"))
+    """A row for each category and file, with the file's usable items in it."""
+    rows = m.withColumns({"_e": F.map_entries("estate_information")}).withColumn("_e", F.explode("_e"))
+    usable = F.size(F.filter(F.col("_e")["value"], P.valid_estate_item)).cast("long")
+    return listed(rows.withColumns({"category": F.col("_e")["key"], "n_items": usable}), "category", "n_items")
+
+
+def group_counts(index: DataFrame, group: str, **sums: str) -> DataFrame:
+    """Files, and sums of further columns, of each group of an index; counted with partial aggregation."""
+    return index.groupBy(group).agg(F.count(F.lit(1)).alias("n_files"), *(F.sum(c).alias(k) for k, c in sums.items()))
 
 
 def ancestors(path: Column) -> Column:
@@ -132,6 +155,20 @@ def directory_index(m: DataFrame) -> DataFrame:
     return out.select("directory", "parent", "name", F.coalesce("n_files", F.lit(0)).cast("long").alias("n_files"), F.coalesce("n_subdirs", F.lit(0)).cast("long").alias("n_subdirs"))
 
 
+def directory_entries(m: DataFrame) -> DataFrame:
+    """``directory, kind, entry``: the files and the sub-directories directly in every directory."""
+    up = m.select("file_path", ancestors(F.col("file_path")).alias("dirs"))
+    files = up.select(F.get("dirs", F.lit(0)).alias("directory"), F.lit("file").alias("kind"), F.col("file_path").alias("entry"))
+    pairs = F.transform(F.slice("dirs", 1, F.greatest(F.size("dirs") - 1, F.lit(0))), lambda d, i: F.struct(F.get("dirs", i + 1).alias("directory"), d.alias("entry")))
+    subs = up.select(F.explode(pairs).alias("p")).select("p.directory", F.lit("directory").alias("kind"), "p.entry").distinct()
+    return files.unionByName(subs)
+
+
+def default_directory(directories: DataFrame) -> DataFrame:
+    """The directory with the most direct files, the first by name of equal ones: one row."""
+    return directories.orderBy(F.desc("n_files"), "directory").limit(1)
+
+
 # rows for tables
 
 
@@ -216,3 +253,34 @@ def pruned(m: DataFrame, exists: Column | None = None) -> DataFrame:
     """The catalog without removed rows."""
     gone = removal_plan(m, exists).where("action <> 'keep'").select("manifest_idx")
     return m.join(gone, "manifest_idx", "left_anti")
+
+
+def apply_removals(plan: DataFrame, delete: bool = False) -> DataFrame:
+    """``manifest_idx, file_path, outcome`` of a removal plan: only entries whose action says so lose their file, and only if ``delete`` is given.
+
+    Tasks delete the files of their own rows; the entry of a file that is missing, is a directory or cannot be deleted
+    is removed all the same.
+    """
+
+    def outcome(action: str, path: str | None) -> str:
+        if action != "delete file":
+            return "kept" if action == "keep" else "entry removed"
+        if os.path.islink(path) and not os.path.exists(path):
+            return "broken link"
+        if os.path.isdir(path):
+            return "directory: entry removed"
+        if not os.path.exists(path):
+            return "already missing"
+        if not delete:
+            return "dry run"
+        try:
+            os.remove(path)
+        except OSError as e:
+            return f"error: {e.strerror}"
+        return "deleted"
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"manifest_idx": part["manifest_idx"], "file_path": part["file_path"], "outcome": [outcome(a, p) for a, p in zip(part["action"], part["file_path"])]})
+
+    return plan.select("manifest_idx", "file_path", "action").mapInPandas(work, "manifest_idx long, file_path string, outcome string")

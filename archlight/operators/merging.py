@@ -24,10 +24,10 @@ def merge_financial(parts: DataFrame, key: str) -> DataFrame:
 
 
 def merge_estate(parts: DataFrame, key: str) -> DataFrame:
-    """``key, category, items``: distinct entries in the order they came."""
-    rows = parts.select(key, "chunk", F.posexplode("entries").alias("pos", "e")).select(key, "chunk", "pos", "e.category", "e.item")
-    first = rows.groupBy(key, "category", "item").agg(F.min(F.struct("chunk", "pos")).alias("at"))
-    return first.groupBy(key, "category").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]), "|").alias("items"))
+    """``key, category, items``: distinct whole entries in the order they came; an entry has a ``category`` and any further fields."""
+    rows = parts.select(key, "chunk", F.posexplode("entries").alias("pos", "e")).select(key, "chunk", "pos", F.col("e.category").alias("category"), F.to_json(F.col("e").dropFields("category")).alias("entry"))
+    first = rows.groupBy(key, "category", "entry").agg(F.min(F.struct("chunk", "pos")).alias("at"))
+    return first.groupBy(key, "category").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "entry"))), lambda x: x["entry"]), "|").alias("items"))
 
 
 def merge_passwords(parts: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -27,11 +30,46 @@ def nearest_rank(values: Column) -> Column:
 
 
 def dynamic_timeout(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """The time limit before each row: a multiple of the percentile of earlier positive values, with a floor."""
-    past = F.collect_list(F.when(F.col(value) > 0, F.col(value))).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    known = df.withColumn("_past", past)
-    limit = F.when(F.size("_past") < 4, TIMEOUT_FLOOR).otherwise(F.greatest(F.lit(TIMEOUT_FLOOR), nearest_rank(F.col("_past")) * TIMEOUT_FACTOR))
-    return known.withColumn("timeout", limit).drop("_past")
+    """The time limit before each row: a multiple of the percentile of earlier positive values, with a floor.
+
+    Each key's rows pass one task in order, which holds their values so far in two heaps around the percentile: n log n
+    steps and eight bytes a value, whatever the key's share of all rows.
+    """
+    columns = list(dict.fromkeys([key, *order]))
+    kinds = dict(df.dtypes)
+    out = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", timeout double"
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, past = None, Percentile()
+        for part in parts:
+            limits = []
+            for k, x in zip(part[key], part["_value"]):
+                if k != owner:
+                    owner, past = k, Percentile()
+                limits.append(TIMEOUT_FLOOR if past.n < 4 else max(TIMEOUT_FLOOR, past.top() * TIMEOUT_FACTOR))
+                if x > 0:
+                    past.add(x)
+            yield part[columns].assign(timeout=limits)
+
+    dealt = df.select(*columns, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_value")).repartition(key).sortWithinPartitions(key, *order)
+    return dealt.mapInPandas(work, out)
+
+
+class Percentile:
+    """The nearest-rank 75th percentile of the values so far: the smaller ones in a heap whose top it is, the others in another."""
+
+    def __init__(self) -> None:
+        self.low, self.high, self.n = [], [], 0
+
+    def add(self, x: float) -> None:
+        self.n += 1
+        heapq.heappush(self.high, -heapq.heappushpop(self.low, -x))
+        rank = min(max(math.ceil(0.75 * (self.n + 1)), 1), self.n)
+        while len(self.low) < rank:
+            heapq.heappush(self.low, -heapq.heappop(self.high))
+
+    def top(self) -> float:
+        return -self.low[0]
 
 
 def snapshot(df: DataFrame, key: str, order: str, chunks: str, seconds: str, remaining: int) -> DataFrame:
@@ -59,7 +97,7 @@ def retain_newest(snapshots: DataFrame, n: int = NEWEST) -> DataFrame:
 
 
 def tiers(when: list[datetime], now: datetime, limit: int = TIERED) -> list[bool]:
-    """Which snapshots, newest first, the tiered policy keeps.
+    """Which snapshots of one archive, newest first, the tiered policy keeps: the plain rule, one after another.
 
     Three newest; then one a day for a week, one a week for thirty days, one a month beyond, where a kept snapshot also
     takes its week and month; the oldest of the last tier fill it up to four; the newest ``limit`` of all that stay.
@@ -85,10 +123,24 @@ def tiers(when: list[datetime], now: datetime, limit: int = TIERED) -> list[bool
 
 
 def retain_tiered(snapshots: DataFrame, now: datetime, limit: int = TIERED) -> DataFrame:
-    """The tiered policy per archive; an archive's few snapshots are one group."""
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["modified", "name"], ascending=[False, True], ignore_index=True)
-        return part.assign(kept=tiers([t.to_pydatetime() for t in part["modified"]], now, limit))[["archive", "name", "modified", "kept"]]
-
-    return snapshots.select("archive", "name", "modified").groupBy("archive").applyInPandas(work, snapshots.select("archive", "name", "modified").schema.add("kept", "boolean"))
+    """The tiered policy per archive by windows: a tier's slot goes to its newest snapshot, unless a finer tier's keeper has it."""
+    age = F.unix_timestamp(F.lit(now.isoformat(" ")).cast("timestamp")) - F.col("modified").cast("double")
+    week = F.floor((F.dayofyear("modified") + 6 - F.weekday("modified")) / 7)
+    newest = Window.partitionBy("archive").orderBy(F.desc("modified"), "name")
+    all_ = Window.partitionBy("archive")
+    rows = snapshots.select("archive", "name", "modified").withColumns({
+        "rn": F.row_number().over(newest), "many": F.count(F.lit(1)).over(all_), "d": F.date_format("modified", "yyyy-MM-dd"), "w": F.concat(F.year("modified"), F.lit("-"), week), "m": F.date_format("modified", "yyyy-MM"),
+    })
+    tier = F.when(F.col("rn") <= 3, 0).when(age <= 7 * 86400, 1).when(age <= 30 * 86400, 2).otherwise(3)
+    rows = rows.withColumns({"tier": tier, "old": age > 30 * 86400}).withColumn("keep", F.col("tier") == 0)
+    for level, slot in ((1, "d"), (2, "w"), (3, "m")):
+        own = Window.partitionBy("archive", slot)
+        taken = F.max(F.col("keep") & (F.col("tier") < level)).over(own)
+        first = F.row_number().over(own.orderBy(F.col("tier") != level, "rn")) == 1
+        rows = rows.withColumns({"_taken": taken, "_first": first}).withColumn("keep", F.col("keep") | ((F.col("tier") == level) & F.col("_first") & ~F.col("_taken")))
+    spare = ~F.col("keep") & F.col("old") & (F.col("tier") > 0)
+    short = 4 - F.sum((F.col("keep") & F.col("old")).cast("int")).over(all_)
+    oldest = F.row_number().over(Window.partitionBy("archive").orderBy(~F.col("_spare"), F.desc("rn")))
+    rows = rows.withColumns({"_spare": spare, "_short": short}).withColumn("keep", F.col("keep") | (F.col("_spare") & (oldest <= F.col("_short"))))
+    place = F.sum(F.col("keep").cast("int")).over(newest.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_place", place).select("archive", "name", "modified", ((F.col("many") <= limit) | (F.col("keep") & (F.col("_place") <= limit))).alias("kept"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 DIMENSION = 768
 CHAT_K, CLI_K = 3, 5
 CONTEXT_CHARS, SNIPPET_CHARS, HISTORY_TURNS, HISTORY_CHARS = 2000, 400, 3, 200
@@ -38,6 +40,37 @@ def hashed_embedding(text: Column, dimension: int = 64) -> Column:
     return F.get(F.transform(F.array(slots), counts), F.lit(0))
 
 
+#: A model that embeds a text, or raises if the text is too long for it.
+Embedder = Callable[[str], list[float]]
+
+
+def embed_chunks(text: str, embed: Embedder, size: int, dimension: int = DIMENSION, floor: int = 128) -> list[float]:
+    """The mean over chunks of so many tokens; the size is halved while a chunk fails, and zeros stand where the smallest does."""
+    words = (text or "").split()
+    if not words:
+        return [0.0] * dimension
+    while True:
+        try:
+            found = [embed(" ".join(words[i : i + size])) for i in range(0, len(words), size)]
+            return [sum(x) / len(found) for x in zip(*found)]
+        except Exception:  # noqa: BLE001  any failure of the model asks for shorter chunks
+            if size <= floor:
+                return [0.0] * dimension
+            size = max(size // 2, floor)
+
+
+def embed_texts(df: DataFrame, key: str, text: str, load: Callable[[], Embedder], size: int, dimension: int = DIMENSION) -> DataFrame:
+    """``key, embedding`` by a model that each task loads once."""
+    kind = dict(df.dtypes)[key]
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        embed = load()
+        for part in parts:
+            yield pd.DataFrame({key: part[key], "embedding": [embed_chunks(t, embed, size, dimension) for t in part[text]]})
+
+    return df.select(key, text).mapInPandas(work, f"{key} {kind}, embedding array<double>")
+
+
 def document_text() -> Column:
     """What is embedded for a file: its non-empty texts in one line."""
     estate = F.when(F.size(F.map_keys("estate_information")) > 0, F.to_json("estate_information"))
@@ -72,10 +105,16 @@ def history(chat: DataFrame) -> DataFrame:
     return chat.withColumn("history", F.array_join(F.collect_list(line).over(past), "\n"))
 
 
-def pack_context(ranked: DataFrame, group: str, rank: str, text: str, budget: int = CONTEXT_CHARS) -> DataFrame:
-    """Entries in rank order while their running length fits; the first always does."""
-    running = F.sum(F.length(text)).over(Window.partitionBy(group).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("running_chars", running).where((F.col(rank) == 1) | (F.col("running_chars") <= budget))
+def pack_context(entries: DataFrame, group: str, order: str, text: str, budget: int = CONTEXT_CHARS) -> DataFrame:
+    """Entries that say something, with ``place`` and ``running_chars``, while their running length fits; the first always does.
+
+    An entry has a character at least, so no group needs more than its first ``budget`` + 1; Spark keeps those per task
+    before the shuffle, whatever a group's size.
+    """
+    by = Window.partitionBy(group).orderBy(order)
+    first = entries.where(F.length(text) > 0).withColumn("place", F.row_number().over(by)).where(F.col("place") <= budget + 1)
+    running = F.sum(F.length(text)).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    return first.withColumn("running_chars", running).where((F.col("place") == 1) | (F.col("running_chars") <= budget))
 
 
 def prompt(question: Column, context: Column, past: Column) -> Column:
@@ -83,10 +122,14 @@ def prompt(question: Column, context: Column, past: Column) -> Column:
     return F.concat(before, F.lit("Context:\n"), F.coalesce(context, F.lit("")), F.lit("\n\nQuestion: "), question)
 
 
-def stats_answer(counts: DataFrame) -> DataFrame:
-    """The answer to a question about the collection: types in order, their counts."""
-    line = F.transform(F.array_sort(F.collect_list(F.struct("mime_type", "n"))), lambda x: F.concat(x["mime_type"], F.lit(": "), x["n"].cast("string")))
-    return counts.agg(F.concat(F.lit("Total files: "), F.sum("n").cast("string"), F.lit("\n"), F.array_join(line, "\n")).alias("answer"))
+def stats_answer(counts: DataFrame, flags: DataFrame | None = None) -> DataFrame:
+    """The answer to a question about the collection: types in order with their counts, then flags, if given as ``name, n``."""
+    shown = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(name, "n"))), lambda x: F.concat(x[name], F.lit(": "), x["n"].cast("string"))), "\n")
+    out = counts.agg(F.concat(F.lit("Total files: "), F.sum("n").cast("string"), F.lit("\n"), shown("mime_type")).alias("answer"))
+    if flags is None:
+        return out
+    marked = flags.where("n > 0").agg(shown("name").alias("marked"))  # a row of a few flags
+    return out.join(F.broadcast(marked)).select(F.concat_ws("\n", "answer", F.nullif("marked", F.lit(""))).alias("answer"))
 
 
 def any_frame_nsfw(frames: Column, prior: Column) -> Column:
@@ -98,5 +141,3 @@ def selected_frames(n: Column, fps: Column, every: int = 10) -> Column:
     """Indexes of the frames taken from a video."""
     step = F.greatest(F.floor(fps * every).cast("int"), F.lit(1))
     return F.when(n > 0, F.sequence(F.lit(0), n - 1, step)).otherwise(F.array().cast("array<int>"))
-
-

@@ -60,11 +60,11 @@ def ordered_values(df: DataFrame, name: str, order: str, by: list[str]) -> DataF
     """Non-null values of a column as one text per group, in row order."""
     kept = df.where(F.col(f"`{name}`").isNotNull())
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(f"`{name}`").cast("string").alias("v")))), lambda x: x["v"]), " ")
-    return kept.groupBy(*by).agg(F.lit(name).alias("name"), text.alias("text"))
+    return kept.groupBy(*by).agg(F.lit(name).alias("name"), text.alias("text"), F.count(F.lit(1)).alias("n")).where("n > 0").drop("n")
 
 
 def table_text(df: DataFrame, columns: list[str], order: str, by: list[str]) -> DataFrame:
-    """``name: values`` lines of the columns, for each group of rows (small tables are one group)."""
+    """``name: values`` lines of the columns, for each group of rows (small tables are one group); a column without values has no line."""
     parts = reduce(DataFrame.unionByName, (ordered_values(df, c, order, by).withColumn("i", F.lit(i)) for i, c in enumerate(columns)))
     line = F.concat_ws(": ", "name", "text")
     return parts.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))), lambda x: x["line"]), "\n").alias("table_text"))
@@ -76,3 +76,29 @@ def sheet_text(df: DataFrame, name: str, order: str) -> Column:
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r")))), lambda x: x["r"]), "\n")
     head = f"=== SHEET: {name} ===\nColumns: " + " | ".join(c for c in df.columns if c != order)
     return F.concat_ws("\n", F.lit(head), F.when(F.count(F.lit(1)) == 0, "(Empty sheet)").otherwise(rows))
+
+
+def combined_text(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """``name, table_text, i`` of named tables with their order columns; those without a value have an empty text, and stay here."""
+    rows = []
+    for i, (name, (df, order)) in enumerate(tables.items()):
+        columns = [c for c in df.columns if c != order]
+        one = table_text(df, columns, order, []) if columns else df.select(F.lit("").alias("table_text")).limit(0)
+        rows.append(one.agg(F.coalesce(F.first("table_text"), F.lit("")).alias("table_text")).select(F.lit(name).alias("name"), "table_text", F.lit(i).alias("i")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def joined_tables(texts: DataFrame) -> DataFrame:
+    """The texts of a file's tables under their headings, blank lines between; tables without text are left out."""
+    entry = F.concat(F.lit("Table "), "name", F.lit(":\n"), "table_text")
+    said = texts.where("table_text <> ''")
+    return said.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", entry.alias("e")))), lambda x: x["e"]), "\n\n").alias("combined"))  # one entry for each table
+
+
+def flat_text(df: DataFrame, order: str, by: list[str]) -> DataFrame:
+    """Values of the string columns, a line for each column; a column with a null is no text column, as in the data frames this follows."""
+    names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in by]
+    nulls = df.agg(*(F.count_if(F.col(f"`{n}`").isNull()).alias(f"n{i}") for i, n in enumerate(names))).first() if names else []
+    text = [n for n, k in zip(names, nulls) if not k]
+    column = lambda n: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(f"`{n}`").alias("v")))), lambda x: x["v"]), " ")
+    return df.groupBy(*by).agg(F.concat_ws(" \n", *map(column, text)).alias("flat_text"))

@@ -9,13 +9,14 @@ from archlight.functions import formats
 from archlight.functions import predicates as P
 from archlight.operators import catalog as C
 from archlight.operators import metrics
+from archlight.sources import files
 from archlight.sources.catalog_tables import MANIFEST_SQL as M
 from archlight.sources.catalog_tables import SHEET, manifest, table
 
 from .registry import query
 
 DONE = "list_filter(analysis_tasks, lambda t: t.status = 'complete')"
-FILES = "string_agg(file_path, '|' ORDER BY lower(file_name), manifest_idx)"
+LISTED = "lower(file_name) AS display, manifest_idx, file_path"
 TEXT = "coalesce(extracted_text, '') <> ''"
 IDS = "SELECT manifest_idx FROM m WHERE "
 
@@ -157,42 +158,80 @@ def per_mime_limit(spark, sf):
     return C.per_mime_limit(manifest(spark, sf), 3).select("manifest_idx", "mime_type")
 
 
-@query(M + f"SELECT coalesce(nullif(mime_type, ''), 'unknown/unknown') AS mime, count(*) AS n, {FILES} AS files FROM m GROUP BY 1")
+MIME = "coalesce(nullif(mime_type, ''), 'unknown/unknown')"
+PEOPLE = "(SELECT *, trim(unnest(mentioned_people)) AS person FROM m) WHERE person <> ''"
+ESTATES = "m, (SELECT unnest(['Legal', 'Financial']) AS category) WHERE has_estate"
+
+
+@query(M + f"SELECT {MIME} AS mime, {LISTED} FROM m")
 def mime_index(spark, sf):
     return C.mime_index(manifest(spark, sf))
 
 
-@query(M + f"SELECT person, count(*) AS n, {FILES} AS files FROM (SELECT *, trim(unnest(mentioned_people)) AS person FROM m) WHERE person <> '' GROUP BY person")
+@query(M + f"SELECT {MIME} AS mime, count(*) AS n_files FROM m GROUP BY 1")
+def mime_index_counts(spark, sf):
+    return C.group_counts(C.mime_index(manifest(spark, sf)), "mime")
+
+
+@query(M + f"SELECT {LISTED} FROM m WHERE mime_type = 'application/pdf' ORDER BY display, manifest_idx LIMIT 25")
+def mime_index_page(spark, sf):
+    return C.page(C.mime_index(manifest(spark, sf)), F.col("mime") == "application/pdf", 25).drop("mime")
+
+
+@query(M + f"SELECT person, {LISTED} FROM {PEOPLE}")
 def people_index(spark, sf):
     return C.people_index(manifest(spark, sf))
 
 
-@query(M + f"SELECT count(*) AS n, coalesce({FILES}, '') AS files FROM m WHERE is_nsfw")
+@query(M + f"SELECT person, count(*) AS n_files FROM {PEOPLE} GROUP BY person")
+def people_index_counts(spark, sf):
+    return C.group_counts(C.people_index(manifest(spark, sf)), "person")
+
+
+@query(M + f"SELECT {LISTED} FROM m WHERE is_nsfw")
 def nsfw_index(spark, sf):
     return C.flagged(manifest(spark, sf), P.truthy("is_nsfw"))
 
 
-@query(M + f"SELECT count(*) AS n, coalesce({FILES}, '') AS files FROM m WHERE coalesce(contains_password, false) OR has_password_rows")
+@query(M + f"SELECT {LISTED} FROM m WHERE coalesce(contains_password, false) OR has_password_rows")
 def password_index(spark, sf):
     return C.flagged(manifest(spark, sf), P.password_candidate())
 
 
-@query(M + f"SELECT category, count(*) AS n_files, count(*) AS n_items, {FILES} AS files FROM m, (SELECT unnest(['Legal', 'Financial']) AS category) WHERE has_estate GROUP BY category")
+@query(M + f"SELECT category, CAST(1 AS BIGINT) AS n_items, {LISTED} FROM {ESTATES}")
 def estate_index(spark, sf):
     return C.estate_index(manifest(spark, sf))
 
 
-@query(
-    M + """, d AS (SELECT directory, file_path FROM m), l AS (SELECT DISTINCT directory AS d FROM d),
+@query(M + f"SELECT category, count(*) AS n_files, count(*) AS n_items FROM {ESTATES} GROUP BY category")
+def estate_index_counts(spark, sf):
+    return C.group_counts(C.estate_index(manifest(spark, sf)), "category", n_items="n_items")
+
+
+DIRECTORIES = M + """, d AS (SELECT directory, file_path FROM m), l AS (SELECT DISTINCT directory AS d FROM d),
     a AS (SELECT d AS directory FROM l UNION SELECT regexp_extract(d, '^(.*)/[^/]*$', 1) FROM l UNION SELECT regexp_extract(d, '^(.*)/[^/]*/[^/]*$', 1) FROM l UNION SELECT '/'),
     n AS (SELECT directory, CASE WHEN directory = '/' THEN NULL WHEN directory = '/archive' THEN '/' ELSE regexp_extract(directory, '^(.*)/[^/]*$', 1) END AS parent FROM a)
-    SELECT n.directory, n.parent, regexp_extract(n.directory, '([^/]*)$', 1) AS name, (SELECT count(*) FROM d WHERE d.directory = n.directory) AS n_files,
+    """
+
+
+@query(
+    DIRECTORIES + """SELECT n.directory, n.parent, regexp_extract(n.directory, '([^/]*)$', 1) AS name, (SELECT count(*) FROM d WHERE d.directory = n.directory) AS n_files,
       (SELECT count(*) FROM n AS k WHERE k.parent = n.directory) AS n_subdirs FROM n"""
 )
 def directory_index(spark, sf):
     return C.directory_index(manifest(spark, sf))
 
 
+@query(DIRECTORIES + "SELECT directory, 'file' AS kind, file_path AS entry FROM d UNION ALL SELECT parent, 'directory', directory FROM n WHERE parent IS NOT NULL")
+def directory_entries(spark, sf):
+    return C.directory_entries(manifest(spark, sf))
+
+
+@query(M + "SELECT directory, count(*) AS n_files FROM m GROUP BY directory ORDER BY n_files DESC, directory LIMIT 1")
+def default_directory(spark, sf):
+    return C.default_directory(C.directory_index(manifest(spark, sf))).select("directory", "n_files")
+
+
 @query(M + "SELECT manifest_idx, file_name AS file, directory, substring(coalesce(nullif(summary, ''), description, ''), 1, 120) AS summary FROM m")
 def table_rows(spark, sf):
     return C.table_rows(manifest(spark, sf))
@@ -209,11 +248,40 @@ def format_bytes(spark, sf):
 
 
 @query(
-    "SELECT event_id, trim(CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' ELSE '' END || CASE WHEN s % 3600 // 60 > 0 THEN (s % 3600 // 60) || 'm ' ELSE '' END || CASE WHEN s % 60 > 0 OR s < 60 THEN (s % 60) || 's' ELSE '' END) AS took "
-    "FROM (SELECT event_id, (event_id * 37) % 9000 AS s FROM events)"
+    "SELECT event_id, trim(CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' ELSE '' END || CASE WHEN s % 3600 // 60 > 0 THEN (s % 3600 // 60) || 'm ' ELSE '' END || CASE WHEN s % 60 > 0 OR s < 60 THEN (s % 60) || 's' ELSE '' END) AS took, "
+    "CASE WHEN value <= 0 THEN '—' ELSE printf('%.1f', round_even(value, 1)) || ' files/min' END AS rate FROM (SELECT event_id, value, CAST(greatest(floor(value * 100), 0) AS BIGINT) AS s FROM events)"
 )
 def format_duration(spark, sf):
-    return table(spark, sf, "events").select("event_id", formats.duration(F.col("event_id") * 37 % 9000).alias("took"))
+    return table(spark, sf, "events").select("event_id", formats.duration(F.floor(F.col("value") * 100)).alias("took"), formats.rate(F.col("value"), "files/min").alias("rate"))
+
+
+@query(
+    M + "SELECT manifest_idx, strftime(make_timestamp(CAST(last_modified * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS modified, manifest_idx || '.txt' AS source, 'file-' || lpad(CAST(('0x' || substr(md5(file_path), 1, 8))::BIGINT % 100000 AS VARCHAR), 5, '0') AS short_name, "
+    f"CASE WHEN len(analysis_tasks) > 0 THEN len({DONE}) || '/' || len(analysis_tasks) ELSE '—' END AS tasks, CAST(CASE WHEN len(analysis_tasks) > 0 THEN round_even(len({DONE}) * 40.0 / len(analysis_tasks), 0) ELSE 0 END AS INT) AS bar FROM m"
+)
+def file_labels(spark, sf):
+    done, all_ = F.size(P.tasks_done()), F.size("analysis_tasks")
+    return manifest(spark, sf).select(
+        "manifest_idx", formats.modified_time(F.col("last_modified")).alias("modified"), formats.source_name(F.col("file_path")).alias("source"), formats.correlation_id(F.col("file_path")).alias("short_name"),
+        formats.out_of(done, all_).alias("tasks"), formats.bar_fill(F.try_divide(done.cast("double"), all_)).alias("bar"),
+    )
+
+
+@query(M + "SELECT manifest_idx, CAST(json_object('manifest_idx', manifest_idx, 'file_path', file_path, 'mime_type', mime_type, 'is_nsfw', is_nsfw) AS VARCHAR) AS record FROM m WHERE status = 'complete' AND is_nsfw")
+def query_json(spark, sf):
+    found = manifest(spark, sf).where(P.cli_query(is_nsfw=True, completed=True))
+    return found.select("manifest_idx", F.to_json(F.struct("manifest_idx", "file_path", "mime_type", "is_nsfw"), {"ignoreNullFields": "false"}).alias("record"))
+
+
+@query(
+    "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 2 THEN 'text/plain' WHEN 3 THEN 'text/html' WHEN 4 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' ELSE 'application/octet-stream' END AS mime FROM documents"
+)
+def mime_detect(spark, sf):
+    """Magic numbers before names, names before nothing; an office file is a zip file inside."""
+    d = F.col("doc_id") % 6
+    head = F.when(d == 0, F.unhex(F.lit("255044462D312E37"))).when(d == 1, F.unhex(F.lit("89504E470D0A1A0A"))).when(d == 4, F.unhex(F.lit("504B0304"))).otherwise(F.unhex(F.lit("")))
+    name = F.concat(F.lit("/a/"), F.col("doc_id").cast("string"), F.when(d == 2, ".TXT").when(d == 3, ".htm").when(d == 4, ".docx").otherwise(".dat"))
+    return table(spark, sf, "documents").select("doc_id", files.mime_type(name, F.concat(head, F.col("text").cast("binary"))).alias("mime"))
 
 
 @query(M + "SELECT sha256, count(*) AS n, min(manifest_idx) AS first_idx, CAST(sum(file_size) AS BIGINT) AS bytes FROM m GROUP BY sha256 HAVING count(*) > 1")

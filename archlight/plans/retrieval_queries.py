@@ -37,26 +37,28 @@ def embedding_mean(spark, sf):
     return pooled.select("label", F.posexplode("embedding").alias("pos", "x")).select("label", F.col("pos").cast("long").alias("pos"), F.round("x", 5).alias("x"))
 
 
-@query(M + "SELECT file_path AS id, split_part(mime_type, '/', 1) AS file_type, trim(concat_ws(' ', file_name, nullif(summary, ''), description, nullif(extracted_text, ''), nullif(array_to_string(mentioned_people, ', '), ''))) AS document FROM m WHERE NOT has_estate")
-def vector_documents(spark, sf):
-    rows = manifest(spark, sf).where("size(map_keys(estate_information)) = 0")
-    return rows.select(F.col("file_path").alias("id"), R.metadata()["file_type"].alias("file_type"), R.document_text().alias("document"))
-
-
 ESTATE = """CASE WHEN has_estate THEN '{"Legal":[{"item":"Will ' || manifest_idx || '","why_it_matters":"heirs"}],"Financial":[{"item":"","why_it_matters":""},{"item":"Account","why_it_matters":"money"}]}' END"""
 
 
 @query(M + f"SELECT file_path AS id, split_part(mime_type, '/', 1) AS file_type, trim(concat_ws(' ', file_name, nullif(summary, ''), description, nullif(extracted_text, ''), nullif(array_to_string(mentioned_people, ', '), ''), {ESTATE})) AS document FROM m")
-def vector_documents_all(spark, sf):
-    """As vector_documents, whose SQL leaves files with an estate out, over all files."""
+def vector_documents(spark, sf):
     return manifest(spark, sf).select(F.col("file_path").alias("id"), R.metadata()["file_type"].alias("file_type"), R.document_text().alias("document"))
 
 
-@query("SELECT CASE label % 4 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/png' ELSE 'image/jpeg' END AS mime_type, count(*) AS n FROM embeddings GROUP BY 1")
+TYPES = "SELECT CASE label % 4 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/png' ELSE 'image/jpeg' END AS mime_type, count(*) AS n FROM embeddings GROUP BY 1"
+
+
+@query(f"SELECT mime_type, n, CAST(sum(n) OVER () AS BIGINT) AS total FROM ({TYPES})")
 def db_stats(spark, sf):
     return C.db_stats(vectors(spark, sf))
 
 
+@query(M + "SELECT file_path, mime_type, CASE WHEN trim(coalesce(summary, '')) <> '' THEN summary ELSE coalesce(description, summary) END AS summary, coalesce(is_nsfw, false) AS is_nsfw, coalesce(has_financial_red_flags, false) AS has_financial_red_flags FROM m")
+def db_files(spark, sf):
+    m = manifest(spark, sf)
+    return C.db_files(m.select(R.metadata().alias("metadata")), m)
+
+
 @query(M + "SELECT file_path, mime_type, CASE WHEN trim(coalesce(summary, '')) <> '' THEN summary ELSE coalesce(description, summary) END AS summary FROM m")
 def stats_summary_fallback(spark, sf):
     m = manifest(spark, sf)
@@ -77,21 +79,18 @@ def chat_history(spark, sf):
     return R.history(chat(spark, sf)).select("conv_id", "turn", "history")
 
 
-def ranked(spark, sf):
+def entries(spark, sf):
     """Documents of a source in the order of their ids, as entries of a context."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf, "documents").select("source", "doc_id", R.snippet(F.col("text"), R.SNIPPET_CHARS).alias("entry"), F.row_number().over(order).alias("place"))
+    return table(spark, sf, "documents").select("source", "doc_id", R.snippet(F.col("text"), R.SNIPPET_CHARS).alias("entry"))
 
 
-PACKED = """WITH r AS (SELECT source, doc_id, CASE WHEN length(text) > 400 THEN substring(text, 1, 400) || '...' ELSE text END AS entry, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents),
+PACKED = """WITH r AS (SELECT source, doc_id, CASE WHEN length(text) > 400 THEN substring(text, 1, 400) || '...' ELSE text END AS entry, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents WHERE text <> ''),
 c AS (SELECT *, sum(length(entry)) OVER (PARTITION BY source ORDER BY place) AS running_chars FROM r), k AS (SELECT * FROM c WHERE place = 1 OR running_chars <= 2000) """
 
 
 @query(PACKED + "SELECT source, doc_id, CAST(place AS INT) AS place, CAST(running_chars AS BIGINT) AS running_chars FROM k")
 def context_packing(spark, sf):
-    return R.pack_context(ranked(spark, sf), "source", "place", "entry").select("source", "doc_id", "place", "running_chars")
+    return R.pack_context(entries(spark, sf), "source", "doc_id", "entry").select("source", "doc_id", "place", "running_chars")
 
 
 @query(
@@ -99,29 +98,35 @@ def context_packing(spark, sf):
     "SELECT conv_id, turn, CASE WHEN history <> '' THEN 'Earlier turns:' || chr(10) || history || chr(10) || chr(10) ELSE '' END || 'Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || text AS prompt FROM h LEFT JOIN x USING (source)"
 )
 def rag_prompt(spark, sf):
-    packed = R.pack_context(ranked(spark, sf), "source", "place", "entry")
+    packed = R.pack_context(entries(spark, sf), "source", "doc_id", "entry")
     context = packed.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "entry"))), lambda x: x["entry"]), "\n").alias("context"))  # of bounded length
     asked = R.history(chat(spark, sf)).withColumn("source", F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")))  # each conversation asks about one source
     return asked.join(context, "source", "left").select("conv_id", "turn", R.prompt(F.col("text"), F.col("context"), F.col("history")).alias("prompt"))
 
 
 @query(
-    "WITH c AS (SELECT CASE label % 4 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/png' ELSE 'image/jpeg' END AS mime_type, count(*) AS n FROM embeddings GROUP BY 1) "
-    "SELECT 'Total files: ' || sum(n)::BIGINT || chr(10) || string_agg(mime_type || ': ' || n, chr(10) ORDER BY mime_type) AS answer FROM c"
+    f"WITH c AS ({TYPES}), f AS (SELECT 'Not safe for work' AS name, count(*) FILTER (vec_id % 5 = 0) AS n FROM embeddings UNION ALL SELECT 'Red flags', count(*) FILTER (vec_id % 3 = 0) FROM embeddings) "
+    "SELECT (SELECT 'Total files: ' || sum(n)::BIGINT || chr(10) || string_agg(mime_type || ': ' || n, chr(10) ORDER BY mime_type) FROM c) || chr(10) || (SELECT string_agg(name || ': ' || n, chr(10) ORDER BY name) FROM f WHERE n > 0) AS answer"
 )
 def stats_answer(spark, sf):
-    return R.stats_answer(C.db_stats(vectors(spark, sf)))
+    v = vectors(spark, sf)
+    counts = v.agg(F.count_if("metadata.is_nsfw").alias("a"), F.count_if("metadata.has_financial_red_flags").alias("b"))
+    flags = counts.select(F.explode(F.array(F.struct(F.lit("Not safe for work").alias("name"), F.col("a").alias("n")), F.struct(F.lit("Red flags").alias("name"), F.col("b").alias("n")))).alias("f")).select("f.*")
+    return R.stats_answer(C.db_stats(v).drop("total"), flags)
 
 
-@query("SELECT event_id, CAST(len(range(0, event_id % 500, greatest(floor((event_id % 31) * 10), 1)::BIGINT)) AS INT) AS n_frames FROM events")
+@query("SELECT conv_id, turn, CAST(len(range(0, length(text), greatest(floor(turn * 10.0), 1)::BIGINT)) AS INT) AS n_frames FROM conversations")
 def frame_selection(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.size(R.selected_frames((F.col("event_id") % 500).cast("int"), F.col("event_id") % 31)).alias("n_frames"))
+    """A turn's text stands for a film: its characters are frames, its number the frames a second."""
+    return chat(spark, sf).select("conv_id", "turn", F.size(R.selected_frames(F.length("text"), F.col("turn").cast("double"))).alias("n_frames"))
 
 
-@query(M + "SELECT manifest_idx, CASE WHEN manifest_idx % 4 = 1 THEN true ELSE is_nsfw END AS is_nsfw FROM m")
+@query(M + "SELECT manifest_idx, CASE WHEN lang = 'fr' OR source = 'src1' THEN true ELSE is_nsfw END AS is_nsfw FROM (SELECT m.*, d.lang, d.source FROM m JOIN documents d ON d.doc_id = m.manifest_idx)")
 def frames_nsfw(spark, sf):
-    frames = F.array(F.lit("SFW"), F.when(F.col("manifest_idx") % 4 == 1, "NSFW").otherwise("sfw"))
-    return manifest(spark, sf).select("manifest_idx", R.any_frame_nsfw(frames, F.col("is_nsfw")).alias("is_nsfw"))
+    """Parts of a file's path stand for the classes of its frames: some are not safe in French and of source 1."""
+    parts = F.split("file_path", "/")
+    label = lambda part, word: F.when(part == word, "NSFW").otherwise("sfw")
+    return manifest(spark, sf).select("manifest_idx", R.any_frame_nsfw(F.array(F.lit("SFW"), label(F.get(parts, F.lit(3)), "fr"), label(F.get(parts, F.lit(2)), "src1")), F.col("is_nsfw")).alias("is_nsfw"))
 
 
 @query("SELECT vec_id AS id, CASE WHEN label = 3 THEN 99 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, 99 FROM embeddings WHERE label = 5")

@@ -96,3 +96,27 @@ def html_text(spark, sf):
 @query("SELECT page_id, regexp_replace(url, '[^0-9A-Za-z_]+', '_', 'g') AS widget_key FROM pages")
 def widget_keys(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.widget_key(F.col("url")).alias("widget_key"))
+
+
+LINES = "string_agg(n_name, ' ' ORDER BY n_nationkey)"
+
+
+@query(
+    "SELECT 'Table regions:' || chr(10) || (SELECT 'r_name: ' || string_agg(r_name, ' ' ORDER BY r_regionkey) FROM region) || chr(10) || chr(10) || 'Table nations:' || chr(10) || "
+    f"(SELECT 'n_name: ' || {LINES} || chr(10) || 'n_regionkey: ' || string_agg(n_regionkey::VARCHAR, ' ' ORDER BY n_nationkey) FROM nation) AS combined"
+)
+def combined_tables(spark, sf):
+    nations, regions = table(spark, sf, "nation"), table(spark, sf, "region")
+    given = {"regions": (regions.select("r_regionkey", "r_name"), "r_regionkey"), "none": (nations.where("n_nationkey < 0").select("n_nationkey", "n_name"), "n_nationkey"), "nations": (nations.select("n_nationkey", "n_name", "n_regionkey"), "n_nationkey")}
+    return tabular.joined_tables(tabular.combined_text(given))
+
+
+@query(f"SELECT n_regionkey, {LINES} || ' ' || chr(10) || string_agg(lower(n_name), ' ' ORDER BY n_nationkey) AS flat_text FROM nation GROUP BY n_regionkey")
+def flat_text_columns(spark, sf):
+    n = table(spark, sf, "nation").select("n_nationkey", "n_regionkey", "n_name", F.lower("n_name").alias("low"), F.nullif("n_name", F.lit("FRANCE")).alias("holed"))
+    return tabular.flat_text(n.select("n_nationkey", "n_regionkey", "n_name", "low", F.when(F.col("n_nationkey") > 0, F.col("holed")).alias("holed")), "n_nationkey", ["n_regionkey"])
+
+
+@query(f"SELECT doc_id, CAST(len({TOKENS}) AS INT) AS n_tokens FROM documents")
+def count_tokens(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(X.words(F.col("text"))).alias("n_tokens"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from archlight.functions import schema as S
 
+log = logging.getLogger(__name__)
+
 
 def hadoop(spark: SparkSession, path: str):
     """File system and path objects of any store."""
@@ -37,27 +40,36 @@ def read_or_empty(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_version(catalog: DataFrame, base: str) -> str:
-    """Writes a new version beside the others, then moves the pointer to it; readers see the old or the new one, never a part."""
+    """Writes a new version beside the others, then publishes it by a pointer of its own under the next number.
+
+    A pointer is written under another name and renamed into place, which fails if a writer was quicker; none is ever
+    changed or deleted, so readers see the old version or the new one at any moment.
+    """
     spark = catalog.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     catalog.write.parquet(f"{base}/{version}")
-    fs, temp = hadoop(spark, f"{base}/.current-{version}")
+    fs, temp = hadoop(spark, f"{base}/.pointer-{version}")
     out = fs.create(temp, True)
     out.write(bytearray(json.dumps({"version": version}).encode()))
     out.close()
-    _, current = hadoop(spark, f"{base}/CURRENT")
-    fs.delete(current, False)
-    fs.rename(temp, current)
-    return version
+    while True:
+        _, pointer = hadoop(spark, f"{base}/CURRENT-{max([0, *(n for n, _ in pointers(spark, base))]) + 1:012d}")
+        if not fs.exists(pointer) and fs.rename(temp, pointer):
+            return version
+
+
+def pointers(spark: SparkSession, base: str) -> list[tuple[int, str]]:
+    fs, p = hadoop(spark, base)
+    names = [s.getPath().getName() for s in (fs.listStatus(p) if fs.exists(p) else [])]
+    return sorted((int(n.removeprefix("CURRENT-")), f"{base}/{n}") for n in names if n.startswith("CURRENT-"))
 
 
 def read_version(spark: SparkSession, base: str) -> DataFrame:
-    """The current version; if the pointer is lost, the newest one that was written to its end."""
-    fs, current = hadoop(spark, f"{base}/CURRENT")
-    if fs.exists(current):
-        text = spark.read.text(f"{base}/CURRENT").first()[0]
+    """The current version; if the pointers are lost, the newest one that was written to its end."""
+    if known := pointers(spark, base):
+        text = spark.read.text(known[-1][1]).first()[0]
         return spark.read.parquet(f"{base}/{json.loads(text)['version']}")
-    _, p = hadoop(spark, base)
+    fs, p = hadoop(spark, base)
     done = [(s.getModificationTime(), s.getPath().toString()) for s in (fs.listStatus(p) if fs.exists(p) else []) if fs.exists(hadoop(spark, s.getPath().toString() + "/_SUCCESS")[1])]
     if not done:
         raise RuntimeError(f"no valid version under {base}")
@@ -75,13 +87,26 @@ def export_json(catalog: DataFrame, path: str) -> None:
 
 
 def log_unprocessed(rows: DataFrame, path: str) -> None:
-    """Appends ``file_path, mime_type, reason, info`` with the time of writing."""
-    rows.select(F.current_timestamp().alias("ts"), "file_path", "mime_type", "reason", "info").write.mode("append").parquet(path)
+    """Appends ``ts, file_path, mime_type, reason, info`` as CSV files with a header each, all fields quoted."""
+    columns = (F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("file_path", "mime_type", "reason", "info"))
+    rows.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), *columns).write.mode("append").option("header", "true").option("quoteAll", "true").option("escape", '"').csv(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("ts timestamp, file_path string, mime_type string, reason string, info string").option("header", "true").option("escape", '"').csv(path)
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
-    """A reprocess list: a JSON array; entries without a path are left out."""
-    return spark.read.schema("file_path string").option("multiLine", "true").json(path).where("file_path is not null").withColumn("list_idx", F.monotonically_increasing_id())
+    """A reprocess list: a JSON array; entries without a path are left out, with a warning that tells how many."""
+    rows = spark.read.schema("file_path string, _corrupt_record string").option("multiLine", "true").json(path).withColumn("list_idx", F.monotonically_increasing_id())
+    if bad := rows.select("file_path", "_corrupt_record").where("file_path is null").count():
+        log.warning("%s: %d entries without a path are left out", path, bad)
+    return rows.where("file_path is not null").drop("_corrupt_record")
+
+
+def csv_rows(completed: DataFrame, m: DataFrame) -> DataFrame:
+    """Rows of the catalog whose file was completed in this run."""
+    return m.join(completed.select("file_path").distinct(), "file_path", "left_semi")
 
 
 def snapshot(spark: SparkSession, path: str, folder: str, stamp: str, tries: int = 100) -> str:

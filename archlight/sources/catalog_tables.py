@@ -17,6 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 SHEET = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"
 MIMES = ("text/plain", "application/pdf", "image/png", "image/jpeg", "video/mp4", SHEET, "")
+#: What the texts of files with an estate end with.
+NOTE = " is with the attorney. My bank account has an unreported balance and a penalty."
 STATES = {0: S.PENDING_EXTRACTION, 1: S.PENDING_ANALYSIS, 2: S.FAILED}
 
 
@@ -58,7 +60,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.lit(1_700_000_000.0) + d * 3600).cast("double").alias("last_modified"),
             F.sha2("text", 256).alias("sha256"),
             by_case(d % 10, STATES, S.COMPLETE).alias("status"),
-            F.when(d % 5 != 0, F.col("text")).alias("extracted_text"),
+            F.when(d % 5 == 1, F.concat(F.col("text"), F.lit("\nThe will of file "), d.cast("string"), F.lit(NOTE))).when(d % 5 != 0, F.col("text")).alias("extracted_text"),
             tasks.alias("analysis_tasks"),
             F.when(d % 8 == 1, "").when(d % 8 != 0, F.col("text")).alias("summary"),
             F.when(d % 9 != 0, F.concat(F.lit("File "), d.cast("string"))).alias("description"),
@@ -102,7 +104,7 @@ SELECT doc_id AS manifest_idx, '/archive/' || source || '/' || lang || '/' || do
   CASE doc_id % 7 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/png' WHEN 3 THEN 'image/jpeg' WHEN 4 THEN 'video/mp4' WHEN 5 THEN '{SHEET}' ELSE '' END AS mime_type,
   strlen(text) AS file_size, 1700000000.0 + doc_id * 3600 AS last_modified, sha256(text) AS sha256,
   CASE doc_id % 10 WHEN 0 THEN 'pending_extraction' WHEN 1 THEN 'pending_analysis' WHEN 2 THEN 'failed' ELSE 'complete' END AS status,
-  CASE WHEN doc_id % 5 <> 0 THEN text END AS extracted_text, {_TASKS} AS analysis_tasks,
+  CASE WHEN doc_id % 5 = 1 THEN text || chr(10) || 'The will of file ' || doc_id || '{NOTE}' WHEN doc_id % 5 <> 0 THEN text END AS extracted_text, {_TASKS} AS analysis_tasks,
   CASE WHEN doc_id % 8 = 0 THEN NULL WHEN doc_id % 8 = 1 THEN '' ELSE text END AS summary,
   CASE WHEN doc_id % 9 <> 0 THEN 'File ' || doc_id END AS description,
   CASE WHEN doc_id % 4 = 0 THEN [] ELSE ['user' || (doc_id % 13), ' User ' || (doc_id % 5), ' ', 'user' || (doc_id % 13)] END AS mentioned_people,

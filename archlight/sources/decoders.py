@@ -5,9 +5,11 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -93,10 +95,118 @@ def svg(data: bytes) -> str:
     return "\n".join(t.strip() for e in root.iter() for t in (e.text or "",) if t.strip())
 
 
-#: Decoder of each kind; callers may add those left out (PDF, XLS, Access, images, video).
+PDF_PART = re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3}|\r?\n)")
+#: What escapes in a PDF string stand for.
+PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def pdf_string(raw: bytes) -> str:
+    """A literal or hexadecimal string of a page's content, in the standard Western encoding or UTF-16."""
+    if raw[:1] == b"<":
+        digits = re.sub(rb"[^0-9A-Fa-f]", b"", raw)
+        data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        data = PDF_PART.sub(lambda m: PDF_ESCAPES.get(m[1]) or (bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1][-1:] == b"\n" else m[1]), raw[1:-1])
+    return data.decode("utf-16", "replace") if data[:2] in (b"\xfe\xff", b"\xff\xfe") else data.decode("cp1252", "replace")
+
+
+PDF_TOKEN = re.compile(rb"\((?:[^()\\]|\\[\s\S]|\((?:[^()\\]|\\[\s\S])*\))*\)|<[0-9A-Fa-f\s]*>|T[*dDmJj]|['\"]|BT|ET|-?[\d.]+|\]|\[")
+
+
+def page_content(data: bytes) -> str:
+    """Text that a content stream shows; a new line where the text moves."""
+    out, strings, inside = [], [], False
+    for token in PDF_TOKEN.findall(data):
+        if token in (b"BT", b"ET"):
+            inside = token == b"BT"
+            out.append("\n")
+        elif not inside:
+            continue
+        elif token[:1] in b"(<":
+            strings.append(pdf_string(token))
+        elif token in (b"Tj", b"TJ", b"'", b'"'):
+            out.append(("\n" if token in (b"'", b'"') else "") + "".join(strings))
+            strings = []
+        elif token in (b"T*", b"Td", b"TD", b"Tm"):
+            out.append("\n")
+    return "\n".join(x.strip() for x in "".join(out).split("\n") if x.strip())
+
+
+def pdf(data: bytes, ocr: Callable[[bytes, int], str] | None = None) -> str:
+    """Text of pages with simple fonts, a content stream a page; short pages by recognition, if there is any; bad pages are left out."""
+    if not data.lstrip()[:5] == b"%PDF-":
+        raise ValueError("no PDF")
+    pages = []
+    for m in re.finditer(rb"<<((?:[^<>]|<[^<>]*>|<<[^<>]*>>)*)>>\s*stream\r?\n", data):
+        end = data.find(b"endstream", m.end())
+        raw = data[m.end() : end if end >= 0 else len(data)]
+        if re.search(rb"/(?:Type|Subtype)\s*/(?:XObject|Image|ObjStm|XRef|Metadata)|/Length1", m[1]):
+            continue
+        try:
+            content = zlib.decompressobj().decompress(raw) if b"/FlateDecode" in m[1] else raw
+        except zlib.error:
+            continue
+        if b"BT" in content or ocr:
+            number = len(pages)
+            pages.append(pdf_page(page_content(content), (lambda n=number: ocr(data, n)) if ocr else None))
+    return "\n".join(pages)
+
+
+def binarized(grey: np.ndarray) -> np.ndarray:
+    """A grey image in black and white, at the threshold that parts its two classes best (Otsu's)."""
+    counts = np.bincount(grey.reshape(-1), minlength=256).astype(float)
+    below = np.cumsum(counts)
+    mass = np.cumsum(counts * np.arange(256))
+    above = below[-1] - below
+    with np.errstate(divide="ignore", invalid="ignore"):
+        apart = below * above * (mass / below - (mass[-1] - mass) / above) ** 2
+    return np.where(grey > int(np.nanargmax(apart)) if np.isfinite(apart).any() else grey > 127, 255, 0).astype(np.uint8)
+
+
+def image_text(data: bytes, grey: Callable[[bytes], np.ndarray] | None, ocr: Callable[[np.ndarray], str] | None) -> str:
+    """What recognition reads in an image made black and white; an empty text without a tool."""
+    return ocr(binarized(grey(data))) if grey and ocr else ""
+
+
+def video_frames(count: int, fps: float, grab: Callable[[int], bytes], every: int = 10) -> list[tuple[int, bytes]]:
+    """Frames of a film, one every so many seconds."""
+    if fps <= 0:
+        raise ValueError("the film cannot be opened")
+    return [(i, grab(i)) for i in range(0, count, max(int(fps * every), 1))]
+
+
+def tables_of(reader: object) -> dict[str, pd.DataFrame]:
+    """Tables of a database file, from whichever form its reader has: a mapping, ``tables`` or ``catalog`` with ``table(name)``; system tables are left out."""
+    listed = reader if isinstance(reader, dict) else getattr(reader, "tables", None) or getattr(reader, "catalog", None)
+    names = [n for n in (listed or {}) if not str(n).lower().startswith("msys")]
+    if not names:
+        raise ValueError("no tables")
+    one = (lambda n: listed[n]) if isinstance(listed, dict) and not hasattr(reader, "table") else reader.table
+    return {str(n): t if isinstance(t, pd.DataFrame) else pd.DataFrame(t) for n, t in ((n, one(n)) for n in names)}
+
+
+def uploaded(given: bytes | io.IOBase | str) -> bytes:
+    """Bytes of an upload: given as they are, as a file whose position is left as found, or by path; an empty one is an error."""
+    if isinstance(given, str):
+        with open(given, "rb") as f:
+            data = f.read()
+    elif isinstance(given, (bytes, bytearray)):
+        data = bytes(given)
+    else:
+        at = given.tell()
+        given.seek(0)
+        data = given.read()
+        given.seek(at)
+    if not data:
+        raise ValueError("the upload is empty")
+    return data
+
+
+#: Decoder of each kind; callers may add those left out (XLS, Access, images, video).
 DECODERS: dict[str, Callable[[bytes], str]] = {
     "application/vnd.openxmlformats-officedocument.wordprocessingml.document": docx,
     "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": xlsx,
+    "application/pdf": pdf,
     "application/rtf": rtf,
     "text/rtf": rtf,
     "image/svg+xml": svg,

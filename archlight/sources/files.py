@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 import os
 import tarfile
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,38 +42,97 @@ def mime_type(path: Column, content: Column) -> Column:
     return F.coalesce(found, by_name, F.lit(OCTETS))
 
 
-def list_files(spark: SparkSession, root: str, limit: int = 0) -> DataFrame:
-    """All files under a root that Spark's binary reader leaves out or not: hidden and empty ones too, sorted by path.
+LISTED = "path string, size long, modified double"
 
-    The listing is metadata only and made on the driver; contents are read by the tasks.
+
+def directories(root: str, enough: int) -> tuple[list[str], list[tuple[str, int, float]]]:
+    """Directories to walk, level by level until there are enough, and the files met above them."""
+    waiting, found = [root], []
+    while waiting and len(waiting) < enough:
+        below = []
+        for d in waiting:
+            for e in scandir(d):
+                if e.is_dir(follow_symlinks=False):
+                    below.append(e.path)
+                elif e.is_file():
+                    found.append(stat_of(e))
+        waiting = below
+    return waiting, found
+
+
+def scandir(path: str) -> list[os.DirEntry]:
+    try:
+        return sorted(os.scandir(path), key=lambda e: e.name)
+    except OSError:  # a directory that cannot be read holds nothing
+        return []
+
+
+def stat_of(e: os.DirEntry) -> tuple[str, int, float]:
+    s = e.stat()
+    return e.path, s.st_size, s.st_mtime
+
+
+def walk(root: str) -> Iterator[tuple[str, int, float]]:
+    """All files below a directory, hidden and empty ones too."""
+    waiting = [root]
+    while waiting:
+        for e in scandir(waiting.pop()):
+            if e.is_dir(follow_symlinks=False):
+                waiting.append(e.path)
+            elif e.is_file():
+                yield stat_of(e)
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path, size, modified`` of all files under a root that every executor mounts, hidden and empty ones too.
+
+    The driver lists only the upper levels, until there are a few directories for each core; tasks walk those.
     """
     if not os.path.isdir(root):
         raise ValueError(f"no directory: {root}")
-    paths = sorted(os.path.join(d, f) for d, _, names in os.walk(root) for f in names)
-    return spark.createDataFrame([(p,) for p in (paths[:limit] if limit else paths)], "path string")
+    upper, found = directories(root, 4 * spark.sparkContext.defaultParallelism)
+    top = spark.createDataFrame(found, LISTED)
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for d in part["path"]:
+                files = walk(d)
+                while rows := list(islice(files, 10_000)):
+                    yield pd.DataFrame(rows, columns=["path", "size", "modified"])
+
+    if not upper:
+        return top
+    dirs = spark.createDataFrame([(d,) for d in upper], "path string").repartition(len(upper))
+    return top.unionByName(dirs.mapInPandas(work, LISTED))
 
 
 def scan(spark: SparkSession, root: str, limit: int = 0) -> DataFrame:
-    """The catalog of a directory: one record per readable file in path order, with hash, type and the tasks it needs."""
-    paths = list_files(spark, root)
+    """The catalog of a directory: one record per readable file in path order, with hash, type and the tasks it needs.
+
+    With a limit only the first files that can be read are opened; a root without files gives an empty catalog.
+    """
+    readable = F.udf(lambda p: os.access(p, os.R_OK), "boolean")  # metadata only
+    paths = list_files(spark, root).where(readable("path")) if limit else list_files(spark, root)
+    some = paths.orderBy("path").limit(limit) if limit else paths
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for path in part["path"]:
+            for path, size, modified in zip(part["path"], part["size"], part["modified"]):
                 try:
                     with open(path, "rb") as f:
-                        rows.append((path, os.path.getmtime(path), f.read()))
+                        head, digest = f.read(16), hashlib.sha256()
+                        digest.update(head)
+                        while block := f.read(1 << 20):
+                            digest.update(block)
                 except OSError:  # unreadable files are left out
                     continue
-            yield pd.DataFrame(rows, columns=["path", "modified", "content"])
+                yield pd.DataFrame({"path": [path], "size": [size], "modified": [modified], "head": [head], "sha256": [digest.hexdigest()]})
 
-    files = paths.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(read, "path string, modified double, content binary")
+    files = some.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(read, LISTED + ", head binary, sha256 string")
     out = files.select(
-        F.col("path").alias("file_path"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"), mime_type(F.col("path"), F.col("content")).alias("mime_type"), F.octet_length("content").cast("long").alias("file_size"), F.col("modified").alias("last_modified"), F.sha2("content", 256).alias("sha256")
+        F.col("path").alias("file_path"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"), mime_type(F.col("path"), F.col("head")).alias("mime_type"), F.col("size").alias("file_size"), F.col("modified").alias("last_modified"), "sha256"
     )
-    named = out.withColumns({"status": F.lit(S.PENDING_EXTRACTION), "analysis_tasks": tasks.required_tasks(F.col("mime_type"), F.col("file_path"), F.lit(False))})
-    return named.orderBy("file_path").limit(limit) if limit else named.orderBy("file_path")
+    return out.withColumns({"status": F.lit(S.PENDING_EXTRACTION), "analysis_tasks": tasks.required_tasks(F.col("mime_type"), F.col("file_path"), F.lit(False))}).orderBy("file_path")
 
 
 def scan_store(spark: SparkSession, root: str) -> DataFrame:

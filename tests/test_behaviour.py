@@ -156,15 +156,16 @@ def test_text(spark):
 
 @pytest.mark.parametrize(
     "reply, part",
-    [('say {"a": [1, 2]} end', '{"a": [1, 2]}'), ('x ["}"] y', '["}"]'), ('{"a": "\\"}"}', '{"a": "\\"}"}'), ("none", None), ("{ open", None), (None, None), ("{a ] b}", None)],
+    [('say {"a": [1, 2]} end', '{"a": [1, 2]}'), ('x ["}"] y', '["}"]'), ('{"a": "\\"}"}', '{"a": "\\"}"}'), ("none", None), ("{ open", None), (None, None), ("{a ] b}", None), ("{ ] [1] x", "{ ] [1]"), ('a ["🤖", {"b": "]"}] ]', '["🤖", {"b": "]"}]'), ('{"open string', None), ("[" * 500 + "]" * 500, "[" * 500 + "]" * 500)],
 )
-def test_balanced(reply, part):
-    assert X.balanced(reply) == part
+def test_json_segment(spark, reply, part):
+    assert one(spark, X.json_segment(F.lit(reply).cast("string"))) == part
 
 
 def test_json(spark):
     assert one(spark, X.strip_fences(F.lit('```json\n{"a":1}\n```'))) == '{"a":1}'
     assert one(spark, X.parse_reply(F.lit('Sure: {"a":1}.'))) == '{"a":1}' and one(spark, X.parse_reply(F.lit("nothing"))) is None
+    assert one(spark, X.parse_reply(F.lit('{"a":1} as asked ]'))) == '{"a":1}' and one(spark, X.parse_reply(F.lit('"a": [1]} b'))) == "[1]" and one(spark, X.parse_reply(F.lit("3"))) == "3"
 
 
 def test_merges(spark):
@@ -285,11 +286,11 @@ def test_decoders(spark):
 
 
 def test_extract_tells_types_without_decoder(spark):
-    kinds = ["application/vnd.ms-excel", "application/pdf", "application/x-msaccess", None]
+    kinds = ["application/vnd.ms-excel", "video/mp4", "application/x-msaccess", None]
     df = spark.createDataFrame([(str(i), k, bytearray(b"x")) for i, k in enumerate(kinds)], "path string, mime_type string, content binary")
     got = {r["path"]: r for r in decoders.extract(df).collect()}
     assert all(got[str(i)]["text"] is None and got[str(i)]["error"] == f"no decoder for {k or 'an unknown type'}" for i, k in enumerate(kinds))
-    plugged = {r["path"]: r for r in decoders.extract(df, {"application/pdf": lambda data: "read"}).collect()}
+    plugged = {r["path"]: r for r in decoders.extract(df, {"video/mp4": lambda data: "read"}).collect()}
     assert plugged["1"]["text"] == "read" and plugged["1"]["error"] is None
 
 
@@ -318,7 +319,9 @@ def test_catalog_files(spark, tmp_path):
     catalog_files.write_version(m, base)
     catalog_files.write_version(m.limit(1), base)
     assert catalog_files.read_version(spark, base).count() == 1
-    os.remove(f"{base}/CURRENT")
+    assert [n for n, _ in catalog_files.pointers(spark, base)] == [1, 2]
+    for _, pointer in catalog_files.pointers(spark, base):
+        os.remove(pointer)
     assert catalog_files.read_version(spark, base).count() in (1, 2)
     with pytest.raises(RuntimeError):
         catalog_files.read_version(spark, str(tmp_path / "empty"))
@@ -327,7 +330,11 @@ def test_catalog_files(spark, tmp_path):
     rows = spark.createDataFrame([("/x", "a/b", "broken", "")], "file_path string, mime_type string, reason string, info string")
     for _ in range(2):
         catalog_files.log_unprocessed(rows, str(tmp_path / "log"))
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+    assert [r["reason"] for r in catalog_files.read_log(spark, str(tmp_path / "log")).collect()] == ["broken"] * 2
+    with open(tmp_path / "list.json", "w") as f:
+        json.dump([{"file_path": "/c"}, {"name": "no path"}], f)
+    assert [r["file_path"] for r in catalog_files.read_list(spark, str(tmp_path / "list.json")).collect()] == ["/c"]
+    assert catalog_files.csv_rows(m.where("file_path = '/c'"), m).count() == 1
 
 
 def test_streaming(spark, tmp_path):
@@ -358,13 +365,14 @@ def test_default_models(spark):
     money = {r["key"]: r for r in analyze.analyze_financial(m).collect()}
     assert money[ids[0]]["red_flags"] == ["penalty"] and money[ids[0]]["confidence"] == 20 and not money[ids[1]]["has_red_flags"]
     estate = {(r["category"], r["items"]) for r in analyze.analyze_estate(m).collect()}
-    assert ("Legal", "The will is with the attorney.") in estate and ("Financial", "My bank account has a penalty.") in estate
+    assert estate == {("Legal", '{"item":"The will is with the attorney.","why_it_matters":"will"}'), ("Financial", '{"item":"My bank account has a penalty.","why_it_matters":"bank"}'), ("Digital", '{"item":"password: hunter2","why_it_matters":"password"}')}
     tables = m.select("manifest_idx", F.lit("A: 1 2").alias("table_text"))
     assert {r["extracted_text"] for r in analyze.analyze_access(m, tables).collect()} == {"A: 1 2", "plain\n\nA: 1 2", "My bank account has a penalty. The will is with the attorney. password: hunter2\n\nA: 1 2"}
 
 
 def test_small_rules(spark):
-    assert X.adaptive_limit([5000], 8192, 8192) == 4096 and X.adaptive_limit([5000], 8192, 4096) == 2048 and X.adaptive_limit([5000], 200, 10) == 128
+    size = lambda *args: one(spark, X.adaptive_size(F.lit(5000), *args))
+    assert (size(8192, 8192), size(8192, 4096), size(200, 10)) == (4096, 2048, 128)
     frames = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
     assert one(spark, X.video_summary(frames(), F.lit(True))).startswith("No frames") and one(spark, X.video_summary(frames("a"), F.lit(False))) == "a" and one(spark, X.video_summary(frames("a", "b", "c", "d"), F.lit(True))) == "a b c"
     assert one(spark, X.append_unless_contained(F.lit("abc"), F.lit("b"))) == "abc"
@@ -385,3 +393,164 @@ def test_snapshots(spark, tmp_path):
     assert catalog_files.recover(spark, path, folder).count() == 1
     with pytest.raises(RuntimeError):
         catalog_files.recover(spark, path, str(tmp_path))
+
+
+def test_dynamic_timeout_is_the_plain_rule(spark):
+    import random
+
+    draw = random.Random(4)
+    rows = [(k, i, draw.choice((None, 0.0, -1.0, draw.random() * 90))) for k in range(4) for i in range(40)]
+    got = {(r["k"], r["i"]): r["timeout"] for r in metrics.dynamic_timeout(spark.createDataFrame(rows, "k int, i int, x double"), "k", ["i"], "x").collect()}
+    for k, i, _ in rows:
+        past = sorted(x for k2, j, x in rows if k2 == k and j < i and x and x > 0)
+        n = len(past)
+        assert got[k, i] == (60.0 if n < 4 else max(60.0, 5 * past[min(max(-(-3 * (n + 1) // 4), 1), n) - 1]))
+
+
+def test_retention_by_windows_is_the_plain_rule(spark):
+    import random
+
+    draw, now = random.Random(6), datetime(2025, 6, 11, 12)
+    rows = [(a, f"s{i}", now - timedelta(hours=draw.choice((2, 20, 200, 2000)) * draw.random())) for a in range(12) for i in range(draw.choice((3, 15, 16, 40)))]
+    got = {(r["archive"], r["name"]): r["kept"] for r in metrics.retain_tiered(spark.createDataFrame(rows, "archive int, name string, modified timestamp"), now).collect()}
+    for a in range(12):
+        own = sorted((r for r in rows if r[0] == a), key=lambda r: r[2], reverse=True)
+        assert [got[a, n] for _, n, _ in own] == metrics.tiers([t for *_, t in own], now)
+
+
+def test_answers_of_a_model():
+    calls = []
+
+    def chat(instructions, text, seconds):
+        calls.append((instructions, text, seconds))
+        if text == "slow":
+            raise TimeoutError("60 s")
+        return '{"a": 1}' if text == "good" or (text == "second" and analyze.STRICT in instructions) else "no"
+
+    a = analyze.Answers(chat, "Do.", 5.0)
+    assert a.ask("good") == ('{"a": 1}', None) and a.ask("second")[0] and len(calls) == 3 and {s for *_, s in calls} == {60.0}
+    assert a.ask("good")[0] and len(calls) == 3  # from memory
+    assert a.ask("slow")[1].startswith("timeout") and len(calls) == 4  # not asked again
+    for k in range(4):
+        assert a.ask(f"bad{k}")[1] == "no JSON in the reply"
+    assert len(calls) == 12 and a.ask("good2")[1].startswith("not asked") and len(calls) == 12
+
+
+def test_images(spark):
+    df = spark.createDataFrame([(1, bytearray(b"x"), None), (2, None, ""), (3, bytearray(b"bad"), "own")], "manifest_idx long, content binary, summary string")
+    describe = lambda data: {b"x": "a tree"}[data]
+    got = {r["key"]: (r["description"], r["summary"]) for r in analyze.describe_images(df, describe).collect()}
+    assert got == {1: ("a tree", "a tree"), 2: (analyze.UNREADABLE,) * 2, 3: (analyze.UNREADABLE, "own")}
+    scores = spark.createDataFrame([(1, "NSFW", 0.9), (1, "sfw", 0.1), (2, "nsfw", 0.2), (2, "sfw", 0.8), (3, None, None)], "id int, label string, score double")
+    assert {r["id"]: (r["label"], r["score"], r["is_nsfw"]) for r in analyze.classify_nsfw(scores, "id").collect()} == {1: ("NSFW", 0.9, True), 2: ("sfw", 0.8, False), 3: ("SFW", 0.0, False)}
+
+
+def simple_pdf(*pages, deflate=True):
+    import zlib
+
+    out = b"%PDF-1.4\n"
+    for k, lines in enumerate(pages):
+        body = b"BT /F1 12 Tf 72 700 Td " + b" T* ".join(line if line[:1] in b"[<" else b"(" + line + b") Tj" for line in lines) + b" ET"
+        data = zlib.compress(body) if deflate else body
+        out += b"%d 0 obj << /Length %d %s >>\nstream\n" % (k + 1, len(data), b"/Filter /FlateDecode" if deflate else b"") + data + b"\nendstream endobj\n"
+    return out + b"%%EOF"
+
+
+def test_pdf():
+    long = b"A line that is long enough to count as a page of its own, so that nobody looks at the picture of it at all."
+    data = simple_pdf([long, rb"with \(brackets\) and \351t\351"], [b"short"])
+    assert decoders.pdf(data) == long.decode() + "\nwith (brackets) and été\nshort"
+    assert decoders.pdf(data, lambda d, n: f"page {n}") == long.decode() + "\nwith (brackets) and été\npage 1"
+    assert decoders.pdf(simple_pdf([b"[(spl) -20 (it)] TJ", b"<4869> Tj"], deflate=False)) == "split\nHi"
+    with pytest.raises(ValueError):
+        decoders.pdf(b"none")
+
+
+def test_plug_points(tmp_path):
+    import numpy as np
+
+    grey = np.array([[10, 12, 11, 200], [205, 210, 9, 199]], np.uint8)
+    assert decoders.binarized(grey).tolist() == [[0, 0, 0, 255], [255, 255, 0, 255]]
+    assert decoders.image_text(b"", None, None) == "" and decoders.image_text(b"x", lambda d: grey, lambda im: str(int(im.sum()))) == str(4 * 255)
+    assert [i for i, _ in decoders.video_frames(25, 1.0, lambda i: b"f")] == [0, 10, 20]
+    with pytest.raises(ValueError):
+        decoders.video_frames(5, 0, lambda i: b"")
+    assert list(decoders.tables_of({"a": {"x": [1]}, "MSysObjects": {}})) == ["a"]
+
+    class Reader:
+        catalog = {"b": 1, "msysq": 2}
+
+        def table(self, name):
+            return {"x": [1, 2]}
+
+    assert len(decoders.tables_of(Reader())["b"]) == 2
+    with pytest.raises(ValueError):
+        decoders.tables_of({"msys1": {}})
+    f = io.BytesIO(b"abc")
+    f.seek(2)
+    assert decoders.uploaded(f) == b"abc" and f.tell() == 2 and decoders.uploaded(b"x") == b"x"
+    with pytest.raises(ValueError):
+        decoders.uploaded(b"")
+
+
+def test_settings(tmp_path, monkeypatch):
+    import logging
+
+    from archlight.sources import settings
+
+    text = "models:\n  text:\n    name: small  # quick\n    context_window: 8192\n  image: 'seeing'\nother: 1\n"
+    section = settings.models(text)
+    assert settings.model(section, "text") == settings.ModelConfig("small", 8192) and settings.model(section, "text").options() == {"num_ctx": 8192}
+    assert settings.model(section, "image").options() == {}
+    for bad, error in (({}, KeyError), ({"x": 3}, TypeError), ({"x": {"size": 1}}, KeyError)):
+        with pytest.raises(error):
+            settings.model(bad, "x")
+    assert settings.workers() == {"analysis": 2, "extraction": 5, "database": 1} and settings.workers(6) == {"analysis": 1, "extraction": 4, "database": 1}
+    assert sum(settings.workers(1).values()) == 3
+    monkeypatch.setenv(settings.LEVEL, "warning")
+    log = settings.configure_logging(file=str(tmp_path / "a.log"), console=False)
+    logging.getLogger("archlight.x").warning("told")
+    assert log.level == logging.WARNING and "told" in open(tmp_path / "a.log").read()
+    with pytest.raises(ValueError):
+        settings.configure_logging(console=False)
+    settings.configure_logging("INFO")
+
+
+def test_removals(spark, tmp_path):
+    for n in ("a", "bb"):
+        (tmp_path / n).write_text("same")
+    (tmp_path / "dir").mkdir()
+    os.symlink(tmp_path / "gone", tmp_path / "link")
+    rows = [(0, str(tmp_path / "a"), "keep"), (1, str(tmp_path / "bb"), "delete file"), (2, str(tmp_path / "none"), "delete file"), (3, str(tmp_path / "dir"), "delete file"), (4, str(tmp_path / "link"), "delete file"), (5, None, "remove entry: no path")]
+    plan = spark.createDataFrame(rows, "manifest_idx long, file_path string, action string")
+    told = lambda delete: {r["manifest_idx"]: r["outcome"] for r in catalog.apply_removals(plan, delete).collect()}
+    same = {0: "kept", 2: "already missing", 3: "directory: entry removed", 4: "broken link", 5: "entry removed"}
+    assert told(False) == same | {1: "dry run"} and os.path.exists(tmp_path / "bb")
+    assert told(True) == same | {1: "deleted"} and not os.path.exists(tmp_path / "bb") and os.path.exists(tmp_path / "a")
+
+
+def test_embedding():
+    def embed(text):
+        if len(text.split()) > 200:
+            raise ValueError("too long")
+        return [float(len(text.split())), 1.0]
+
+    assert retrieval.embed_chunks("w " * 300, embed, 400, 2) == [150.0, 1.0]  # halved once: 200 and 100 words
+    assert retrieval.embed_chunks(" ", embed, 400, 2) == [0.0, 0.0] and retrieval.embed_chunks("w " * 300, lambda t: 1 / 0, 400, 2) == [0.0, 0.0]
+
+
+def test_tables_and_pages(spark):
+    t = spark.createDataFrame([(1, "a", "x", 1), (2, "b", None, 2)], "o int, s string, holed string, n int")
+    assert tabular.flat_text(t, "o", []).first()["flat_text"] == "a b"
+    index = catalog.mime_index(frame(spark, *(record(file_path=f"/{n}", file_name=n) for n in "cab")))
+    first = catalog.page(index, F.col("mime") == "text/plain", 2).collect()
+    assert [r["display"] for r in first] == ["a", "b"]
+    assert [r["display"] for r in catalog.page(index, F.lit(True), 2, (first[-1]["display"], first[-1]["manifest_idx"])).collect()] == ["c"]
+
+
+def test_key_themes(spark):
+    rows = [(1, "zeta beta Zeta beta, alpha the with x " * 2), (2, None), (3, "")]
+    got = [tuple(r) for r in X.key_themes(spark.createDataFrame(rows, "k int, t string"), "k", "t", 2).collect()]
+    assert got == [(1, "zeta", 4, 1), (1, "beta", 4, 2)]
+    plan = X.key_themes(spark.createDataFrame(rows, "k int, t string"), "k", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

@@ -26,7 +26,7 @@ def test_query(spark, sf, con, name):
 
 
 def test_vector_documents_of_all_files(spark, sf):
-    got = registry.QUERIES["vector_documents_all"](spark, sf).toPandas()
+    got = registry.QUERIES["vector_documents"](spark, sf).toPandas()
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
     estate = got[got.id.str.extract(r"(\d+)\.txt$")[0].astype(int) % 5 == 1]
     assert len(estate) and estate.document.str.contains('"Legal":[{"item":"Will ', regex=False).all()
