@@ -36,7 +36,7 @@ FORMS = (MULAW, ALAW, ADPCM)
 #: A block's head: its first sample and step index, both 0 where a payload is stored.
 HEAD = b"\0" * 4
 #: Bytes of media that a task expands at once; their PCM is up to eight times as long.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 #: Fixed values of IMA ADPCM: index changes for the low three bits of a code; step sizes grow by a tenth from 7 and are listed in the standard.
 INDEX_CHANGE = np.array([-1, -1, -1, -1, 2, 4, 6, 8], dtype=np.int64)
 STEPS = np.array(
