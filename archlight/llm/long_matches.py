@@ -263,7 +263,7 @@ class RunLengthIndex:
         for k in range(depth):
             live &= self.left > k - 1
             key = key << 9 | np.where(live, padded[k : k + n], 0)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key, kind="stable")  # end marks by position
         sorted_key = key[order]
         new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
         new |= self.left[order] < depth  # the end mark is among the symbols: no two are equal
@@ -279,11 +279,11 @@ class RunLengthIndex:
             if not len(at):
                 return order
             part = order[at]
-            second = rank[np.minimum(part + depth, n)]
-            by = np.lexsort((second, start[at]))
-            part, second, first = part[by], second[by], start[at]
+            pair = start[at] * (n + 2) + rank[np.minimum(part + depth, n)] + 1
+            by = np.argsort(pair)
+            part, pair = part[by], pair[by]
             order[at] = part
-            fresh = np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
+            fresh = np.concatenate(([True], pair[1:] != pair[:-1]))
             new[at] = fresh
             start[at] = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
             rank[part] = start[at]
