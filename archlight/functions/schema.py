@@ -54,10 +54,16 @@ def estate_map(raw: Column) -> Column:
     return F.coalesce(F.map_filter(kept, lambda _, v: v.isNotNull()), F.from_json(F.lit("{}"), ESTATE))
 
 
+def quoted(text: Column) -> Column:
+    """A string as JSON."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
 def sorted_json(raw: Column) -> Column:
-    """An object summary as JSON with sorted keys and a space behind ``:`` and ``,``; any other text as it is."""
-    entries = F.array_sort(F.map_entries(F.from_json(raw, "map<string,string>")))
-    shown = F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('": "'), e["value"], F.lit('"')))
+    """An object summary as JSON with sorted keys and a space behind its own ``:`` and ``,``; values keep their types, nested ones are compact. Any other text stays as it is."""
+    entries = F.array_sort(F.map_entries(F.from_json(raw, "map<string,variant>")), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1))
+    shown = F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(": "), F.coalesce(F.to_json(e["value"]), F.lit("null"))))
     return F.when(F.trim(raw).startswith("{") & entries.isNotNull(), F.concat(F.lit("{"), F.array_join(shown, ", "), F.lit("}"))).otherwise(raw)
 
 

@@ -22,6 +22,3 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
         return f
 
     return add
-
-
-from . import catalog_queries, retrieval_queries, table_queries, task_queries  # noqa: E402, F401  they fill the registry

@@ -392,6 +392,11 @@ def retention_newest(spark, sf):
     return metrics.retain_newest(snapshots(spark, sf)).select("archive", "name", "kept")
 
 
+@query("SELECT archive, name FROM (SELECT user_id AS archive, 's' || event_id AS name, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n > 20")
+def backups_to_delete(spark, sf):
+    return metrics.retain_newest(snapshots(spark, sf)).where("not kept").select("archive", "name")
+
+
 def tier_sql(level: int, slot: str, before: str) -> str:
     """A tier's keepers beside the ones before it: the newest of each slot that those leave free."""
     return f"k{level} AS (SELECT r.*, k OR (tier = {level} AND rn = min(rn) FILTER (tier = {level}) OVER w AND NOT max(k::INT) OVER w = 1) AS keep FROM (SELECT * EXCLUDE keep, keep AS k FROM {before}) r WINDOW w AS (PARTITION BY archive, {slot}))"
