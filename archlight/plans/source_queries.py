@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 from html import escape
 
@@ -15,6 +16,7 @@ from archlight.functions import text as X
 from archlight.operators import catalog as C
 from archlight.operators import retrieval as R
 from archlight.sources import catalog_files, decoders, files
+from archlight.sources import workbooks as W
 from archlight.sources.catalog_tables import MANIFEST_SQL as M
 from archlight.sources.catalog_tables import QUERY_VECTOR, manifest, table, vectors
 
@@ -23,7 +25,7 @@ from .retrieval_queries import DISTANCE, NEAREST
 from .task_queries import WORDS
 
 OFFICE = "application/vnd.openxmlformats-officedocument."
-KINDS = ("text/plain", OFFICE + "wordprocessingml.document", OFFICE + "spreadsheetml.sheet", "application/rtf", "image/svg+xml", "application/pdf", "application/x-unknown")
+KINDS = ("text/plain", OFFICE + "wordprocessingml.document", OFFICE + "spreadsheetml.sheet", "application/rtf", "image/svg+xml", "application/pdf", "application/vnd.ms-excel", "application/x-unknown")
 
 
 def zipped(**members: str) -> bytes:
@@ -34,6 +36,43 @@ def zipped(**members: str) -> bytes:
     return out.getvalue()
 
 
+def workbook(name: str, rows: list[str]) -> bytes:
+    """One sheet of one column as a workbook in a compound file of plain chains."""
+    record = lambda kind, data: struct.pack("<HH", kind, len(data)) + data
+    strings = [struct.pack("<II", len(rows), len(rows))]
+    for text in rows:
+        wide, at = text.encode("utf-16-le"), 0
+        if len(strings[-1]) + 3 > 8000:
+            strings.append(b"")
+        strings[-1] += struct.pack("<HB", len(wide) // 2, 1)
+        while at < len(wide):
+            room = (8000 - len(strings[-1])) // 2 * 2
+            if room <= 0:  # the next record begins with the width of the characters
+                strings.append(b"\1")
+                continue
+            strings[-1] += wide[at : at + room]
+            at += room
+    table = b"".join(record(W.STRINGS if i == 0 else W.MORE, x) for i, x in enumerate(strings))
+    label = name.encode("latin-1")
+    sheet = lambda start: record(W.SHEET, struct.pack("<IBBBB", start, 0, 0, len(label), 0) + label)
+    begin = record(W.BOF, struct.pack("<HHIII", 0x0600, 0x0010, 0, 0, 0))
+    start = len(begin) + len(sheet(0)) + len(table) + 4
+    cells = b"".join(record(W.SHARED, struct.pack("<HHHI", i, 0, 0, i)) for i in range(len(rows)))
+    stream = begin + sheet(start) + table + record(W.EOF, b"") + begin + cells + record(W.EOF, b"")
+    stream = stream.ljust(4096, b"\0")
+    body = -(-len(stream) // 512)
+    tables = 1
+    while tables * 128 < body + 1 + tables:
+        tables += 1
+    chains = [*range(1, body), W.CHAIN_END, W.CHAIN_END, *[0xFFFFFFFD] * tables]
+    chains += [W.FREE] * (tables * 128 - len(chains))
+    entry = lambda n, kind, at, size: n.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HBB", 2 * len(n) + 2, kind, 1) + b"\xff" * 12 + b"\0" * 36 + struct.pack("<III", at, size, 0)
+    directory = (entry("Root Entry", 5, W.CHAIN_END, 0) + entry("Workbook", 2, 0, len(stream))).ljust(512, b"\0")
+    head = W.SIGNATURE + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 10 + struct.pack("<IIIIIIII", tables, body, 0, 4096, W.CHAIN_END, 0, W.CHAIN_END, 0)
+    head += b"".join(struct.pack("<I", body + 1 + i if i < tables else W.FREE) for i in range(109))
+    return head + stream.ljust(body * 512, b"\0") + directory + struct.pack(f"<{len(chains)}I", *chains)
+
+
 def encoded(kind: str, text: str) -> bytes:
     """A text as a file of a kind, as plainly as the format allows."""
     lines = text.split("\n")
@@ -46,6 +85,8 @@ def encoded(kind: str, text: str) -> bytes:
         main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
         rows = "".join(f'<row><c t="inlineStr"><is><t>{escape(x)}</t></is></c></row>' for x in ["line", *(x for x in lines if x.strip())])
         return zipped(xl__workbook_xml=f'<workbook {main}><sheets><sheet name="Text"/></sheets></workbook>', xl__worksheets__sheet1_xml=f"<worksheet {main}><sheetData>{rows}</sheetData></worksheet>")
+    if kind == "application/vnd.ms-excel":
+        return workbook("Text", ["line", *(x for x in lines if x.strip())])
     if kind == "application/rtf":
         shown = text.replace("\\", "\\\\").replace("{", "\\{").replace("}", "\\}").replace("\n", "\\par ")
         return ("{\\rtf1{\\fonttbl x}" + shown + "}").encode()
@@ -72,12 +113,15 @@ SAID = "array_to_string(list_filter(list_transform(string_split(text, chr(10)),
 ROWS = "array_to_string(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> ''), chr(10))"
 
 
+SHEET = f"'=== SHEET: Text ===' || chr(10) || 'Columns: line' || CASE WHEN {ROWS} <> '' THEN chr(10) || {ROWS} ELSE '' END"
+
+
 @query(
-    f"SELECT doc_id::VARCHAR AS path, CASE doc_id % 7 WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN '=== SHEET: Text ===' || chr(10) || 'Columns: line' || CASE WHEN {ROWS} <> '' THEN chr(10) || {ROWS} ELSE '' END WHEN 3 THEN text "
-    f"WHEN 4 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') WHEN 5 THEN {SAID} END AS text, CASE WHEN doc_id % 7 = 6 THEN 'no decoder for application/x-unknown' END AS error FROM documents"
+    f"SELECT doc_id::VARCHAR AS path, CASE doc_id % 8 WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN {SHEET} WHEN 3 THEN text "
+    f"WHEN 4 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') WHEN 5 THEN {SAID} WHEN 6 THEN {SHEET} END AS text, CASE WHEN doc_id % 8 = 7 THEN 'no decoder for application/x-unknown' END AS error FROM documents"
 )
 def decode_documents(spark, sf):
-    """Documents written as files of six kinds and one unknown, read by the decoders."""
+    """Documents written as files of seven kinds and one unknown, read by the decoders."""
     return decoders.extract(encoded_documents(spark, sf))
 
 

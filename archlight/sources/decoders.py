@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import workbooks
+
 MIN_RUN = 4
 OCR_BELOW = 100
 
@@ -54,8 +56,19 @@ def xlsx(data: bytes) -> str:
                     if text:
                         cells.append(text)
                 rows.append(cells)
-            out.append("\n".join([f"=== SHEET: {title} ===", *([f"Columns: {' | '.join(rows[0])}", *map(" | ".join, rows[1:])] if rows else ["(Empty sheet)"])]))
-    return "\n\n".join(out)
+            out.append((title, rows))
+    return shown_sheets(out)
+
+
+def shown_sheets(found: list[tuple[str, list[list[str]]]]) -> str:
+    """Sheets with a heading, their columns and their rows, blank lines between."""
+    body = lambda rows: [f"Columns: {' | '.join(rows[0])}", *map(" | ".join, rows[1:])] if rows else ["(Empty sheet)"]
+    return "\n\n".join("\n".join([f"=== SHEET: {title} ===", *body(rows)]) for title, rows in found)
+
+
+def xls(data: bytes) -> str:
+    """The same for workbooks of the older format."""
+    return shown_sheets(workbooks.sheets(data))
 
 
 def rtf(data: bytes) -> str:
@@ -202,10 +215,11 @@ def uploaded(given: bytes | io.IOBase | str) -> bytes:
     return data
 
 
-#: Decoder of each kind; callers may add those left out (XLS, Access, images, video).
+#: Decoder of each kind; callers may add those left out (Access, images, video).
 DECODERS: dict[str, Callable[[bytes], str]] = {
     "application/vnd.openxmlformats-officedocument.wordprocessingml.document": docx,
     "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": xlsx,
+    "application/vnd.ms-excel": xls,
     "application/pdf": pdf,
     "application/rtf": rtf,
     "text/rtf": rtf,
