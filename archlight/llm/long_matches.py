@@ -35,7 +35,7 @@ LENGTH = 200
 GRAM = 100
 HOT = 1024
 #: Occurrences of a hot anchor to a group.
-SPLIT = 8192
+SPLIT = 4096
 #: Bytes of a block of strings, unless a single route holds more.
 BLOCK = 1 << 20
 

@@ -6,7 +6,7 @@ the one with the smallest hash, the first of equal ones. So cuts fall alike in e
 before it and wherever in a sentence it begins, but for its first and last ``WINDOW`` - 1 words. Every run of ``SPAN``
 consecutive pieces is hashed; a run of fewer than ``LEAST`` words goes on to the piece that gives them, and a shorter
 text is one run if it has ``SPAN`` pieces. Any 51 words hold a whole run: a cut that all copies share lies in the first
-15, and three pieces have 24 words at most, 39 in all, before the last 7.
+15, and a run from there has 24 words at most, 39 in all, before the last 7.
 
 Runs are posted under 96 bits. A task sorts its own posts and sends on only the first occurrence of each run in some
 hundred thousand of them; the others are not first anywhere and stay. So a run that very many documents hold meets in
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import boxed, map_arrow
 
 SPAN = 3
-LEAST = 8
+LEAST = 16
 WINDOW = 8
 #: Posts that a task sorts at once.
 PART = 400_000

@@ -73,7 +73,7 @@ def pieces(text, window=8):
     return out
 
 
-def spans(rows, span=3, least=8):
+def spans(rows, span=3, least=16):
     """Sorted (doc_id, removed, text): every run that is not the first of its words goes."""
     def place(i, t):
         return (-1 if i is None else i, int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16))
