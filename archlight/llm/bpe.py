@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,12 +22,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batch, map_arrow, texts_of
+from .common import Recent, batch, map_arrow, texts_of
 
 #: Fixed value: the word pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Known words of a Python worker are dropped beyond this number.
-KNOWN_WORDS = 1_000_000
+#: Words of a generation that a Python worker knows.
+KNOWN_WORDS = 250_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -58,7 +58,7 @@ class Vocabulary:
             self.bytes_of[i] = name.encode() if name in self.special else bytes(back[c] for c in name)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(PATTERN)
-        self.known: dict[str, bytes] = {}  # word -> ids, little-endian unsigned 32-bit
+        self.known = Recent(KNOWN_WORDS)  # word -> ids, little-endian unsigned 32-bit
 
     def pieces(self, text: str) -> list[str]:
         """The words of a text; special strings stand alone."""
@@ -66,23 +66,16 @@ class Vocabulary:
             return self.words.findall(text)
         return [w for part in self.cut.split(text) if part for w in ([part] if part in self.special else self.words.findall(part))]
 
-    def learn(self, words: Iterable[str]) -> None:
+    def learn(self, new: list[str]) -> None:
         """Encodes words that are not known yet."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known.clear()
         self.known.update((w, np.array([self.special[w]], "<u4").tobytes()) for w in new if w in self.special)
         new = [w for w in new if w not in self.special]
         self.known.update(zip(new, merge_all(new, self.of_byte, self.merge)))
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.pieces(t) for t in texts]
-        distinct = set().union(*cut)
+        self.learn(self.known.lacking(set().union(*cut)))
         known = self.known
-        if not distinct <= known.keys():
-            self.learn(distinct - known.keys())
-            if not distinct <= known.keys():  # the store was emptied to make room
-                self.learn(distinct)
         return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in cut]
 
     def decode(self, ids: np.ndarray) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -23,6 +25,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)}
 
 
+class Recent(dict):
+    """What was looked up lately, by key: of two generations the older one goes when the younger one is full."""
+
+    def __init__(self, limit: int, make: Callable | None = None) -> None:
+        super().__init__()
+        self.limit, self.make, self.old = limit, make, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self.turn()
+        self[key] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+
+    def lacking(self, keys: set) -> list:
+        """The keys without an entry; entries of the older generation are taken over."""
+        self.turn()
+        out, old = [], self.old
+        for k in keys - self.keys():
+            if (found := old.get(k)) is None:
+                out.append(k)
+            else:
+                self[k] = found
+        return out
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, as workers stay alive between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems' libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with bounded batches, whatever the length of a row.
 
@@ -34,7 +75,14 @@ def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
         own = conf.get(name, most)
         if not own.isdigit() or not 0 < int(own) <= int(most):
             conf.set(name, most)
-    return df.mapInArrow(work, schema)
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(trimmed, schema)
 
 
 def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:

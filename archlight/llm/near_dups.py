@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, boxed, forget, map_arrow, settle, texts_of, unboxed
+from .common import Recent, batch, boxed, forget, map_arrow, settle, texts_of, unboxed
 
 SHINGLE = 5
 COORDINATES = 512
@@ -52,7 +52,7 @@ DEPTH = 3
 #: Coordinates counted before pairs that cannot reach the threshold any more are skipped.
 STEPS = (64, 128, 256, 512)
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 150_000
 
 _drawn = np.random.default_rng(20_240_229)
 WEIGHTS = _drawn.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -65,19 +65,14 @@ FOLD = np.uint32(0x9E3779B1)
 WIDE_FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Words(dict):
-    """Hashes of words as eight bytes each."""
+def hashed(word: bytes) -> bytes:
+    import xxhash
 
-    def __missing__(self, word: bytes) -> bytes:
-        import xxhash
+    return xxhash.xxh64_digest(word)
 
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh64_digest(word)
-        return found
 
-
-KNOWN = Words()
+#: Hashes of words as eight bytes each.
+KNOWN = Recent(KNOWN_WORDS, hashed)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, settle, texts_of
+from .common import Recent, batch, map_arrow, settle, texts_of
 
 CAPACITY = 2048
 END = 0
 #: Pieces to a packing group.
 GROUP = 16_384
-#: Known runs of a Python worker are dropped beyond this number.
-KNOWN_RUNS = 1_500_000
+#: Runs of a generation that a Python worker knows.
+KNOWN_RUNS = 700_000
 #: The vocabulary writes lower case only; its special strings, which are told by this beginning, are matched before.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SPECIAL = b"<|"
@@ -47,18 +47,13 @@ class Runs:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        self.known = Recent(KNOWN_RUNS)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         raw = [t.encode() for t in texts]
         cut = [(r if SPECIAL in r else r.translate(LOWER)).split() for r in raw]
-        distinct = set().union(*cut)
-        new = [r for r in distinct if r not in self.known]
-        if len(self.known) + len(new) > KNOWN_RUNS:
-            self.known.clear()
-            new = list(distinct)
-        self.learn(new)
+        self.learn(self.known.lacking(set().union(*cut)))
         known = self.known
         return [b"".join(map(known.__getitem__, runs)) for runs in cut]
 

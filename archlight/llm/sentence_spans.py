@@ -30,31 +30,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, map_arrow
+from .common import Recent, boxed, map_arrow
 
 SPAN = 3
 LEAST = 16
 WINDOW = 8
 #: Posts that a task sorts at once.
 PART = 400_000
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 STOPS = np.frombuffer(b".!?", np.uint8)
 BASES = [int(x) * 2 + 1 for x in np.random.default_rng(20_240_307).integers(1, 2**62, 2)]
 
 
-class Words(dict):
-    """The hash of a word, 16 bytes."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        found = self[word] = hashlib.md5(word, usedforsecurity=False).digest()
-        return found
-
-
-KNOWN = Words()
+#: Hashes of words, 16 bytes each.
+KNOWN = Recent(KNOWN_WORDS, lambda word: hashlib.md5(word, usedforsecurity=False).digest())
 
 
 @lru_cache(maxsize=8)
