@@ -6,7 +6,8 @@ are taken in ascending order from a heap: all positions of the pair are merged f
 the pairs that appear beside them get the new positions. Words are independent of each other, so the lowest active
 rank of the block is the next merge of every word that holds it. Encoded words are kept for the next blocks.
 
-Null text counts as empty. Rows keep their multiplicity; ``doc_id`` may be null. Other columns are ignored.
+Null text counts as empty. Rows keep their multiplicity; ``doc_id`` may be null. A text may be of any length; equal pairs
+that overlap are merged from the left. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,8 +7,10 @@ of the squared number of open bins with that gap becomes smallest; a new bin is
 come longest first, ties by document and piece.
 
 White space never belongs to a token of the vocabulary, so ids are kept per run of other characters and only new runs
-are given to the library, without the stops and commas at their end. Null text counts as empty (one piece with id 0). Repeated rows each get their own pieces.
-Documents with null ids are packed as well. Other columns are ignored.
+are given to the library, without the stops and commas at their end. Null text counts as empty (one piece with id 0). A
+text may be of any length. Repeated rows each get their own pieces; between gaps of equal cost the smallest is taken, a
+used bin before a new one. Documents with null ids are packed as well. An empty table gives an empty result. Other
+columns are ignored.
 """
 
 from __future__ import annotations

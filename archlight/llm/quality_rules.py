@@ -5,8 +5,10 @@ in no stop) and boilerplate (fixed phrases). Failing lines go; a document that l
 characters is rejected. Base counts over the whole text come first and reject by themselves.
 
 Words are runs of characters other than the six ASCII white-space ones. A null text has no words: all counts are 0, it
-fails the base rules and its cleaned text is null. An empty text fails as well. Rows are judged one by one, so repeated
-rows give repeated results; ids may be null. Columns of other names pass through ``clean_documents`` unchanged.
+fails the base rules and its cleaned text is null. An empty text fails as well. A text may be of any length: it is judged
+whole, within its row. A count that is exactly at a bound passes. Rows are judged one by one, so repeated rows give
+repeated results; ids may be null. An empty table gives an empty result. Columns of other names pass through
+``clean_documents`` unchanged.
 """
 
 from __future__ import annotations

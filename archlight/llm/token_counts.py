@@ -7,7 +7,8 @@ position is a white-space mark behind another character: ``proven_marks`` checks
 another character, so what stands on either side is encoded independently. If an overlap holds no such position it
 is widened, in the end to the whole document, so the count never depends on the chunking.
 
-Null text counts as empty (0 tokens). Rows keep their multiplicity; ``doc_id`` may be null. Other columns are ignored.
+Null text counts as empty (0 tokens). Rows keep their multiplicity; ``doc_id`` may be null. A text may be of any length; of
+several positions to splice at the first is taken. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations

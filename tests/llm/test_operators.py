@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from archlight.llm import bpe, long_matches, near_dups, packing, page_blocks, page_labels, page_text, quality_rules, queries, sentence_spans, site_quality, telephony, token_counts
+from archlight.llm import bpe, common, long_matches, near_dups, packing, page_blocks, page_labels, page_text, quality_rules, queries, sentence_spans, site_quality, telephony, token_counts
 
 from ..conftest import duck, rows_of
 from . import brute, foreign
@@ -54,6 +54,15 @@ def test_sql(spark, sf, name):
     assert sorted(got.columns) == sorted(want.columns) and rows_of(got) == rows_of(want)
 
 
+def test_recent():
+    made = []
+    known = common.Recent(2, lambda k: made.append(k) or k * 2)
+    assert [known[k] for k in (1, 2, 1, 3, 2, 1)] == [2, 4, 2, 6, 4, 2] and made == [1, 2, 3]  # 1 and 2 come back from the older generation
+    plain = common.Recent(3)
+    plain.update({1: "a", 2: "b", 3: "c"})
+    assert plain.lacking({1, 9}) == [9] and dict(plain) == {1: "a"}
+
+
 # 1
 
 
