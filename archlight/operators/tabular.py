@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from archlight.functions import text as X
+
 #: Names that mark money columns and date columns.
 FINANCE = "amount balance cost expense income price profit revenue sales total qty quantity".split()
 TEMPORAL = "date datetime time timestamp modified created updated".split()
@@ -102,3 +104,11 @@ def flat_text(df: DataFrame, order: str, by: list[str]) -> DataFrame:
     text = [n for n, k in zip(names, nulls) if not k]
     column = lambda n: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(f"`{n}`").alias("v")))), lambda x: x["v"]), " ")
     return df.groupBy(*by).agg(F.concat_ws(" \n", *map(column, text)).alias("flat_text"))
+
+
+def analyze_tables(tables: dict[str, tuple[DataFrame, str]], themes: int = 5, names: int = 10) -> DataFrame:
+    """``i, name, table_text, summary, themes, entities, score, mood`` of a database's tables, given with their order columns."""
+    text = F.col("table_text")
+    told = combined_text(tables).withColumn("score", X.sentiment_score(text))
+    themed = F.transform(X.themes(text, themes), lambda t: t["theme"])
+    return told.select("i", "name", "table_text", X.summary(text).alias("summary"), themed.alias("themes"), X.entities(text, names).alias("entities"), "score", X.sentiment(F.col("score")).alias("mood"))

@@ -120,3 +120,20 @@ def flat_text_columns(spark, sf):
 @query(f"SELECT doc_id, CAST(len({TOKENS}) AS INT) AS n_tokens FROM documents")
 def count_tokens(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(X.words(F.col("text"))).alias("n_tokens"))
+
+
+NATIONS = f"SELECT 1 AS i, 'nations' AS name, 'n_name: ' || {LINES} || chr(10) || 'n_regionkey: ' || string_agg(n_regionkey::VARCHAR, ' ' ORDER BY n_nationkey) || chr(10) || 'said: ' || string_agg('Growth of ' || n_name || ' is strong.', ' ' ORDER BY n_nationkey) AS t FROM nation"
+
+
+@query(
+    f"WITH x AS (SELECT 0 AS i, 'regions' AS name, 'r_name: ' || string_agg(r_name, ' ' ORDER BY r_regionkey) AS t FROM region UNION ALL {NATIONS}), "
+    r"u AS (SELECT i, unnest(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '')) AS w, generate_subscripts(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> ''), 1) AS pos FROM x), "
+    f"c AS (SELECT i, {CLEAN} AS theme, count(*) AS n, min(pos) AS p FROM u GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY n DESC, p) AS r FROM c WHERE length(theme) > 3 AND theme NOT IN ({', '.join(map(repr, X.STOP_WORDS))})), "
+    f"s AS (SELECT i, sum({LEX}) / count(*) AS score FROM u GROUP BY i), f AS (SELECT i, array_to_string(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1:2], ' ') AS f FROM x) "
+    "SELECT x.i, name, CASE WHEN length(f) > 400 THEN rtrim(substring(f, 1, 397)) || '...' ELSE f END AS summary, (SELECT string_agg(theme, ',' ORDER BY r) FROM k WHERE k.i = x.i AND r <= 5) AS themes, round(score, 6)::DOUBLE AS score, CASE WHEN score > 0.05 THEN 'positive' ELSE 'neutral' END AS mood FROM x JOIN s USING (i) JOIN f USING (i)"
+)
+def database_analysis(spark, sf):
+    """A database of two tables: summaries, themes and mood of what they say."""
+    said = F.concat(F.lit("Growth of "), "n_name", F.lit(" is strong.")).alias("said")
+    given = {"regions": (table(spark, sf, "region").select("r_regionkey", "r_name"), "r_regionkey"), "nations": (table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey", said), "n_nationkey")}
+    return tabular.analyze_tables(given).select("i", "name", "summary", F.array_join("themes", ",").alias("themes"), F.round("score", 6).alias("score"), "mood")

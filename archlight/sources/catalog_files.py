@@ -9,7 +9,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archlight.functions import predicates as P
 from archlight.functions import schema as S
+from archlight.operators import catalog as C
+
+from . import files
 
 log = logging.getLogger(__name__)
 
@@ -39,6 +43,26 @@ def read_or_empty(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], "manifest_idx bigint, " + S.MANIFEST)
 
 
+def assets(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The catalog with its indexes, each built where it is read; all are empty if the catalog is missing or broken."""
+    m = read_or_empty(spark, path)
+    return {
+        "catalog": m, "types": C.mime_index(m), "people": C.people_index(m), "unsafe": C.flagged(m, P.truthy("is_nsfw")), "passwords": C.flagged(m, P.password_candidate()),
+        "estate": C.estate_index(m), "directories": C.directory_index(m), "directory_entries": C.directory_entries(m),
+    }
+
+
+def discover(spark: SparkSession, root: str, path: str, limit: int = 0) -> int:
+    """Scans a directory and writes its catalog; without files it warns and writes nothing. Gives the number of records."""
+    found = files.scan(spark, root, limit)
+    n = found.count()
+    if n:
+        export_json(found, path)
+    else:
+        log.warning("%s: no files", root)
+    return n
+
+
 def write_version(catalog: DataFrame, base: str) -> str:
     """Writes a new version beside the others, then publishes it by a pointer of its own under the next number.
 

@@ -576,3 +576,21 @@ def test_workbooks():
     assert W.packed_number((1 << 32) - 4 | 2) == -1.0
     with pytest.raises(ValueError):
         decoders.xls(b"none")
+
+
+def test_discovery_and_assets(spark, tmp_path):
+    root, target = tmp_path / "root", str(tmp_path / "catalog")
+    root.mkdir()
+    assert catalog_files.discover(spark, str(root), target) == 0 and not os.path.exists(target)
+    for k in range(3):
+        (root / f"d{k}").mkdir()
+        for i in range(4):
+            (root / f"d{k}" / f"{i}.txt").write_text(f"{k} {i}")
+    assert catalog_files.discover(spark, str(root), target) == 12
+    assert spark.read.json(target).count() == 12
+    with open(tmp_path / "m.json", "w") as f:
+        json.dump([record(file_path="/a/b.txt", mentioned_people=["Ann"]), record(file_path="/a/c/d.txt", is_nsfw=True)], f)
+    found = catalog_files.assets(spark, str(tmp_path / "m.json"))
+    assert {k: v.count() for k, v in found.items()} == {"catalog": 2, "types": 2, "people": 1, "unsafe": 1, "passwords": 0, "estate": 0, "directories": 3, "directory_entries": 4}
+    none = catalog_files.assets(spark, str(tmp_path / "absent.json"))
+    assert set(none) == set(found) and all(v.count() == 0 for v in none.values())
