@@ -317,8 +317,13 @@ def test_token_counts(spark, odd, texts):
     assert max(r["n_chunks"] for r in rows) > 10
     draw = random.Random(2)
     for k in range(400):
-        s = "".join(draw.choice("ab  ▁\né中x<0>") for _ in range(draw.randint(0, 200))) if k % 2 else draw.choice(texts)[1][: draw.randint(1, 900)]
-        assert token_counts.count_spliced(model, s, draw.randint(5, 90), draw.randint(1, 20))[0] == len(model.encode(s))
+        s = "".join(draw.choice("ab  ▁\n\t\ré中x<0>") for _ in range(draw.randint(0, 200))) if k % 2 else draw.choice(texts)[1][: draw.randint(1, 900)]
+        for alone in (frozenset(), token_counts.lone(SP)):
+            assert token_counts.count_spliced(model, s, draw.randint(5, 90), draw.randint(1, 20), alone)[0] == len(model.encode(s))
+    assert token_counts.lone(SP) == {"\n", "\t"}
+    bare = "\n".join(f"line\tno{i}" for i in range(20_000))
+    count, chunks, widened = token_counts.count_spliced(model, bare, alone=token_counts.lone(SP))
+    assert count == len(model.encode(bare)) and chunks > 6 and widened == 0
 
 
 # 6
