@@ -23,12 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Recent, batch, map_arrow, texts_of
+from .common import Twice, batch, map_arrow, texts_of
 
 #: Fixed value: the word pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words of a generation that a Python worker knows.
-KNOWN_WORDS = 250_000
+#: Words that a Python worker knows: met once lately, and more often.
+FRESH_WORDS, KNOWN_WORDS = 200_000, 400_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -59,7 +59,7 @@ class Vocabulary:
             self.bytes_of[i] = name.encode() if name in self.special else bytes(back[c] for c in name)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(PATTERN)
-        self.known = Recent(KNOWN_WORDS)  # word -> ids, little-endian unsigned 32-bit
+        self.known = Twice(FRESH_WORDS, KNOWN_WORDS)  # word -> ids, little-endian unsigned 32-bit
 
     def pieces(self, text: str) -> list[str]:
         """The words of a text; special strings stand alone."""
@@ -67,16 +67,15 @@ class Vocabulary:
             return self.words.findall(text)
         return [w for part in self.cut.split(text) if part for w in ([part] if part in self.special else self.words.findall(part))]
 
-    def learn(self, new: list[str]) -> None:
-        """Encodes words that are not known yet."""
-        self.known.update((w, np.array([self.special[w]], "<u4").tobytes()) for w in new if w in self.special)
-        new = [w for w in new if w not in self.special]
-        self.known.update(zip(new, merge_all(new, self.of_byte, self.merge)))
+    def learn(self, new: list[str]) -> list[bytes]:
+        """Ids of new words."""
+        plain = [w for w in new if w not in self.special]
+        found = dict(zip(plain, merge_all(plain, self.of_byte, self.merge))) | {w: np.array([i], "<u4").tobytes() for w, i in self.special.items()}
+        return [found[w] for w in new]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.pieces(t) for t in texts]
-        self.learn(self.known.lacking(set().union(*cut)))
-        known = self.known
+        known = self.known.resolve(set().union(*cut), self.learn)
         return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in cut]
 
     def decode(self, ids: np.ndarray) -> str:

@@ -7,7 +7,8 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,16 +46,31 @@ class Recent(dict):
             self.old = dict(self)
             self.clear()
 
-    def lacking(self, keys: set) -> list:
-        """The keys without an entry; entries of the older generation are taken over."""
-        self.turn()
-        out, old = [], self.old
-        for k in keys - self.keys():
-            if (found := old.get(k)) is None:
-                out.append(k)
-            else:
-                self[k] = found
-        return out
+
+class Twice:
+    """Values by key, kept for keys that were met twice: most keys of a text are met once and would only fill the store.
+
+    New keys wait in ``fresh`` for a second meeting; the older half of ``kept`` goes when it is full.
+    """
+
+    def __init__(self, fresh: int, kept: int) -> None:
+        self.limits, self.fresh, self.kept = (fresh, kept), {}, {}
+
+    def resolve(self, keys: set, make: Callable[[list], Iterable]) -> dict:
+        """A value for every key; ``make`` gives those of keys that are not known."""
+        known = keys & self.kept.keys()
+        out = dict(zip(known, map(self.kept.__getitem__, known)))
+        again = (keys - known) & self.fresh.keys()
+        met = {k: self.fresh.pop(k) for k in again}
+        new = list(keys - known - again)
+        made = dict(zip(new, make(new)))
+        if len(self.fresh) + len(made) > self.limits[0]:
+            self.fresh = {}
+        if len(self.kept) + len(met) > self.limits[1]:
+            self.kept = dict(islice(self.kept.items(), len(self.kept) // 2, None))
+        self.fresh.update(islice(made.items(), self.limits[0]))
+        self.kept.update(met)
+        return out | met | made
 
 
 def trim() -> None:
@@ -77,12 +93,11 @@ def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
             conf.set(name, most)
 
     def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from work(batches)
-        finally:
+        for b in batches:
+            yield b
             trim()
 
-    return df.mapInArrow(trimmed, schema)
+    return df.mapInArrow(lambda batches: work(trimmed(batches)), schema)
 
 
 def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:

@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, batch, map_arrow, settle, texts_of
+from .common import Twice, batch, map_arrow, settle, texts_of
 
 CAPACITY = 2048
 END = 0
 #: Pieces to a packing group.
 GROUP = 16_384
-#: Runs of a generation that a Python worker knows.
-KNOWN_RUNS = 700_000
+#: Runs that a Python worker knows: met once lately, and more often.
+FRESH_RUNS, KNOWN_RUNS = 200_000, 400_000
 #: The vocabulary writes lower case only; its special strings, which are told by this beginning, are matched before.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SPECIAL = b"<|"
@@ -49,27 +49,41 @@ class Runs:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known = Recent(KNOWN_RUNS)
+        self.known = Twice(FRESH_RUNS, KNOWN_RUNS)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         raw = [t.encode() for t in texts]
         cut = [(r if SPECIAL in r else r.translate(LOWER)).split() for r in raw]
-        self.learn(self.known.lacking(set().union(*cut)))
-        known = self.known
+        known = self.known.resolve(set().union(*cut), self.learn)
         return [b"".join(map(known.__getitem__, runs)) for runs in cut]
 
-    def learn(self, new: list[bytes]) -> None:
-        """Stops and commas behind a letter or digit are a word of their own, so a run with and without them shares its ids."""
+    def learn(self, new: list[bytes]) -> list[bytes]:
+        """Ids of new runs. Stops and commas behind a letter or digit are a word of their own, so a run with and without them shares its ids."""
         bodies = [b if b and b[-1] in PLAIN else r for r in new for b in (r.rstrip(b".,"),)]
-        ends = {r[len(b) :] for r, b in zip(new, bodies)} - {b""}
-        known = self.known
-        asked = list({b for b in (*bodies, *ends) if b not in known})
-        for i in range(0, len(asked), 4096):
-            some = asked[i : i + 4096]
-            found = self.library.encode_batch_fast([r.decode() for r in some], add_special_tokens=False)
-            known.update((r, np.array(e.ids, "<u4").tobytes()) for r, e in zip(some, found))
-        known.update((r, known[b] + known[r[len(b) :]]) for r, b in zip(new, bodies) if len(b) < len(r))
+        asked = list({*bodies, *(r[len(b) :] for r, b in zip(new, bodies) if len(b) < len(r))})
+        found: dict[bytes, bytes] = {}
+        letters = [r for r in asked if r.decode().isalpha()]
+        for part in parts_of(letters):
+            found.update(self.together(part))
+        for part in parts_of([r for r in asked if r not in found]):
+            found.update((r, np.array(e.ids, "<u4").tobytes()) for r, e in zip(part, self.library.encode_batch_fast([r.decode() for r in part], add_special_tokens=False)))
+        return [found[b] + found[r[len(b) :]] if len(b) < len(r) else found[r] for r, b in zip(new, bodies)]
+
+
+    def together(self, letters: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of runs of letters by one call for all; nothing if the library makes more words of them than there are."""
+        told = self.library.encode(b" ".join(letters).decode(), add_special_tokens=False)
+        ids, word = np.array(told.ids, "<u4"), np.array(told.word_ids)
+        ends = np.append(np.flatnonzero(np.diff(word)) + 1, len(ids))
+        if len(ends) != len(letters):
+            return {}
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        return dict(zip(letters, (raw[i:j] for i, j in zip([0, *ends], ends))))
+
+
+def parts_of(runs: list[bytes], size: int = 4096) -> Iterator[list[bytes]]:
+    return (runs[i : i + size] for i in range(0, len(runs), size))
 
 
 @lru_cache(maxsize=2)

@@ -58,9 +58,10 @@ def test_recent():
     made = []
     known = common.Recent(2, lambda k: made.append(k) or k * 2)
     assert [known[k] for k in (1, 2, 1, 3, 2, 1)] == [2, 4, 2, 6, 4, 2] and made == [1, 2, 3]  # 1 and 2 come back from the older generation
-    plain = common.Recent(3)
-    plain.update({1: "a", 2: "b", 3: "c"})
-    assert plain.lacking({1, 9}) == [9] and dict(plain) == {1: "a"}
+    store, asked = common.Twice(4, 4), []
+    for keys in ({1, 2}, {1}, {1, 3}, {4, 5, 6}, {1, 2}, {2, 3}):
+        assert store.resolve(keys, lambda new: asked.append(sorted(new)) or [k * 2 for k in new]) == {k: k * 2 for k in keys}
+    assert asked == [[1, 2], [], [3], [4, 5, 6], [2], [3]] and 1 in store.kept
 
 
 # 1
