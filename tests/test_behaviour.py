@@ -594,3 +594,14 @@ def test_discovery_and_assets(spark, tmp_path):
     assert {k: v.count() for k, v in found.items()} == {"catalog": 2, "types": 2, "people": 1, "unsafe": 1, "passwords": 0, "estate": 0, "directories": 3, "directory_entries": 4}
     none = catalog_files.assets(spark, str(tmp_path / "absent.json"))
     assert set(none) == set(found) and all(v.count() == 0 for v in none.values())
+
+
+def test_secret_rules(spark):
+    said = {
+        "hex token": "a" * 40, "password assignment": "Passwd = x1", "key block": "-----BEGIN RSA PRIVATE KEY-----", "aws access key": "AKIA" + "Z" * 16, "github token": "ghp_" + "a1" * 18, "json web token": "eyJhbGciOi.eyJzdWIi.c2ln",
+        "slack token": "xoxb-" + "1" * 12, "stripe key": "sk_live_" + "b" * 24, "basic auth": "https://user:word@", "key assignment": "api_key = 'abcdefgh'",
+    }
+    assert list(said) == list(X.SECRET_RULES)
+    df = spark.createDataFrame([(1, "\n".join(said.values())), (2, "nothing to hide: tokens, keys and words"), (3, None)], "k int, t string")
+    got = {(r["label"], r["secret"]) for r in X.secrets(df, "k", "t").collect()}
+    assert got == {(f"{kind}_{i}_1", s) for i, (kind, s) in enumerate(said.items(), 1)}
