@@ -191,6 +191,24 @@ def estate_highlights(m: DataFrame, default: str = "No highlights") -> DataFrame
     return m.select("manifest_idx", F.when(F.coalesce(text, F.lit("")) == "", default).otherwise(text).alias("highlights"))
 
 
+#: What a page shows at most: frames of a film, pictures of a folder, files at work.
+FRAMES, PREVIEWS, ACTIVE = 3, 9, 5
+
+
+def previews(m: DataFrame, directory: str | None = None, n: int = PREVIEWS) -> DataFrame:
+    """The first pictures and films, of one directory if asked for, with their first frames."""
+    seen = F.col("mime_type").startswith("image/") | F.col("mime_type").startswith("video/")
+    here = F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1) == directory if directory else F.lit(True)
+    frames = F.slice(F.coalesce(F.col("extracted_frames"), F.array().cast("array<string>")), 1, FRAMES).alias("frames")
+    return m.where(seen & here).select("manifest_idx", "file_path", frames).orderBy("manifest_idx").limit(n)
+
+
+def active(m: DataFrame, n: int = ACTIVE) -> DataFrame:
+    """The first unfinished files of which something is done, with their progress."""
+    done = F.size(P.tasks_done())
+    return candidates(m).where(done > 0).select("manifest_idx", done.alias("done"), F.size("analysis_tasks").alias("total")).orderBy("manifest_idx").limit(n)
+
+
 # selection of a run
 
 

@@ -319,3 +319,16 @@ def sha256_digest(spark, sf):
 def progress(spark, sf):
     p = metrics.progress(manifest(spark, sf), F.col("status") == "complete", 90.0)
     return p.select("total", "done", *(F.round(c, 6).cast("double").alias(c) for c in ("percent", "files_per_minute", "eta_seconds")))
+
+
+@query(M + "SELECT manifest_idx, file_path, CASE WHEN manifest_idx % 4 < 3 THEN left(sha256, 1) || ',' || left(sha256, 2) || ',' || left(sha256, 3) ELSE '' END AS frames FROM m WHERE mime_type LIKE 'image/%' OR mime_type LIKE 'video/%' ORDER BY manifest_idx LIMIT 9")
+def previews(spark, sf):
+    """Beginnings of a file's hash stand for its frames; every fourth file has none."""
+    frames = F.when(F.col("manifest_idx") % 4 < 3, F.transform(F.sequence(F.lit(1), F.lit(5)), lambda n: F.substring("sha256", F.lit(1), n)))
+    found = C.previews(manifest(spark, sf).withColumn("extracted_frames", frames))
+    return found.select("manifest_idx", "file_path", F.array_join("frames", ",").alias("frames"))
+
+
+@query(M + f"SELECT manifest_idx, CAST(len({DONE}) AS INT) AS done, CAST(len(analysis_tasks) AS INT) AS total FROM m WHERE status <> 'complete' AND len({DONE}) > 0 ORDER BY manifest_idx LIMIT 5")
+def active_files(spark, sf):
+    return C.active(manifest(spark, sf))

@@ -605,3 +605,15 @@ def test_secret_rules(spark):
     df = spark.createDataFrame([(1, "\n".join(said.values())), (2, "nothing to hide: tokens, keys and words"), (3, None)], "k int, t string")
     got = {(r["label"], r["secret"]) for r in X.secrets(df, "k", "t").collect()}
     assert got == {(f"{kind}_{i}_1", s) for i, (kind, s) in enumerate(said.items(), 1)}
+
+
+def test_publishing(spark, tmp_path):
+    source, base, checkpoint = (str(tmp_path / x) for x in ("in", "store", "cp"))
+    rows = lambda *r: frame(spark, *r).drop("manifest_idx")
+    rows(record(file_path="/a"), record(file_path="/b", status="failed")).write.parquet(source)
+    incremental.publish(spark, source, base, checkpoint).awaitTermination()
+    assert catalog_files.read_version(spark, base).count() == 2
+    rows(record(file_path="/b", last_modified=9.0), record(file_path="/c"), record(file_path="/c", last_modified=3.0)).write.mode("append").parquet(source)
+    incremental.publish(spark, source, base, checkpoint).awaitTermination()
+    got = {r["file_path"]: (r["status"], r["last_modified"]) for r in catalog_files.read_version(spark, base).collect()}
+    assert got == {"/a": ("complete", 1.0), "/b": ("complete", 9.0), "/c": ("complete", 3.0)} and len(catalog_files.pointers(spark, base)) == 2
