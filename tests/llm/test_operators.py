@@ -225,7 +225,7 @@ def test_passages_at_any_offset(spark):
     own = lambda n: " ".join(f"w{rnd.randrange(10**9)}" for _ in range(n))
     found = [own(400), *(own(51) for _ in range(20)), *(f"{own(24)}. {own(23)}. {own(24)}" for _ in range(5))]
     rows = [(len(found) * k + i, f"{own(before)} {p} {own(before)}.".strip()) for k, before in enumerate((3, 2, 0, 17, 40)) for i, p in enumerate(found)]
-    edges = 4 * sentence_spans.WINDOW
+    edges = 4 * (sentence_spans.WINDOW - 1)
     got = {r["doc_id"]: r for r in sentence_spans.report(table(spark, rows)).collect()}
     for i, text in rows:
         p = found[i % len(found)]
