@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
@@ -14,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archlight.sources.shared import forget, settle, shared_dir  # noqa: F401  used by all operators
+
 #: Rows in an Arrow batch. Texts may be long, so the row bound is low and a byte bound stands beside it.
 ARROW_ROWS = 2_000
 ARROW_BYTES = 16 << 20
@@ -109,36 +108,6 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only on one machine, where the session names none."""
-    conf = spark.sparkContext.getConf()
-    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="archlight-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def settle(df: DataFrame, name: str = "part") -> DataFrame:
-    """Writes a frame into the shared folder and reads it back, which cuts its lineage for good."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/archlight-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._settled = path
-    return out
-
-
-def forget(*frames: DataFrame) -> None:
-    """Removes the files of settled frames that are read no more."""
-    for df in frames:
-        spark = df.sparkSession
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._settled)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def keyed(docs: DataFrame, *extra: str) -> DataFrame:
     """``k1, k2, text``: an identity for rows that holds for null and repeated ids as well.
 

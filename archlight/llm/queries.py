@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, long_matches, near_dups, packing, page_text, quality_rules, sentence_spans, site_quality, telephony, token_counts
+from . import bpe, long_matches, manifest, near_dups, packing, page_text, quality_rules, sentence_spans, site_quality, telephony, token_counts
 from .common import settle, table
 
 #: Where the public tokenizers' files lie; None asks the installed package.
@@ -61,6 +61,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_matches.report(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.prove(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_media_columns": op2_media_columns,
@@ -72,9 +76,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op3_substring_dedup": sentence_spans.ORACLE,
+    "op13_merkle_manifest": manifest.ORACLE,
 }
