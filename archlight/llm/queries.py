@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, long_matches, manifest, near_dups, packing, page_text, quality_rules, sentence_spans, site_quality, telephony, token_counts
+from . import bpe, long_matches, manifest, near_dups, packing, page_text, quality_rules, sentence_spans, site_quality, telephony, token_counts, vector_codes, vector_dups
 from .common import settle, table
 
 #: Where the public tokenizers' files lie; None asks the installed package.
@@ -61,6 +61,14 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_matches.report(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.report(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.prove(table(spark, sf_dir, "documents"))
 
@@ -76,11 +84,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op3_substring_dedup": sentence_spans.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
     "op13_merkle_manifest": manifest.ORACLE,
 }
