@@ -13,9 +13,11 @@ from archlight.functions import predicates as P
 from archlight.functions import schema as S
 from archlight.operators import catalog as C
 
-from . import files
+from . import files, json_array, single_file
 
 log = logging.getLogger(__name__)
+#: How often a writer tries for the next number before it gives up.
+TRIES = 100
 
 
 def hadoop(spark: SparkSession, path: str):
@@ -25,11 +27,12 @@ def hadoop(spark: SparkSession, path: str):
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of records as the typed catalog, in file order; records without a path are left out."""
-    raw = spark.read.schema(S.loose_schema() + ", _corrupt_record string").option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
-    if raw.select("file_path", "_corrupt_record").where("_corrupt_record is not null and file_path is null").first():
-        raise ValueError(f"no JSON array of records: {path}")
-    return S.normalize(raw.withColumn("manifest_idx", F.monotonically_increasing_id())).where("file_path is not null")
+    """A JSON array of records as the typed catalog; records without a path are left out.
+
+    The file is read by ranges; ``manifest_idx`` is a record's place in the array, however it is split.
+    """
+    raw = json_array.read(spark, path, S.loose_schema(), "file_path")
+    return S.normalize(raw.withColumnRenamed("position", "manifest_idx")).where("file_path is not null")
 
 
 def read_or_empty(spark: SparkSession, path: str) -> DataFrame:
@@ -76,10 +79,12 @@ def write_version(catalog: DataFrame, base: str) -> str:
     out = fs.create(temp, True)
     out.write(bytearray(json.dumps({"version": version}).encode()))
     out.close()
-    while True:
+    for _ in range(TRIES):
         _, pointer = hadoop(spark, f"{base}/CURRENT-{max([0, *(n for n, _ in pointers(spark, base))]) + 1:012d}")
         if not fs.exists(pointer) and fs.rename(temp, pointer):
             return version
+    fs.delete(temp, False)
+    raise RuntimeError(f"no pointer could be put into {base} in {TRIES} tries")
 
 
 def pointers(spark: SparkSession, base: str) -> list[tuple[int, str]]:
@@ -100,14 +105,20 @@ def read_version(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.parquet(max(done)[1])
 
 
+def order_of(catalog: DataFrame) -> list[str]:
+    return [c for c in ("manifest_idx", "file_path") if c in catalog.columns]
+
+
 def export_csv(catalog: DataFrame, path: str) -> None:
-    """Completed files as CSV with all fields quoted; nested fields as JSON."""
-    flat = [F.to_json(F.col(c)).alias(c) if k.startswith(("array", "map", "struct")) else F.col(c) for c, k in catalog.dtypes]
-    catalog.where(F.col("status") == S.COMPLETE).select(*flat).write.mode("overwrite").option("header", "true").option("quoteAll", "true").option("escape", '"').csv(path)
+    """Completed files as one CSV file in catalog order with all fields quoted; nested fields as JSON."""
+    single_file.write_csv(catalog.where(F.col("status") == S.COMPLETE), path, order_of(catalog))
 
 
 def export_json(catalog: DataFrame, path: str) -> None:
-    catalog.write.mode("overwrite").json(path)
+    """The catalog as one JSON array in its order; the place in the array stands for ``manifest_idx``."""
+    order = order_of(catalog)
+    shown = [c for c in catalog.columns if c != "manifest_idx"]
+    single_file.write_json(catalog.select(*shown, *(F.col(c).alias(f"_{c}") for c in order)), path, [f"_{c}" for c in order], shown)
 
 
 def log_unprocessed(rows: DataFrame, path: str) -> None:
@@ -121,11 +132,11 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
-    """A reprocess list: a JSON array; entries without a path are left out, with a warning that tells how many."""
-    rows = spark.read.schema("file_path string, _corrupt_record string").option("multiLine", "true").json(path).withColumn("list_idx", F.monotonically_increasing_id())
-    if bad := rows.select("file_path", "_corrupt_record").where("file_path is null").count():
+    """A reprocess list: a JSON array, with ``list_idx``, the place in it; entries without a path are left out, with a warning that tells how many."""
+    rows = json_array.read(spark, path, "file_path string").withColumnRenamed("position", "list_idx")
+    if bad := rows.where("file_path is null").count():
         log.warning("%s: %d entries without a path are left out", path, bad)
-    return rows.where("file_path is not null").drop("_corrupt_record")
+    return rows.where("file_path is not null")
 
 
 def csv_rows(completed: DataFrame, m: DataFrame) -> DataFrame:

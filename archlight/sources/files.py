@@ -9,15 +9,17 @@ import os
 import tarfile
 import zipfile
 from collections.abc import Iterator
-from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archlight.functions import schema as S
 from archlight.functions import tasks
 
+from . import file_listing
+
 OCTETS = "application/octet-stream"
 #: Magic numbers in hexadecimal, extensions and their types.
 MAGIC = {"25504446": "application/pdf", "89504E47": "image/png", "FFD8FF": "image/jpeg", "47494638": "image/gif", "504B0304": "application/zip", "1F8B": "application/gzip", "7B5C727466": "text/rtf", "000100005374616E64617264204A6574": "application/x-msaccess"}
@@ -42,94 +44,48 @@ def mime_type(path: Column, content: Column) -> Column:
     return F.coalesce(found, by_name, F.lit(OCTETS))
 
 
-LISTED = "path string, size long, modified double"
-
-
-def directories(root: str, enough: int) -> tuple[list[str], list[tuple[str, int, float]]]:
-    """Directories to walk, level by level until there are enough, and the files met above them."""
-    waiting, found = [root], []
-    while waiting and len(waiting) < enough:
-        below = []
-        for d in waiting:
-            for e in scandir(d):
-                if e.is_dir(follow_symlinks=False):
-                    below.append(e.path)
-                elif e.is_file():
-                    found.append(stat_of(e))
-        waiting = below
-    return waiting, found
-
-
-def scandir(path: str) -> list[os.DirEntry]:
-    try:
-        return sorted(os.scandir(path), key=lambda e: e.name)
-    except OSError:  # a directory that cannot be read holds nothing
-        return []
+DIGESTED = "path string, size long, modified double, head binary, sha256 string"
+#: Files whose digests make one Arrow batch, and bytes that are read at once.
+FILES, BLOCK = 1_000, 1 << 20
 
 
-def stat_of(e: os.DirEntry) -> tuple[str, int, float]:
-    s = e.stat()
-    return e.path, s.st_size, s.st_mtime
+def digests(listed: DataFrame) -> DataFrame:
+    """``path, size, modified, head, sha256`` of listed files, read in blocks; those that cannot be read are left out."""
+    out = pa.schema([("path", pa.string()), ("size", pa.int64()), ("modified", pa.float64()), ("head", pa.binary()), ("sha256", pa.string())])
 
+    def read(path: str) -> tuple[bytes, str] | None:
+        try:
+            with file_listing.opened(path) as f:
+                head = f.read(16)
+                digest = hashlib.sha256(head)
+                while block := f.read(BLOCK):
+                    digest.update(block)
+        except OSError:
+            return None
+        return head, digest.hexdigest()
 
-def walk(root: str) -> Iterator[tuple[str, int, float]]:
-    """All files below a directory, hidden and empty ones too."""
-    waiting = [root]
-    while waiting:
-        for e in scandir(waiting.pop()):
-            if e.is_dir(follow_symlinks=False):
-                waiting.append(e.path)
-            elif e.is_file():
-                yield stat_of(e)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = list(zip(*(c.to_pylist() for c in b.columns)))
+            for at in range(0, len(rows), FILES):
+                done = [(*row, *found) for row in rows[at : at + FILES] if (found := read(row[0]))]
+                if done:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), out)], schema=out)
 
+    return listed.select("path", "size", "modified").mapInArrow(work, DIGESTED)
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``path, size, modified`` of all files under a root that every executor mounts, hidden and empty ones too.
-
-    The driver lists only the upper levels, until there are a few directories for each core; tasks walk those.
-    """
-    if not os.path.isdir(root):
-        raise ValueError(f"no directory: {root}")
-    upper, found = directories(root, 4 * spark.sparkContext.defaultParallelism)
-    top = spark.createDataFrame(found, LISTED)
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for d in part["path"]:
-                files = walk(d)
-                while rows := list(islice(files, 10_000)):
-                    yield pd.DataFrame(rows, columns=["path", "size", "modified"])
-
-    if not upper:
-        return top
-    dirs = spark.createDataFrame([(d,) for d in upper], "path string").repartition(len(upper))
-    return top.unionByName(dirs.mapInPandas(work, LISTED))
-
-
-def scan(spark: SparkSession, root: str, limit: int = 0) -> DataFrame:
+def scan(spark: SparkSession, root: str, limit: int = 0, condition: Column | None = None) -> DataFrame:
     """The catalog of a directory: one record per readable file in path order, with hash, type and the tasks it needs.
 
-    With a limit only the first files that can be read are opened; a root without files gives an empty catalog.
+    A condition on ``path``, ``size`` and ``modified`` is pushed into the listing, so that what it leaves out is never
+    opened. With a limit only the first files that can be read are opened; a root without files gives an empty catalog.
     """
-    readable = F.udf(lambda p: os.access(p, os.R_OK), "boolean")  # metadata only
-    paths = list_files(spark, root).where(readable("path")) if limit else list_files(spark, root)
-    some = paths.orderBy("path").limit(limit) if limit else paths
-
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for path, size, modified in zip(part["path"], part["size"], part["modified"]):
-                try:
-                    with open(path, "rb") as f:
-                        head, digest = f.read(16), hashlib.sha256()
-                        digest.update(head)
-                        while block := f.read(1 << 20):
-                            digest.update(block)
-                except OSError:  # unreadable files are left out
-                    continue
-                yield pd.DataFrame({"path": [path], "size": [size], "modified": [modified], "head": [head], "sha256": [digest.hexdigest()]})
-
-    files = some.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(read, LISTED + ", head binary, sha256 string")
-    out = files.select(
+    listed = file_listing.list_files(spark, root, condition).where("readable")
+    some = listed.orderBy("path").limit(limit) if limit else listed
+    # files differ in size, so they are dealt out anew by their paths
+    found = digests(some.repartition(spark.sparkContext.defaultParallelism, "path"))
+    out = found.select(
         F.col("path").alias("file_path"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"), mime_type(F.col("path"), F.col("head")).alias("mime_type"), F.col("size").alias("file_size"), F.col("modified").alias("last_modified"), "sha256"
     )
     return out.withColumns({"status": F.lit(S.PENDING_EXTRACTION), "analysis_tasks": tasks.required_tasks(F.col("mime_type"), F.col("file_path"), F.lit(False))}).orderBy("file_path")
