@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from archlight.functions import predicates as P
 from archlight.operators import catalog as C
 from archlight.operators import retrieval as R
+from archlight.sources import bucket_store
 from archlight.sources.catalog_tables import MANIFEST_SQL as M
 from archlight.sources.catalog_tables import QUERY_VECTOR, chat, manifest, table, vectors
+from archlight.sources.shared import shared_path
 
 from .registry import query
 
@@ -134,3 +136,16 @@ def vector_upsert(spark, sf):
     old = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
     new = old.where("label = 3").select("id", F.lit(99).alias("label")).unionByName(old.where("label = 5").select((F.col("id") + 1_000_000).alias("id"), F.lit(99).alias("label")))
     return R.upsert(old, new)
+
+
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 97 = 5 THEN 99 ELSE label END AS label, embedding[1]::DOUBLE + CASE WHEN vec_id % 97 = 5 THEN 1 ELSE 0 END AS head FROM embeddings UNION ALL SELECT 1000000 + label, 100 + max(vec_id), 0 FROM embeddings GROUP BY label")
+def vector_store(spark, sf):
+    """A vector table at rest: written once, then single rows replaced and added, the last of equal keys; only their buckets are written anew."""
+    base = shared_path(spark, "vectors")
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.get("embedding", F.lit(0)).cast("double").alias("head"))
+    bucket_store.upsert(e, base, ["id"])
+    bucket_store.upsert(e.where("id % 97 = 5").select("id", F.lit(99).alias("label"), (F.col("head") + 1).alias("head")), base, ["id"])
+    added = e.select((F.col("label") + 1_000_000).cast("long").alias("id"), (F.col("id") + 100).cast("int").alias("label"), F.lit(0.0).alias("head"))
+    bucket_store.upsert(added, base, ["id"], ["label"])
+    bucket_store.vacuum(spark, base, 1)
+    return bucket_store.read(spark, base).select("id", "label", "head")

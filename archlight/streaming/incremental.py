@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from archlight.functions import predicates as P
 from archlight.functions import schema as S
 from archlight.functions import tasks
-from archlight.sources import catalog_files
+from archlight.sources import bucket_store
 
 
 def route(batch: DataFrame) -> DataFrame:
@@ -30,20 +30,18 @@ def run(spark: SparkSession, source: str, target: str, checkpoint: str, analyze:
     return arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def publish(spark: SparkSession, source: str, base: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Keeps the catalog at rest up to date: what has arrived becomes part of a new version, every so often or once.
+def publish(spark: SparkSession, source: str, base: str, checkpoint: str, every: str | None = None, keep: int = 2) -> StreamingQuery:
+    """Keeps the catalog at rest up to date: what has arrived is upserted by path, every so often or once.
 
-    The last record of a path wins. A batch that is run again after a failure gives the same catalog, so no record is
-    lost or doubled; readers see whole versions only.
+    The last record of a path wins. A batch rewrites only the buckets that its paths fall into, and versions but the
+    newest ``keep`` are removed. A batch that is run again after a failure gives the same catalog, so no record is lost
+    or doubled; readers see whole versions only.
     """
     arriving = spark.readStream.schema(S.MANIFEST).parquet(source)
 
     def write(batch: DataFrame, number: int) -> None:
-        order = Window.partitionBy("file_path").orderBy(F.desc("last_modified"), F.desc("status"))
-        new = batch.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
-        known = catalog_files.pointers(spark, base)
-        old = catalog_files.read_version(spark, base).join(new.select("file_path"), "file_path", "left_anti") if known else None
-        catalog_files.write_version(old.unionByName(new) if known else new, base)
+        bucket_store.upsert(batch, base, ["file_path"], ["last_modified", "status"])
+        bucket_store.vacuum(spark, base, keep)
 
     stream = arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (stream.trigger(processingTime=every) if every else stream.trigger(availableNow=True)).start()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from archlight.functions import formats, predicates, schema, tasks
 from archlight.functions import text as X
 from archlight.operators import analyze, catalog, merging, metrics, retrieval, tabular
-from archlight.sources import catalog_files, decoders, files
+from archlight.sources import bucket_store, catalog_files, decoders, files
 from archlight.streaming import incremental
 
 
@@ -613,8 +613,8 @@ def test_publishing(spark, tmp_path):
     rows = lambda *r: frame(spark, *r).drop("manifest_idx")
     rows(record(file_path="/a"), record(file_path="/b", status="failed")).write.parquet(source)
     incremental.publish(spark, source, base, checkpoint).awaitTermination()
-    assert catalog_files.read_version(spark, base).count() == 2
+    assert bucket_store.read(spark, base).count() == 2
     rows(record(file_path="/b", last_modified=9.0), record(file_path="/c"), record(file_path="/c", last_modified=3.0)).write.mode("append").parquet(source)
     incremental.publish(spark, source, base, checkpoint).awaitTermination()
-    got = {r["file_path"]: (r["status"], r["last_modified"]) for r in catalog_files.read_version(spark, base).collect()}
+    got = {r["file_path"]: (r["status"], r["last_modified"]) for r in bucket_store.read(spark, base).collect()}
     assert got == {"/a": ("complete", 1.0), "/b": ("complete", 9.0), "/c": ("complete", 3.0)} and len(catalog_files.pointers(spark, base)) == 2
