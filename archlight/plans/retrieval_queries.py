@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from archlight.functions import predicates as P
 from archlight.operators import catalog as C
 from archlight.operators import retrieval as R
+from archlight.operators import vector_index
 from archlight.sources import bucket_store
 from archlight.sources.catalog_tables import MANIFEST_SQL as M
 from archlight.sources.catalog_tables import QUERY_VECTOR, chat, manifest, table, vectors
@@ -149,3 +150,38 @@ def vector_store(spark, sf):
     bucket_store.upsert(added, base, ["id"], ["label"])
     bucket_store.vacuum(spark, base, 1)
     return bucket_store.read(spark, base).select("id", "label", "head")
+
+
+ASKED = f"SELECT q.vec_id AS query, v.vec_id AS id, list_sum(list_transform(list_zip(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0"
+
+
+def questions(v):
+    """Every twentieth vector as a query."""
+    return v.where("id % 20 = 0")
+
+
+def best(found):
+    return found.select("query", "id", "place", F.round("distance", 6).alias("distance"))
+
+
+@query(f"SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY d, id) AS place, round(d, 6) AS distance FROM ({ASKED}) QUALIFY place <= 5")
+def vector_search_exact(spark, sf):
+    """Many queries at once over the index with all cells probed."""
+    v = vectors(spark, sf)
+    index = vector_index.build(v, shared_path(spark, "index"))
+    return best(vector_index.search(index, questions(v), 5, len(index.centres)))
+
+
+@query(f"SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY d, id) AS place, round(d, 6) AS distance FROM ({ASKED} AND v.vec_id % 5 <> 0 AND v.label % 4 IN (0, 1)) QUALIFY place <= 3")
+def vector_search_exact_filtered(spark, sf):
+    """The same with a filter that holds before cells are probed."""
+    v = vectors(spark, sf)
+    index = vector_index.build(v, shared_path(spark, "index"))
+    return best(vector_index.search(index, questions(v), 3, len(index.centres), P.vector_filter(hide_nsfw=True, mime_types=("text/plain", "application/pdf"))))
+
+
+@query()
+def vector_search_probed(spark, sf):
+    """As many cells as the measured recall asks for; not all rows are seen, so SQL has no twin."""
+    v = vectors(spark, sf)
+    return best(vector_index.search(vector_index.build(v, shared_path(spark, "index")), questions(v), 5))
