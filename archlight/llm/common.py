@@ -108,13 +108,17 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
+#: Stands for a null id where ids order rows.
+NULL_ID = -(2**63)
+
+
 def keyed(docs: DataFrame, *extra: str) -> DataFrame:
     """``k1, k2, text``: an identity for rows that holds for null and repeated ids as well.
 
-    ``k1`` is the id (null: -1) and ``k2`` a hash of the text; rows that agree in both are copies of one row.
+    ``k1`` is the id (null: NULL_ID) and ``k2`` a hash of the text; rows that agree in both are copies of one row.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"), *extra)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"), *extra)
 
 
 def boxed(docs: DataFrame) -> DataFrame:

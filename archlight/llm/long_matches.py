@@ -9,8 +9,13 @@
    a run-compressed Burrows-Wheeler transform. At run ends the text position and the length of the match with the
    neighbour in suffix order are sampled; between samples a match shortens by one with every byte, so one stream over
    the text gives the matching statistics of all positions. Windows of 200 bytes and more are marked.
-3. *Hot anchors* would fill one block without bound, so the exact rest goes another way: 128-bit hashes of their windows
-   are split in proportion to the anchor's count and counted; each document gets back those of its own that occur again.
+3. *Hot anchors* would fill one block without bound, so the exact rest goes another way, by 128-bit hashes of their
+   windows. The documents of an anchor are split into groups of about ``SPLIT``; a window that two documents of a group
+   hold is repeated for all of them. What is single in its group is counted over the groups by an aggregation that gets
+   one row of each group for a window, repeated or not, and then joined back. So a group's size is bounded, however many
+   documents hold a window.
+
+A route is a stretch of a document, told by a hash of its identity and place, so null and shared ids spread like others.
 
 Null text counts as empty and loses nothing; so do texts under 200 bytes. Rows agreeing in id and text are two
 documents and lose everything from 200 bytes on; their anchors count once. Rows that share only an id are different
@@ -29,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, boxed, keyed, map_arrow, settle, unboxed
+from .common import NULL_ID, batch, boxed, forget, keyed, map_arrow, settle, unboxed
 
 LENGTH = 200
 GRAM = 100
 HOT = 1024
-#: Occurrences of a hot anchor to a group.
+#: Documents of a hot anchor to a group.
 SPLIT = 4096
 #: Bytes of a block of strings, unless a single route holds more.
 BLOCK = 1 << 20
@@ -151,10 +156,12 @@ def join_spans(spans: np.ndarray) -> np.ndarray:
 def pieces(candidates: DataFrame, limit: int = HOT) -> DataFrame:
     """What goes to routes and to hot anchors: ``hot, r, sub, k1, k2, start, data``.
 
-    Cold rows hold bytes of a document, hot ones hashes of its windows.
+    Cold rows hold bytes of a document, hot ones hashes of its windows and, as ``start``, the number of the anchor's groups.
     """
     out = pa.schema([("hot", pa.bool_()), ("r", pa.int64()), ("sub", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64()), ("data", pa.binary())])
 
+    share = SPLIT
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -174,20 +181,14 @@ def pieces(candidates: DataFrame, limit: int = HOT) -> DataFrame:
                         own = p[a == key]
                         # a window that holds its anchor twice is one window
                         mine = np.unique(np.concatenate([np.flatnonzero(low[max(0, at - (LENGTH - GRAM)) : at + 1] == h[at]) + max(0, at - (LENGTH - GRAM)) for at in own.tolist()]))
-                        rows += split(key, -(-int(n[a == key][0]) // SPLIT), k1, k2, windows[mine])
+                        of = -(-int(n[a == key][0]) // share)
+                        sub = int(mix(np.array([k1, k2], np.int64).view(np.uint64)).sum() % np.uint64(of))
+                        rows.append((True, key, sub, k1, k2, of, windows[mine].tobytes()))
             yield batch(out, dict(zip(out.names, zip(*rows))) if rows else {k: [] for k in out.names})
 
     return map_arrow(candidates.select("k1", "k2", "text", "pos", "a", "n", "route"), work, "hot boolean, r long, sub int, k1 long, k2 long, start long, data binary")
 
 
-def split(key: int, of: int, k1: int, k2: int, h: np.ndarray) -> list[tuple]:
-    """Rows with a document's window hashes at a hot anchor, by their share of the anchor's groups."""
-    if of == 1:
-        return [(True, key, 0, k1, k2, None, h.tobytes())]
-    sub = (h["a"] % np.uint64(of)).astype(np.int64)
-    return [(True, key, int(x), k1, k2, None, h[sub == x].tobytes()) for x in np.unique(sub)]
-
-
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
     """Rows of equal leading columns together, from batches in that order."""
     held: list[tuple] = []
@@ -203,23 +204,56 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
 
 def recount(hot: DataFrame) -> DataFrame:
     """``k1, k2, data``: for each document the hashes of its windows at hot anchors that occur again."""
+    counted = settle(counted_in_groups(hot), "counted")
+    single = counted.where("data is null")
+    again = settle(single.groupBy("a", "b").agg(F.sum(F.when(F.col("repeated"), 2).otherwise(1)).alias("n")).where("n > 1").select("a", "b"), "windows")
+    # written, so that the join meets two fresh sides
+    met = single.where("not repeated").join(again, ["a", "b"]).select("k1", "k2", "a", "b")
     out = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("data", pa.binary())])
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = np.empty(b.num_rows, WIDE)
+            h["a"], h["b"] = (b.column(i).to_numpy().view(np.uint64) for i in (2, 3))
+            raw, size = h.tobytes(), WIDE.itemsize
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([raw[i : i + size] for i in range(0, len(raw), size)], pa.binary())], schema=out)
+
+    return counted.where("data is not null").select("k1", "k2", "data").unionByName(map_arrow(met, packed, "k1 long, k2 long, data binary"))
+
+
+def counted_in_groups(hot: DataFrame) -> DataFrame:
+    """``k1, k2, data, a, b, repeated``: windows that a group of documents repeats, by document, and rows without ``data`` for other groups.
+
+    Where an anchor has several groups, the latter are one row for each window of a group: of its document if it is
+    single there, else marked as repeated.
+    """
+    out = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("data", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("repeated", pa.bool_())])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, 2):
-            h = wide([row[4] for row in group])
+            h = wide([row[5] for row in group])
             by = np.lexsort((h["b"], h["a"]))
             equal = h[by][1:] == h[by][:-1]
             hit = np.zeros(len(h), bool)
             hit[by[1:]] |= equal
             hit[by[:-1]] |= equal
-            ends = np.cumsum([len(row[4]) // WIDE.itemsize for row in group])
-            rows = [(row[2], row[3], np.unique(h[i:j][hit[i:j]]).tobytes()) for row, i, j in zip(group, [0, *ends[:-1]], ends) if hit[i:j].any()]
-            if rows:
-                yield batch(out, dict(zip(out.names, zip(*rows))))
-
-    dealt = hot.select("r", "sub", "k1", "k2", "data").repartition(F.col("r"), F.col("sub")).sortWithinPartitions("r", "sub")
-    return map_arrow(dealt, work, "k1 long, k2 long, data binary")
+            ends = np.cumsum([len(row[5]) // WIDE.itemsize for row in group])
+            found = [(row[2], row[3], np.unique(h[i:j][hit[i:j]]).tobytes()) for row, i, j in zip(group, [0, *ends[:-1]], ends) if hit[i:j].any()]
+            none = [None] * len(found)
+            columns = [*(list(c) for c in (zip(*found) if found else ([], [], []))), none, none, none]
+            if group[0][4] > 1:
+                owner = np.searchsorted(ends, np.flatnonzero(~hit), side="right")
+                first = by[np.concatenate(([True], ~equal))]  # one of each window
+                twice = first[hit[first]]
+                k1, k2 = (np.array([row[i] for row in group], np.int64) for i in (2, 3))
+                one, rows = h[~hit], len(owner) + len(twice)
+                more = [[*k1[owner].tolist(), *[None] * len(twice)], [*k2[owner].tolist(), *[None] * len(twice)], [None] * rows]
+                more += [[*one[c].view(np.int64).tolist(), *h[twice][c].view(np.int64).tolist()] for c in ("a", "b")] + [[False] * len(owner) + [True] * len(twice)]
+                columns = [x + y for x, y in zip(columns, more)]
+            yield batch(out, dict(zip(out.names, columns)))
+
+    dealt = hot.select("r", "sub", "k1", "k2", "start", "data").repartition(F.col("r"), F.col("sub")).sortWithinPartitions("r", "sub")
+    return map_arrow(dealt, work, "k1 long, k2 long, data binary, a long, b long, repeated boolean")
 
 
 class RunLengthIndex:
@@ -411,19 +445,19 @@ def candidates(docs: DataFrame) -> DataFrame:
     """
     keys = keyed(docs)
     # the route is the smallest place that holds the anchor: a document and a stretch of it
-    place = F.shiftleft("k1", 20) + F.least(F.shiftright("pos", 11), F.lit((1 << 20) - 1)).cast("long")
-    found = anchors(keys).withColumn("place", place)
+    found = settle(anchors(keys).withColumn("place", F.xxhash64("k1", "k2", F.shiftright("pos", 11))), "anchors")
     count = F.when(F.min("k2") == F.max("k2"), 1).otherwise(F.count(F.lit(1)))  # of one text, as copies go on as one
     again = found.groupBy("a").agg(F.count(F.lit(1)).alias("rows"), count.alias("n"), F.min("place").alias("route")).where("rows > 1").drop("rows")
     # written, so that the join meets two fresh sides and a frequent anchor can be split; rows that agree in id and text list their anchors once
-    listed = anchors(keys).join(settle(again, "again"), "a").groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "a", "n", "route")).alias("x"))
+    again = settle(again, "again")
+    listed = found.drop("place").join(again, "a").groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "a", "n", "route")).alias("x"))
     whole = ["k2", "crc", "n_bytes"]
     marked = keys.select("k1", "k2", F.crc32("text").alias("crc"), F.octet_length("text").alias("n_bytes")).where(F.col("n_bytes") >= LENGTH)
     groups = marked.groupBy(*whole).agg(F.count(F.lit(1)).alias("copies"), F.min("k1").alias("lead")).where("copies > 1")
     copied = marked.join(groups, whole).groupBy("k1", "k2").agg(F.max("copies").alias("copies"), F.min("lead").alias("lead"))
     own = keyed(docs, "doc_id").join(listed.join(copied, ["k1", "k2"], "left"), ["k1", "k2"], "left")
     hit = F.col("x").isNotNull() & (F.coalesce("lead", "k1") == F.col("k1"))
-    return settle(
+    out = settle(
         own.select(
             "k1",
             "k2",
@@ -436,6 +470,8 @@ def candidates(docs: DataFrame) -> DataFrame:
         ),
         "candidates",
     )
+    forget(found, again)
+    return out
 
 
 def marks(found: DataFrame, limit: int = HOT) -> DataFrame:
@@ -458,5 +494,5 @@ def remove(docs: DataFrame, limit: int = HOT) -> DataFrame:
     cut = cover(marks(found, limit), True).where("n_removed > 0").select("k1", "k2", "kept")
     cut = cut.unionByName(found.where("copies > 1").select("k1", "k2", F.lit("").alias("kept"))).groupBy("k1", "k2").agg(F.min("kept").alias("kept"))
     row = F.col("row")
-    own = boxed(docs).select("row", F.coalesce(row["doc_id"].cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(F.coalesce(row["text"], F.lit(""))).alias("k2"))
+    own = boxed(docs).select("row", F.coalesce(row["doc_id"].cast("long"), F.lit(NULL_ID)).alias("k1"), F.xxhash64(F.coalesce(row["text"], F.lit(""))).alias("k2"))
     return unboxed(own.join(cut, ["k1", "k2"], "left"), docs.columns, F.coalesce(F.col("kept"), row["text"]))

@@ -4,14 +4,13 @@ Sentences end after stops that white space follows and at line ends. A sentence
 further, at words that the words alone choose: of every ``WINDOW`` neighbours inside the sentence a cut stands before
 the one with the smallest hash, the first of equal ones. So cuts fall alike in every copy of a passage, whatever stands
 before it and wherever in a sentence it begins, but for its first and last ``WINDOW`` - 1 words. Every run of ``SPAN``
-consecutive pieces is hashed; a run of fewer than ``LEAST`` words goes on to the piece that gives them, and a shorter
-text is one run if it has ``SPAN`` pieces. Any 51 words hold a whole run: a cut that all copies share lies in the first
-15, and a run from there has 24 words at most, 39 in all, before the last 7.
+consecutive pieces is hashed, however short they are. Any 51 words hold a whole run: a cut that all copies share lies in
+the first 15, and a run from there has 24 words at most, 39 in all, before the last 7.
 
 Runs are posted under 96 bits. A task sorts its own posts and sends on only the first occurrence of each run in some
 hundred thousand of them; the others are not first anywhere and stay. So a run that very many documents hold meets in
 one task only once for each such part. A run occurs *first* in the row with the smallest ``(k1, k2)`` and there at its
-smallest place, where ``k1`` is the id (null: -1) and ``k2`` comes from the text's hash. All pieces that any other
+smallest place, where ``k1`` is the id (null: the smallest 64-bit number) and ``k2`` comes from the text's hash. All pieces that any other
 occurrence of a repeated run covers are removed, each with the white space behind it.
 
 Null text counts as empty and stays null. Rows that share an id are different documents, in the order of ``k2``; rows
@@ -30,10 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, boxed, map_arrow
+from .common import NULL_ID, Recent, boxed, map_arrow
 
 SPAN = 3
-LEAST = 16
 WINDOW = 8
 #: Posts that a task sorts at once.
 PART = 400_000
@@ -91,9 +89,7 @@ class Pieces:
         if count < span:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         first = np.arange(count - span + 1)
-        end = np.maximum(first + span, np.searchsorted(self.cuts, self.cuts[first] + LEAST))
-        whole = end <= count
-        return (first[whole], end[whole]) if whole.any() else (np.zeros(1, np.int64), np.full(1, count))
+        return first, first + span
 
     def digests(self, first: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
         """Both halves of the runs' hashes."""
@@ -110,7 +106,7 @@ def identity(docs: DataFrame, *more: str) -> DataFrame:
     """``k1, k2, text``: the order of rows, also of those with null and repeated ids."""
     text = F.coalesce(F.col("text"), F.lit(""))
     k2 = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), k2.alias("k2"), text.alias("text"), *more)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k1"), k2.alias("k2"), text.alias("text"), *more)
 
 
 #: A run's first piece and its number of pieces in one number.
@@ -254,8 +250,8 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 ORACLE = rf"""
 WITH d AS (
-  SELECT doc_id, text, coalesce(text, '') AS t, row_number() OVER (ORDER BY coalesce(doc_id, -1), CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT)) AS r,
-    dense_rank() OVER (ORDER BY coalesce(doc_id, -1), CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT), coalesce(text, '')) AS o FROM documents
+  SELECT doc_id, text, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id NULLS FIRST, CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT)) AS r,
+    dense_rank() OVER (ORDER BY doc_id NULLS FIRST, CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT), coalesce(text, '')) AS o FROM documents
 ), g AS (
   SELECT r, o, regexp_extract_all(t, '{WORD}{SPACE}*') AS gs FROM d
 ), w AS (
@@ -273,11 +269,8 @@ WITH d AS (
   SELECT r, i AS a, row_number() OVER v - 1 AS pos, count(*) OVER (PARTITION BY r) AS pieces, lead(i) OVER v AS b FROM c WINDOW v AS (PARTITION BY r ORDER BY i)
 ), q AS (
   SELECT p.r, g.o, a, pos, pieces, coalesce(b, len(gs)) AS b, array_to_string(gs[a + 1 : coalesce(b, len(gs))], '') AS piece, gs FROM p JOIN g USING (r)
-), e AS (
-  SELECT x.r, x.o, x.a, x.pos, x.pieces, x.gs, min(y.pos) AS last FROM q x JOIN q y ON x.r = y.r AND y.pos BETWEEN x.pos + {SPAN - 1} AND x.pos + {LEAST} AND y.b - x.a >= {LEAST} GROUP BY ALL
 ), runs AS (
-  SELECT e.r, e.o, e.pos, e.last, e.a, q.b, e.gs FROM e JOIN q ON q.r = e.r AND q.pos = e.last
-  UNION ALL SELECT q.r, q.o, 0, pieces - 1, 0, len(gs), gs FROM q WHERE pos = 0 AND pieces >= {SPAN} AND r NOT IN (SELECT r FROM e)
+  SELECT x.r, x.o, x.pos, y.pos AS last, x.a, y.b, x.gs FROM q x JOIN q y ON x.r = y.r AND y.pos = x.pos + {SPAN - 1}
 ), h AS (
   SELECT *, array_to_string(list_transform(gs[a + 1 : b], lambda x: regexp_extract(x, '{WORD}')), ' ') AS run FROM runs
 ), z AS (

@@ -73,23 +73,15 @@ def pieces(text, window=8):
     return out
 
 
-def spans(rows, span=3, least=16):
-    """Sorted (doc_id, removed, text): every run that is not the first of its words goes."""
+def spans(rows, span=3):
+    """Sorted (doc_id, removed, text): every run of so many pieces that is not the first of its words goes."""
     def place(i, t):
-        return (-1 if i is None else i, int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16))
+        return (i is not None, i or 0, int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16))
 
     runs = {}
     cut = {place(i, t): pieces(t) for i, t in rows}
     for p, ps in cut.items():
-        own = []
-        for a in range(len(ps) - span + 1):
-            b = a + span
-            while b <= len(ps) and sum(map(len, ps[a:b])) < least:
-                b += 1
-            if b <= len(ps):
-                own.append((a, b))
-        if not own and len(ps) >= span:
-            own = [(0, len(ps))]
+        own = [(a, a + span) for a in range(len(ps) - span + 1)]
         for a, b in own:
             runs.setdefault(tuple(g.strip(BLANKS) for x in ps[a:b] for g in x), []).append((p, a, b))
     gone = {p: set() for p in cut}

@@ -198,6 +198,18 @@ def test_spans(spark):
     assert left.columns == table(spark, rows).columns and {r["doc_id"]: r["n_chars"] for r in left.collect()}[5] == len("Other opening words of two.\nOther ending words.")
 
 
+def test_short_runs_and_null_ids(spark):
+    """Three sentences of 9 and of 12 words are a run; -1 and a null id are two documents."""
+    nine, twelve = "Accept all cookies. Close this banner. Read our policy. ", "The cookie settings page opened. Please accept all of them. Thank you for reading. "
+    for shared in (nine, twelve):
+        rows = [(k, f"Opening number {k * 7919} of this text here. {shared}Ending number {k * 104729} comes after that.") for k in range(4)]
+        got = {r["doc_id"]: r["text"] for r in sentence_spans.report(table(spark, rows)).collect()}
+        assert shared in got[0] and not any(shared in got[k] for k in (1, 2, 3))
+    text = " ".join(f"Sentence {k} of the text has words {k * 31}." for k in range(9))
+    got = {r["doc_id"]: r["n_removed"] for r in sentence_spans.report(table(spark, [(-1, text), (None, text)])).collect()}
+    assert got == {None: 0, -1: len(sentence_spans.Pieces(text.encode()).cuts) - 1}
+
+
 def span_rows(seed):
     """Texts of few words and sentences, so that runs repeat; null and repeated ids, repeated rows."""
     draw = random.Random(seed)
@@ -581,6 +593,33 @@ def test_long_matches_of_equal_rows(spark, limit):
     assert {len(r["text"]) for r in long_matches.remove(docs, limit).where("doc_id is null").collect()} == {0}
 
 
+@pytest.mark.parametrize("share", [4096, 7])
+def test_hot_passages_in_groups(spark, monkeypatch, share):
+    """A passage that every document holds, some windows that two of different groups share, in groups of bounded size."""
+    monkeypatch.setattr(long_matches, "SPLIT", share)
+    dice = random.Random(share)
+    own = lambda n: " ".join(f"w{dice.randrange(10**8)}" for _ in range(n))
+    passage, tails = own(40), [own(9) for _ in range(12)]
+    rows = [(k if k % 9 else None, f"{own(20)} {passage} {tails[k % 12] if k < 24 else own(9)} {own(5)}") for k in range(90)]
+    docs = table(spark, rows)
+    got = [tuple(r) for r in long_matches.report(docs, 10).collect()]
+    assert sorted(got, key=lambda r: (r[0] is None, r[0] or 0, r[4])) == [w[:5] for w in brute.long_matches(rows)]
+    sent = long_matches.pieces(long_matches.candidates(docs.select("doc_id", "text")).where("text is not null"), 10)
+    largest = sent.where("hot").groupBy("r", "sub").count().agg(F.max("count")).first()[0]
+    assert largest <= (25 if share == 7 else 90)
+
+
+def test_routes_of_null_ids(spark):
+    """Rows without ids spread over as many routes as others."""
+    dice = random.Random(2)
+    own = lambda n: " ".join(f"w{dice.randrange(10**8)}" for _ in range(n))
+    passages = [own(40) for _ in range(60)]
+    for ids in ((None,) * 180, range(180)):
+        docs = table(spark, [(i, f"{own(3)} {passages[k % 60]} {own(3)}") for k, i in enumerate(ids)])
+        sent = long_matches.pieces(long_matches.candidates(docs.select("doc_id", "text")).where("text is not null"))
+        assert sent.where("not hot").select("r").distinct().count() >= 60
+
+
 def test_long_matches_of_a_very_long_text(spark):
     long = " ".join(f"w{i}" for i in range(150_000))
     got = {r["doc_id"]: r for r in long_matches.report(table(spark, [(1, long), (2, long[500_000:500_600]), (3, "y" * 100 + long[700_000:700_250])])).collect()}
