@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from archlight.functions import text as X
 
+from .positions import numbered
+
 #: Names that mark money columns and date columns.
 FINANCE = "amount balance cost expense income price profit revenue sales total qty quantity".split()
 TEMPORAL = "date datetime time timestamp modified created updated".split()
@@ -66,12 +68,44 @@ def ordered_values(df: DataFrame, name: str, order: str, by: list[str]) -> DataF
 
 
 def table_text(df: DataFrame, columns: list[str], order: str, by: list[str]) -> DataFrame:
-    """``name: values`` lines of the columns, for each group of rows (small tables are one group); a column without values has no line."""
+    """``name: values`` lines of the columns, for each group of rows; a column without values has no line. For small groups: ``text_parts`` holds no column in one value."""
     parts = reduce(DataFrame.unionByName, (ordered_values(df, c, order, by).withColumn("i", F.lit(i)) for i, c in enumerate(columns)))
     line = F.concat_ws(": ", "name", "text")
     return parts.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))), lambda x: x["line"]), "\n").alias("table_text"))
 
 
+#: Values of a part of a column's text.
+PART = 10_000
+
+
+def text_parts(df: DataFrame, columns: list[str], order: list[str], by: list[str] = (), part: int = PART) -> DataFrame:
+    """``by, i, name, part, offset, n, text``: the non-null values of columns in row order as text, in parts of so many values.
+
+    The parts of a column joined by a blank are its text, and ``offset`` is the place of a part in it, in characters. No
+    row holds a column: values are numbered by ranges in many tasks, a part takes those of its numbers, and only the
+    parts' lengths are summed up in order. Ties in ``order`` go by the value.
+    """
+    values = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(columns)))
+    keys = [f"_by{k}" for k in range(len(by))]
+    spread = df.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(by, keys)), *(F.col(f"`{c}`").alias(f"_o{k}") for k, c in enumerate(order)), F.explode(values).alias("x"))
+    long = spread.where("x.v is not null").select(*keys, *(f"_o{k}" for k in range(len(order))), "x.*")
+    placed = numbered(long, [*(f"_o{k}" for k in range(len(order))), "v"], [*keys, "i"], "_at").withColumn("part", F.floor(F.col("_at") / part))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "v"))), lambda x: x["v"]), " ")  # at most ``part`` values
+    parts = placed.groupBy(*keys, "i", "name", "part").agg(F.count(F.lit(1)).alias("n"), text.alias("text"))
+    earlier = Window.partitionBy(*keys, "i").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    lengths = parts.select(*keys, "i", "part", F.length("text").alias("l")).withColumn("offset", F.coalesce(F.sum(F.col("l") + 1).over(earlier), F.lit(0)))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, "i", "part"]))
+    told = parts.join(lengths.select(*(F.col(k).alias(f"_{k}") for k in [*keys, "i", "part"]), "offset"), same)
+    return told.select(*(F.col(k).alias(c) for k, c in zip(keys, by)), "i", "name", "part", "offset", "n", "text")
+
+
+def flat_parts(df: DataFrame, order: list[str], by: list[str] = (), part: int = PART) -> DataFrame:
+    """The parts of the string columns without a null, which are the text columns of ``flat_text``."""
+    names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in by]
+    nulls = df.agg(*(F.count_if(F.col(f"`{n}`").isNull()).alias(f"n{i}") for i, n in enumerate(names))).first() if names else []
+    return text_parts(df, [n for n, k in zip(names, nulls) if not k], order, by, part)
+
+
 def sheet_text(df: DataFrame, name: str, order: str) -> Column:
     """A sheet's rows as text, with its heading: an aggregate over the rows of a sheet."""
     row = F.concat_ws(" | ", *(F.col(f"`{c}`").cast("string") for c in df.columns if c != order))

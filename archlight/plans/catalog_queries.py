@@ -119,6 +119,19 @@ def search_term_fallback(spark, sf):
     return ids(P.search_with_fallback(manifest(spark, sf), "/77"))
 
 
+@query(M + IDS + "contains(lower(file_path), 'src1/en')")
+def search_term_indexed(spark, sf):
+    """The same rows by lists of grams."""
+    m = manifest(spark, sf).select("manifest_idx", "file_path")
+    return ids(path_search.search(path_search.build(m, shared_path(spark, "grams")), "  SRC1/en "))
+
+
+@query(M + ", h AS (SELECT *, status <> 'complete' AS o FROM m WHERE contains(lower(file_path), '/77')) SELECT manifest_idx FROM h WHERE o OR NOT (SELECT coalesce(max(o), false) FROM h)")
+def search_fallback_indexed(spark, sf):
+    m = manifest(spark, sf).select("manifest_idx", "file_path", "status")
+    return ids(path_search.search_with_fallback(path_search.build(m, shared_path(spark, "grams")), "/77"))
+
+
 @query(M + "SELECT manifest_idx, file_path FROM m WHERE has_financial_red_flags")
 def reprocess_selection(spark, sf):
     m = manifest(spark, sf)

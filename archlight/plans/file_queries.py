@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from archlight.functions import predicates as P
 from archlight.operators import catalog as C
 from archlight.operators.positions import numbered
 from archlight.sources import catalog_files, file_listing, files, json_array, single_file
@@ -113,3 +114,32 @@ def directory_scan_pruned(spark, sf):
     """Part of the tree: paths and sizes are pushed into the listing, and no other file is opened."""
     root = tree(spark, sf)
     return scanned(files.scan(spark, root, condition=F.col("path").startswith(f"{root}/source=src1/") & (F.col("size") > 20_000)), root)
+
+
+@query(f"SELECT * FROM ({FILE}) ORDER BY directory LIMIT 7")
+def directory_scan_first(spark, sf):
+    """The first files of the tree in path order; no other file is opened."""
+    root = tree(spark, sf)
+    return scanned(files.scan(spark, root, limit=7, condition=F.col("path").startswith(f"{root}/source=") & F.col("path").endswith(".txt")), root)
+
+
+@query(M + "SELECT file_path, mime_type, 'no model takes it' AS reason, CASE WHEN extracted_text IS NULL THEN '' ELSE left(extracted_text, 40) END AS info FROM m WHERE mime_type = ''")
+def unprocessed_log(spark, sf):
+    """Files that no model takes, appended to a log in two runs and read again."""
+    path = shared_path(spark, "log")
+    m = manifest(spark, sf).where(P.model_of().isNull() & (F.col("mime_type") == ""))
+    rows = m.select("manifest_idx", "file_path", "mime_type", F.lit("no model takes it").alias("reason"), F.left("extracted_text", F.lit(40)).alias("info"))
+    for half in (0, 1):
+        catalog_files.log_unprocessed(rows.where(F.col("manifest_idx") % 2 == half), path)
+    return catalog_files.read_log(spark, path).select("file_path", "mime_type", "reason", F.coalesce("info", F.lit("")).alias("info"))
+
+
+@query(M + "SELECT 'types' AS asset, count(DISTINCT mime_type) AS groups, count(*) AS entries FROM m UNION ALL SELECT 'unsafe', 1, count(*) FROM m WHERE is_nsfw UNION ALL SELECT 'catalog', 1, count(*) FROM m")
+def catalog_assets(spark, sf):
+    """A catalog file with its indexes, and how much each holds."""
+    path = shared_path(spark, "assets") + "/manifest.json"
+    catalog_files.export_json(manifest(spark, sf), path)
+    held = catalog_files.assets(spark, path)
+    types = held["types"].agg(F.lit("types").alias("asset"), F.count_distinct("mime").alias("groups"), F.count(F.lit(1)).alias("entries"))
+    others = [held[k].agg(F.lit(k).alias("asset"), F.lit(1).cast("long").alias("groups"), F.count(F.lit(1)).alias("entries")) for k in ("unsafe", "catalog")]
+    return types.unionByName(others[0]).unionByName(others[1])

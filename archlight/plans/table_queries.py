@@ -137,3 +137,26 @@ def database_analysis(spark, sf):
     said = F.concat(F.lit("Growth of "), "n_name", F.lit(" is strong.")).alias("said")
     given = {"regions": (table(spark, sf, "region").select("r_regionkey", "r_name"), "r_regionkey"), "nations": (table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey", said), "n_nationkey")}
     return tabular.analyze_tables(given).select("i", "name", "summary", F.array_join("themes", ",").alias("themes"), F.round("score", 6).alias("score"), "mood")
+
+
+def parts_sql(source: str, columns: dict[str, str], order: str, part: int, by: str = "") -> str:
+    group = f"{by}, " if by else ""
+    each = " UNION ALL ".join(f"SELECT {group}{i} AS i, '{c}' AS name, {order}, {shown} AS v FROM {source} WHERE {c} IS NOT NULL" for i, (c, shown) in enumerate(columns.items()))
+    return (
+        f"WITH x AS ({each}), n AS (SELECT *, row_number() OVER (PARTITION BY {group}i ORDER BY {order}, v) - 1 AS k FROM x), "
+        f"p AS (SELECT {group}i, name, k // {part} AS part, count(*) AS n, string_agg(v, ' ' ORDER BY k) AS text FROM n GROUP BY ALL) "
+        f"SELECT {group}i, name, part, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY {group}i ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", n, text FROM p"
+    )
+
+
+@query(parts_sql("lineitem", {"l_linestatus": "l_linestatus", "l_orderkey": "l_orderkey::VARCHAR", "l_returnflag": "l_returnflag"}, "l_orderkey, l_linenumber", 1000))
+def table_text_parts(spark, sf):
+    """The text of a large table's columns, in parts of so many values."""
+    return tabular.text_parts(table(spark, sf, "lineitem"), ["l_linestatus", "l_orderkey", "l_returnflag"], ["l_orderkey", "l_linenumber"], part=1000)
+
+
+@query(parts_sql("documents", {"text": "text", "lang": "lang"}, "doc_id", 100, "source"))
+def flat_text_parts(spark, sf):
+    """The text columns of a table by source, in parts; a column with a null is none."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text", "lang", F.when(F.col("doc_id") > 0, "x").alias("holed"))
+    return tabular.flat_parts(docs, ["doc_id"], ["source"], 100)

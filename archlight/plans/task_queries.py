@@ -12,8 +12,11 @@ from archlight.functions import predicates as P
 from archlight.functions import tasks as K
 from archlight.functions import text as X
 from archlight.operators import analyze, merging, metrics
+from archlight.operators.positions import numbered
 from archlight.sources.catalog_tables import MANIFEST_SQL as M
 from archlight.sources.catalog_tables import manifest, table
+from archlight.sources.shared import shared_path
+from archlight.streaming import rolling
 
 from .registry import query
 
@@ -353,14 +356,32 @@ def secret_scan(spark, sf):
 # metrics over events: a user is a file, an event a chunk
 
 
-@query(
-    "SELECT event_id, round(avg(value) OVER w, 6) AS recent_avg, count(value) OVER w AS recent_n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
-)
+ROLLING = "SELECT event_id, round(avg(value) OVER w, 6) AS recent_avg, count(value) OVER w AS recent_n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+
+
+@query(ROLLING)
 def moving_chunk_average(spark, sf):
     out = metrics.moving_average(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value")
     return out.select("event_id", F.round("recent_avg", 6).alias("recent_avg"), "recent_n")
 
 
+#: Slices of time that arrive one after another.
+SLICES = 3
+
+
+@query(ROLLING)
+def moving_average_stream(spark, sf):
+    """The same while events arrive: a stream with keyed state, ended after each slice of time and started again from its checkpoint."""
+    base = shared_path(spark, "rolling")
+    events = numbered(table(spark, sf, "events").select("user_id", "ts", "event_id", "value"), ["ts", "event_id"], name="at")
+    n = events.count()
+    for k in range(SLICES):
+        events.where((F.col("at") * SLICES >= n * k) & (F.col("at") * SLICES < n * (k + 1))).drop("at").write.mode("append").parquet(f"{base}/in")
+        arriving = spark.readStream.schema(events.drop("at").schema).parquet(f"{base}/in")
+        rolling.write(rolling.moving_average(arriving, "user_id", ["ts", "event_id"], "value"), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").select("event_id", F.round("recent_avg", 6).alias("recent_avg"), "recent_n")
+
+
 @query(
     "WITH p AS (SELECT event_id, list_sort(coalesce(list(value) FILTER (value > 0) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), [])) AS v FROM events) "
     "SELECT event_id, round(CASE WHEN len(v) < 4 THEN 60.0 ELSE greatest(60.0, 5 * v[least(greatest(ceil(0.75 * (len(v) + 1)), 1), len(v))::INT]) END, 6)::DOUBLE AS timeout FROM p"

@@ -124,11 +124,14 @@ def export_json(catalog: DataFrame, path: str) -> None:
 def log_unprocessed(rows: DataFrame, path: str) -> None:
     """Appends ``ts, file_path, mime_type, reason, info`` as CSV files with a header each, all fields quoted."""
     columns = (F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("file_path", "mime_type", "reason", "info"))
-    rows.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), *columns).write.mode("append").option("header", "true").option("quoteAll", "true").option("escape", '"').csv(path)
+    rows.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), *columns).write.mode("append").options(header="true", quoteAll="true", escape='"', emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("ts timestamp, file_path string, mime_type string, reason string, info string").option("header", "true").option("escape", '"').csv(path)
+    """The log's entries; a field may hold line ends, and one that was empty is empty again."""
+    names = ("file_path", "mime_type", "reason", "info")
+    rows = spark.read.schema("ts timestamp, " + ", ".join(f"{n} string" for n in names)).options(header="true", escape='"', multiLine="true").csv(path)
+    return rows.select("ts", *(F.coalesce(n, F.lit("")).alias(n) for n in names))
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
