@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import heapq
-import math
-from collections.abc import Iterator
 from datetime import datetime, timedelta
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import running_rank
+
 RECENT = 20
 TIMEOUT_FLOOR, TIMEOUT_FACTOR = 60.0, 5.0
 NEWEST, TIERED = 20, 15
@@ -30,46 +28,8 @@ def nearest_rank(values: Column) -> Column:
 
 
 def dynamic_timeout(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """The time limit before each row: a multiple of the percentile of earlier positive values, with a floor.
-
-    Each key's rows pass one task in order, which holds their values so far in two heaps around the percentile: n log n
-    steps and eight bytes a value, whatever the key's share of all rows.
-    """
-    columns = list(dict.fromkeys([key, *order]))
-    kinds = dict(df.dtypes)
-    out = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", timeout double"
-
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, past = None, Percentile()
-        for part in parts:
-            limits = []
-            for k, x in zip(part[key], part["_value"]):
-                if k != owner:
-                    owner, past = k, Percentile()
-                limits.append(TIMEOUT_FLOOR if past.n < 4 else max(TIMEOUT_FLOOR, past.top() * TIMEOUT_FACTOR))
-                if x > 0:
-                    past.add(x)
-            yield part[columns].assign(timeout=limits)
-
-    dealt = df.select(*columns, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_value")).repartition(key).sortWithinPartitions(key, *order)
-    return dealt.mapInPandas(work, out)
-
-
-class Percentile:
-    """The nearest-rank 75th percentile of the values so far: the smaller ones in a heap whose top it is, the others in another."""
-
-    def __init__(self) -> None:
-        self.low, self.high, self.n = [], [], 0
-
-    def add(self, x: float) -> None:
-        self.n += 1
-        heapq.heappush(self.high, -heapq.heappushpop(self.low, -x))
-        rank = min(max(math.ceil(0.75 * (self.n + 1)), 1), self.n)
-        while len(self.low) < rank:
-            heapq.heappush(self.low, -heapq.heappop(self.high))
-
-    def top(self) -> float:
-        return -self.low[0]
+    """The time limit before each row: a multiple of the percentile of earlier positive values, with a floor; a key with many rows goes to many tasks."""
+    return running_rank.timeouts(df, key, order, value, TIMEOUT_FLOOR, TIMEOUT_FACTOR)
 
 
 def snapshot(df: DataFrame, key: str, order: str, chunks: str, seconds: str, remaining: int) -> DataFrame:

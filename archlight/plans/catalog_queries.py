@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from archlight.functions import formats
 from archlight.functions import predicates as P
 from archlight.operators import catalog as C
-from archlight.operators import metrics
+from archlight.operators import metrics, path_search
 from archlight.sources import files
 from archlight.sources.catalog_tables import MANIFEST_SQL as M
 from archlight.sources.catalog_tables import SHEET, manifest, table
+from archlight.sources.shared import shared_path
 
 from .registry import query
 

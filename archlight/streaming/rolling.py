@@ -17,10 +17,10 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 class Ring(StatefulProcessor):
-    """The last ``RECENT`` values of a key; a key without rows for ``idle`` milliseconds is forgotten."""
+    """The last ``RECENT`` values of a key; a key is forgotten once the watermark is ``idle`` milliseconds past its last row."""
 
-    def __init__(self, order: list[str], columns: list[str], idle: int | None) -> None:
-        self.order, self.columns, self.idle = order, columns, idle
+    def __init__(self, order: list[str], columns: list[str], time: str | None, idle: int) -> None:
+        self.order, self.columns, self.time, self.idle = order, columns, time, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -37,10 +37,10 @@ class Ring(StatefulProcessor):
             averages.append(sum(known) / len(known) if known else None)
             counts.append(len(known))
         self.recent.put([(v,) for v in ring])
-        if self.idle is not None:
+        if self.time:
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+            self.handle.registerTimer(int(held[self.time].max().timestamp() * 1000) + self.idle)
         yield held[self.columns].assign(recent_avg=averages, recent_n=counts)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
@@ -51,12 +51,13 @@ class Ring(StatefulProcessor):
         pass
 
 
-def moving_average(stream: DataFrame, key: str, order: list[str], value: str, idle: int | None = None) -> DataFrame:
+def moving_average(stream: DataFrame, key: str, order: list[str], value: str, time: str | None = None, idle: int = 0) -> DataFrame:
     """``key, order, recent_avg, recent_n``: as the batch operator gives them, while rows arrive.
 
     Rows of a batch are taken in their order, batches in theirs; a row that comes late counts when it comes. A batch
-    holds a key's own rows in memory, so the source's bound on a batch bounds them. The session's state store is set to
-    the one that keyed state needs.
+    holds a key's own rows in memory, so the source's bound on a batch bounds them. With ``time``, a column of ``order``
+    that the stream has a watermark on, keys that are idle for so many milliseconds are forgotten; late rows are then
+    those that the watermark lets through. The session's state store is set to the one that keyed state needs.
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
@@ -64,8 +65,7 @@ def moving_average(stream: DataFrame, key: str, order: list[str], value: str, id
     kinds = dict(stream.dtypes)
     out = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", recent_avg double, recent_n long"
     rows = stream.select(*columns, F.col(value).cast("double").alias("_value"))
-    mode = "none" if idle is None else "processingTime"
-    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=Ring(order, columns, idle), outputStructType=out, outputMode="append", timeMode=mode)
+    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=Ring(order, columns, time, idle), outputStructType=out, outputMode="append", timeMode="eventTime" if time else "none")
 
 
 def write(rows: DataFrame, target: str, checkpoint: str) -> None:
