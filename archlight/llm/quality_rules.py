@@ -1,7 +1,7 @@
 """Line-first quality rules, in DataFrame functions only.
 
-Every line is judged by itself: punctuation (symbols and repeated marks), navigation (separators, short lines that end
-in no stop) and boilerplate (fixed phrases). Failing lines go; a document that loses more than ``max_lost`` of its word
+Every line is judged by itself: punctuation (symbols, bars among them, and repeated marks), navigation (short lines
+that end in no stop) and boilerplate (fixed phrases). Failing lines go; a document that loses more than ``max_lost`` of its word
 characters is rejected. Base counts over the whole text come first and reject by themselves.
 
 Words are runs of characters other than the six ASCII white-space ones. A null text has no words: all counts are 0, it
