@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from archlight.functions import predicates as P
 from archlight.operators import catalog as C
 from archlight.operators.positions import numbered
-from archlight.sources import catalog_files, file_listing, files, json_array, single_file
+from archlight.sources import bucket_store, catalog_files, file_listing, files, json_array, single_file
 from archlight.sources.catalog_tables import MANIFEST_SQL as M
 from archlight.sources.catalog_tables import manifest, table
 from archlight.sources.shared import shared_path
+from archlight.streaming import incremental
 
 from .registry import query
 
@@ -143,3 +144,15 @@ def catalog_assets(spark, sf):
     types = held["types"].agg(F.lit("types").alias("asset"), F.count_distinct("mime").alias("groups"), F.count(F.lit(1)).alias("entries"))
     others = [held[k].agg(F.lit(k).alias("asset"), F.lit(1).cast("long").alias("groups"), F.count(F.lit(1)).alias("entries")) for k in ("unsafe", "catalog")]
     return types.unionByName(others[0]).unionByName(others[1])
+
+
+@query(M + "SELECT file_path, CASE WHEN status = 'complete' THEN status ELSE 'pending_extraction' END AS status, round(last_modified - CASE WHEN status = 'complete' THEN 0 ELSE 1 END, 3) AS last_modified FROM m")
+def catalog_publishing(spark, sf):
+    """The catalog at rest, kept by a stream of arriving records: all files as pending, then those that were completed."""
+    base = shared_path(spark, "publishing")
+    m = manifest(spark, sf).drop("manifest_idx")
+    arriving = (m.withColumns({"status": F.lit("pending_extraction"), "last_modified": F.col("last_modified") - 1}), m.where("status = 'complete'"))
+    for rows in arriving:
+        rows.write.mode("append").parquet(f"{base}/in")
+        incremental.publish(spark, f"{base}/in", f"{base}/catalog", f"{base}/checkpoint").awaitTermination()
+    return bucket_store.read(spark, f"{base}/catalog").select("file_path", "status", F.round("last_modified", 3).alias("last_modified"))

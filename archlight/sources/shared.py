@@ -21,9 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: What this driver has put into the shared folder and not yet removed.
+MADE: set[str] = set()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/archlight-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/archlight-{name}-{uuid.uuid4().hex}"
+    MADE.add(path)
+    return path
 
 
 def settle(df: DataFrame, name: str = "part") -> DataFrame:
@@ -36,9 +42,21 @@ def settle(df: DataFrame, name: str = "part") -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    MADE.discard(path)
+
+
 def forget(*frames: DataFrame) -> None:
     """Removes the files of settled frames that are read no more."""
     for df in frames:
-        spark = df.sparkSession
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._settled)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        remove(df.sparkSession, df._settled)
+
+
+def release(spark: SparkSession) -> int:
+    """Removes all that this driver has left in the shared folder, once the results that read it are written; gives the number of tables."""
+    left = list(MADE)
+    for path in left:
+        remove(spark, path)
+    return len(left)
