@@ -40,7 +40,7 @@ LENGTH = 200
 GRAM = 100
 HOT = 1024
 #: Documents of a hot anchor to a group.
-SPLIT = 1024
+SPLIT = 4096
 #: Bytes of a block of strings, unless a single route holds more.
 BLOCK = 1 << 20
 
