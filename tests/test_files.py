@@ -94,6 +94,18 @@ def test_single_files(spark, tmp_path):
         assert json.load(f) == []
 
 
+def test_parts_where_a_store_joins_none(spark, tmp_path):
+    """A local file system has no concatenation of its own: several parts go through the buffer."""
+    path = str(tmp_path / "a.json")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        single_file.write_json(spark.range(100).repartition(3), path, ["id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    with open(path) as f:
+        assert [r["id"] for r in json.load(f)] == list(range(100))
+
+
 def test_listing(spark, tmp_path, monkeypatch):
     for d in ("a/b", "a/c", "d/.hidden", "e"):
         (tmp_path / d).mkdir(parents=True)
