@@ -8,7 +8,9 @@ those on ``path``, ``size`` and ``modified`` leave out files before anything ope
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -102,9 +104,9 @@ COMPARED: dict[type, Callable] = {
 
 @dataclass
 class Tree(InputPartition):
-    """A directory to walk to its end, or one of the upper levels whose own files are listed already."""
+    """Directories to walk to their end, or files of the upper levels that are listed already."""
 
-    root: str | None
+    root: list[str] | None
     files: list[File] = field(default_factory=list)
 
 
@@ -118,7 +120,7 @@ class Reader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        """Upper levels are listed here until there are enough directories; each of these is a partition."""
+        """Upper levels are listed here until there are enough directories; these are dealt to so many partitions."""
         waiting, found = [self.root], []
         while waiting and len(waiting) < self.enough:
             below = []
@@ -127,10 +129,10 @@ class Reader(DataSourceReader):
                 below += filter(self.wanted.may_hold, dirs)
                 found += filter(self.wanted.matches, files)
             waiting = below
-        return [*(Tree(None, found[i : i + BATCH]) for i in range(0, len(found), BATCH)), *(Tree(d) for d in waiting)] or [Tree(None)]
+        return [*(Tree(None, found[i : i + BATCH]) for i in range(0, len(found), BATCH)), *(Tree(waiting[k :: self.enough]) for k in range(min(self.enough, len(waiting))))] or [Tree(None)]
 
-    def walk(self, root: str) -> Iterator[File]:
-        waiting = [root]
+    def walk(self, roots: list[str]) -> Iterator[File]:
+        waiting = list(roots)
         while waiting:
             dirs, files = entries(waiting.pop())
             waiting += filter(self.wanted.may_hold, dirs)
@@ -186,3 +188,25 @@ def opened(path: str):
 
     store, inner = fs.FileSystem.from_uri(path)
     return store.open_input_stream(inner)
+
+
+@contextmanager
+def created(path: str):
+    """A new file as a stream; it appears under its name, in the place of a former one, once it is whole."""
+    folder, name = path.rsplit("/", 1)
+    temp = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    if local(path):
+        os.makedirs(folder, exist_ok=True)
+        with open(temp, "wb") as f:
+            yield f
+        os.replace(temp, path)
+        return
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    held = inner.rsplit("/", 1)[0]
+    store.create_dir(held)
+    staged = f"{held}/{temp.rsplit('/', 1)[1]}"
+    with store.open_output_stream(staged) as f:
+        yield f
+    store.move(staged, inner)

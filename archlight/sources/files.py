@@ -9,6 +9,7 @@ import os
 import tarfile
 import zipfile
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -44,6 +45,23 @@ def mime_type(path: Column, content: Column) -> Column:
     return F.coalesce(found, by_name, F.lit(OCTETS))
 
 
+def write_texts(rows: DataFrame, order: str) -> None:
+    """``path, text`` as text files, a path's texts in order with a line end behind each.
+
+    For trees of very many files: tasks put each into place by one rename, so nothing is left for the driver to commit, and a
+    task that runs again writes the same files.
+    """
+    tasks_ = 4 * rows.sparkSession.sparkContext.defaultParallelism  # a file costs more than its bytes, which would ask for few tasks
+
+    def work(part: Iterator) -> None:
+        for path, texts in groupby(part, key=lambda r: r["path"]):
+            with file_listing.created(path) as f:
+                for r in texts:
+                    f.write(r["text"].encode() + b"\n")
+
+    rows.repartition(tasks_, "path").sortWithinPartitions("path", order).select("path", "text").foreachPartition(work)
+
+
 DIGESTED = "path string, size long, modified double, head binary, sha256 string"
 #: Files whose digests make one Arrow batch, and bytes that are read at once.
 FILES, BLOCK = 1_000, 1 << 20
@@ -83,12 +101,12 @@ def scan(spark: SparkSession, root: str, limit: int = 0, condition: Column | Non
     """
     listed = file_listing.list_files(spark, root, condition).where("readable")
     some = listed.orderBy("path").limit(limit) if limit else listed
-    # files differ in size, so they are dealt out anew by their paths
-    found = digests(some.repartition(spark.sparkContext.defaultParallelism, "path"))
+    # files are dealt out in path order before they are opened: to sort them later would open each twice, as Spark samples what it sorts
+    found = digests(some.repartitionByRange(2 * spark.sparkContext.defaultParallelism, "path").sortWithinPartitions("path"))
     out = found.select(
         F.col("path").alias("file_path"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"), mime_type(F.col("path"), F.col("head")).alias("mime_type"), F.col("size").alias("file_size"), F.col("modified").alias("last_modified"), "sha256"
     )
-    return out.withColumns({"status": F.lit(S.PENDING_EXTRACTION), "analysis_tasks": tasks.required_tasks(F.col("mime_type"), F.col("file_path"), F.lit(False))}).orderBy("file_path")
+    return out.withColumns({"status": F.lit(S.PENDING_EXTRACTION), "analysis_tasks": tasks.required_tasks(F.col("mime_type"), F.col("file_path"), F.lit(False))})
 
 
 def scan_store(spark: SparkSession, root: str) -> DataFrame:

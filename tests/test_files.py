@@ -130,3 +130,19 @@ def test_listing(spark, tmp_path, monkeypatch):
     by_uri = file_listing.list_files(spark, f"file://{root}")
     assert sorted(r["path"] for r in by_uri.collect()) == sorted(f"file://{r['path']}" for r in all_.collect())
     assert files.digests(by_uri).count() == 12
+
+
+def test_texts_of_a_tree(spark, tmp_path):
+    """Tasks write the files of a tree themselves; many directories are dealt to a bounded number of partitions, files come in path order."""
+    rows = [(f"{tmp_path}/{k % 90}/{k % 3}.txt", k, f"é{k}\r") for k in range(400)]
+    df = spark.createDataFrame(rows, "path string, k long, text string").repartition(5)
+    for uri in ("", "file://"):
+        files.write_texts(df.withColumn("path", F.concat(F.lit(uri), "path")), "k")
+        found = {os.path.join(d, n) for d, _, names in os.walk(tmp_path) for n in names}
+        assert found == {r[0] for r in rows}
+        for path in found:
+            with open(path, newline="") as f:
+                assert f.read() == "".join(t + "\n" for p, _, t in rows if p == path)
+    assert len(file_listing.Reader(str(tmp_path), 8).partitions()) == 8
+    scanned = [r["file_path"] for r in files.scan(spark, str(tmp_path)).collect()]
+    assert scanned == sorted(found)
