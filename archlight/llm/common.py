@@ -11,20 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlight.sources.shared import forget, settle, shared_dir  # noqa: F401  used by all operators
-
-#: Rows in an Arrow batch. Texts may be long, so the row bound is low and a byte bound stands beside it.
-ARROW_ROWS = 2_000
-ARROW_BYTES = 16 << 20
+from archlight.sources.shared import ARROW_BYTES, ARROW_ROWS, BOUNDS, bound_batches, forget, settle, shared_dir  # noqa: F401  used by all operators
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES)}
-
-
 class Recent(dict):
     """What was looked up lately, by key: of two generations the older one goes when the younger one is full."""
 
@@ -80,16 +73,8 @@ def trim() -> None:
 
 
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with bounded batches, whatever the length of a row.
-
-    The bounds are settings of the session that a plan reads where it runs, so they are set where a frame is made and
-    only lowered: a caller's smaller batches stay.
-    """
-    conf = df.sparkSession.conf
-    for name, most in BOUNDS.items():
-        own = conf.get(name, most)
-        if not own.isdigit() or not 0 < int(own) <= int(most):
-            conf.set(name, most)
+    """``mapInArrow`` with bounded batches, whatever the length of a row."""
+    bound_batches(df.sparkSession)
 
     def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

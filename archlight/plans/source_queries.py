@@ -19,6 +19,7 @@ from archlight.sources import catalog_files, decoders, files
 from archlight.sources import workbooks as W
 from archlight.sources.catalog_tables import MANIFEST_SQL as M
 from archlight.sources.catalog_tables import QUERY_VECTOR, manifest, table, vectors
+from archlight.sources.shared import bound_batches
 
 from .registry import query
 from .retrieval_queries import DISTANCE, NEAREST
@@ -102,10 +103,11 @@ def encoded_documents(spark, sf):
     """``path, mime_type, content``: documents as files of all kinds."""
 
     def work(parts):
-        for part in parts:
+        for part in (whole[at : at + decoders.ROWS] for whole in parts for at in range(0, len(whole), decoders.ROWS)):
             kinds = [KINDS[i % len(KINDS)] for i in part["doc_id"]]
             yield pd.DataFrame({"path": part["doc_id"].astype(str), "mime_type": kinds, "content": [encoded(k, t or "") for k, t in zip(kinds, part["text"])]})
 
+    bound_batches(spark)
     return table(spark, sf, "documents").select("doc_id", "text").mapInPandas(work, "path string, mime_type string, content binary")
 
 

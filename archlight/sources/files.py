@@ -20,6 +20,7 @@ from archlight.functions import schema as S
 from archlight.functions import tasks
 
 from . import file_listing
+from .shared import bound_batches
 
 OCTETS = "application/octet-stream"
 #: Magic numbers in hexadecimal, extensions and their types.
@@ -156,4 +157,5 @@ def expand_archives(files: DataFrame) -> DataFrame:
                         waiting += [(f"{member}!/{n}" if member else n, d, depth + 1) for n, d in inside]
             yield pd.DataFrame(rows, columns=["path", "member", "content", "depth"])
 
+    bound_batches(files.sparkSession)
     return files.select("path", "content").mapInPandas(work, MEMBER)

@@ -146,3 +146,19 @@ def test_texts_of_a_tree(spark, tmp_path):
     assert len(file_listing.Reader(str(tmp_path), 8).partitions()) == 8
     scanned = [r["file_path"] for r in files.scan(spark, str(tmp_path)).collect()]
     assert scanned == sorted(found)
+
+
+def test_batches_of_contents_are_bounded(spark):
+    """Contents of files go to Python in batches of bounded size, and texts come back in small ones."""
+    from archlight.sources import decoders
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        df = spark.range(900).select(F.col("id").cast("string").alias("path"), F.lit("text/plain").alias("mime_type"), F.encode(F.lit("a b"), "UTF-8").alias("content"))
+        for f in (decoders.extract, files.expand_archives):
+            spark.conf.set(name, "10000")
+            assert f(df).count() == 900 and int(spark.conf.get(name)) <= 2000
+    finally:
+        spark.conf.set(name, before)
