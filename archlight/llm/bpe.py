@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -29,6 +30,8 @@ from .common import Twice, batch, map_arrow, texts_of
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a Python worker knows: met once lately, and more often.
 FRESH_WORDS, KNOWN_WORDS = 200_000, 400_000
+#: Bytes of texts that are encoded at once: their words, ids and decoded texts are held in Python.
+BLOCK = 1 << 20
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -153,6 +156,19 @@ def first_pairs(start: np.ndarray, merge: dict[int, tuple[int, int]]) -> tuple[d
     return where, ranks
 
 
+def blocks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of ids and texts in slices of rows with at most ``BLOCK`` bytes of text, or one row."""
+    sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
+    start = held = 0
+    for k, n in enumerate(sizes):
+        if k > start and held + n > BLOCK:
+            yield b.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if len(sizes) > start:
+        yield b.slice(start)
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -165,7 +181,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, keep_ids: bool = False)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load(vocabulary_path)
-        for b in batches:
+        for b in (x for whole in batches for x in blocks(whole)):
             found = vocabulary.encode_batch(texts_of(b.column(1)))
             texts = [vocabulary.decode(ids) for ids in found]
             raw = [ids.tobytes() for ids in found]

@@ -362,6 +362,18 @@ def test_bpe(spark, odd, texts):
     assert bpe.encode_decode(odd.limit(0), BYTE).count() == 0
 
 
+def test_bpe_blocks():
+    """A batch is encoded in slices of bounded bytes; a longer row stands alone."""
+    rows = ["é" * 300_000, None, "a" * 500_000, "", "b" * 3_000_000, "c" * 10] * 5
+    whole = bpe.pa.RecordBatch.from_arrays([bpe.pa.array(range(30)), bpe.pa.array(rows)], names=["doc_id", "text"])
+    for b in (whole, whole.slice(1)):
+        got = list(bpe.blocks(b))
+        assert [r for x in got for r in x.to_pylist()] == b.to_pylist()
+        sizes = [[len((t or "").encode()) for t in x.column(1).to_pylist()] for x in got]
+        assert all(sum(s) <= bpe.BLOCK or len(s) == 1 for s in sizes) and len(sizes) >= 10
+    assert list(bpe.blocks(whole.slice(0, 0))) == []
+
+
 # 7
 
 
