@@ -72,19 +72,21 @@ def upsert(new: DataFrame, base: str, keys: list[str], order: list[str] = (), bu
     several tasks if it is large, and ``order`` should tell rows of one key apart.
     """
     spark = new.sparkSession
-    last = Window.partitionBy(*keys).orderBy(*(F.desc_nulls_last(c) for c in order or keys))
-    own = new.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn")
+    # by bucket and key throughout, so rows are shuffled once, whichever side they are of
+    by = ["_bucket", *keys]
+    last = Window.partitionBy(*by).orderBy(*(F.desc_nulls_last(c) for c in order or keys))
     for _ in range(TRIES):
         number, said = state(spark, base)
         of = said.get("buckets", buckets)
-        rows = own.withColumn("_bucket", bucket_of(keys, of))
-        touched = sorted(r["_bucket"] for r in rows.select("_bucket").distinct().collect())  # a number of buckets at most
+        dealt = new.withColumn("_bucket", bucket_of(keys, of))
+        touched = sorted(r["_bucket"] for r in dealt.select("_bucket").distinct().collect())  # a number of buckets at most
+        rows = dealt.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn")
         held = [b for b in touched if str(b) in said["folders"]]
         if held:
-            kept = read(spark, base, held).join(own.select(*keys), keys, "left_anti").withColumn("_bucket", bucket_of(keys, of))
+            kept = read(spark, base, held).withColumn("_bucket", bucket_of(keys, of)).join(dealt.select(*by), by, "left_anti")
             rows = kept.select(*rows.columns).unionByName(rows)
         version = f"v-{uuid.uuid4().hex}"
-        rows.repartition("_bucket", *keys).write.partitionBy("_bucket").parquet(f"{base}/{version}")
+        rows.write.partitionBy("_bucket").parquet(f"{base}/{version}")
         folders = said["folders"] | {str(b): f"{version}/_bucket={b}" for b in touched}
         if put(spark, base, number + 1, {"buckets": of, "schema": said.get("schema") or ddl(new), "folders": folders}):
             return touched

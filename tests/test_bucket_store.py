@@ -43,3 +43,16 @@ def test_a_quicker_writer(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(B, "put", late)
     B.upsert(rows((2, "mine")), base, ["id"])
     assert {r["id"]: r["v"] for r in B.read(spark, base).collect()} == {1: "other", 2: "mine"} and B.state(spark, base)[0] == 3
+
+
+def test_new_rows_are_shuffled_once(spark, tmp_path):
+    """A new table costs one shuffle of its rows and one of the buckets' numbers."""
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: tracker.executorList(False).apply(0).totalShuffleWrite()
+    df = spark.range(20_000).selectExpr("id", "sha2(cast(id as string), 512) v")
+    before = written()
+    df.repartition(4).write.parquet(str(tmp_path / "plain"))
+    once = written() - before
+    B.upsert(df, str(tmp_path / "t"), ["id"], buckets=4)
+    assert written() - before - once < 1.6 * once
+    assert B.read(spark, str(tmp_path / "t")).count() == 20_000
