@@ -75,7 +75,8 @@ def timeouts(df: DataFrame, key: str, order: list[str], value: str, floor: float
             yield pd.DataFrame(told, columns=["_k", "_at", "timeout"])
 
     found = settle(dealt.mapInPandas(work, f"_k {kinds[key]}, _at long, timeout double"), "timeouts")
-    out = rows.alias("r").join(found.alias("f"), F.col("r._k").eqNullSafe(F.col("f._k")) & (F.col("r._at") == F.col("f._at")))
+    # as long as the rows themselves, but often of few values and small as a file: Spark would take it for a table to broadcast
+    out = rows.alias("r").join(found.hint("merge").alias("f"), F.col("r._k").eqNullSafe(F.col("f._k")) & (F.col("r._at") == F.col("f._at")))
     forget(sizes, placed, needed)
     shown = {key: F.col("r._k"), **{c: F.col(f"r.{o}") for c, o in zip(order, keys)}}
     return out.select(*(shown[c].alias(c) for c in columns), "timeout")

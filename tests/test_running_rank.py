@@ -43,3 +43,12 @@ def test_a_key_in_many_blocks(spark, monkeypatch):
     held = ranked.alias("e").join(needed.alias("w"), F.expr("e._bucket = w._bucket and e._block < w._block")).groupBy("w._block").count()
     row = held.agg(F.max("count"), F.count("*")).first()
     assert row[0] <= 6 * 50 and row[1] >= 79
+
+
+def test_rows_are_not_broadcast(spark):
+    """Equal timeouts of all rows make a tiny file; the rows it is joined to are as many as those of the table."""
+    df = spark.range(5000).select((F.col("id") % 7).alias("u"), F.col("id").alias("t"), F.lit(1.0).alias("x"))
+    out = running_rank.timeouts(df, "u", ["t"], "x", 60.0, 5.0)
+    assert out.count() == 5000 and out.where("timeout = 60").count() == 5000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
