@@ -25,8 +25,10 @@ at any size below the 1e-6 of the threshold.
 
 Words are runs of other than the six ASCII white-space characters, A-Z lower-cased. Fewer than five words are one
 shingle; no words give the empty set, which is linked with nothing. Null text counts as empty. A null id keeps its
-row with a null component and is linked with nothing. Rows that share an id are one node. A text may be of any length:
-its signature is taken in blocks. An empty table gives an empty result. Other columns are ignored.
+row with a null component and is linked with nothing. Rows that share an id are one node, whatever their texts: a class
+has a hash of its set as its key, so that an id may have any number of classes, and the classes of an id are linked. A
+text may be of any length: its signature is taken in blocks. An empty table gives an empty result. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Recent, batch, boxed, forget, map_arrow, settle, texts_of, unboxed
@@ -136,21 +138,27 @@ def signed(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), work, "doc_id long, n long, a long, b long, sig binary, keys array<long>")
 
 
+def class_key() -> Column:
+    """A class's key from the checksums and the size of its set."""
+    return F.xxhash64("a", "b", "n")
+
+
 def leaders(rows: DataFrame) -> DataFrame:
-    """``c, n, sig, keys, a, b, rows`` of every class: the row with the smallest id and how many rows have its set; copies meet before the shuffle."""
+    """``c, id, n, sig, keys, rows`` of every class: its key, its smallest id and how many rows have its set; copies meet before the shuffle."""
     linked = rows.where("n > 0 and doc_id is not null")
     first = linked.groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "sig", "keys")).alias("m"), F.count(F.lit(1)).alias("rows"))
-    return first.select(F.col("m.doc_id").alias("c"), "n", "m.sig", "m.keys", "a", "b", "rows")
+    return first.select(class_key().alias("c"), F.col("m.doc_id").alias("id"), "n", "m.sig", "m.keys", "rows")
 
 
-def classes(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """``doc_id, n, c`` of all rows: ``c`` is the smallest id that has the same set, null for empty sets and null ids.
+def classes(rows: DataFrame) -> DataFrame:
+    """``doc_id, n, c`` of all rows: ``c`` is the key of the set, null for empty sets and null ids."""
+    return rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), class_key()).alias("c"))
 
-    Sets that occur again are few and written, so that the join meets two fresh sides and a large group can be split.
-    """
-    again = settle(members.where("rows > 1").select("a", "b", "n", "c"), "copies")
-    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    return rows.select("doc_id", "n", "a", "b").join(again, ["a", "b", "n"], "left").select("doc_id", "n", F.when(linked, F.coalesce("c", "doc_id")).alias("c"))
+
+def shared_ids(ranked: DataFrame) -> DataFrame:
+    """``doc_id, low, high`` of ids with several rows: the smallest and the largest of their classes."""
+    ids = ranked.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("c").alias("low"), F.max("c").alias("high"))
+    return ids.where("rows > 1").drop("rows")
 
 
 def repeated(posts: DataFrame) -> DataFrame:
@@ -383,25 +391,37 @@ def tile_links(met: DataFrame, percent: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``c, s``: the sets of the given documents."""
-    out = pa.schema([("c", pa.int64()), ("s", pa.list_(pa.int64()))])
+    """``c, a, b, s``: the sets of the given texts and their checksums."""
+    out = pa.schema([("c", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("s", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            yield batch(out, {"c": part.column(0), "s": [shingles(t).view(np.int64) for t in texts_of(part.column(1))]})
-
-    return map_arrow(docs.select("c", "text"), work, "c long, s array<long>")
-
-
-def sets_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """``c, s``: the full sets of the classes ``c``."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("c"), "text").where("c is not null and text is not null")
-    return settle(shingle_sets(texts.join(wanted.select("c").distinct(), "c", "left_semi")), "sets")
-
-
-def confirm(candidates: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The candidate pairs whose full sets are similar enough."""
-    sets = sets_of(candidates.select(F.explode(F.array("a", "b")).alias("c")), docs)
+            sets = [shingles(t) for t in texts_of(part.column(1))]
+            sums = np.array([(x.sum(), mix(x).sum()) for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            yield batch(out, {"c": part.column(0), "a": sums[:, 0], "b": sums[:, 1], "s": [x.view(np.int64) for x in sets]})
+
+    return map_arrow(docs.select("c", "text"), work, "c long, a long, b long, s array<long>")
+
+
+def sets_of(wanted: DataFrame, members: DataFrame, docs: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """``c, s``: the full sets of the classes ``c``, each once. Of ids with several rows the texts' own keys tell the class."""
+    asked = settle(wanted.select("c").distinct().join(members.select("c", "id"), "c"), "asked")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
+    if shared is None:
+        sets = shingle_sets(texts.join(asked, "id")).select("c", "s")
+    else:
+        several = shared.select(F.col("doc_id").alias("id"))
+        one = shingle_sets(texts.join(asked.join(several, "id", "left_anti"), "id")).select("c", "s")
+        of_several = texts.join(asked.select("id").distinct().join(several, "id", "left_semi"), "id", "left_semi")
+        own = shingle_sets(of_several.select(F.col("id").alias("c"), "text")).withColumn("n", F.size("s").cast("long")).select(class_key().alias("c"), "s")
+        sets = one.unionByName(own.join(asked.select("c"), "c", "left_semi").dropDuplicates(["c"]))
+    sets = settle(sets, "sets")
+    forget(asked)
+    return sets
+
+
+def confirm(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs whose full sets ``c, s`` are similar enough."""
     left, right = sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return candidates.join(left, "a").join(right, "b").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b").distinct()
@@ -431,22 +451,35 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n, component`` for every row of ``docs``."""
     marked = settle(signed(docs), "signed")
     members = settle(leaders(marked), "members")
-    ranked = settle(classes(marked, members), "classes")
+    ranked = settle(classes(marked), "classes")
     forget(marked)
+    shared = settle(shared_ids(ranked), "shared")
+    several = None if shared.isEmpty() else shared
     posts = settle(parts(post(members)), "posts")
     tried = settle(first_pairs(posts.select("h", "part", "c").join(members.select("c", "sig"), "c"), percent).distinct(), "pairs")
-    edges = settle(confirm(tried, docs, percent), "links")
+    edges = confirm(tried, sets_of(tried.select(F.explode(F.array("a", "b")).alias("c")), members, docs, several), percent)
+    if several is not None:  # the classes of an id are one node
+        one = ranked.where("c is not null").join(several.where("low < high"), "doc_id").where("c <> low")
+        edges = edges.unionByName(one.select(F.col("low").alias("a"), F.col("c").alias("b"))).distinct()
+    edges = settle(edges, "links")
     found = components(edges)
     # second round: lists that still hold several components
     named = posts.where("own").join(found, "c", "left").select("h", "first", "c", F.coalesce("g", "c").alias("g"), "n")
     tiled = settle(tiles(named), "tiles")
-    met = settle(meetings(tiled.join(members, "c"), percent), "met")
-    grown = met.join(tiled.select("h", "x", "y", "c", "g"), ["h", "x", "y", "c"]).join(sets_of(met, docs), "c")
+    met = settle(meetings(tiled.join(members, "c").drop("id", "rows"), percent), "met")
+    grown = met.join(tiled.select("h", "x", "y", "c", "g"), ["h", "x", "y", "c"]).join(sets_of(met, members, docs, several), "c")
     more = settle(tile_links(grown, percent).distinct(), "links")
     if not more.isEmpty():
         found = components(edges.unionByName(more))
+    # a component's name is its smallest id
+    ids = found.join(members.select("c", "id"), "c")
+    linked = ids.join(ids.groupBy("g").agg(F.min("id").alias("component")), "g").select("c", "component")
+    copies = members.where("rows > 1").select("c", "id")
+    labels = settle(copies.join(linked, "c", "full_outer").select("c", F.coalesce("component", "id").alias("component")), "names")
     forget(members, posts, tried, edges, tiled, met, more)
-    return ranked.join(found, "c", "left").select("doc_id", "n", F.coalesce("g", "c", "doc_id").alias("component"))
+    if several is not None:  # a row without words goes with the other rows of its id
+        ranked = ranked.join(several.select("doc_id", "low"), "doc_id", "left").select("doc_id", "n", F.coalesce("c", "low").alias("c"))
+    return ranked.join(labels, "c", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
 
 
 def report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

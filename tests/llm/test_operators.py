@@ -436,6 +436,25 @@ def test_near_dups_across_tiles(spark, monkeypatch, percent):
     assert {r["doc_id"]: (r["n"], r["component"]) for r in near_dups.link(table(spark, rows), percent).collect()} == want
 
 
+def test_near_dups_of_shared_ids(spark, monkeypatch):
+    """Ids with several texts, each in a class of its own or of another id, are one node; every class gets its set once."""
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [(4, text("a")), (4, text("b")), (2, text("b") + " more"), (7, text("a")), (9, text("c")), (9, ""), (3, text("c")), (5, text("d")), (5, text("d")), (6, text("D") + " x"), (8, ""), (8, "")]
+    rows += [(50, text(f"e{k}")) for k in range(12)] + [(60, text("e3") + " end"), (40, text("e8"))]
+    want = {i: c for i, (_, c) in brute.components(rows).items()}
+    assert want[4] == want[7] == 2 and want[9] == 3 and want[60] == want[50] == 40
+    met, made = near_dups.first_pairs, []
+
+    def first_pairs(listed, percent):
+        made.append((listed.count(), listed.select("h", "part", "c").distinct().count()))
+        return met(listed, percent)
+
+    monkeypatch.setattr(near_dups, "first_pairs", first_pairs)
+    got = near_dups.link(table(spark, rows)).collect()
+    assert len(got) == len(rows) and all(r["component"] == want[r["doc_id"]] for r in got)
+    assert made[0][0] == made[0][1]  # a posting once, however many texts its id has
+
+
 def test_near_dups_tiles_are_bounded():
     """2,000 documents all a little under the threshold of each other, and then all above it: links are a forest at most."""
     draw = np.random.default_rng(4)
