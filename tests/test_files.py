@@ -6,7 +6,9 @@ import csv
 import json
 import os
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +56,71 @@ def test_ranges_of_an_array(spark, splits, tmp_path, indent, size):
     assert [p for p, _ in got] == list(range(64)) and [json.loads(t) for _, t in got] == rows
 
 
+class Taken:
+    """Stands for a frame and gives the function that its tasks run."""
+
+    def __getattr__(self, name):
+        return lambda *a, **b: self
+
+    def mapInArrow(self, work, schema):
+        return work
+
+
+def works(spark):
+    state = spark.createDataFrame([], "file string, start long, inside boolean, depth long, last boolean, ended boolean")
+    return json_array.summarised(Taken()), json_array.cut(Taken(), state)
+
+
+def fed(values, *heads):
+    """Chunks of one range in batches."""
+    for at in range(0, len(values), 100):
+        part = values[at : at + 100]
+        yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(part)) for x in heads), pa.array(part, pa.binary())], names=[*map(str, range(len(heads))), "value"])
+
+
+def test_memory_of_a_range(spark):
+    """What a task holds of a range does not grow with it."""
+    summary, cut = works(spark)
+    element = b'{"a": "' + b'b\\\\"c' * 600 + b'", "d": [1, 2]'
+    n = 8_000
+    values = [b"[" + element, *[b"," + element] * (n - 1), b"]"]
+    size = sum(map(len, values)) + n
+
+    def most(rows):
+        tracemalloc.start()
+        try:
+            return sum(b.num_rows for b in rows), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    told, peak = most(summary(fed(values, "f", 0, size)))
+    assert told == 1 and peak < size
+    told, peak = most(cut(fed(values, "f", 0, False, 0, True, False)))
+    assert told == n + 1 and peak < size
+
+
+@pytest.mark.parametrize("piece", [1, 2, 7, 100, 1 << 18])
+def test_pieces_of_a_range(spark, monkeypatch, piece):
+    """Pieces may begin in an escape, a string, an element or a character of several bytes."""
+    monkeypatch.setattr(json_array, "PIECE", piece, raising=False)
+    summary, cut = works(spark)
+    dice = random.Random(piece)
+    rows = [value(dice) for _ in range(40)] + ['\\' * 9 + '"' * 5 + "中" * 20]
+    data = (" " + json.dumps(rows, ensure_ascii=False) + "\n").encode()
+    values = data.split(b"}")
+    [row] = [r for b in summary(fed(values, "f", 0, len(data))) for r in b.to_pylist()]
+    assert (row["odd"], row["outside"], row["bytes"], row["chunks"]) == (0, -1, len(data) - len(values) + 1, len(values))  # the last chunk has no bracket in the file
+    found = [r for b in cut(fed(values, "f", 0, False, 0, True, False)) for r in b.to_pylist()]
+    assert [(r["local"], json.loads(r["text"])) for r in found[:-1]] == list(enumerate(rows))
+    assert found[-1] == {"file": "f", "start": 0, "local": len(rows) - 1, "text": None, "opened": 1, "fault": False}
+    *_, end = [r for b in cut(fed(values[:-1], "f", 0, False, 0, True, True)) for r in b.to_pylist()]
+    assert end["fault"]
+    # what a range does to a state inside a string
+    inner = [b'x\\"y", [1', b'2"], "z]']
+    [row] = [r for b in summary(fed(inner, "f", 9, 99)) for r in b.to_pylist()]
+    assert (row["outside"], row["within"], row["odd"]) == (-1, -2, 1)
+
+
 def test_what_is_no_array(spark, splits, tmp_path):
     splits(9)
     path = str(tmp_path / "a.json")
