@@ -395,6 +395,19 @@ def test_snapshots(spark, tmp_path):
         catalog_files.recover(spark, path, str(tmp_path))
 
 
+def test_recovery_reads_one_snapshot(spark, tmp_path, monkeypatch):
+    """The newest snapshot is read once and older ones not at all."""
+    path, folder = str(tmp_path / "a.json"), str(tmp_path / "s")
+    (tmp_path / "a.json").write_text('[{"file_path": "/a"}]')
+    names = [catalog_files.snapshot(spark, path, folder, x) for x in "pq"]
+    os.utime(names[0], (1, 1))
+    (tmp_path / "a.json").write_text("{")
+    seen = []
+    monkeypatch.setattr(catalog_files, "read_json", lambda s, p, real=catalog_files.read_json: seen.append(os.path.basename(p)) or real(s, p))
+    assert catalog_files.recover(spark, path, folder).count() == 1
+    assert seen == ["a.json", "catalog-q.json"]
+
+
 def test_dynamic_timeout_is_the_plain_rule(spark):
     import random
 
